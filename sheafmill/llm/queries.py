@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sheafmill.llm import op7_quality, op8_mixture
+from sheafmill.llm import op4_token_store, op7_quality, op8_mixture, op9_warc
 
 QUERIES = {
+    "op4_token_store": op4_token_store.op4_token_store,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_source_mixture": op8_mixture.op8_source_mixture,
+    "op9_warc_archive": op9_warc.op9_warc_archive,
 }
 ORACLE_SQL = {"op7_quality_rules": op7_quality.ORACLE, "op8_source_mixture": op8_mixture.ORACLE}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sheafmill.llm import op2_langid, op4_token_store, op6_media, op7_quality, op8_mixture, op9_warc
+from sheafmill.llm import op2_langid, op4_token_store, op5_jaccard, op6_media, op7_quality, op8_mixture, op9_warc
 
 QUERIES = {
     "op2_language_id": op2_langid.op2_language_id,
     "op4_token_store": op4_token_store.op4_token_store,
+    "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
     "op6_media_chunks": op6_media.op6_media_chunks,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_source_mixture": op8_mixture.op8_source_mixture,

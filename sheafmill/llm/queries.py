@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sheafmill.llm import op2_langid, op4_token_store, op5_jaccard, op6_media, op7_quality, op8_mixture, op9_warc
+from sheafmill.llm import op1_licenses, op2_langid, op3_secrets, op4_token_store, op5_jaccard, op6_media, op7_quality, op8_mixture, op9_warc
 
 QUERIES = {
+    "op1_license_scan": op1_licenses.op1_license_scan,
     "op2_language_id": op2_langid.op2_language_id,
+    "op3_secret_scan": op3_secrets.op3_secret_scan,
     "op4_token_store": op4_token_store.op4_token_store,
     "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
     "op6_media_chunks": op6_media.op6_media_chunks,

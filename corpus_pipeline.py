@@ -1,21 +1,40 @@
-"""The corpus pipeline: quality rules, similarity join, secret scans, source mixture, subword sampling."""
+"""The corpus pipeline: quality rules, n-gram Jaccard join, secret scans, mixing sources to target weights, subword sampling.
+
+Each stage works on all rows that its predecessor kept. The first four return the columns of `documents`: rejected documents go,
+one document of each class of linked ones stays, secrets are replaced in the text, and the mixture repeats or leaves out
+documents. The last returns the sampled segmentations, a row a document (of the mixture) and sample.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafmill.llm import common, op7_quality, op8_mixture
+from sheafmill.llm import common, op3_secrets, op5_jaccard, op7_quality, op8_mixture, op10_subwords
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_quality.filtered(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_jaccard.one_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_secrets.redacted(docs, op3_secrets.trained(op3_secrets.seed_findings(spark)))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_mixture.mixed(docs)
 
 
-STAGES = [("quality", quality), ("mixture", mixture)]
+def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op10_subwords.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality), ("jaccard_join", distinct), ("secrets", secrets), ("mixture", mixture), ("subwords", subwords)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def regions(rows: DataFrame) -> DataFrame:
     held = rows.where("node IS NOT NULL")
     cells = held.select("node", "level", F.explode("cells").alias("cell")).unionByName(held.select("node", (F.col("level") + 1).alias("level"), F.explode("next_cells").alias("cell")))
     shared = common.written(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("cell"), "op5-shared")
-    members = common.written(cells.join(common.small_or_shuffled(shared, BROADCAST_ROWS), "cell", "left_semi").distinct(), "op5-members")
+    members = common.written(cells.join(shared, "cell", "left_semi").distinct(), "op5-members")  # grows with the corpus: always shuffled
     central = members.groupBy("node").agg(F.count("*").alias("n_cells"))
     pivots = members.join(central, "node").groupBy("cell").agg(F.max(F.struct("n_cells", "node")).alias("top")).select("cell", F.col("top.node").alias("pivot"))
     return common.written(members.join(pivots, "cell").where("node <> pivot").select("pivot", "level", "node").distinct(), "op5-regions")

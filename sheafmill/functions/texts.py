@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters and words that decide results.
 ZERO_WIDTH_IN_DEFECTS = "​‌‍﻿"
@@ -27,7 +28,7 @@ BLANK_BEFORE_MARK = f"[ \\t]+([{COMBINING}])"
 UNICODE_BLANKS = "(?U)\\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sheafmill.plans import ledger, retrieval
+from sheafmill.plans import dashboard, ledger, retrieval
 
-PARTS = (retrieval, ledger)
+PARTS = (retrieval, ledger, dashboard)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

@@ -75,7 +75,7 @@ def language(text: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """The different amount literals in order of their first place, as written."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), lambda c: F.trim(c)))
 
 
 def ascii_digits(text: Column) -> Column:
@@ -134,7 +134,7 @@ def core_name(name: Column) -> Column:
 
 
 def list_cell(cell: Column, mark: str = "|") -> Column:
-    return F.filter(F.transform(F.split(cell, f"\\{mark}"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cell, f"\\{mark}"), lambda c: F.trim(c)), lambda x: x != "")
 
 
 def pipe_row(line: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sheafmill.plans import curation, dashboard, ledger, retrieval
+from sheafmill.plans import curation, dashboard, ledger, retrieval, streams, texts
 
-PARTS = (retrieval, ledger, dashboard, curation)
+PARTS = (retrieval, ledger, dashboard, curation, texts, streams)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

@@ -72,7 +72,7 @@ class Decoder:
             if (code == 1).any() and (code == -1).any():
                 self.odds[:, b] = np.log(share[code == 1].mean(axis=0)) - np.log(share[code == -1].mean(axis=0))
         margins = share @ self.odds * self.codes  # of each language's own trigrams, by bit
-        self.weights = np.clip(margins.min(axis=0), 0.05, None)
+        self.weights = np.clip(margins.min(axis=0), 0.05, None) if langs else np.zeros(0)
         self.weights /= self.weights.sum() or 1
 
     def decode(self, counts: np.ndarray) -> tuple[str, float, bool]:

@@ -1,15 +1,16 @@
 """Token ids in a byte-aligned variable-length store with separate control bytes.
 
 Ids are renumbered by corpus frequency, so that the commonest 256 take one byte. A block holds the documents of a stretch
-of doc_id order: a control stream of two bits a value (its bytes less one, four values a byte) and a data stream of
+of doc_id order: a control stream of two bits a value (its bytes less one, four values a byte, each document from a byte of its own) and a data stream of
 little-endian bytes. Decoding looks the lengths of four values up by control byte, sums them to places and gathers; there
 is no loop over values. Blocks are rows of a Parquet table, so the shared file system and Spark's commit protocol carry them.
 
-The corpus is read twice: to count ids (a task emits one row an id), and, dealt by ranges of doc_id, to encode. Only the
-count table, at most one row a vocabulary entry, passes through the driver.
+Texts are tokenized once, into a written table of ids (two bytes each where the vocabulary allows). Ids are counted from it (a task
+emits one row an id); only these counts, at most one row a vocabulary entry, pass through the driver. Then ranges of doc_id are dealt
+out, and a task ranks and packs a block at a time.
 
 White space parts the tokenizer's words and is dropped by it, so the ids of a text are those of its ASCII-blank-parted
-words in turn; each task encodes a word once and remembers it, up to `REMEMBERED` words.
+words in turn; a worker remembers the ids of words and of their runs, up to `REMEMBERED` of them.
 
 Defined cases: null and blank texts have the end id alone; null doc_ids come first; repeated rows are stored each; no rows
 give no blocks; other columns are not read.
@@ -17,10 +18,13 @@ give no blocks; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +32,11 @@ from sheafmill.llm import common
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+ENCODED_AT_ONCE = 20_000
+SLICE_BYTES = 8 << 20
+PLAIN = re.compile("[\\x21-\\x26\\x28-\\x7eÀ-ÖØ-öø-ÿ]+")
+RUN = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 #: One row a block of the store; broadcast up to so many, shuffled beyond.
 BROADCAST_ROWS = 100_000
 #: Bytes of each of four values, by control byte.
@@ -37,53 +45,86 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _encoders: dict[str, WordEncoder] = {}
 
 
+class Memory:
+    """Ids of strings met so far, as places in flat arrays."""
+
+    def __init__(self, kind: type) -> None:
+        self.place: dict = {}
+        self.ids = np.zeros(0, kind)
+        self.starts = np.zeros(0, np.int32)
+        self.counts = np.zeros(0, np.int32)
+
+    def add(self, new: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+
+    def of(self, known: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known strings one after the other, and each one's number of ids."""
+        at = np.fromiter(map(self.place.__getitem__, known), np.int32, len(known))
+        return gathered(self.ids, self.starts[at], self.counts[at]), self.counts[at]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of `values` from `starts` on, one after the other."""
+    ends = np.cumsum(counts, dtype=np.int32)
+    at = np.repeat(starts - ends + counts, counts)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
+
+
+def run_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+
 class WordEncoder:
-    """Ids of texts by their blank-parted words, with a bounded memory of words."""
+    """Ids of texts by their blank-parted words, and of words by their runs of letters and of other characters.
+
+    The tokenizer lower-cases and never joins a letter with another character, but for its contractions; so words of plain characters
+    without an apostrophe or a special token's opening part there. Both memories are bounded, and outlive a task.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.place) + len(new) > REMEMBERED:
-            raise OverflowError
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.runs = Memory(self.kind), Memory(self.kind)
+
+    def parts(self, word: str) -> list[str]:
+        return RUN.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [word]
+
+    def of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = list(set(runs).difference(self.runs.place))
+        if len(self.runs.place) + len(new) > REMEMBERED:
+            self.runs, new = Memory(self.kind), list(set(runs))
+        for begin in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[begin : begin + ENCODED_AT_ONCE]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.runs.add(some, np.fromiter((i for x in found for i in x), self.kind), np.fromiter(map(len, found), np.int32, len(found)))
+        return self.runs.of(runs)
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [w for w in words if w not in self.words.place]
+        if len(self.words.place) + len(new) > REMEMBERED // 2:
+            self.words, new = Memory(self.kind), words
+        if new:
+            parts = [self.parts(w) for w in new]
+            ids, counts = self.of_runs([r for p in parts for r in p])
+            self.words.add(new, ids, run_sums(counts, np.fromiter(map(len, parts), np.int64, len(parts))).astype(np.int32))
+        return self.words.of(words)
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of ids."""
-        parted = [(t or b"").split() for t in texts]
-        new = list(set().union(*parted).difference(self.place))
-        if len(self.place) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(set().union(*parted))
-        if len(new) > REMEMBERED // 2 and len(texts) > 1:
-            halves = [self.encode(texts[: len(texts) // 2]), self.encode(texts[len(texts) // 2 :])]
-            return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
-        if len(self.place) + len(new) > REMEMBERED:  # a single text of more words than are remembered
-            raw = [self.tokenizer.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids + [END_ID] for t in texts]
-            return np.array([i for x in raw for i in x], np.uint32), np.array([len(x) for x in raw], np.int64)
-        if new:
-            self.learn(new)
-        at = np.fromiter((self.place[w] for ws in parted for w in ws), np.int64, sum(map(len, parted)))
-        counts, n_words = self.counts[at], np.array([len(ws) for ws in parted], np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        word_ends = np.concatenate([[0], np.cumsum(n_words)])
-        sizes = np.diff(ends[word_ends])
-        flat = self.ids[np.repeat(self.starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
-        return np.insert(flat, np.cumsum(sizes), END_ID), sizes + 1
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        at, n_words = words.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, counts = self.of_words(words.dictionary.to_pylist())
+        ids, counts = np.append(ids, self.kind(END_ID)), np.append(counts, np.int32(1))
+        at = np.insert(at, np.cumsum(n_words), len(counts) - 1)  # the end id as each text's last word
+        return gathered(ids, (np.cumsum(counts, dtype=np.int32) - counts)[at], counts[at]), run_sums(counts[at], n_words + 1)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -92,87 +133,108 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(texts: list, most_bytes: int = 4 << 20) -> Iterator[slice]:
+def pieces(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[slice]:
     """Slices of some MB of text each, of one text at least."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most_bytes or i + 1 == len(texts):
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most_bytes, "right")))
+        yield slice(begin, end)
+        begin = end
+
 
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Where the values of documents of these sizes stand, if each one's number is rounded up to four."""
+    padded = -(-sizes // 4) * 4
+    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(padded - sizes) - (padded - sizes), sizes)
 
-def packed(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data streams of unsigned 32-bit values."""
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data streams of documents of these sizes."""
     lengths = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
     at = np.cumsum(lengths) - lengths
     data = np.zeros(int(lengths.sum()), np.uint8)
-    for k in range(4):
+    data[at] = values & np.uint32(0xFF)
+    for k in range(1, 4):
         long = lengths > k
-        data[at[long] + k] = (values[long] >> np.uint32(8 * k)) & np.uint32(0xFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = lengths - 1
+        if long.any():
+            data[at[long] + k] = (values[long] >> np.uint32(8 * k)) & np.uint32(0xFF)
+    codes = np.zeros(int((-(-sizes // 4) * 4).sum()), np.uint8)
+    codes[places(sizes)] = lengths - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
-def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def unpacked(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """All values of documents of these sizes, whose streams stand one after the other."""
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[places(sizes)]
     at = np.cumsum(lengths) - lengths
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        out |= np.where(lengths > k, raw[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        long = lengths > k
+        if long.any():
+            out[long] |= raw[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
-def id_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n) over all texts with their end ids."""
+def tokenized(docs: DataFrame, path: str, label: str = "op4-ids") -> DataFrame:
+    """The written table of (doc_id, ids, width): each text's ids and the end id, as little-endian unsigned integers of `width` bytes."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch["text"]):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, sizes = encoder(path).encode(rows["text"])
+                width = ids.dtype.itemsize
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * width
+                made = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], made, pa.array(np.full(len(rows), width, np.int32))], names=["doc_id", "ids", "width"])
+
+    return common.written(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, width int"), label)
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """(id, n) over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in pieces(texts):
-                seen = np.bincount(encoder(path).encode(texts[part])[0])
-                total = np.pad(total, (0, max(0, len(seen) - len(total))))
-                total[: len(seen)] += seen
+            seen = np.bincount(np.frombuffer(b"".join(batch["ids"]), f"<u{batch['width'].iloc[0]}") if len(batch) else [])
+            total = np.pad(total, (0, max(0, len(seen) - len(total))))
+            total[: len(seen)] += seen
         kept = np.nonzero(total)[0]
         yield pd.DataFrame({"id": kept, "n": total[kept]})
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def stored(docs: DataFrame, path: str, label: str = "op4-store") -> tuple[DataFrame, np.ndarray]:
     """The written store (a row a block) and the ids by rank."""
-    by_rank = np.array([r["id"] for r in id_counts(docs, path).orderBy(F.desc("n"), "id").collect()], np.uint32)
+    tokens = tokenized(docs, path)
+    by_rank = np.array([r["id"] for r in id_counts(tokens).orderBy(F.desc("n"), "id").collect()], np.uint32)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, ids, sizes, doc_ids, shard = 0, [], [], [], 0
-
-        def flushed() -> pd.DataFrame:
-            values = rank[np.concatenate(ids)]
-            control, data = packed(values)
-            return pd.DataFrame({"shard": [shard], "block": [block], "n_ids": [len(values)], "doc_ids": [doc_ids], "sizes": [np.concatenate(sizes)], "control": [control], "data": [data]})
-
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, rows = 0, 0, []
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in pieces(texts, 1 << 20):
-                found, counts = encoder(path).encode(texts[part])
-                shard = int(batch["shard"].iloc[0])
-                ids.append(found)
-                sizes.append(counts)
-                doc_ids += [None if pd.isna(x) else int(x) for x in batch["doc_id"].iloc[part]]
-                if sum(map(len, ids)) >= BLOCK_IDS:
-                    yield flushed()
-                    block, ids, sizes, doc_ids = block + 1, [], [], []
-        if ids:
-            yield flushed()
-
-    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    made = rows.mapInPandas(encode, "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, control binary, data binary")
+            for row in batch.itertuples(index=False):
+                rows.append(row)
+                held += len(row.ids) // int(row.width)
+                if held >= BLOCK_IDS:
+                    yield one_block(number, rows)
+                    number, held, rows = number + 1, 0, []
+        if rows:
+            yield one_block(number, rows)
+
+    def one_block(number: int, rows: list) -> pd.DataFrame:
+        width = int(rows[0].width)
+        values, sizes = rank[np.frombuffer(b"".join(r.ids for r in rows), f"<u{width}")], np.array([len(r.ids) // width for r in rows], np.int64)
+        control, data = packed(values, sizes)
+        doc_ids = [None if pd.isna(r.doc_id) else int(r.doc_id) for r in rows]
+        return pd.DataFrame({"shard": [int(rows[0].shard)], "block": [number], "n_ids": [len(values)], "doc_ids": [doc_ids], "sizes": [sizes], "control": [control], "data": [data]})
+
+    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("shard", F.spark_partition_id())
+    made = ordered.mapInPandas(block, "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, control binary, data binary")
     return common.written(made, label), by_rank
 
 
@@ -190,8 +252,8 @@ def decoded(store: DataFrame, by_rank: np.ndarray) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = by_rank[unpacked(row.control, row.data, int(row.n_ids))]
                 sizes = np.asarray(row.sizes, np.int64)
+                ids = by_rank[unpacked(row.control, row.data, sizes)]
                 ends = np.cumsum(sizes)
                 yield pd.DataFrame({
                     "shard": row.shard, "block": row.block, "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"), "ids_before": ends - sizes,

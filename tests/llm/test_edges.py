@@ -1,0 +1,217 @@
+"""Every operator on odd tables: nulls in any column, empty and very long texts, ties, repeated rows, clashing columns, no rows."""
+
+import collections
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sheafmill.llm import common, op1_licenses, op2_langid, op3_secrets, op4_token_store, op5_jaccard, op6_media, op7_quality, op8_mixture, op9_warc, op10_subwords
+from sheafmill.llm.shingles import shingles
+
+BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+LONG = "alpha beta gamma delta epsilon zeta eta theta " * 3000
+PLAIN = " ".join(f"word{i} other{i * 7}" for i in range(60))
+ROWS = [
+    (1, PLAIN, "en", "a", 5), (2, PLAIN, "en", "a", 5), (3, PLAIN + " tail", None, "b", None), (4, None, None, None, None), (5, "", "en", None, 0), (6, " \t\n ", "fr", "a", 4),
+    (7, LONG, "en", "b", len(LONG)), (8, "two words", "en", "b", 9), (8, "two words", "en", "b", 9), (9, "x" * 5000, "fr", "c", 5000), (10, "123 456 !!!", None, "c", 11),
+    (11, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Released under the MIT License.', "en", "c", 80), (None, "row without key é 日本 \U0001f600", None, "d", 1),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for clash in ("size", "n_words", "kept", "key", "node", "sample", "ids", "label", "features", "shard", "text_hash", "target"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    return docs
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, ROWS).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return op3_secrets.trained(op3_secrets.seed_findings(spark, 1000), trees=10)
+
+
+def counted(rows):
+    return collections.Counter(r["doc_id"] for r in rows)
+
+
+IDS = collections.Counter(r[0] for r in ROWS)
+
+
+def test_licenses(docs, empty):
+    rows = op1_licenses.scanned(docs).collect()
+    assert counted(rows) == IDS
+    assert {r.doc_id: r.license for r in rows if r.license} == {11: "mit-line"}
+    assert op1_licenses.scanned(empty).count() == 0
+
+
+def test_languages(docs, empty):
+    decoder = op2_langid.trained(docs)
+    rows = op2_langid.predicted(docs, decoder, [F.col("doc_id")]).collect()
+    assert counted(rows) == IDS
+    said = {r.doc_id: (r.lang_pred, r.score) for r in rows}
+    assert all(said[i] == ("und", 0.0) for i in (4, 5, 6, 10))
+    assert said[1][0] == "en" and all(0 <= s <= 1 for _, s in said.values())
+    nothing = op2_langid.trained(empty)
+    assert {r.lang_pred for r in op2_langid.predicted(docs, nothing, [F.col("doc_id")]).collect()} == {"und"}
+    assert op2_langid.predicted(empty, decoder, [F.col("doc_id")]).count() == 0
+
+
+def test_secrets(docs, empty, forest):
+    rows = op3_secrets.findings(docs, forest).collect()
+    assert [(r.doc_id, r.start, r.length) for r in rows if r.is_secret] == [(11, 9, 40)]
+    out = op3_secrets.redacted(docs, forest)
+    assert out.columns == docs.columns and counted(out.collect()) == IDS
+    changed = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    text = 'token = "[REDACTED]" Released under the MIT License.'
+    assert changed[11] == (text, len(text)) and changed[7][0] == LONG and changed[4] == (None, None)
+    assert op3_secrets.findings(empty, forest).count() == 0 and op3_secrets.redacted(empty, forest).count() == 0
+
+
+def test_token_store(docs, empty):
+    store, by_rank = op4_token_store.stored(docs, BPE)
+    starts = {(r.shard, r.block): r.first for r in op4_token_store.block_starts(store).collect()}
+    rows = op4_token_store.decoded(store, by_rank).collect()
+    assert counted(rows) == IDS
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    place = 0
+    for r, row in zip(sorted(rows, key=lambda r: starts[r.shard, r.block] + r.ids_before), sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
+        want = tokenizer.encode(row[1] or "", add_special_tokens=False).ids + [2]
+        assert (r.doc_id, starts[r.shard, r.block] + r.ids_before, r.n_tokens) == (row[0], place, len(want))
+        assert list(memoryview(bytes(r.ids)).cast("I")) == want
+        place += len(want)
+    store, by_rank = op4_token_store.stored(empty, BPE)
+    assert op4_token_store.decoded(store, by_rank).count() == 0
+
+
+def brute_classes(rows):
+    sets, words = {}, re.compile(rb"[^\x20\x09-\x0D]+")
+    for doc_id, text, *_ in rows:
+        w = words.findall((text or "").encode().lower())
+        sets[doc_id] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    parent = {k: k for k in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    keys = sorted((k for k in sets if k is not None))
+    for i, x in enumerate(keys):
+        for y in keys[:i]:
+            both = len(sets[x] & sets[y])
+            if sets[x] and sets[y] and 100 * both >= 90 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((root(x), root(y)))
+                parent[b] = a
+    return {k: (len(s), root(k)) for k, s in sets.items()}
+
+
+def test_jaccard_join(docs, empty):
+    rows = op5_jaccard.joined(docs).collect()
+    assert counted(rows) == IDS
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_classes(ROWS)
+    kept = op5_jaccard.one_each(docs)
+    assert kept.columns == docs.columns and counted(kept.collect()) == collections.Counter({i: 1 for i in IDS if i not in (2, 3)})
+    assert op5_jaccard.joined(empty).count() == 0 and op5_jaccard.one_each(empty).count() == 0
+
+
+def test_media(docs, empty):
+    files, chunks = op6_media.store(docs)
+    rows = op6_media.read_back(files, chunks).collect()
+    assert counted(rows) == IDS
+    texts = {r[0]: (r[1] or "").encode() for r in ROWS}
+    for r in rows:
+        payload = op6_media.payload_of(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.feature) == (len(texts[r.doc_id]), len(payload), zlib.crc32(payload[-16:]), op6_media.feature(payload))
+    files, chunks = op6_media.store(empty)
+    assert op6_media.read_back(files, chunks).count() == 0
+
+
+def test_quality(docs, empty):
+    rows = op7_quality.judged(docs).collect()
+    assert counted(rows) == IDS
+    kept = {r.doc_id for r in rows if r.kept}
+    assert kept == {1, 2, 3}
+    long = next(r for r in rows if r.doc_id == 7)
+    assert (long.n_words, long.n_repeat_words, long.base_failed) == (24000, 24000, True)
+    assert next(r for r in rows if r.doc_id == 4).n_words == 0
+    out = op7_quality.filtered(docs)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
+    assert op7_quality.judged(empty).count() == 0 and op7_quality.filtered(empty).count() == 0
+
+
+def test_boilerplate_depletes(spark):
+    line = "this very line stands on each and every page of the host and says nothing at all"
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))  # noqa: E731  (digits alone don't tell lines apart)
+    unlike = lambda i, n: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(n))
+    rows = [(i, f"{line}\n{line} {i}0\n" * 2 + unlike(i, 5 if i < 3 else 200), "en", "h", 1) for i in range(40)]
+    said = {r.doc_id: r.kept for r in op7_quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, k in said.items() if not k} == {0, 1, 2}
+
+
+def test_mixture(docs, empty):
+    rows = op8_mixture.planned(docs).collect()
+    assert counted(rows) == IDS and all(r._sm_copies <= 3 for r in rows)
+    out = op8_mixture.mixed(docs)
+    assert out.columns == docs.columns
+    again = op8_mixture.mixed(docs)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+    assert op8_mixture.mixed(empty).count() == 0
+
+
+def test_warc(spark):
+    payload = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"
+    rows = [(2, "http://a/", "same", 1), (1, "http://b/", "same", 1), (3, None, None, 1), (4, "http://c/\r\nx", payload, 1), (5, "http://d/", "", 1), (6, "http://e/", "é" * 100_000, 1), (1, "http://b/", "same", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 int")
+    path = common.fresh_path(spark, "test-warc")
+    op9_warc.write_archives(pages, path)
+    found = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op9_warc.read_archives(spark, path).collect())
+    want = [(2, 4, "revisit", 1), (1, 4, "response", None), (1, 4, "response", None), (3, 0, "response", None), (5, 0, "revisit", 3), (4, len(payload), "response", None), (6, 200_000, "response", None)]
+    assert found == collections.Counter(want)
+    path = common.fresh_path(spark, "test-warc")
+    op9_warc.write_archives(pages, path, min_revisit_bytes=5)
+    assert {r.record_type for r in op9_warc.read_archives(spark, path).collect()} == {"response"}
+    path = common.fresh_path(spark, "test-warc")
+    op9_warc.write_archives(pages.limit(0), path)
+    assert op9_warc.read_archives(spark, path).count() == 0
+
+
+def test_subwords(docs, empty):
+    rows = op10_subwords.sampled(docs, PIECES, k=3).collect()
+    assert set(counted(rows)) == set(IDS) and all(r.round_trip for r in rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append((r.sample, bytes(r.ids), r.perturbed))
+    assert len(by[1]) == 3 and len({x[1] for x in by[1]}) == 3
+    assert [x[1] for x in by[4]] == [b""] and sorted(by[8])[0] == sorted(by[8])[1]
+    assert op10_subwords.sampled(empty, PIECES).count() == 0
+
+
+def test_pipeline_stages(spark, docs, empty):
+    for start in (docs, empty):
+        rows = start.select(*[c for c in start.columns if c not in ("sample", "ids")]) if start is empty else start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.written(stage(spark, rows, ""), f"test-{name}")
+            assert out.columns == rows.columns
+            rows = out
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, "")
+        assert last.count() == 0 if start is empty else last.count() > 0
+
+
+def test_shingles_of_few_words():
+    assert len(shingles(b"")) == 0 and len(shingles(None)) == 0 and len(shingles(b" \n ")) == 0
+    assert len(shingles(b"one")) == 1 and len(shingles(b"A b")) == 1 and (shingles(b"A b") == shingles(b"a  B\n")).all()

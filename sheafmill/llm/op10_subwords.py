@@ -27,19 +27,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafmill.llm import common
-from sheafmill.llm.shingles import mix, powers
+from sheafmill.llm.op4_token_store import pieces
+from sheafmill.llm.shingles import BASE, mix
 
 SAMPLES, SEED = 2, 20240101
 LONGEST_UNIT, LONGEST_PIECE = 64, 16
 DEEPEST = 40.0
-SLICE_CHARS = 4 << 20
+SLICE_BYTES = 2 << 20
 REMEMBERED = 300_000
-UNIT = re.compile(f"▁*[^▁\n]{{1,{LONGEST_UNIT}}}|▁{{1,{LONGEST_UNIT}}}|\n")
+UNIT = f"▁*[^▁\n]{{1,{LONGEST_UNIT}}}|▁{{1,{LONGEST_UNIT}}}|\n"
+PART = "\0"
 #: Brings products of piece shares along a unit into the range of doubles; it cancels out of all probabilities.
 SCALE = 30.0
 
@@ -48,11 +51,6 @@ _vocabularies: dict[str, Vocabulary] = {}
 SAMPLED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids binary"
 
 
-def marked(text: str | None) -> str:
-    """The text as the tokenizer sees it: a blank in front, blanks as marks."""
-    return "▁" + text.replace(" ", "▁") if text else ""
-
-
 class Vocabulary:
     """Pieces by a hash of their characters, and their bytes for decoding."""
 
@@ -76,7 +74,7 @@ class Vocabulary:
         self.starts = np.cumsum(self.widths) - self.widths
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
         pieces = [m.id_to_piece(int(i)) for i in np.nonzero(self.normal)[0]]
-        keys = substring_hashes(*flat(pieces))
+        keys = string_hashes(pieces)
         self.lengths = np.array([len(m.id_to_piece(i)) if self.normal[i] else 0 for i in range(n)])
         self.bits = 20
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -97,9 +95,14 @@ class Vocabulary:
         return np.append(share / share.sum() * SCALE**self.lengths, [1.0, 0.0])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        slots, out = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(keys), -1, np.int32)
-        for held, named in self.layers:
-            hit = held[slots] == keys
+        """The pieces of these hashes; -1 where there is none."""
+        slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        held, named = self.layers[0]
+        there = held[slots]
+        out = np.where(there == keys, named[slots], np.int32(-1))
+        left = np.nonzero((out < 0) & (there != 0))[0]
+        for held, named in self.layers[1:]:
+            hit = left[held[slots[left]] == keys[left]]
             out[hit] = named[slots[hit]]
         return out
 
@@ -112,20 +115,17 @@ class Vocabulary:
         return self.bytes[np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(ends[-1])].tobytes()[1:]
 
 
-def flat(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All code points and each string's length."""
-    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32), np.fromiter(map(len, strings), np.int64, len(strings))
-
-
-def prefix_sums(points: np.ndarray) -> np.ndarray:
-    power, _ = powers(len(points) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)])])
+def powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
 
 
-def substring_hashes(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    sums, (_, unpower) = prefix_sums(points), powers(len(points) + 1)
-    return mix((sums[ends] - sums[ends - lengths]) * unpower[ends - lengths] + lengths.astype(np.uint64))
+def string_hashes(strings: list[str]) -> np.ndarray:
+    """Polynomial hashes of code points, mixed with the length."""
+    lengths = np.array([len(x) for x in strings], np.int64)
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(points)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(points * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -136,33 +136,35 @@ def vocabulary(path: str) -> Vocabulary:
 
 def piece_counts(docs: DataFrame, path: str) -> np.ndarray:
     """How often each piece occurs in the tokenizer's encoding of all texts. A task emits one row a piece."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         total = np.zeros(vocab.size, np.int64)
         known: dict[str, int] = {}
-        counts = np.zeros(REMEMBERED, np.int64)
 
         def settle() -> None:
-            for ids, n in zip(vocab.model.encode([w.replace("▁", " ") for w in known], add_bos=False), counts[: len(known)].tolist(), strict=True):
-                for i in ids:
-                    total[i] += n
+            words = list(known)
+            for begin in range(0, len(words), 20_000):
+                some = words[begin : begin + 20_000]
+                for ids, n in zip(vocab.model.encode(some), (known[w] for w in some), strict=True):
+                    for i in ids:
+                        total[i] += n
             known.clear()
-            counts[:] = 0
 
         for batch in batches:
-            for text in batch["text"]:
-                # without its mark a word gets it back as the tokenizer's own blank in front
-                for part in (text or "").replace("\n", " ").split(" "):
-                    if part:
-                        at = known.setdefault(part, len(known))
-                        counts[at] += 1
-                        if len(known) == REMEMBERED:
-                            settle()
+            for part in pieces(batch["text"], 8 << 20):
+                # a word without its mark gets it back as the tokenizer's own blank in front
+                text = pc.fill_null(batch["text"].slice(part.start, part.stop - part.start), "")
+                found = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ").flatten().value_counts()
+                for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                    if word:
+                        known[word] = known.get(word, 0) + n
+                if len(known) > REMEMBERED:
+                    settle()
         settle()
         kept = np.nonzero(total)[0]
-        yield pd.DataFrame({"id": kept, "n": total[kept]})
+        yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(total[kept])], names=["id", "n"])
 
-    rows = docs.select("text").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary(path).size, np.int64)
     for row in rows:
         out[row["id"]] = row["n"]
@@ -171,77 +173,90 @@ def piece_counts(docs: DataFrame, path: str) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """Edges of all places of some units: by place and length, the piece and the summed probability; -2 is a character of bytes."""
+    """Edges of all places of some units. The units go by falling length, and a row is a place: those with d characters left to their unit's
+    end stand from base[d] on, in the order of the units. By edge length, a row has the piece and the summed probability; -2 is a
+    character of bytes."""
 
-    points: np.ndarray
-    starts: np.ndarray
+    base: np.ndarray
+    rank: np.ndarray
     lengths: np.ndarray
+    points: np.ndarray
     ids: np.ndarray
     upto: np.ndarray
 
+    def left(self, row: int) -> int:
+        return int(np.searchsorted(self.base[1:], row, "right"))
+
 
 def lattice(units: list[str], vocab: Vocabulary, weights: np.ndarray) -> Lattice:
-    points, lengths = flat(units)
-    n, ends = len(points), np.cumsum(lengths)
-    left = np.repeat(ends, lengths) - np.arange(n)
-    sums, (_, unpower) = prefix_sums(points), powers(n + 1)
-    ids = np.full((n, LONGEST_PIECE), -1, np.int32)
-    for k in range(1, LONGEST_PIECE + 1):
-        at = np.nonzero(left >= k)[0]
-        if not len(at):
-            break
-        ids[at, k - 1] = vocab.find(mix((sums[at + k] - sums[at]) * unpower[at] + np.uint64(k)))
-    ids[ids[:, 0] < 0, 0] = -2
-    upto, after = np.ones((n, LONGEST_PIECE), np.float32), np.ones(n + 1)
-    order, at_end = np.argsort(left, kind="stable"), 0
-    for d, size in enumerate(np.bincount(left, minlength=1)):  # all places so far from their unit's end at once
-        at, wide = order[at_end : at_end + size], min(d, LONGEST_PIECE)
-        at_end += size
-        if size:
-            here = weights[ids[at, :wide]]  # its last two places are the weights of characters of bytes, 1, and of no piece, 0
-            for k in range(1, wide + 1):
-                if k < d:
-                    here[:, k - 1] *= after[at + k]
-            np.cumsum(here, axis=1, out=here)
-            after[at] = here[:, -1]
-            upto[at, :wide] = here / here[:, -1:]
-            upto[at, wide - 1] = 1.0
-    return Lattice(points, ends - lengths, lengths, ids, upto)
+    """As longer units come first, those that have d characters left are the first units, and what stands at d - k of them is a slice."""
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    order = np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(units), np.int64)
+    rank[order] = np.arange(len(units))
+    ends, longest = np.cumsum(lengths)[order], int(lengths.max(initial=0))
+    n_left = len(units) - np.concatenate([[0], np.cumsum(np.bincount(lengths, minlength=longest + 1))])[: longest + 1]
+    base = np.concatenate([[0], np.cumsum(n_left) - n_left[0]])
+    rows = int(base[longest + 1]) if longest else 0
+    ids, upto = np.full((rows, LONGEST_PIECE), -1, np.int16 if vocab.size < 1 << 15 else np.int32), np.ones((rows, LONGEST_PIECE), np.float32)
+    held, power = np.zeros(rows, np.uint32), powers(LONGEST_PIECE)
+    hashes, after = [np.zeros(len(units), np.uint64)], [np.ones(len(units))]
+    for d in range(1, longest + 1):
+        n, wide, low = int(n_left[d]), min(d, LONGEST_PIECE), int(base[d])
+        held[low : low + n] = points[ends[:n] - d]
+        hashes.append(held[low : low + n].astype(np.uint64) + np.uint64(1) + BASE * hashes[d - 1][:n])
+        named, here = np.empty((n, wide), np.int32), np.empty((n, wide))
+        for k in range(1, wide + 1):
+            named[:, k - 1] = vocab.find(mix(hashes[d] - power[k] * hashes[d - k][:n] + np.uint64(k)))
+        named[named[:, 0] < 0, 0] = -2
+        for k in range(1, wide + 1):  # the last two weights are those of a character of bytes, 1, and of no piece, 0
+            np.multiply(weights[named[:, k - 1]], after[d - k][:n], out=here[:, k - 1])
+        np.cumsum(here, axis=1, out=here)
+        after.append(here[:, -1].copy())
+        ids[low : low + n, :wide] = named
+        upto[low : low + n, :wide] = here / here[:, -1:]
+        upto[low : low + n, wide - 1] = 1.0
+    return Lattice(base, rank, lengths[order], held, ids, upto)
+
+
+def uniform_keys(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+    """Keys of draws: a key mixed with ordinals."""
+    state = np.asarray(key, np.uint64)
+    for p in parts:
+        state = mix(state * BASE + np.asarray(p).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return state
 
 
 def uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     """Draws in (0, 1) by hash of a key and ordinals."""
-    state = np.asarray(key, np.uint64)
-    for p in parts:
-        state = mix(state * np.uint64(0x9E3779B97F4A7C15) + np.asarray(p).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    return ((state >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return ((uniform_keys(key, *parts) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
 def edges_at(net: Lattice, place: int) -> np.ndarray:
     return np.diff(net.upto[place].astype(np.float64), prepend=0.0)
 
 
-def walked(net: Lattice, unit_of: np.ndarray, keys: np.ndarray, word: np.ndarray, sample: int, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random path through each unit from `offset` on: counts of steps, then by unit and step the places and edge lengths."""
-    place, end = net.starts[unit_of] + offset, net.starts[unit_of] + net.lengths[unit_of]
+def walked(net: Lattice, units: np.ndarray, keys: np.ndarray, word: np.ndarray, sample: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random path through each unit, from `left` characters before its end on: counts of steps, then by unit and step the rows and edge lengths."""
     taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.nonzero(place < end)[0]
-    step, counts = 0, np.zeros(len(unit_of), np.int64)
+    live, counts, step = np.nonzero(left > 0)[0], np.zeros(len(units), np.int64), 0
+    unit, rest, key = units[live], left[live], uniform_keys(keys[live], sample, word[live])
     while len(live):
-        at = place[live]
-        drawn = uniform(keys[live], sample, word[live], step)
-        size = (net.upto[at] < drawn[:, None].astype(np.float32)).sum(axis=1) + 1
-        size = np.minimum(size, LONGEST_PIECE)
-        taken.append((live, at, size))
+        row = net.base[rest] + unit
+        size = np.minimum((net.upto[row] < uniform(key, step).astype(np.float32)[:, None]).sum(axis=1) + 1, LONGEST_PIECE)
+        taken.append((live, row, size))
         counts[live] += 1
-        place[live] = at + size
-        live = live[place[live] < end[live]]
+        rest = rest - size
+        on = np.nonzero(rest > 0)[0]
+        live, unit, rest, key = live[on], unit[on], rest[on], key[on]
         step += 1
     begin = np.cumsum(counts) - counts
-    places, sizes = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
-    for k, (who, at, size) in enumerate(taken):
-        places[begin[who] + k], sizes[begin[who] + k] = at, size
-    return counts, places, sizes
+    rows, sizes = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
+    for k, (who, row, size) in enumerate(taken):
+        at = begin[who] + k
+        rows[at], sizes[at] = row, size
+    return counts, rows, sizes
 
 
 def taken_share(net: Lattice, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -275,13 +290,39 @@ class Row:
         return number, step, min(int(np.searchsorted(upto, drawn, "right")), LONGEST_PIECE - 1) + 1, before, gone
 
 
-def searched(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, weights: np.ndarray, k: int) -> tuple[Lattice, list[Row]]:
+def units_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The units of texts one after the other as places in a list of different ones, the list, and each text's number of units."""
+    texts = pc.fill_null(texts, "")
+    empty = pc.equal(pc.binary_length(texts), 0)
+    any_has = lambda x: pc.any(pc.match_substring(texts, x)).as_py()
+    if not any(map(any_has, (PART, "▁", "  "))) and not pc.any(pc.starts_with(texts, " ")).as_py():  # plain texts: a unit begins at each blank, and around each line end
+        parted = pc.replace_substring(pc.replace_substring(texts, "\n", f"{PART}\n{PART}"), " ", PART + "▁")
+        units = pc.split_pattern(pc.if_else(empty, "", pc.binary_join_element_wise("▁", parted, "")), PART)
+        if (pc.max(pc.utf8_length(pc.list_flatten(units))).as_py() or 0) <= LONGEST_UNIT:
+            return named_units(units)
+    marked = pc.if_else(empty, "", pc.binary_join_element_wise("▁", pc.replace_substring(texts, " ", "▁"), ""))
+    return named_units(pa.array([re.findall(UNIT, t) for t in marked.to_pylist()], pa.list_(pa.string())))
+
+
+def named_units(lists: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    units = lists.flatten().dictionary_encode()
+    at, names = units.indices.to_numpy(zero_copy_only=False).astype(np.int64), units.dictionary.to_pylist()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    if "" in names:
+        blank = names.index("")
+        full = at != blank
+        ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        at = at[full]
+        at -= at > blank
+        names.pop(blank)
+    return at, names, np.diff(ends)
+
+
+def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.ndarray, k: int) -> tuple[Lattice, list[Row]]:
     """The k best of each text by perturbed log probability. New steps of all texts are drawn and weighed at once."""
-    named: dict[str, int] = {}
-    parts = [UNIT.findall(marked(t)) for t in texts]
-    unit_of = np.array([named.setdefault(u, len(named)) for p in parts for u in p], np.int64)
-    net = lattice(list(named), vocab, weights)
-    sizes_of = np.array([len(p) for p in parts], np.int64)
+    at_name, names, sizes_of = units_of(texts)
+    net = lattice(names, vocab, weights)
+    unit_of = net.rank[at_name]
     ends = np.cumsum(sizes_of)
     firsts = ends - sizes_of
     rows = [Row(*x) for x in zip(keys, firsts.tolist(), ends.tolist(), (-np.log(-np.log(uniform(keys, 0)))).tolist(), strict=True)]
@@ -294,11 +335,12 @@ def searched(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, weigh
         begins = [row.first if c is None else row.first + int(row.samples[c[0]][2][c[1]]) for row, c in todo]
         at = np.concatenate([np.arange(a, row.last) for a, (row, _) in zip(begins, todo, strict=True)])
         spans = np.cumsum([0] + [row.last - a for a, (row, _) in zip(begins, todo, strict=True)])
-        offset = np.zeros(len(at), np.int64)
-        for low, a, (row, c) in zip(spans, begins, todo, strict=False):
+        units_at = unit_of[at]
+        left = net.lengths[units_at]
+        for low, (row, c) in zip(spans, todo, strict=False):
             if c is not None:  # the unit goes on after the new edge
-                offset[low] = row.samples[c[0]][0][c[1]] + c[2] - net.starts[unit_of[a]]
-        counts, places, sizes = walked(net, unit_of[at], key_of[at], word[at], number + 1, offset)
+                left[low] = net.left(int(row.samples[c[0]][0][c[1]])) - c[2]
+        counts, places, sizes = walked(net, units_at, key_of[at], word[at], number + 1, left)
         units = np.repeat(word[at], counts)
         upto = np.concatenate([[0], np.cumsum(counts)])[spans]
         if number:  # the new edges themselves lead the new steps
@@ -360,33 +402,29 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED, coun
     """A row a document and sample. `counts` are piece counts; without them they are taken from `docs`."""
     counts = piece_counts(docs, path) if counts is None else counts
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         weights = vocab.weights(counts)
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
-            begin = size = 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= SLICE_CHARS or i + 1 == len(texts):
-                    yield table(texts[begin : i + 1], ids[begin : i + 1], vocab, weights)
-                    begin, size = i + 1, 0
-
-    def table(texts: list[str | None], ids: list, vocab: Vocabulary, weights: np.ndarray) -> pd.DataFrame:
-        whole = [None if pd.isna(x) else int(x) for x in ids]
-        keys = mix(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in whole], np.uint64) + np.uint64(seed))
+            for part in pieces(batch["text"], SLICE_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield table(rows["text"], rows["doc_id"].to_pylist(), vocab, weights)
+
+    def table(texts: pa.Array, ids: list[int | None], vocab: Vocabulary, weights: np.ndarray) -> pa.RecordBatch:
+        keys = mix(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids], np.uint64) + np.uint64(seed))
         net, rows = searched(texts, keys, vocab, weights, k)
         out = []
-        for doc_id, text, row in zip(whole, texts, rows, strict=True):
+        for doc_id, text, row in zip(ids, pc.cast(texts, pa.binary()).to_pylist(), rows, strict=True):
             bound = max((o[0] for o in row.openings), default=-np.inf)
             for number, (places, sizes, _, log_prob, value) in enumerate(row.samples):
                 found = ids_of(net, vocab, places, sizes)
                 apart = log_prob - bound
                 score = 0.0 if apart > 30 else float(np.log(-np.expm1(-np.exp(apart)))) if apart > -30 else apart
-                out.append((doc_id, number + 1, len(found), log_prob, value, score, vocab.decode(found) == (text or "").encode(), found.astype("<u2").tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "ids"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, number + 1, len(found), log_prob, value, score, vocab.decode(found) == (text or b""), found.astype("<u2").tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in SAMPLED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(sample, SAMPLED)
+    return docs.select("doc_id", "text").mapInArrow(sample, SAMPLED)
 
 
 def op10_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc_archive": op9_warc.op9_warc_archive,
     "op10_subword_samples": op10_subwords.op10_subword_samples,
 }
-ORACLE_SQL = {"op7_quality_rules": op7_quality.ORACLE, "op8_source_mixture": op8_mixture.ORACLE}
+ORACLE_SQL = {"op5_jaccard_join": op5_jaccard.ORACLE, "op7_quality_rules": op7_quality.ORACLE, "op8_source_mixture": op8_mixture.ORACLE}

@@ -1,0 +1,205 @@
+"""Training-data operators against brute force, exact round trips or held-out accuracy, over whole small tables."""
+
+import base64
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from sheafmill.llm import common, op1_licenses, op2_langid, op3_secrets, op4_token_store, op5_jaccard, op6_media, op7_quality, op8_mixture, op9_warc, op10_subwords, queries
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r.doc_id: r for r in common.load(spark, SF, "documents").collect()}
+
+
+def test_sql_oracles(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for name, sql in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, SF)
+        want = con.sql(sql)
+        at = [want.columns.index(c) for c in df.columns]
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall()), name
+
+
+def test_licenses(spark, docs):
+    """The tables' license lines are all found, and nothing else is."""
+    lines = {"Apache License": "apache-2.0-line", "MIT License": "mit-line", "GNU General Public": "gpl-3.0-line", "CC BY-NC": "cc-by-nc-4.0-line"}
+    for r in op1_licenses.op1_license_scan(spark, SF).collect():
+        assert {v for k, v in lines.items() if k in docs[r.doc_id].text} == ({r.license} - {None})
+
+
+def test_patience_alignment():
+    found = op1_licenses.aligned("a b c d e f a".split(), "x b c y e a".split())
+    assert found == [(1, 1), (2, 2), (4, 4), (6, 5)]
+    scanner = op1_licenses.Scanner(op1_licenses.TEMPLATES, 0.8)
+    text = "start " + op1_licenses.TEMPLATES["mit"].replace("without restriction", "without any such restriction") + " middle " + op1_licenses.TEMPLATES["mit-line"] * 2
+    assert [f[0] for f in scanner.scan(text)][:2] == ["mit", "mit-line"]
+    assert len(scanner.scan("Released under the MIT License. Released under the MIT License.")) == 2
+    assert scanner.scan("the license of software is without a copy") == []
+
+
+def test_language_accuracy_on_held_out(spark, docs):
+    rows = op2_langid.op2_language_id(spark, "/root/testdata/sf0.01").collect()
+    truth = {r.doc_id: r.lang for r in common.load(spark, "/root/testdata/sf0.01", "documents").collect()}
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    codes = op2_langid.codewords(6)
+    assert min(int((codes[i] != codes[j]).sum()) for i in range(6) for j in range(i)) >= 4
+
+
+def test_secret_accuracy_on_held_out(spark):
+    forest = op3_secrets.trained(op3_secrets.seed_findings(spark))
+    held = op3_secrets.seed_findings(spark, 2000, "held").selectExpr("text", "path AS source", "is_secret AS label")
+    said = op3_secrets.judged(op3_secrets.candidates(held, "label"), forest).selectExpr("avg(int(label = is_secret)) AS right").first()
+    assert said.right > 0.97
+    plan = op3_secrets.findings(common.load(spark, SF, "documents"), forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_token_store(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer, place = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    rows = {r.doc_id: r for r in op4_token_store.op4_token_store(spark, SF).collect()}
+    for doc_id in sorted(docs):
+        ids = tokenizer.encode(docs[doc_id].text or "", add_special_tokens=False).ids + [2]
+        want = (doc_id, place, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert tuple(rows[doc_id]) == want
+        place += len(ids)
+
+
+def test_words_encode_as_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), op4_token_store.WordEncoder(path)
+    random.seed(3)
+    texts = ["".join(random.choice("aZé'! <|>endoftext1½İσΣ́…\xa0\n_-ªß") for _ in range(60)) for _ in range(500)] + ["don't <|endoftext|>x ΣΑΣ! ﬁ İ!", "", " "]
+    ids, sizes = encoder.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert all(ids[e - n : e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2] for t, n, e in zip(texts, sizes, ends, strict=True))
+
+
+def test_packing_round_trip():
+    random = np.random.default_rng(1)
+    values = (random.integers(0, 2**32, 4000, dtype=np.uint64) >> random.integers(0, 32, 4000, dtype=np.uint64)).astype(np.uint32)
+    sizes = np.array([1, 2, 3, 0, 4, 3990], np.int64)
+    assert (op4_token_store.unpacked(*op4_token_store.packed(values, sizes), sizes) == values).all()
+
+
+def near_groups(seed):
+    """Texts around few bases with edits, so that links at the limit, chains and non-links all occur."""
+    random = np.random.default_rng(seed)
+    bases = [[f"w{b}x{random.integers(500)}" for _ in range(n)] for b, n in enumerate((30, 60, 150, 400))]
+    rows = []
+    for i in range(240):
+        words = list(bases[i % 4])
+        for _ in range(random.integers(0, max(2, len(words) // 12))):
+            words[random.integers(len(words))] = f"e{random.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_by_brute_force(spark, seed):
+    from tests.llm.test_edges import brute_classes
+
+    rows = near_groups(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert len({c for _, c in got.values()}) > 4
+
+
+def test_media_round_trip(spark, docs):
+    for r in op6_media.op6_media_chunks(spark, SF).collect():
+        payload = op6_media.payload_of((docs[r.doc_id].text or "").encode())
+        media = op6_media.wav(payload)
+        assert (r.payload_sha256, r.media_bytes, r.media_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def test_chunks_follow_content():
+    random = np.random.default_rng(4)
+    body = random.integers(0, 256, 100_000, dtype=np.uint8).tobytes()
+    one, two = op6_media.cut(body), op6_media.cut(b"some bytes put in front" + body)
+    assert b"".join(one) == body and len(set(one) & set(two)) > 0.9 * len(one)
+    assert all(op6_media.LEAST <= len(c) <= op6_media.MOST for c in one[:-1])
+
+
+def test_warc(spark):
+    pages = common.load(spark, SF, "pages").collect()
+    first = {}
+    for p in sorted(pages, key=lambda p: p.page_id):
+        first.setdefault(p.html, p.page_id)
+    got = {tuple(r) for r in op9_warc.op9_warc_archive(spark, SF).collect()}
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert got == {(p.page_id, len(p.html.encode()), digest(p.html.encode()), *(("response", None) if first[p.html] == p.page_id else ("revisit", first[p.html]))) for p in pages}
+
+
+def test_sampling_without_replacement():
+    vocab = op10_subwords.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    n, weights = 20_000, vocab.weights(np.sqrt(np.arange(vocab.size)[::-1] + 1.0))
+    net, rows = op10_subwords.searched(pa.array(["the cat"] * n), op10_subwords.mix(np.arange(n, dtype=np.uint64)), vocab, weights, 2)
+    exact, pairs = {}, [collections.Counter(), collections.Counter()]
+    for row in rows:
+        for number, (places, sizes, _, log_prob, value) in enumerate(row.samples):
+            ids = tuple(op10_subwords.ids_of(net, vocab, places, sizes).tolist())
+            exact[ids] = np.exp(log_prob)
+            pairs[number][ids] += 1
+            assert vocab.model.decode(list(ids)) == "the cat"
+        assert len(row.samples) == 2 and row.samples[0][4] > row.samples[1][4]
+    for ids, p in exact.items():
+        second = sum(q / (1 - q) * p for other, q in exact.items() if other != ids)
+        for found, want in ((pairs[0][ids], p), (pairs[1][ids], second)):
+            assert abs(found / n - want) < 5 * np.sqrt(want * (1 - want) / n) + 2e-3
+
+
+def test_mixture_comes_near_targets(spark):
+    per = op8_mixture.op8_source_mixture(spark, "/root/testdata/sf0.01").groupBy("source_size", "target").agg({"taken": "sum", "size": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r.target) < 6 * np.sqrt(r.target * r["max(size)"]) for r in per)
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage's rows by plain Python over its own input, where the operators' verdicts decide only what stays."""
+    from tests.llm.test_edges import brute_classes
+
+    rows, steps = common.load(spark, SF, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        steps[name] = (rows, out := common.written(stage(spark, rows, SF), f"test-{name}"))
+        rows = out
+    read = lambda df: [tuple(r) for r in df.collect()]
+    before, after = map(read, steps["quality"])
+    kept = {r.doc_id for r in op7_quality.op7_quality_rules(spark, SF).collect() if r.kept}
+    assert sorted(after) == sorted(r for r in before if r[0] in kept)
+    before, after = map(read, steps["jaccard_join"])
+    classes = brute_classes([(r[0], r[1]) for r in before])
+    assert sorted(after) == sorted(r for r in before if classes[r[0]][1] == r[0])
+    before, after = map(read, steps["secrets"])
+    hidden = re.compile(r'token = "[0-9a-f]{40}"')
+    assert sorted(r[:4] for r in after) == sorted((r[0], hidden.sub('token = "[REDACTED]"', r[1]), *r[2:4]) for r in before)
+    before, after = map(read, steps["mixture"])
+    times = {r.doc_id: r._sm_copies for r in op8_mixture.planned(steps["mixture"][0]).collect()}
+    assert sorted(after) == sorted(r for r in before for _ in range(times[r[0]]))
+    texts = collections.Counter(r[0] for r in after)
+    last = steps["subwords"][1].collect()
+    assert collections.Counter(r.doc_id for r in last) == collections.Counter({k: 2 * v for k, v in texts.items()})
+    vocab = op10_subwords.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    whole = {r[0]: r[1] for r in after}
+    assert all(vocab.model.decode(np.frombuffer(r.ids, "<u2").tolist()) == whole[r.doc_id] for r in last)

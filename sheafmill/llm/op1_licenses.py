@@ -107,26 +107,30 @@ class Scanner:
         self.kinds = frozenset().union(*(t.kinds for t in self.templates))
 
     def stretches(self, t: Template, places: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        """Stretches of the text that hold enough of the template's different words: maximal windows, the fullest place of each first."""
+        """Stretches of the text that hold enough of the template's different words. A window is kept as short as its words allow; one
+        that begins behind the stretch at hand opens the next stretch, so copies side by side are told apart."""
         need = self.min_coverage * len(t.kinds)
         held: Counter[str] = Counter()
-        low, best, run = 0, 0, None
-        for high, (at, word) in enumerate(places):
+        low, best, done, more, run = 0, 0, 0, len(t.words) // 4 + 2, None
+        for at, word in places:
             held[word] += 1
-            while at - places[low][0] >= t.most:
+            while at - places[low][0] >= t.most or held[places[low][1]] > 1:
                 held[places[low][1]] -= 1
                 if not held[places[low][1]]:
                     del held[places[low][1]]
                 low += 1
-            if len(held) >= need:
-                if run and places[low][0] <= run[1] and len(held) > best:
-                    run, best = (places[low][0], at + 1), len(held)
-                elif not run or places[low][0] > run[1]:
-                    if run:
-                        yield run
-                    run, best = (places[low][0], at + 1), len(held)
+            first = places[low][0]
+            if len(held) < need:
+                continue
+            if run is None or first >= run[1]:
+                if run:
+                    yield run[0], min(first, run[1] + more)
+                    done = run[1]
+                run, best = (max(done, at + 1 - t.most), at + 1), len(held)
+            elif len(held) > best:
+                run, best = (run[0], at + 1), len(held)
         if run:
-            yield run
+            yield run[0], run[1] + more
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of each stretch that a template covers, in order of place."""

@@ -39,18 +39,13 @@ FORMATS = {
     "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 DICTIONARY = (
-    "about access account action admin after alpha application archive backup before branch build bundle change chapter check chunk class client "
-    "cluster code color commit common config console content control count country create custom data database date debug default delete demo "
-    "design detail develop device directory docs document domain download driver edit email enable engine entry error event example export field "
-    "file filter final folder form format forward function general github global group guide handler header hello help history home host house "
-    "image import index info input install instance item java json label language large latest layout level library license light line link list "
-    "local login machine main manager market master media member menu message method mobile model module month name network node note notice "
-    "number object office online option order output package page panel parent password path people phone picture place plan player plugin point "
-    "policy post print private process product profile project public python query queue read record release remote report request reset resource "
-    "response result review role root sample schema school script search section secret select server service session setting short simple site "
-    "size small source space special standard start state static status stock store street style submit summary support switch system table target "
-    "task team template test text theme thing time title token tool topic total track type unit update upload user util value version video view "
-    "volume water week window word work world write year your"
+    "access account action admin application archive backup branch build bundle change chapter check chunk class client cluster code commit "
+    "common config console content count create data database date debug default delete demo design device directory docs document domain "
+    "download driver email enable engine entry error event export file filter folder form format function github global group handler header help "
+    "image import index info input item java json library license line link list local login machine manager media menu message method model "
+    "module node note output parent password process profile project public python query queue read record release remote request resource "
+    "response result schema script search section secret select server service session setting start state static status store switch system "
+    "table target task template test text theme time title token update upload user util version"
 ).split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 HASH_WORDS = "commit|sha|md5|checksum|digest|uuid|guid|etag|revision|integrity|hash|build|version|card|invoice|order|phone|serial|isbn"

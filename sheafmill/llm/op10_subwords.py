@@ -22,6 +22,7 @@ with the tokenizer); equal rows get equal samples; no rows give none; other colu
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,13 +107,15 @@ class Vocabulary:
             out[hit] = named[slots[hit]]
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of some ids, by table lookup; its first blank is the tokenizer's own."""
+    def letters(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids, by table lookup."""
         widths = self.widths[ids]
         ends = np.cumsum(widths)
-        if not len(ids):
-            return b""
-        return self.bytes[np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(ends[-1])].tobytes()[1:]
+        return self.bytes[np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of some ids; its first blank is the tokenizer's own."""
+        return self.letters(ids)[1:]
 
 
 def powers(n: int) -> np.ndarray:
@@ -277,17 +280,13 @@ class Row:
         self.samples: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]] = []  # places, sizes, units; log_prob, perturbed
         self.openings: list[tuple[float, int, int, float, frozenset[int]]] = []  # value, sample, step, log mass of the prefix, edges taken
 
-    def next(self, net: Lattice) -> tuple[int, int, int, float, frozenset[int]] | None:
-        """Opens the greatest opening: sample, step, new edge length, log mass of the prefix, edges gone before. None if there is none."""
+    def next(self) -> tuple[int, int, float, frozenset[int]] | None:
+        """Takes the greatest opening: sample, step, log mass of the prefix, edges gone before. None if there is none."""
         if not self.openings:
             return None
         best = max(range(len(self.openings)), key=lambda i: self.openings[i][0])
-        self.value, number, step, before, gone = self.openings.pop(best)
-        shares = edges_at(net, int(self.samples[number][0][step]))
-        shares[[e - 1 for e in gone]] = 0.0
-        upto = np.cumsum(shares)
-        drawn = uniform(self.key[None], len(self.samples) + 1, 1 << 41)[0] * upto[-1]
-        return number, step, min(int(np.searchsorted(upto, drawn, "right")), LONGEST_PIECE - 1) + 1, before, gone
+        self.value, *opening = self.openings.pop(best)
+        return tuple(opening)
 
 
 def units_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -329,24 +328,31 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
     key_of, word = np.repeat(keys, sizes_of), np.arange(len(unit_of)) - np.repeat(firsts, sizes_of)
 
     for number in range(k):
-        todo = [(row, None) for row in rows] if number == 0 else [(row, chosen) for row in rows if len(row.samples) == number and (chosen := row.next(net))]
+        todo = [(row, None) for row in rows] if number == 0 else [(row, c) for row in rows if len(row.samples) == number and (c := row.next())]
         if not todo:
             break
+        row_keys = np.array([row.key for row, _ in todo], np.uint64)
         begins = [row.first if c is None else row.first + int(row.samples[c[0]][2][c[1]]) for row, c in todo]
         at = np.concatenate([np.arange(a, row.last) for a, (row, _) in zip(begins, todo, strict=True)])
         spans = np.cumsum([0] + [row.last - a for a, (row, _) in zip(begins, todo, strict=True)])
         units_at = unit_of[at]
         left = net.lengths[units_at]
-        for low, (row, c) in zip(spans, todo, strict=False):
-            if c is not None:  # the unit goes on after the new edge
-                left[low] = net.left(int(row.samples[c[0]][0][c[1]])) - c[2]
+        if number:  # another edge at each opening; its unit goes on behind it
+            lead = np.array([row.samples[c[0]][0][c[1]] for row, c in todo], np.int64)
+            others = np.diff(net.upto[lead].astype(np.float64), axis=1, prepend=0.0)
+            for i, (_, c) in enumerate(todo):
+                others[i, [e - 1 for e in c[3]]] = 0.0
+            upto = np.cumsum(others, axis=1)
+            drawn = uniform(row_keys, number + 1, 1 << 41) * upto[:, -1]
+            edges = np.minimum((upto <= drawn[:, None]).sum(axis=1), LONGEST_PIECE - 1) + 1
+            unopened = upto[:, -1] - others[np.arange(len(todo)), edges - 1]
+            left[spans[:-1]] = np.searchsorted(net.base[1:], lead, "right") - edges
         counts, places, sizes = walked(net, units_at, key_of[at], word[at], number + 1, left)
         units = np.repeat(word[at], counts)
         upto = np.concatenate([[0], np.cumsum(counts)])[spans]
         if number:  # the new edges themselves lead the new steps
-            lead = np.array([row.samples[c[0]][0][c[1]] for row, c in todo], np.int64)
             places = np.insert(places, upto[:-1], lead)
-            sizes = np.insert(sizes, upto[:-1], [c[2] for _, c in todo])
+            sizes = np.insert(sizes, upto[:-1], edges)
             units = np.insert(units, upto[:-1], [row.samples[c[0]][2][c[1]] for row, c in todo])
             upto = upto + np.arange(len(upto))
         shares = taken_share(net, places, sizes)
@@ -354,19 +360,17 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
         new_steps = np.diff(upto)
         row_of = np.repeat(np.arange(len(todo)), new_steps)
         since = np.array([0 if c is None else c[1] for _, c in todo], np.int64)
-        prefix = np.array([0.0 if c is None else c[3] for _, c in todo])
+        prefix = np.array([0.0 if c is None else c[2] for _, c in todo])
         bound = np.array([row.value for row, _ in todo])
         run = logs[:-1] - logs[upto[:-1]][row_of]
         rest = 1.0 - shares
-        for i, (row, c) in enumerate(todo):
-            if c is not None:
-                gone = c[4] | {c[2]}
-                rest[upto[i]] = 1.0 - edges_at(net, int(places[upto[i]]))[[e - 1 for e in gone]].sum()
+        if number:
+            rest[upto[:-1]] = unopened
         open_ = np.nonzero((rest > 1e-7) & (run >= -DEEPEST))[0]
         of = row_of[open_]
         step_of = since[of] + open_ - upto[of]
         before = prefix[of] + run[open_]
-        values = truncated(before + np.log(rest[open_]), bound[of], uniform(np.array([row.key for row, _ in todo], np.uint64)[of], number + 1, 1 << 40, step_of))
+        values = truncated(before + np.log(rest[open_]), bound[of], uniform(row_keys[of], number + 1, 1 << 40, step_of))
         best = np.lexsort((-values, of))
         place_in_row = np.arange(len(best)) - np.searchsorted(of[best], of[best])
         best = best[place_in_row < k]  # at most k of a row are opened or bound what is
@@ -381,21 +385,32 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
                 row.samples.append((*(np.concatenate([o[: c[1]], n[part]]) for o, n in zip(old[:3], (places, sizes, units), strict=True)), float(totals[i]), row.value))
         for i, v, step, mass, size in zip(of[best].tolist(), values[best].tolist(), step_of[best].tolist(), before[best].tolist(), sizes[open_[best]].tolist(), strict=True):
             row, c = todo[i]
-            taken = c[4] | {c[2]} if c is not None and step == c[1] else frozenset([size])
+            taken = c[3] | {size} if c is not None and step == c[1] else frozenset([size])
             row.openings.append((v, number, step, mass, taken))
     return net, rows
 
 
-def ids_of(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ids = net.ids[places, sizes - 1]
+def spelled(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of some steps, and how many each step has: one, or the bytes of a character outside the vocabulary."""
+    ids = net.ids[places, sizes - 1].astype(np.int32)
+    counts = np.ones(len(ids), np.int64)
     unknown = np.nonzero(ids == -2)[0]
     if not len(unknown):
-        return ids
-    out, last = [], 0
-    for i in unknown:
-        out += [ids[last:i], vocab.byte_ids[np.frombuffer(chr(net.points[places[i]]).encode(), np.uint8)]]
-        last = i + 1
-    return np.concatenate([*out, ids[last:]])
+        return ids, counts
+    points = net.points[places[unknown]]
+    counts[unknown] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    starts = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
+    out[starts] = ids
+    for point in np.unique(points):
+        at = starts[unknown[points == point]]
+        for k, byte in enumerate(chr(point).encode()):
+            out[at + k] = vocab.byte_ids[byte]
+    return out, counts
+
+
+def ids_of(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return spelled(net, vocab, places, sizes)[0]
 
 
 def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED, counts: np.ndarray | None = None) -> DataFrame:
@@ -413,14 +428,21 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED, coun
     def table(texts: pa.Array, ids: list[int | None], vocab: Vocabulary, weights: np.ndarray) -> pa.RecordBatch:
         keys = mix(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids], np.uint64) + np.uint64(seed))
         net, rows = searched(texts, keys, vocab, weights, k)
-        out = []
+        made = [sample for row in rows for sample in row.samples]
+        steps = np.cumsum([0] + [len(x[0]) for x in made])
+        found, counts = spelled(net, vocab, *(np.concatenate([x[i] for x in made] or [np.zeros(0, np.int64)]) for i in (0, 1)))
+        ends = np.concatenate([[0], np.cumsum(counts)])[steps]
+        widths = np.concatenate([[0], np.cumsum(vocab.widths[found])])[ends].tolist()
+        letters, raw, ends = vocab.letters(found), found.astype("<u2").tobytes(), ends.tolist()
+        out, n = [], 0
         for doc_id, text, row in zip(ids, pc.cast(texts, pa.binary()).to_pylist(), rows, strict=True):
-            bound = max((o[0] for o in row.openings), default=-np.inf)
-            for number, (places, sizes, _, log_prob, value) in enumerate(row.samples):
-                found = ids_of(net, vocab, places, sizes)
+            bound = max((o[0] for o in row.openings), default=-math.inf)
+            for number, (_, _, _, log_prob, value) in enumerate(row.samples):
                 apart = log_prob - bound
-                score = 0.0 if apart > 30 else float(np.log(-np.expm1(-np.exp(apart)))) if apart > -30 else apart
-                out.append((doc_id, number + 1, len(found), log_prob, value, score, vocab.decode(found) == (text or b""), found.astype("<u2").tobytes()))
+                score = 0.0 if apart > 30 else math.log(-math.expm1(-math.exp(apart))) if apart > -30 else apart
+                same = letters[widths[n] + 1 : widths[n + 1]] == (text or b"")  # without the tokenizer's own blank in front
+                out.append((doc_id, number + 1, ends[n + 1] - ends[n], log_prob, value, score, same, raw[2 * ends[n] : 2 * ends[n + 1]]))
+                n += 1
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in SAMPLED.split(", ")])
 

@@ -104,26 +104,58 @@ def evaluated(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("query_id", measures.recall_at(F.col("found"), F.col("gold"), 5).alias("recall_5"), measures.recall_at(F.col("found"), F.col("gold"), 10).alias("recall_10"), measures.reciprocal_rank(F.col("found"), F.col("gold")).alias("mrr"))
 
 
-def hyperplane_index(rows: DataFrame, bits: int = 12, tables: int = 8, seed: int = 5, dims: int = 64) -> DataFrame:
-    """(tb, bucket, id, embedding): each row in a bucket of signs of random projections, in each of some tables. Nothing is fitted."""
-    planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Lists:
+    """An inverted-file index: unit centroids, fitted on a bounded sample, and how many lists a query probes."""
+
+    def __init__(self, vectors: np.ndarray, k: int, n_lists: int = 32, rounds: int = 8, recall: float = 0.97, seed: int = 5):
+        random = np.random.default_rng(seed)
+        unit = vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-12)
+        self.centroids = unit[random.permutation(len(unit))[: max(1, min(n_lists, len(unit)))]] if len(unit) else np.zeros((1, vectors.shape[1]))
+        for _ in range(rounds if len(unit) else 0):
+            nearest = (unit @ self.centroids.T).argmax(axis=1)
+            sums = np.zeros_like(self.centroids)
+            np.add.at(sums, nearest, unit)
+            norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            self.centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-12), self.centroids)
+        self.probes = self.measured(unit, k, recall, random)
+
+    def ranked(self, unit: np.ndarray) -> np.ndarray:
+        """Lists from the nearest on, for each vector."""
+        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
+
+    def measured(self, unit: np.ndarray, k: int, recall: float, random: np.random.Generator) -> int:
+        """The fewest probes that find the asked share of the sample's true neighbours."""
+        if not len(unit):
+            return 1
+        asked = unit[random.permutation(len(unit))[:256]]
+        true = np.argsort(-(asked @ unit.T), axis=1)[:, :k]
+        order, home = self.ranked(asked), self.ranked(unit)[:, 0]
+        place = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], home[true]]
+        return next((p for p in range(1, len(self.centroids) + 1) if (place < p).mean() >= recall), len(self.centroids))
+
+
+def fitted(rows: DataFrame, k: int, sample: int = 4000, **kw: int) -> Lists:
+    """Lists fitted on about `sample` rows at most, picked by hash; all rows, if there are fewer."""
+    held = rows.where("embedding IS NOT NULL")
+    share = min(1.0, sample / max(1, held.count()))
+    picked = held.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").collect()
+    return Lists(np.array([r[0] for r in picked], np.float64) if picked else np.zeros((0, 1)), k, **kw)
+
+
+def dealt_to_lists(rows: DataFrame, key: str, lists: Lists, n: int) -> DataFrame:
+    """(list, key, embedding): each row in its n nearest lists."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                signs = (np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]) @ planes > 0).reshape(len(batch), tables, bits)
-                keys = (signs * (1 << np.arange(bits))).sum(axis=2)
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), tables), "tb": np.tile(np.arange(tables), len(batch)), "bucket": keys.reshape(-1), "embedding": [v for v in batch["embedding"] for _ in range(tables)]})
+                near = lists.ranked(np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]))[:, :n]
+                yield pd.DataFrame({"list": near.reshape(-1), key: np.repeat(batch[key].to_numpy(), near.shape[1]), "embedding": [v for v in batch["embedding"] for _ in range(near.shape[1])]})
 
-    return rows.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(sign, "id long, tb int, bucket int, embedding array<float>")
+    return rows.where("embedding IS NOT NULL").select(key, "embedding").mapInPandas(deal, f"list int, {key} long, embedding array<float>")
 
 
-def index_search(queries: DataFrame, rows: DataFrame, k: int, flips: int = 1, **kw: int) -> DataFrame:
-    """Approximate nearest rows: a query probes its bucket and those up to `flips` bits off in each table; candidates are scored exactly."""
-    bits = kw.get("bits", 12)
-    index = hyperplane_index(rows, **kw)
-    probes = hyperplane_index(queries.select(F.col("query_id").alias("id"), "embedding"), **kw).withColumnRenamed("id", "query_id").withColumnRenamed("embedding", "query_vector")
-    masks = [0] + [1 << a for a in range(bits)] + ([(1 << a) | (1 << b) for a in range(bits) for b in range(a)] if flips > 1 else [])
-    probes = probes.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("mask")))
-    found = probes.join(index, ["tb", "bucket"]).dropDuplicates(["query_id", "id"])
+def index_search(queries: DataFrame, rows: DataFrame, k: int, **kw: int) -> DataFrame:
+    """Approximate nearest rows: every row is in one list, a query meets the lists that it probes, and candidates are scored exactly."""
+    lists = fitted(rows, k, **kw)
+    probes = dealt_to_lists(queries, "query_id", lists, lists.probes).withColumnRenamed("embedding", "query_vector")
+    found = probes.join(dealt_to_lists(rows, "id", lists, 1), "list")
     return ranked(found.select("query_id", "id", F.round(measures.cosine_distance(F.col("embedding"), F.col("query_vector")), DIGITS).alias("distance")), ["distance", "id"], k)

@@ -64,7 +64,7 @@ def latency_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.index_search(query_set(spark, sf_dir), rows_of(spark, sf_dir), 10, flips=2)
+    return ops.index_search(query_set(spark, sf_dir), rows_of(spark, sf_dir), 10)
 
 
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from sheafmill.llm import common
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 ENCODED_AT_ONCE = 20_000
 SLICE_BYTES = 8 << 20
 PLAIN = re.compile("[\\x21-\\x26\\x28-\\x7eÀ-ÖØ-öø-ÿ]+")
@@ -108,7 +108,7 @@ class WordEncoder:
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = [w for w in words if w not in self.words.place]
-        if len(self.words.place) + len(new) > REMEMBERED // 2:
+        if len(self.words.place) + len(new) > REMEMBERED // 4:
             self.words, new = Memory(self.kind), words
         if new:
             parts = [self.parts(w) for w in new]

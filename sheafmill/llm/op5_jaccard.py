@@ -180,7 +180,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = common.written(dealt, "op5-dealt")
     key = ["pivot", "level", "ring"]
     open_rings = dealt.groupBy(key).agg(F.count_if(~F.col("joined")).alias("n_open"), F.count_if(~F.col("guest")).alias("n_home"), F.count("*").alias("n_all")).where("n_open > 0 AND n_home > 0 AND n_all > 1")
-    dealt = dealt.join(open_rings.select(*key, F.ceil(F.col("n_all") / BLOCK).cast("int").alias("n_blocks")), key)
+    open_rings = common.written(open_rings.select(*key, F.ceil(F.col("n_all") / BLOCK).cast("int").alias("n_blocks")), "op5-rings")
+    dealt = dealt.join(common.small_or_shuffled(open_rings, BROADCAST_ROWS), key)
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).withColumn("across", F.col("low") != F.col("high"))
     pairs = dealt.select(*key, "low", "high", "across", "side", "node", "n", "sketch", "joined", "guest").groupBy(*key, "low", "high").applyInPandas(met_in_block, "a long, b long")

@@ -4,8 +4,8 @@ A text's words (lower case, without outer punctuation) are aligned with a licens
 anchors, the longest increasing subsequence of their places fixes the frame, and the gaps between anchors are aligned in the same
 way again, down to runs of equal words at a gap's two ends. Coverage is the share of the template's words that are aligned.
 
-A template needs at least the asked coverage, so a stretch can only match if it holds that share of the template's different words;
-a sliding window finds such stretches, wherever they stand and however often, before any alignment.
+A template needs at least the asked coverage, so only so many of its words may be missing, and a stretch can only match if it holds all
+of the template's different words but that many; a sliding window finds such stretches, wherever they stand and however often, before any alignment.
 
 Defined cases: null and blank texts have no license; of templates that cover the same stretch, the one with more aligned words stands, then
 the first by name; repeated rows are scanned each; no rows give none; other columns are not read.
@@ -13,6 +13,7 @@ the first by name; repeated rows are scanned each; no rows give none; other colu
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -94,24 +95,24 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str):
+    def __init__(self, name: str, text: str, min_coverage: float):
         self.name, self.words = name, [w for w in words_of(text) if w]
         self.kinds = frozenset(self.words)
         self.most = int(SLACK * len(self.words)) + 2
+        self.need = len(self.kinds) - (len(self.words) - math.ceil(min_coverage * len(self.words)))
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float):
-        self.templates = [Template(k, t) for k, t in sorted(templates.items())]
+        self.templates = [Template(k, t, min_coverage) for k, t in sorted(templates.items())]
         self.min_coverage = min_coverage
         self.kinds = frozenset().union(*(t.kinds for t in self.templates))
 
     def stretches(self, t: Template, places: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
         """Stretches of the text that hold enough of the template's different words. A window is kept as short as its words allow; one
         that begins behind the stretch at hand opens the next stretch, so copies side by side are told apart."""
-        need = self.min_coverage * len(t.kinds)
         held: Counter[str] = Counter()
-        low, best, done, more, run = 0, 0, 0, len(t.words) // 4 + 2, None
+        low, best, done, run = 0, 0, 0, None
         for at, word in places:
             held[word] += 1
             while at - places[low][0] >= t.most or held[places[low][1]] > 1:
@@ -120,23 +121,23 @@ class Scanner:
                     del held[places[low][1]]
                 low += 1
             first = places[low][0]
-            if len(held) < need:
+            if len(held) < t.need:
                 continue
             if run is None or first >= run[1]:
                 if run:
-                    yield run[0], min(first, run[1] + more)
+                    yield run[0], min(first, run[1] + t.most)
                     done = run[1]
                 run, best = (max(done, at + 1 - t.most), at + 1), len(held)
             elif len(held) > best:
                 run, best = (run[0], at + 1), len(held)
         if run:
-            yield run[0], run[1] + more
+            yield run[0], run[1] + t.most
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of each stretch that a template covers, in order of place."""
         words = words_of(text)
         there = self.kinds.intersection(words)
-        fits = [t for t in self.templates if len(t.kinds & there) >= self.min_coverage * len(t.kinds)]
+        fits = [t for t in self.templates if len(t.kinds & there) >= t.need]
         if not fits:
             return []
         found = []

@@ -53,6 +53,25 @@ def test_patience_alignment():
     assert scanner.scan("the license of software is without a copy") == []
 
 
+@pytest.mark.parametrize("name", sorted(op1_licenses.TEMPLATES))
+def test_cut_and_edited_licenses_as_without_filter(name):
+    """Copies with words left out or changed, as far as coverage allows, are found as the alignment of the whole text finds them."""
+    scanner, random = op1_licenses.Scanner(op1_licenses.TEMPLATES, 0.8), np.random.default_rng(6)
+    words = next(t.words for t in scanner.templates if t.name == name)
+    once = [i for i, w in enumerate(words) if words.count(w) == 1]
+    for trial in range(40):
+        copy, k = list(words), int(random.integers(len(words) // 5 + 1))
+        if trial % 2:
+            at = int(random.integers(len(words) - k + 1))
+            del copy[at : at + k]
+        else:
+            for i in once[-k:] if trial % 4 and k else random.permutation(once)[:k]:
+                copy[i] = f"other{i}"
+        text = ["before"] * int(random.integers(50)) + copy + ["behind"] * int(random.integers(50))
+        share = len(op1_licenses.aligned(text, words)) / len(words)
+        assert [f[1] for f in scanner.scan(" ".join(text)) if f[0] == name] == ([round(share, 6)] if share >= 0.8 else [])
+
+
 def test_language_accuracy_on_held_out(spark, docs):
     rows = op2_langid.op2_language_id(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in common.load(spark, "/root/testdata/sf0.01", "documents").collect()}

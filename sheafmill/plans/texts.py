@@ -42,7 +42,7 @@ def sentence_chunks(spark, sf_dir):
 def spellcheck(spark, sf_dir):
     """Words of question texts against those of all pages' names."""
     clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    words = T(spark, sf_dir, "benchmark").select(F.explode(fn.tokens(F.col("text"))).alias("w")).select(clean("w").alias("word")).where("length(word) BETWEEN 3 AND 12")
+    words = T(spark, sf_dir, "benchmark").select(F.explode(fn.tokens(F.col("text"))).alias("w")).select(clean("w").alias("word")).where("word <> ''")
     known = T(spark, sf_dir, "conversations").select(F.explode(fn.tokens(F.col("text"))).alias("w")).select(clean("w").alias("word")).where("word <> ''")
     return curation.spell_checked(words, known, "abcdefghijklmnopqrstuvwxyz").select("word", "in_dictionary", F.array_join("suggestions", ",").alias("suggestions"))
 

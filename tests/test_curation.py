@@ -14,6 +14,24 @@ def test_spell_check(spark):
     assert got == {"hte": (False, ["he", "the"]), "the": (True, []), "qqqq": (False, []), "ab": (False, ["abc", "ax", "b", "ba", "bb"])}
 
 
+def test_spell_check_of_words_of_any_length(spark, tmp_path):
+    from sheafmill.plans import texts
+
+    said, known = "I a onn understandingg internationalisatio the 12", "a on one understanding internationalisation"
+    spark.createDataFrame([(1, said)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, "user", known)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def one_off(w):
+        parts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in parts if b} | {a + b[1] + b[0] + b[2:] for a, b in parts if len(b) > 1} | {a + c + b[1:] for a, b in parts if b for c in letters} | {a + c + b for a, b in parts for c in letters}
+
+    entries = set(known.split())
+    words = {w for w in said.lower().split() if w.isalpha()}
+    want = {(w, w in entries, ",".join([] if w in entries else sorted(one_off(w) & entries)[:5])) for w in words}
+    assert {tuple(r) for r in texts.spellcheck(spark, str(tmp_path)).collect()} == want
+
+
 def test_account_tables(spark):
     lao = "ເງິນສົດ"
     good = [["Code", "Name", "English"], ["101", lao, "Cash"], ["102", lao, "Bank"], ["sum", "", ""]]

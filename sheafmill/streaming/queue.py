@@ -57,9 +57,10 @@ def progress(events: DataFrame, job: str = "user_id") -> DataFrame:
     return events.groupBy(job).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("last"))
 
 
-def windowed(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Events and their value by kind and tumbling window of event time."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+def windowed(events: DataFrame, width: str = "1 day", late: str | None = "2 hours") -> DataFrame:
+    """Events and their value by kind and tumbling window of event time. A stream drops rows later than `late`; with None it drops none,
+    and keeps a row of state a window and kind."""
+    marked = events.withWatermark("ts", late) if events.isStreaming and late else events
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / 100, 2).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 

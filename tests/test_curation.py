@@ -56,6 +56,24 @@ def test_insert_or_ignore(spark):
     assert {tuple(r) for r in lifecycle.insert_or_ignore(base, rows, ["k"], "v").collect()} == {("a", 1), ("b", 3)}
 
 
+def test_windows_over_files_in_any_order_of_time(spark, tmp_path):
+    import os
+
+    from sheafmill.plans import streams
+
+    dated = set()
+    for i, days in enumerate([(30, 29), (1, 2, 30), (15, 1), (2,)]):
+        rows = spark.sql(" UNION ALL ".join(f"SELECT {10 * i + d}L AS event_id, TIMESTAMP_NTZ '2024-01-{d:02} 12:00:00' AS ts, 1L AS user_id, 'view' AS event_type, 1.5D AS value, '' AS props" for d in days))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        for f in (tmp_path / "events.parquet").glob("part-*"):
+            if f.name not in dated:
+                dated.add(f.name)
+                os.utime(f, (1e9 + i, 1e9 + i))
+    for files in (1, 64):
+        got = {(r.day.day, r.n, r.value) for r in streams.event_time_windows(spark, str(tmp_path), files).collect()}
+        assert got == {(1, 2, 3.0), (2, 2, 3.0), (15, 1, 1.5), (29, 1, 1.5), (30, 2, 3.0)}
+
+
 def test_patch(spark):
     base = spark.createDataFrame([(1, "x", True), (2, "y", True)], "id long, name string, verified boolean")
     patch = spark.createDataFrame([(1, "z"), (2, None)], "id long, name string")

@@ -1,8 +1,9 @@
 """Exact Jaccard join of shingle sets in metric space, with the classes of linked documents.
 
 Equal sets are one node. Distances between unrelated documents all lie near 1, where no pivot parts them; so a pivot's region is
-found by projection first. Two sets linked at 9/10 differ in at most D of their shingles, so if the shingles' hash space is cut into
-D + 1 parts, they are equal on one part at least. Sizes are cut into levels, D is a level's, and a set near a level's
+found by projection first. Two linked sets differ in at most D of their shingles, so if the shingles' hash space is cut into
+D + 1 parts, they are equal on one part at least. A set with shingles in more than D parts needs no cells of its empty parts, as one
+of the others is equal; where parts hold few shingles, some are cut in excess of D + 1 for that. Sizes are cut into levels, D is a level's, and a set near a level's
 upper end is also dealt into the next one. Sets equal on a part share a cell. A cell's pivot is its member with the most
 shared cells; cells with the same pivot and level form the pivot's region, a Voronoi cell in that each node joins the most central
 pivots that it can be near to.
@@ -11,7 +12,7 @@ Inside a region distances are those of sketches: in how many of 256 parts two se
 number of shingles in which they differ. Nodes linked with the pivot are joined through it. If others are there, the region is cut
 into rings of D + 1 around the pivot: by the triangle inequality a linked pair lies in one ring or in two neighbouring ones, so
 each node is also dealt to the next ring. Large rings are cut again into blocks, whose pairs are met once; pairs within D by
-sketch are then compared by their whole sets. Nothing is capped: every pair at 9/10 or more either shares a pivot's link
+sketch are then compared by their whole sets. Nothing is capped: every pair at the similarity or more either shares a pivot's link
 or is compared. Classes come from minimum labels with pointer jumping over written tables.
 
 Equality of shingles, parts and sets is that of 64-bit hashes.
@@ -23,6 +24,7 @@ shingle; repeated rows are one document; a null doc_id never names a class that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,22 @@ from pyspark.sql import functions as F
 from sheafmill.llm import common
 from sheafmill.llm.shingles import mix, shingles
 
-#: Linked: NUM * union <= DEN * intersection.
-NUM, DEN = 90, 100
+
+
+class Near(NamedTuple):
+    """Shingles of so many words; linked if num * union <= den * intersection."""
+
+    words: int
+    num: int
+    den: int
+
+    def most_differing(self, total):
+        """The most shingles in which two linked sets of `total` shingles together differ."""
+        return (self.den - self.num) * total // (self.den + self.num)
+
+
+#: What op5_jaccard_join links.
+CONTRACT = Near(3, 90, 100)
 SKETCH_PARTS = 256
 BLOCK = 512
 #: Lists of ids (8 bytes a row) that a join may broadcast; beyond so many rows it shuffles.
@@ -42,16 +58,16 @@ BROADCAST_ROWS = 200_000
 PROJECTED = "doc_id long, n_shingles long, node long, level int, sketch binary, cells array<long>, next_cells array<long>"
 
 
-def level_starts(most: int) -> np.ndarray:
+def level_starts(most: int, near: Near) -> np.ndarray:
+    """The least sizes of the levels; a linked pair's sizes are of one level or of two neighbouring ones."""
     starts = [1]
     while starts[-1] <= most:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * 4 // 3)))
+        starts.append(next_start(starts[-1], near))
     return np.array(starts, np.int64)
 
 
-def most_differing(total: int) -> int:
-    """The most shingles in which two linked sets of `total` shingles together differ."""
-    return (DEN - NUM) * total // (DEN + NUM)
+def next_start(start: int, near: Near) -> int:
+    return max(start + 1, -(-start * 4 // 3), -(-start * near.den // near.num))
 
 
 def part_sums(hashes: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
@@ -61,33 +77,36 @@ def part_sums(hashes: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
     return sums[ends] - sums[ends - counts]
 
 
-def cells_of(hashes: np.ndarray, level: int, upper: int) -> np.ndarray:
+def cells_of(hashes: np.ndarray, level: int, upper: int, near: Near) -> np.ndarray:
     """A set's cells on a level: one hash a part, of the part's place and shingles."""
-    n = most_differing(2 * upper) + 1
-    sums = part_sums(hashes, ((hashes >> np.uint64(24)) % np.uint64(n)).astype(np.int64), n)
-    return mix(sums * np.uint64(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(level)).view(np.int64)
+    most = near.most_differing(2 * upper)
+    n = most + 1 + round(2 * (most + 1) * np.exp(-0.75 * upper / (most + 1)))
+    parts = ((hashes >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+    cells = mix(part_sums(hashes, parts, n) * np.uint64(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(level)).view(np.int64)
+    full = np.bincount(parts, minlength=n) > 0
+    return cells[full] if full.sum() > most else cells
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
     return (mix(part_sums(hashes, (hashes & np.uint64(SKETCH_PARTS - 1)).astype(np.int64), SKETCH_PARTS)) >> np.uint64(56)).astype(np.uint8)
 
 
-def projected(docs: DataFrame) -> DataFrame:
+def projected(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
     """A row a document: its node (a hash of its set), level, sketch and cells."""
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                doc_id, found = None if pd.isna(doc_id) else int(doc_id), shingles(text)
+                doc_id, found = None if pd.isna(doc_id) else int(doc_id), shingles(text, near.words)
                 if not len(found):
                     rows.append((doc_id, 0, None, None, None, [], []))
                     continue
-                starts = level_starts(len(found))
+                starts = level_starts(len(found), near)
                 level = int(np.searchsorted(starts, len(found), "right")) - 1
-                near_next = DEN * len(found) >= NUM * starts[level + 1]
-                after = max(starts[level + 1] + 1, -(-starts[level + 1] * 4 // 3))
+                near_next = near.den * len(found) >= near.num * starts[level + 1]
+                after = next_start(int(starts[level + 1]), near)
                 node = int(mix(np.array([mix(found).sum() + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
-                rows.append((doc_id, len(found), node, level, sketch_of(found).tobytes(), cells_of(found, level, int(starts[level + 1]) - 1), cells_of(found, level + 1, int(after) - 1) if near_next else []))
+                rows.append((doc_id, len(found), node, level, sketch_of(found).tobytes(), cells_of(found, level, int(starts[level + 1]) - 1, near), cells_of(found, level + 1, after - 1, near) if near_next else []))
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "level", "sketch", "cells", "next_cells"])
             yield out.astype({"doc_id": "Int64", "node": "Int64", "level": "Int32"})
 
@@ -105,7 +124,7 @@ def regions(rows: DataFrame) -> DataFrame:
     return common.written(members.join(pivots, "cell").where("node <> pivot").select("pivot", "level", "node").distinct(), "op5-regions")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Those of the pairs (a, b) that are linked, by their whole sets."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,7 +132,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(DEN * both >= NUM * (len(x) + len(y) - both))
+                linked.append(near.den * both >= near.num * (len(x) + len(y) - both))
             yield batch.loc[linked, ["a", "b"]]
 
     sides = [sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b")]
@@ -124,17 +143,17 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x != y).sum(axis=-1)
 
 
-def near_by_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def near_by_sketch(batches: Iterator[pd.DataFrame], near: Near) -> Iterator[pd.DataFrame]:
     """Distance and verdict by sketches for rows of pivot, level, node, and both sides' n and sketch."""
     for batch in batches:
         if len(batch):
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH_PARTS) for c in ("sketch", "pivot_sketch"))
             apart = differing(x, y)
             total = (batch["n"] + batch["pivot_n"]).to_numpy()
-            yield batch[["pivot", "level", "node", "n", "sketch"]].assign(apart=apart, may_link=apart <= (DEN - NUM) * total // (DEN + NUM))
+            yield batch[["pivot", "level", "node", "n", "sketch"]].assign(apart=apart, may_link=apart <= near.most_differing(total))
 
 
-def met_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+def met_in_block(rows: pd.DataFrame, near: Near) -> pd.DataFrame:
     """Pairs of a block of a ring that may be linked: not both guests, not both joined through the pivot, near by size and sketch."""
     rows = rows.drop_duplicates("node")
     nodes, n, guest, joined, side = (rows[c].to_numpy() for c in ("node", "n", "guest", "joined", "side"))
@@ -142,18 +161,18 @@ def met_in_block(rows: pd.DataFrame) -> pd.DataFrame:
     across = bool(rows["across"].iloc[0])
     out = []
     for i in range(len(rows) - 1):
-        fit = ~(joined[i] & joined[i + 1 :]) & ~(guest[i] & guest[i + 1 :]) & (DEN * np.minimum(n[i], n[i + 1 :]) >= NUM * np.maximum(n[i], n[i + 1 :]))
+        fit = ~(joined[i] & joined[i + 1 :]) & ~(guest[i] & guest[i + 1 :]) & (near.den * np.minimum(n[i], n[i + 1 :]) >= near.num * np.maximum(n[i], n[i + 1 :]))
         if across:
             fit &= side[i] != side[i + 1 :]
         j = np.nonzero(fit)[0] + i + 1
         if len(j):
-            j = j[differing(sketches[j], sketches[i]) <= (DEN - NUM) * (n[i] + n[j]) // (DEN + NUM)]
+            j = j[differing(sketches[j], sketches[i]) <= near.most_differing(n[i] + n[j])]
             out.append(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], axis=1))
     return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs)`."""
+def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT) -> DataFrame:
+    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near)`."""
     region = regions(rows)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     ids = region.select("node").union(region.select("pivot")).distinct()
@@ -161,19 +180,19 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t, near.words).tobytes() for t in batch["text"]]})
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(common.small_or_shuffled(nodes.select("doc_id", "node"), BROADCAST_ROWS), "doc_id")
     sets = common.written(texts.select("node", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
 
     pivots = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
     around = region.join(nodes.drop("doc_id"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
-    around = common.written(around.mapInPandas(near_by_sketch, "pivot long, level int, node long, n long, sketch binary, apart long, may_link boolean"), "op5-around")
-    first = common.written(compared(around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "op5-linked")
+    around = common.written(around.mapInPandas(lambda batches: near_by_sketch(batches, near), "pivot long, level int, node long, n long, sketch binary, apart long, may_link boolean"), "op5-around")
+    first = common.written(compared(around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, near), "op5-linked")
 
     marked = around.join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("is_linked")), ["node", "pivot"], "left")
-    widths = {k: most_differing(2 * (int(level_starts(10**9)[k + 1]) - 1)) + 1 for k in range(len(level_starts(10**9)) - 1)}
-    width = F.element_at(F.array(*[F.lit(widths[k]) for k in sorted(widths)]), F.col("level") + 1)
+    widths = [near.most_differing(2 * (int(start) - 1)) + 1 for start in level_starts(10**9, near)[1:]]
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("level") + 1)
     marked = marked.select("pivot", "level", "node", "n", "sketch", F.col("is_linked").isNotNull().alias("joined"), F.floor(F.col("apart") / width).cast("int").alias("ring"))
     # a pivot links with none of the others: it needs no place in its own rings
     dealt = marked.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("ring", F.col("ring") + F.col("guest").cast("int"))
@@ -184,8 +203,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = dealt.join(common.small_or_shuffled(open_rings, BROADCAST_ROWS), key)
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).withColumn("across", F.col("low") != F.col("high"))
-    pairs = dealt.select(*key, "low", "high", "across", "side", "node", "n", "sketch", "joined", "guest").groupBy(*key, "low", "high").applyInPandas(met_in_block, "a long, b long")
-    second = common.written(compared(pairs.distinct(), sets), "op5-met")
+    pairs = dealt.select(*key, "low", "high", "across", "side", "node", "n", "sketch", "joined", "guest").groupBy(*key, "low", "high").applyInPandas(lambda rows: met_in_block(rows, near), "a long, b long")
+    second = common.written(compared(pairs.distinct(), sets, near), "op5-met")
     return first.union(second)
 
 
@@ -204,11 +223,11 @@ def classes(links: DataFrame) -> DataFrame:
         labels = jumped.select("id", "label")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id) a row."""
-    rows = projected(docs)
+    rows = projected(docs, near)
     by_node = common.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")), "op5-by-node")
-    found = links(docs, rows)
+    found = links(docs, rows, near)
     a, b = (by_node.select(F.col("node").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
     of = classes(found.join(a, "a").join(b, "b").select("id_a", "id_b"))
     named = common.written(by_node.join(of, "id", "left").select("node", F.coalesce("component", "id").alias("component")), "op5-classes")
@@ -216,9 +235,9 @@ def joined(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_each(docs: DataFrame) -> DataFrame:
+def one_each(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
     """The rows of `docs`, all columns, of the document that names its class; of repeated rows one."""
-    found = common.written(joined(docs), "op5-found")
+    found = common.written(joined(docs, near), "op5-found")
     gone = common.written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_sm_id")).distinct(), "op5-gone")
     kept = docs.join(common.small_or_shuffled(gone, BROADCAST_ROWS), docs["doc_id"] == gone["_sm_id"], "left_anti")
     repeated = common.written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_sm_id")), "op5-repeated")

@@ -16,6 +16,7 @@ from sheafmill.llm import common, op1_licenses, op2_langid, op3_secrets, op4_tok
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FIVE_WORDS = op5_jaccard.Near(5, 80, 100)
 
 
 @pytest.fixture(scope="module")
@@ -147,6 +148,39 @@ def test_jaccard_join_by_brute_force(spark, seed):
     assert len({c for _, c in got.values()}) > 4
 
 
+def classes_by_pairs(rows, near):
+    """doc_id to (size, least id of the class), by all pairs' whole sets."""
+    sets = {}
+    for doc_id, text in rows:
+        w = WORD.findall((text or "").lower())
+        sets[doc_id] = {tuple(w[i : i + near.words]) for i in range(max(1, len(w) - near.words + 1))} if w else set()
+    least = {k: k for k in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and near.den * len(sets[a] & sets[b]) >= near.num * len(sets[a] | sets[b])]
+    while any(least[a] != least[b] for a, b in linked):
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    return {k: (len(s), least[k]) for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("near", [FIVE_WORDS, op5_jaccard.Near(2, 60, 100)])
+def test_other_similarities_by_brute_force(spark, near):
+    random = np.random.default_rng(5)
+    short = [(1000 + i, " ".join(random.choice(list("abc"), random.integers(1, 14)))) for i in range(120)]
+    rows = near_groups(3) + short
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()}
+    assert got == classes_by_pairs(rows, near)
+    assert got != classes_by_pairs(rows, op5_jaccard.CONTRACT)
+
+
+def test_one_each_of_near_copies(spark):
+    """Copies of 50 words with one changed: 0.82 by five words, 0.89 by three."""
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, "something else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in op5_jaccard.one_each(docs, FIVE_WORDS).collect()} == {1, 3}
+    assert {r.doc_id for r in op5_jaccard.one_each(docs).collect()} == {1, 2, 3}
+
+
 def test_media_round_trip(spark, docs):
     for r in op6_media.op6_media_chunks(spark, SF).collect():
         payload = op6_media.payload_of((docs[r.doc_id].text or "").encode())

@@ -12,8 +12,8 @@ So samples come in falling order of perturbed log probability, all distinct, whi
 would come next is the threshold of the inclusion scores, kept as logarithms.
 
 All draws are hashes of seed, row key, sample and place, so a row's samples depend neither on its partition nor on other rows' keys.
-Bounds: units of over `LONGEST_UNIT` characters are cut there (edges don't cross a cut); steps whose prefix is less likely than
-exp(-`DEEPEST`) of where their sample left its parent are not kept as openings (their chance to be next is under that).
+Nothing is cut: backward sums run over whole units, rescaled on the way. Steps whose prefix is less likely than exp(-`DEEPEST`) of where
+their sample left its parent are passed over as openings only if k others are so much likelier that no draw could bring them in front.
 
 Defined cases: null and empty texts have one sample, of no pieces; a text with fewer segmentations than k has all of them, and inclusion 1;
 characters outside the vocabulary are their UTF-8 byte pieces; a text with the blank mark itself decodes to blanks (round_trip false, as
@@ -38,11 +38,12 @@ from sheafmill.llm.op4_token_store import pieces
 from sheafmill.llm.shingles import BASE, mix
 
 SAMPLES, SEED = 2, 20240101
-LONGEST_UNIT, LONGEST_PIECE = 64, 16
-DEEPEST = 40.0
+LONGEST_PIECE = 16
+#: Gumbel values of 52-bit draws lie in a range of under `RANGE`.
+DEEPEST, RANGE = 64.0, 41.0
 SLICE_BYTES = 2 << 20
 REMEMBERED = 300_000
-UNIT = f"▁*[^▁\n]{{1,{LONGEST_UNIT}}}|▁{{1,{LONGEST_UNIT}}}|\n"
+UNIT = "▁*[^▁\n]+|▁+|\n"
 PART = "\0"
 #: Brings products of piece shares along a unit into the range of doubles; it cancels out of all probabilities.
 SCALE = 30.0
@@ -177,7 +178,7 @@ def piece_counts(docs: DataFrame, path: str) -> np.ndarray:
 @dataclass
 class Lattice:
     """Edges of all places of some units. The units go by falling length, and a row is a place: those with d characters left to their unit's
-    end stand from base[d] on, in the order of the units. By edge length, a row has the piece and the summed probability; -2 is a
+    end stand from base[d] on, in the order of the units. By edge length, a row has the piece and the probability; -2 is a
     character of bytes."""
 
     base: np.ndarray
@@ -185,7 +186,7 @@ class Lattice:
     lengths: np.ndarray
     points: np.ndarray
     ids: np.ndarray
-    upto: np.ndarray
+    shares: np.ndarray
 
     def left(self, row: int) -> int:
         return int(np.searchsorted(self.base[1:], row, "right"))
@@ -202,7 +203,7 @@ def lattice(units: list[str], vocab: Vocabulary, weights: np.ndarray) -> Lattice
     n_left = len(units) - np.concatenate([[0], np.cumsum(np.bincount(lengths, minlength=longest + 1))])[: longest + 1]
     base = np.concatenate([[0], np.cumsum(n_left) - n_left[0]])
     rows = int(base[longest + 1]) if longest else 0
-    ids, upto = np.full((rows, LONGEST_PIECE), -1, np.int16 if vocab.size < 1 << 15 else np.int32), np.ones((rows, LONGEST_PIECE), np.float32)
+    ids, shares = np.full((rows, LONGEST_PIECE), -1, np.int16 if vocab.size < 1 << 15 else np.int32), np.zeros((rows, LONGEST_PIECE))
     held, power = np.zeros(rows, np.uint32), powers(LONGEST_PIECE)
     hashes, after = [np.zeros(len(units), np.uint64)], [np.ones(len(units))]
     for d in range(1, longest + 1):
@@ -215,12 +216,15 @@ def lattice(units: list[str], vocab: Vocabulary, weights: np.ndarray) -> Lattice
         named[named[:, 0] < 0, 0] = -2
         for k in range(1, wide + 1):  # the last two weights are those of a character of bytes, 1, and of no piece, 0
             np.multiply(weights[named[:, k - 1]], after[d - k][:n], out=here[:, k - 1])
-        np.cumsum(here, axis=1, out=here)
-        after.append(here[:, -1].copy())
+        after.append(here.sum(axis=1))
         ids[low : low + n, :wide] = named
-        upto[low : low + n, :wide] = here / here[:, -1:]
-        upto[low : low + n, wide - 1] = 1.0
-    return Lattice(base, rank, lengths[order], held, ids, upto)
+        np.divide(here, after[d][:, None], out=shares[low : low + n, :wide])
+        if d >= LONGEST_PIECE:
+            hashes[d - LONGEST_PIECE] = after[d - LONGEST_PIECE] = None  # out of every edge's reach
+            if d % LONGEST_PIECE == 0:  # sums of a unit have a common scale, a power of two, which cancels out
+                scale = -np.frexp(after[d])[1]
+                after[d - LONGEST_PIECE + 1 :] = [np.ldexp(x[:n], scale) for x in after[d - LONGEST_PIECE + 1 :]]
+    return Lattice(base, rank, lengths[order], held, ids, shares)
 
 
 def uniform_keys(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
@@ -236,10 +240,6 @@ def uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     return ((uniform_keys(key, *parts) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def edges_at(net: Lattice, place: int) -> np.ndarray:
-    return np.diff(net.upto[place].astype(np.float64), prepend=0.0)
-
-
 def walked(net: Lattice, units: np.ndarray, keys: np.ndarray, word: np.ndarray, sample: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random path through each unit, from `left` characters before its end on: counts of steps, then by unit and step the rows and edge lengths."""
     taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -247,7 +247,8 @@ def walked(net: Lattice, units: np.ndarray, keys: np.ndarray, word: np.ndarray,
     unit, rest, key = units[live], left[live], uniform_keys(keys[live], sample, word[live])
     while len(live):
         row = net.base[rest] + unit
-        size = np.minimum((net.upto[row] < uniform(key, step).astype(np.float32)[:, None]).sum(axis=1) + 1, LONGEST_PIECE)
+        upto = np.cumsum(net.shares[row], axis=1)
+        size = (upto < (uniform(key, step) * upto[:, -1])[:, None]).sum(axis=1) + 1
         taken.append((live, row, size))
         counts[live] += 1
         rest = rest - size
@@ -262,9 +263,11 @@ def walked(net: Lattice, units: np.ndarray, keys: np.ndarray, word: np.ndarray,
     return counts, rows, sizes
 
 
-def taken_share(net: Lattice, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    low = np.where(sizes > 1, net.upto[places, np.maximum(sizes - 2, 0)], 0.0).astype(np.float64)
-    return np.clip(net.upto[places, sizes - 1].astype(np.float64) - low, 1e-12, 1.0)
+def without(shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Summed shares of a place's edges other than one."""
+    shares = shares.copy()
+    shares[np.arange(len(shares)), sizes - 1] = 0.0
+    return shares.sum(axis=1)
 
 
 def truncated(mass: np.ndarray, bound: np.ndarray, drawn: np.ndarray) -> np.ndarray:
@@ -296,9 +299,7 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     any_has = lambda x: pc.any(pc.match_substring(texts, x)).as_py()
     if not any(map(any_has, (PART, "▁", "  "))) and not pc.any(pc.starts_with(texts, " ")).as_py():  # plain texts: a unit begins at each blank, and around each line end
         parted = pc.replace_substring(pc.replace_substring(texts, "\n", f"{PART}\n{PART}"), " ", PART + "▁")
-        units = pc.split_pattern(pc.if_else(empty, "", pc.binary_join_element_wise("▁", parted, "")), PART)
-        if (pc.max(pc.utf8_length(pc.list_flatten(units))).as_py() or 0) <= LONGEST_UNIT:
-            return named_units(units)
+        return named_units(pc.split_pattern(pc.if_else(empty, "", pc.binary_join_element_wise("▁", parted, "")), PART))
     marked = pc.if_else(empty, "", pc.binary_join_element_wise("▁", pc.replace_substring(texts, " ", "▁"), ""))
     return named_units(pa.array([re.findall(UNIT, t) for t in marked.to_pylist()], pa.list_(pa.string())))
 
@@ -339,13 +340,13 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
         left = net.lengths[units_at]
         if number:  # another edge at each opening; its unit goes on behind it
             lead = np.array([row.samples[c[0]][0][c[1]] for row, c in todo], np.int64)
-            others = np.diff(net.upto[lead].astype(np.float64), axis=1, prepend=0.0)
+            others = net.shares[lead]
             for i, (_, c) in enumerate(todo):
                 others[i, [e - 1 for e in c[3]]] = 0.0
             upto = np.cumsum(others, axis=1)
             drawn = uniform(row_keys, number + 1, 1 << 41) * upto[:, -1]
-            edges = np.minimum((upto <= drawn[:, None]).sum(axis=1), LONGEST_PIECE - 1) + 1
-            unopened = upto[:, -1] - others[np.arange(len(todo)), edges - 1]
+            edges = (upto < drawn[:, None]).sum(axis=1) + 1
+            unopened = without(others, edges)
             left[spans[:-1]] = np.searchsorted(net.base[1:], lead, "right") - edges
         counts, places, sizes = walked(net, units_at, key_of[at], word[at], number + 1, left)
         units = np.repeat(word[at], counts)
@@ -355,7 +356,7 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
             sizes = np.insert(sizes, upto[:-1], edges)
             units = np.insert(units, upto[:-1], [row.samples[c[0]][2][c[1]] for row, c in todo])
             upto = upto + np.arange(len(upto))
-        shares = taken_share(net, places, sizes)
+        shares = net.shares[places, sizes - 1]
         logs = np.concatenate([[0.0], np.cumsum(np.log(shares))])
         new_steps = np.diff(upto)
         row_of = np.repeat(np.arange(len(todo)), new_steps)
@@ -364,9 +365,15 @@ def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.n
         bound = np.array([row.value for row, _ in todo])
         run = logs[:-1] - logs[upto[:-1]][row_of]
         rest = 1.0 - shares
+        sharp = np.nonzero(shares > 0.99)[0]  # too little is left over for a difference
+        rest[sharp] = without(net.shares[places[sharp]], sizes[sharp])
         if number:
             rest[upto[:-1]] = unopened
-        open_ = np.nonzero((rest > 1e-7) & (run >= -DEEPEST))[0]
+        open_ = np.nonzero((rest > 0.0) & (run >= -DEEPEST))[0]
+        ahead = row_of[open_[run[open_] + np.log(rest[open_]) >= RANGE - DEEPEST]]
+        few = np.bincount(ahead, minlength=len(todo)) < k
+        if few.any():
+            open_ = np.nonzero((rest > 0.0) & ((run >= -DEEPEST) | few[row_of]))[0]
         of = row_of[open_]
         step_of = since[of] + open_ - upto[of]
         before = prefix[of] + run[open_]

@@ -224,6 +224,37 @@ def test_sampling_without_replacement():
             assert abs(found / n - want) < 5 * np.sqrt(want * (1 - want) / n) + 2e-3
 
 
+def test_sampling_of_long_units():
+    """Pieces lie over every place of a long unit, and log probabilities are those of the whole unit's lattice."""
+    vocab = op10_subwords.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    n, weights, text = 200, vocab.weights(np.sqrt(np.arange(vocab.size)[::-1] + 1.0)), "thermostat" * 500
+    whole, piece_of = "▁" + text, {vocab.model.id_to_piece(i): i for i in range(vocab.size) if vocab.normal[i]}
+    after = np.zeros(len(whole) + 1)
+    for at in range(len(whole) - 1, -1, -1):
+        found = [(piece_of[whole[at : at + w]], at + w) for w in range(1, 17) if at + w <= len(whole) and whole[at : at + w] in piece_of]
+        after[at] = np.logaddexp.reduce([np.log(weights[i]) + after[end] for i, end in found])
+    net, rows = op10_subwords.searched(pa.array([text] * n), op10_subwords.mix(np.arange(n, dtype=np.uint64)), vocab, weights, 2)
+    crossed = set()
+    for row in rows:
+        assert len(row.samples) == 2
+        for places, sizes, _, log_prob, _ in row.samples:
+            ids = op10_subwords.ids_of(net, vocab, places, sizes)
+            assert vocab.model.decode(ids.tolist()) == text
+            assert abs(np.log(weights[ids]).sum() - after[0] - log_prob) < 1e-6
+            crossed |= set(range(len(whole))) - set(np.cumsum(sizes).tolist())
+    assert {65, 129, 193, 64 * 40 + 1} <= crossed
+
+
+def test_sampling_of_sharp_lattices():
+    """A second segmentation comes however unlikely it is."""
+    vocab = op10_subwords.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    counts = np.zeros(vocab.size)
+    counts[vocab.model.encode("from")] = 1e12
+    _, rows = op10_subwords.searched(pa.array(["from"] * 50), op10_subwords.mix(np.arange(50, dtype=np.uint64)), vocab, vocab.weights(counts), 3)
+    assert all(len({tuple(x[1]) for x in row.samples}) == 3 for row in rows)
+    assert all(row.samples[0][4] > row.samples[1][4] > row.samples[2][4] for row in rows)
+
+
 def test_mixture_comes_near_targets(spark):
     per = op8_mixture.op8_source_mixture(spark, "/root/testdata/sf0.01").groupBy("source_size", "target").agg({"taken": "sum", "size": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r.target) < 6 * np.sqrt(r.target * r["max(size)"]) for r in per)

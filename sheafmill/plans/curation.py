@@ -43,6 +43,11 @@ def glossary_expand(spark, sf_dir):
     return ops.substrings_in(T(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("text")), T(spark, sf_dir, "nation").select(F.lower("n_name").alias("term")).union(T(spark, sf_dir, "documents").select("lang")).union(T(spark, sf_dir, "documents").select("source")).distinct())
 
 
+def glossary_questions(spark, sf_dir):
+    """Glossary terms in whole question texts."""
+    return ops.substrings_in(T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), glossary(spark, sf_dir))
+
+
 def split_assign(spark, sf_dir):
     return ops.with_splits(qa(spark, sf_dir), cited_chunks(spark, sf_dir))
 
@@ -134,7 +139,7 @@ QUERIES = {
     "doc_dedupe": lambda s, d: lifecycle.content_deduped(C(s, d)),
     "fully_embedded": lambda s, d: lifecycle.fully_embedded(C(s, d)),
     "export_licenses": lambda s, d: export.licenses(C(s, d)),
-    **{f.__name__: f for f in (term_mining, glossary_expand, split_assign, account_infer, account_infer_mismatch, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
+    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
 }
 
 FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
@@ -156,6 +161,7 @@ SELECT qa_id, CASE WHEN n = 0 THEN 'empty' WHEN known < n THEN 'missing' ELSE 'r
 i AS (SELECT ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, (SELECT unnest([2, 3]) AS n)), g AS (SELECT array_to_string(ws[k:k + n - 1], ' ') AS term_seg FROM i WHERE length(ws[k]) >= 2 AND length(ws[k + 1]) >= 2 AND (n = 2 OR length(ws[k + 2]) >= 2))
 SELECT replace(term_seg, ' ', '') AS term, term_seg, count(*) AS freq FROM g WHERE replace(term_seg, ' ', '') NOT IN (SELECT replace(p_name, ' ', '') FROM part) GROUP BY term_seg HAVING count(*) >= 2 ORDER BY freq DESC, term_seg LIMIT 50""",
     "glossary_expand": "SELECT page_id AS query_id, term FROM pages, (SELECT lower(n_name) AS term FROM nation UNION SELECT lang FROM documents UNION SELECT source FROM documents) WHERE contains(lower(url), term)",
+    "glossary_questions": "SELECT item_id AS query_id, term FROM benchmark, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(lower(text), lower(term))",
     "split_assign": f"WITH {QA_SQL}, f AS (SELECT qa_id, coalesce(document, qa_id::VARCHAR) AS document FROM qa LEFT JOIN parts ON id = citations[1]), u AS (SELECT *, {UNIT.format('document')} AS u FROM f) SELECT qa_id, document, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'test' END AS split FROM u",
     "account_infer": f"SELECT p_partkey, code, {ATTRIBUTES} FROM (SELECT p_partkey, p_size::VARCHAR AS code FROM part)",
     "account_infer_mismatch": f"WITH {A.LEDGER_SQL}, b AS (SELECT account_code AS code, sum(debit) - sum(credit) AS balance FROM ledger GROUP BY 1), x AS (SELECT *, {ATTRIBUTES} FROM b) SELECT code AS account_code, CASE WHEN balance >= 0 THEN 'debit' ELSE 'credit' END AS side, normal_balance AS inferred FROM x WHERE (balance >= 0) <> (normal_balance = 'debit')",

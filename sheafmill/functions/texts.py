@@ -104,6 +104,12 @@ def lexemes(text: Column) -> Column:
     return F.transform(tokens(text), F.lower)
 
 
+def segmented(text: Column) -> Column:
+    """tokens, joined (by blanks), count and lang of a text; blank-parted, as no word list of the script is there."""
+    found = tokens(text)
+    return F.struct(found.alias("tokens"), F.array_join(found, " ").alias("joined"), F.size(found).cast("long").alias("count"), language(text).alias("lang"))
+
+
 def tags_stripped(html: Column) -> Column:
     out = F.regexp_replace(html, "<[^>]+>", " ")
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
@@ -111,12 +117,12 @@ def tags_stripped(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "&#x?\\d+;", " "), "\\s+", " "), "^ | $", "")
 
 
-def page_text(html: Column, most_chars: int = 4000, most_bytes: int = 500_000) -> Column:
-    """Readable text of a page: without scripts, styles and page furniture, capped as a reader's excerpt is."""
-    body = F.substring(html, 1, most_bytes)
+def page_text(html: Column, most_chars: int | None = 4000, most_bytes: int | None = 500_000) -> Column:
+    """Readable text of a page: without scripts, styles and page furniture, capped as a reader's excerpt is; with None, whole."""
+    body = html if most_bytes is None else F.substring(html, 1, most_bytes)
     for tag in ("script", "style", "nav", "header", "footer", "aside"):
         body = F.regexp_replace(body, f"(?is)<{tag}.*?</{tag}>", " ")
-    return F.substring(tags_stripped(body), 1, most_chars)
+    return tags_stripped(body) if most_chars is None else F.substring(tags_stripped(body), 1, most_chars)
 
 
 def title_of(question: Column, most: int = 48, default: str = "New conversation") -> Column:

@@ -35,9 +35,9 @@ def customers_named(questions: DataFrame, customers: DataFrame) -> DataFrame:
     return hits.join(cores, "term").groupBy("query_id").agg(F.min_by("customer", "customer_id").alias("customer"))
 
 
-def numbered(sources: DataFrame, order: list, start: int = 0) -> DataFrame:
+def numbered(sources: DataFrame, order: list, start: int = 0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Citation numbers from start + 1 on, in order, within a query."""
-    return sources.withColumn("n", (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) + start).cast("long"))
+    return sources.withColumn("n", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + start).cast("long"))
 
 
 def context_blocks(sources: DataFrame) -> DataFrame:
@@ -80,6 +80,48 @@ def abstention(answers: DataFrame, marks: str = "(?i)not in the sources|cannot a
     return answers.agg(F.count("*").alias("n"), F.round(F.avg(F.col("text").rlike(marks).cast("int")), 4).alias("rate"))
 
 
+# Domains with their state, roles and tools.
+DOMAINS = {"accounting": ("active", ("accountant", "auditor", "clerk"), ("chart search", "glossary lookup")), "tax": ("active", ("accountant", "tax adviser"), ("glossary lookup",)), "payroll": ("planned", ("clerk",), ())}
+ROLES = ("accountant", "auditor", "tax adviser", "clerk")
+LOOKED_UP = 60
+
+
+def request_status(domain: Column, role: Column) -> Column:
+    """200, or why a request (domain, role) is refused: 404 for an unknown one, 409 for a domain that is only planned, 422 for a role that
+    the domain hasn't."""
+    active = [k for k, (state, _, _) in DOMAINS.items() if state == "active"]
+    allowed = F.lit(False)
+    for k, (_, roles, _) in DOMAINS.items():
+        allowed = allowed | ((domain == k) & role.isin(*roles))
+    return F.when(~F.coalesce(domain.isin(*DOMAINS), F.lit(False)), 404).when(~domain.isin(*active), 409).when(~F.coalesce(role.isin(*ROLES), F.lit(False)), 404).when(~allowed, 422).otherwise(200)
+
+
+def tool_calls(requests: DataFrame, chart: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, tool, input, found): what the tools of a request's domain find before it is answered: accounts by the codes in the question, and
+    terms in its first `LOOKED_UP` characters, `most` of each. Requests have query_id, domain, text; the chart code; terms term."""
+    from sheafmill.operators import curation
+
+    with_tool = lambda tool: [k for k, (_, _, tools) in DOMAINS.items() if tool in tools]
+    asked = requests.where(F.col("domain").isin(*with_tool("chart search"))).select("query_id", F.explode(texts.account_codes_in(F.col("text"))).alias("input"))
+    openings = chart.select("code", F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.substr("code", F.lit(1), n))).alias("input")).distinct()
+    accounts = numbered(asked.join(openings, "input"), ["code"], by=("query_id", "input")).where(F.col("n") <= most)
+    accounts = accounts.groupBy("query_id", "input").agg(F.array_sort(F.collect_list("code")).alias("found")).select("query_id", F.lit("chart search").alias("tool"), "input", "found")
+    opening = F.substring("text", 1, LOOKED_UP)
+    looked = requests.where(F.col("domain").isin(*with_tool("glossary lookup"))).select("query_id", opening.alias("text"))
+    named = numbered(curation.substrings_in(looked, terms), ["term"]).where(F.col("n") <= most)
+    named = named.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("found")).join(looked, "query_id").select("query_id", F.lit("glossary lookup").alias("tool"), F.col("text").alias("input"), "found")
+    return accounts.unionByName(named)
+
+
+def cited(qa: DataFrame, rows: DataFrame) -> DataFrame:
+    """qa (qa_id, citations, terms) with citations resolved: those given, else the top lexical hit for its terms; empty if there is none."""
+    from sheafmill.operators import retrieval
+
+    open_ = qa.where(F.size("citations") == 0).select(F.col("qa_id").alias("query_id"), "terms")
+    top = retrieval.lexical(open_, rows, 1).select(F.col("query_id").alias("qa_id"), F.array("id").alias("_hit"))
+    return qa.join(top, "qa_id", "left").select("qa_id", F.when(F.size("citations") > 0, F.col("citations")).otherwise(F.coalesce("_hit", F.array().cast("array<bigint>"))).alias("citations"))
+
+
 def canonical(spark: SparkSession) -> DataFrame:
     """The library's own lists: roles, tools and domains, by kind."""
     rows = [("role", r) for r in ("accountant", "auditor", "tax adviser", "clerk")] + [("tool", t) for t in ("chart search", "glossary lookup", "vat", "document search")] + [("domain", d) for d in ("accounting", "tax")]

@@ -46,6 +46,11 @@ def listed(rows: DataFrame, order: list, limit: int, most: int = 50) -> DataFram
     return rows.orderBy(*order).limit(clamped(limit, most))
 
 
+def flag_first(rows: DataFrame, flag: str, *order: str, limit: int = 50) -> DataFrame:
+    """A list with the rows first whose flag is set, each part in order."""
+    return listed(rows, [F.desc(flag), *order], limit)
+
+
 def has_format(value: Column, name: str) -> Column:
     return F.coalesce(value.rlike(FORMATS[name]), F.lit(False))
 

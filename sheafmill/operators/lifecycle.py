@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafmill.functions import texts
+from sheafmill.operators import model
+
 
 def insert_or_ignore(base: DataFrame, rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """base with those rows whose key it doesn't have; of rows with one key the first by `order`."""
@@ -38,13 +41,17 @@ def verified(base: DataFrame, ids: DataFrame, key: str, by: str, at: Column) ->
 
 
 def reviewed(chunks: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks after actions (id, action, content): accept, reject, or edit, which takes the new content and drops the embedding.
-    Second, the embed jobs of the edits."""
+    """Chunks after actions (id, action, content): accept, reject, or edit, which takes the new content, and its normal form, tokens, token count
+    and language, and drops the embedding; an edit to a blank content is refused and changes nothing. Second, the embed jobs of the edits."""
+    actions = actions.where("action <> 'edit' OR trim(content) <> ''")
     a = actions.select(F.col("id").alias("_id"), "action", F.col("content").alias("_content"))
     out = chunks.join(a, chunks["id"] == a["_id"], "left")
     state = F.when(F.col("action") == "accept", "accepted").when(F.col("action") == "reject", "rejected").when(F.col("action") == "edit", "edited").otherwise(F.col("review"))
     edit = F.coalesce(F.col("action") == "edit", F.lit(False))
-    changed = {"review": state, "content": F.when(edit, F.col("_content")).otherwise(F.col("content")), "embedding": F.when(~edit, F.col("embedding"))}
+    segmented = texts.segmented(F.col("_content"))
+    fresh = {"content": F.col("_content"), "content_norm": texts.normalised(F.col("_content")), "content_seg": segmented["joined"], "token_count": segmented["count"], "lang": segmented["lang"]}
+    changed = {c: F.when(edit, new.cast(chunks.schema[c].dataType)).otherwise(F.col(c)) for c, new in fresh.items() if c in chunks.columns}
+    changed |= {"review": state, "embedding": F.when(~edit, F.col("embedding"))}
     jobs = actions.where("action = 'edit'").select("id", F.lit("embed").alias("job_type"))
     return out.select(*[changed.get(c, F.col(c)).alias(c) for c in chunks.columns]), jobs
 
@@ -65,6 +72,40 @@ def cascade_deleted(parents: DataFrame, children: DataFrame, gone: DataFrame, ke
     return parents.join(keys, key, "left_anti"), children.join(keys, key, "left_anti"), refs
 
 
+def documents_deleted(documents: DataFrame, chunks: DataFrame, jobs: DataFrame, gone: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (document), their chunks and their jobs without those in `gone`, and an audit event for each that was there."""
+    keys = gone.select("document").distinct()
+    deleted = documents.join(keys, "document", "left_semi")
+    counts = chunks.join(keys, "document", "left_semi").groupBy("document").agg(F.count("*").alias("deleted_chunks"))
+    told = deleted.select("document").join(counts, "document", "left").fillna(0, ["deleted_chunks"])
+    events = model.audit(told, "document.deleted", at, "document", "deleted_chunks")
+    return (*(x.join(keys, "document", "left_anti") for x in (documents, chunks, jobs)), events)
+
+
+def citations_of_kinds(documents: DataFrame, chunks: DataFrame, qa: DataFrame) -> DataFrame:
+    """(kind, documents, chunks, cited_qa, distinct_qa) by the kind of documents (document, kind) with chunks (id, document): how many question rows
+    (qa_id, citations) cite them. `cited_qa` sums over documents, so a row that cites two of them counts twice."""
+    per = chunks.join(documents, "document").select("kind", "document", "id")
+    cites = qa.select("qa_id", F.explode(F.array_distinct("citations")).alias("id")).join(per, "id").select("kind", "document", "qa_id").distinct()
+    cited = cites.groupBy("kind").agg(F.count("*").alias("cited_qa"), F.count_distinct("qa_id").alias("distinct_qa"))
+    held = documents.join(chunks.groupBy("document").agg(F.count("*").alias("n")), "document", "left").groupBy("kind").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    return held.join(cited, "kind", "left").fillna(0, ["cited_qa", "distinct_qa"])
+
+
+def kinds_deleted(documents: DataFrame, chunks: DataFrame, qa: DataFrame, kinds: DataFrame, at: Column, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents and chunks after all entries of some kinds (kind) are deleted, a report and audit events. A kind that any question cites
+    is blocked, and stays, unless forced."""
+    report = citations_of_kinds(documents, chunks, qa).join(kinds.select("kind").distinct(), "kind", "left_semi").withColumn("blocked", (F.col("cited_qa") > 0) & ~F.lit(force))
+    gone = documents.join(report.where("NOT blocked").select("kind"), "kind", "left_semi").select("document")
+    events = model.audit(report.where("NOT blocked AND documents > 0"), "knowledge.bulk_deleted", at, "kind", "documents", "chunks", "cited_qa")
+    return documents.join(gone, "document", "left_anti"), chunks.join(gone, "document", "left_anti"), report, events
+
+
+def purged_but(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Only the rows whose key is kept."""
+    return rows.join(kept.select(key).distinct(), key, "left_semi")
+
+
 def children_replaced(children: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return children.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 

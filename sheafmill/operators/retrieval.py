@@ -6,13 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafmill.functions import measures, texts
+from sheafmill.sources import shared
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 4096
 DIGITS = 6
+#: Terms of a query set (some 20 bytes each): broadcast up to so many, shuffled beyond.
+BROADCAST_TERMS = 200_000
+#: What an occurrence without a class of its own weighs in cover density ranks (the default of text search in PostgreSQL).
+TERM_WEIGHT = 0.1
 
 
 def pool_size(k: int, floor: int = 100) -> int:
@@ -40,38 +45,79 @@ def dense(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_r)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, np.float64) for v in vectors])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        apart = np.round(1.0 - unit(left["embedding"]) @ unit(right["embedding"]).T, DIGITS) + 0.0
-        ids, out = right["id"].to_numpy(), []
-        for query_id, line in zip(left["query_id"], apart, strict=True):
-            best = np.lexsort((ids, line))[:k]
-            best = best[~np.isnan(line[best])]
-            out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "distance": line[best]}))
-        return pd.concat(out)
-
-    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, id long, distance double")
+    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(lambda left, right: nearest_in_block(left, right, k), "query_id long, id long, distance double")
     return ranked(met, ["distance", "id"], k)
 
 
-def postings(rows: DataFrame, text: str = "content") -> DataFrame:
-    """(term, id, tf) of lower-cased, blank-parted terms."""
-    return rows.select("id", F.explode(texts.lexemes(F.col(text))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of a block to each query of a block."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+    apart = np.round(1.0 - unit(left["embedding"]) @ unit(right["embedding"]).T, DIGITS) + 0.0
+    ids, out = right["id"].to_numpy(), []
+    for query_id, line in zip(left["query_id"], apart, strict=True):
+        best = np.lexsort((ids, line))[:k]
+        best = best[~np.isnan(line[best])]
+        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "distance": line[best]}))
+    return pd.concat(out)
+
+
+def positions(rows: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+    """(term, id, pos): where the wanted terms (term) stand among each row's lower-cased, blank-parted tokens. All other tokens end here."""
+    found = rows.select("id", F.posexplode(texts.lexemes(F.col(text))).alias("pos", "term"))
+    return found.join(shared.small_or_shuffled(terms, BROADCAST_TERMS), "term", "left_semi")
+
+
+def cover_density(entries: Column, n_terms: Column) -> Column:
+    """The cover density rank of a row's entries (pos, term), in order of pos: each shortest stretch that holds all n terms counts
+    `TERM_WEIGHT` over one more than the tokens in it that are no entries. Of one term, that is its frequency times the weight.
+    A stretch that ends at an entry begins at the earliest of all terms' last entries; it is a shortest one if no earlier end has that beginning."""
+    kinds = F.array_distinct(F.transform(entries, lambda e: e["term"]))
+    begin = F.struct(F.transform(kinds, lambda t: F.lit(-1)).alias("last"), F.lit(-1).alias("from"), F.lit(0).alias("at"), F.lit(0.0).alias("rank"))
+
+    def step(s: Column, e: Column) -> Column:
+        last = F.transform(kinds, lambda t, i: F.when(t == e["term"], s["at"]).otherwise(F.get(s["last"], i)))
+
+        def counted(last: Column) -> Column:
+            low = F.array_min(last)
+            between = (e["pos"] - F.get(entries, low)["pos"]) - (s["at"] - low)
+            gain = F.when((low >= 0) & (low > s["from"]), F.lit(TERM_WEIGHT) / (1 + between)).otherwise(F.lit(0.0))
+            return F.struct(last.alias("last"), F.greatest(low, s["from"]).alias("from"), (s["at"] + 1).alias("at"), (s["rank"] + gain).alias("rank"))
+
+        return F.element_at(F.transform(F.array(last), counted), 1)
+
+    return F.when(F.size(kinds) == n_terms, F.aggregate(entries, begin, step, lambda s: s["rank"])).otherwise(F.lit(0.0))
 
 
 def lexical(queries: DataFrame, rows: DataFrame, k: int, match: str = "all") -> DataFrame:
-    """(query_id, id, tf, rank): rows that hold all (or any) of a query's `terms`, by summed term frequency."""
+    """(query_id, id, density, rank): rows that hold all of a query's `terms`, by cover density; or, for "any", by the weight of all their
+    occurrences."""
     wanted = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = postings(rows).join(wanted, "term").groupBy("query_id", "id", "n_terms").agg(F.sum("tf").alias("tf"), F.count("*").alias("found"))
+    wanted = shared.written(wanted, "lexical-terms")
+    hits = positions(rows, shared.written(wanted.select("term").distinct(), "lexical-distinct")).join(shared.small_or_shuffled(wanted, BROADCAST_TERMS), "term")
+    per = hits.groupBy("query_id", "id", "n_terms").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("entries"))
     if match == "all":
-        hits = hits.where("found = n_terms")
-    return ranked(hits.select("query_id", "id", "tf"), [F.desc("tf"), "id"], k)
+        per = per.where(F.size(F.array_distinct(F.transform("entries", lambda e: e["term"]))) == F.col("n_terms"))
+        density = cover_density(F.col("entries"), F.col("n_terms"))
+    else:
+        density = TERM_WEIGHT * F.size("entries")
+    return ranked(per.select("query_id", "id", F.round(density, DIGITS).alias("density")), [F.desc("density"), "id"], k)
+
+
+def expanded(queries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Queries (query_id, terms, ...) with the glossary's terms that their text holds appended; matching then asks for these as well."""
+    from sheafmill.operators import curation
+
+    found = curation.substrings_in(queries.select("query_id", F.array_join("terms", " ").alias("text")), glossary.select("term"))
+    more = found.groupBy("query_id").agg(F.array_sort(F.collect_set(F.lower("term"))).alias("_more"))
+    out = queries.join(more, "query_id", "left")
+    return out.withColumn("terms", F.array_distinct(F.concat("terms", F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
 
 
 def fused(dense_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
@@ -89,11 +135,13 @@ def fused_join(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     return one.join(two, ["query_id", "id"], "full").withColumn("score", measures.rrf(F.col("dense_rank")) + measures.rrf(F.col("lexical_rank")))
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all") -> DataFrame:
-    """Fused hits with their contents: narrow lists are fused first, wide rows are fetched for the winners."""
+def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all", glossary: DataFrame | None = None) -> DataFrame:
+    """Fused hits with their contents: narrow lists are fused first, wide rows are fetched for the winners. A glossary (term) expands the
+    lexical queries."""
     pool = pool or pool_size(k)
     live = rows.where("review <> 'rejected'")
-    top = fused(dense(queries, live, pool), lexical(queries, live, pool, match), k)
+    asked = queries if glossary is None else expanded(queries, glossary)
+    top = fused(dense(queries, live, pool), lexical(asked, live, pool, match), k)
     return top.join(live.select("id", "content", "collection"), "id")
 
 
@@ -104,6 +152,17 @@ def evaluated(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("query_id", measures.recall_at(F.col("found"), F.col("gold"), 5).alias("recall_5"), measures.recall_at(F.col("found"), F.col("gold"), 10).alias("recall_10"), measures.reciprocal_rank(F.col("found"), F.col("gold")).alias("mrr"))
 
 
+def evaluated_by_label(hits: DataFrame, asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, recall_5, recall_10, mrr) where the rows of a query's own label, itself left out, are gold: hits, at most some tens a query,
+    meet the labels (id, label), and the number of gold rows comes from counts by label. Queries (query_id, label) without gold are left out."""
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_gold")).where("n_gold > 0")
+    right = hits.join(labels.select("id", F.col("label").alias("found")), "id").join(asked, "query_id").where("found = label").select("query_id", "rank")
+    per = right.groupBy("query_id").agg(F.count_if(F.col("rank") <= 5).alias("in_5"), F.count_if(F.col("rank") <= 10).alias("in_10"), F.min("rank").alias("first"))
+    rows = asked.join(F.broadcast(shared.written(sizes, "eval-sizes")) if sizes.limit(100_001).count() <= 100_000 else sizes, "label").join(per, "query_id", "left")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("n_gold")
+    return rows.select("query_id", share("in_5").alias("recall_5"), share("in_10").alias("recall_10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 class Lists:
     """An inverted-file index: unit centroids, fitted on a bounded sample, and how many lists a query probes."""
 
@@ -134,10 +193,18 @@ class Lists:
         return next((p for p in range(1, len(self.centroids) + 1) if (place < p).mean() >= recall), len(self.centroids))
 
 
+def n_lists_for(n: int, least: int = 32, most: int = 2048) -> int:
+    """About the root of the number of rows, so that lists and rows a list grow alike."""
+    return max(least, min(most, int(n**0.5)))
+
+
 def fitted(rows: DataFrame, k: int, sample: int = 4000, **kw: int) -> Lists:
-    """Lists fitted on about `sample` rows at most, picked by hash; all rows, if there are fewer."""
+    """Lists fitted on about `sample` rows at most, picked by hash; all rows, if there are fewer. Of large tables, as many rows are taken as
+    give each list some ten, at most 20 480."""
     held = rows.where("embedding IS NOT NULL")
-    share = min(1.0, sample / max(1, held.count()))
+    n = held.count()
+    kw = {"n_lists": n_lists_for(n)} | kw
+    share = min(1.0, max(sample, 10 * kw["n_lists"]) / max(1, n))
     picked = held.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").collect()
     return Lists(np.array([r[0] for r in picked], np.float64) if picked else np.zeros((0, 1)), k, **kw)
 
@@ -154,8 +221,17 @@ def dealt_to_lists(rows: DataFrame, key: str, lists: Lists, n: int) -> DataFrame
 
 
 def index_search(queries: DataFrame, rows: DataFrame, k: int, **kw: int) -> DataFrame:
-    """Approximate nearest rows: every row is in one list, a query meets the lists that it probes, and candidates are scored exactly."""
+    """Approximate nearest rows: every row is in one list, a query meets the lists that it probes, and candidates are scored exactly. Lists are
+    cut into blocks of rows, queries of a list into blocks of queries, and a pair of blocks keeps k a query."""
     lists = fitted(rows, k, **kw)
-    probes = dealt_to_lists(queries, "query_id", lists, lists.probes).withColumnRenamed("embedding", "query_vector")
-    found = probes.join(dealt_to_lists(rows, "id", lists, 1), "list")
-    return ranked(found.select("query_id", "id", F.round(measures.cosine_distance(F.col("embedding"), F.col("query_vector")), DIGITS).alias("distance")), ["distance", "id"], k)
+    held = shared.written(dealt_to_lists(rows, "id", lists, 1), "index-lists")
+    probes = shared.written(dealt_to_lists(queries, "query_id", lists, lists.probes), "index-probes")
+    blocks = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = F.broadcast(blocks(held, ROW_BLOCK, "n_r").join(blocks(probes, QUERY_BLOCK, "n_q"), "list"))  # a row a list
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = held.join(sizes, "list").withColumn("rb", block("id", "n_r")).withColumn("qb", every("n_q"))
+    q = probes.join(sizes, "list").withColumn("qb", block("query_id", "n_q")).withColumn("rb", every("n_r"))
+    key = ["list", "qb", "rb"]
+    met = q.select(*key, "query_id", "embedding").groupBy(*key).cogroup(r.select(*key, "id", "embedding").groupBy(*key))
+    return ranked(met.applyInPandas(lambda left, right: nearest_in_block(left, right, k), "query_id long, id long, distance double"), ["distance", "id"], k)

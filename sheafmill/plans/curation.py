@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sheafmill.functions import measures, texts
 from sheafmill.operators import curation as ops
-from sheafmill.operators import export, lifecycle
+from sheafmill.operators import assist, export, filters, lifecycle
 from sheafmill.plans import adapters as A
+from sheafmill.plans.retrieval import lexical_sql
 
 C, T = A.chunks, A.table
 FORMS = ["token =", "License", "***", "the and", "%%%"]
@@ -86,7 +87,7 @@ def verify_rows(spark, sf_dir):
 def review_transitions(spark, sf_dir):
     actions = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "accept").when(F.col("lang") == "fr", "reject").when(F.col("lang") == "es", "edit").alias("action"), F.upper("text").alias("content")).where("action IS NOT NULL")
     out, _ = lifecycle.reviewed(C(spark, sf_dir), actions)
-    return out.select("id", "review", F.sha2("content", 256).alias("sha256"), F.col("embedding").isNotNull().alias("has_embedding"))
+    return out.select("id", "review", F.sha2("content", 256).alias("sha256"), F.col("embedding").isNotNull().alias("has_embedding"), "token_count", "lang")
 
 
 def bulk_accept(spark, sf_dir):
@@ -131,17 +132,93 @@ def eval_set(spark, sf_dir):
     return ops.eval_questions(accounts).select("code", "question", F.size("gold").cast("long").alias("n_gold"))
 
 
+AT = "2024-01-30"
+
+
+def kinds(spark, sf_dir):
+    """Parts as chunks of documents (a brand's parts of a kind, of which there are 500), and questions of orders in process that cite them."""
+    parts = T(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("k"), (F.col("p_partkey") % 500).cast("string")).alias("kind"), F.concat_ws("/", "p_brand", (F.col("p_partkey") % 500).cast("string")).alias("document"))
+    asked = qa(spark, sf_dir).join(T(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("qa_id")), "qa_id", "left_semi")
+    return parts.select("document", "kind").distinct(), parts.select("id", "document"), asked
+
+
+def kind_citations(spark, sf_dir):
+    return lifecycle.citations_of_kinds(*kinds(spark, sf_dir))
+
+
+def kinds_deleted(spark, sf_dir):
+    """Every fifth kind is deleted, if no question cites it."""
+    documents, chunks, asked = kinds(spark, sf_dir)
+    gone = documents.where("CAST(substr(kind, 2) AS INT) % 5 = 0").select("kind")
+    docs_left, chunks_left, report, events = lifecycle.kinds_deleted(documents, chunks, asked, gone, F.lit(AT))
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return count(docs_left, "documents").union(count(chunks_left, "chunks")).union(count(report.where("blocked"), "blocked")).union(count(events, "events"))
+
+
+def document_delete(spark, sf_dir):
+    """Sources as documents: two go, with their chunks and jobs, and an event each tells of it."""
+    chunks = T(spark, sf_dir, "documents").select(F.col("source").alias("document"), "doc_id")
+    documents = chunks.select("document").distinct()
+    gone = spark.createDataFrame([("src0",), ("src3",), ("none",)], "document string")
+    parts = lifecycle.documents_deleted(documents, chunks, documents.withColumn("job_type", F.lit("embed")), gone, F.lit(AT))
+    told = parts[3].select(F.get_json_object("payload", "$.document").alias("what"), F.get_json_object("payload", "$.deleted_chunks").cast("long").alias("n"))
+    left = [p.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for p, what in zip(parts, ("documents", "chunks", "jobs"), strict=False)]
+    return left[0].union(left[1]).union(left[2]).union(told)
+
+
+def purge_but_one(spark, sf_dir):
+    """Only the newest document of the first source stays, with its label."""
+    docs = T(spark, sf_dir, "documents")
+    kept = docs.where("source = 'src0'").agg(F.max("doc_id").alias("doc_id"))
+    return lifecycle.purged_but(docs.select("doc_id", "source", "lang"), kept, "doc_id")
+
+
+def account_names(spark, sf_dir):
+    parts = T(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 997 + 100).cast("string").alias("code"), "p_name", "p_type")
+    content = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat("code", F.lit("  "), "p_name", F.lit(" — "), "p_type"))
+    return parts.select("p_partkey", ops.account_name(content, F.col("code")).alias("name"))
+
+
+def verified_counts(spark, sf_dir):
+    return T(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("verified"))
+
+
+def verified_first(spark, sf_dir):
+    rows = T(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", (F.col("p_size") > 45).alias("verified"))
+    return filters.flag_first(rows, "verified", "p_name", "id")
+
+
+def tenant_counts(spark, sf_dir):
+    """Documents as rows of tenants (language and source): one tenant's, by decile of length."""
+    rows = T(spark, sf_dir, "documents").withColumnsRenamed({"lang": "hf_id", "source": "company_id"})
+    return filters.of_tenant(rows, "en", "src0").groupBy((F.col("n_chars") % 10).alias("part")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def cited_questions(spark, sf_dir):
+    """Benchmark items as questions: every third names its citation, the others take the top hit for their two longest words."""
+    items = T(spark, sf_dir, "benchmark")
+    longest = F.array_sort(F.transform(F.array_distinct(texts.lexemes(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    given = F.when(F.col("item_id") % 3 == 0, F.array("item_id")).otherwise(F.array().cast("array<bigint>"))
+    asked = items.select(F.col("item_id").alias("qa_id"), given.alias("citations"), F.transform(F.slice(longest, 1, 2), lambda x: x["w"]).alias("terms"))
+    return assist.cited(asked, C(spark, sf_dir)).select("qa_id", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"))
+
+
 QUERIES = {
     "forbidden_terms": lambda s, d: ops.forbidden_in(C(s, d), FORMS),
     "cited_qa_overlap": lambda s, d: ops.citing(qa(s, d), cited_chunks(s, d).where("kind = 'ECONOMY'")),
     "export_qa_valid": lambda s, d: ops.all_citations_in(qa(s, d), cited_chunks(s, d).where("review <> 'rejected'")).select("qa_id", F.size("citations").cast("long").alias("n")),
     "citation_validation": lambda s, d: ops.citation_problems(qa(s, d), cited_chunks(s, d)),
     "doc_dedupe": lambda s, d: lifecycle.content_deduped(C(s, d)),
-    "fully_embedded": lambda s, d: lifecycle.fully_embedded(C(s, d)),
+    "fully_embedded": lambda s, d: lifecycle.fully_embedded(C(s, d).withColumn("collection", F.concat("collection", F.lit("/"), F.floor(F.col("id") / 50).cast("string")))),
     "export_licenses": lambda s, d: export.licenses(C(s, d)),
-    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
+    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, kind_citations, kinds_deleted, document_delete, purge_but_one, account_names, verified_counts, verified_first, tenant_counts, cited_questions, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
 }
 
+KINDS_SQL = """kc AS (SELECT p_partkey AS id, 'k' || p_partkey % 500 AS kind, p_brand || '/' || p_partkey % 500 AS document FROM part), kd AS (SELECT DISTINCT document, kind FROM kc),
+cq AS (SELECT qa_id, unnest(list_distinct(citations)) AS id FROM qa WHERE qa_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
+cd AS (SELECT DISTINCT kind, document, qa_id FROM cq JOIN kc USING (id)), ck AS (SELECT kind, count(*) AS cited_qa, count(DISTINCT qa_id) AS distinct_qa FROM cd GROUP BY kind),
+report AS (SELECT k.kind, count(DISTINCT k.document) AS documents, count(*) AS chunks, coalesce(any_value(cited_qa), 0)::BIGINT AS cited_qa, coalesce(any_value(distinct_qa), 0)::BIGINT AS distinct_qa FROM kc k LEFT JOIN ck USING (kind) GROUP BY k.kind)"""
+
 FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 UNIT = f"(({FNV}) % 100000) / 100000.0::DOUBLE"
 BY_LEAD = "CASE substr(code, 1, 1) WHEN '2' THEN {0} WHEN '3' THEN {1} WHEN '4' THEN {2} WHEN '5' THEN {3} WHEN '6' THEN {3} ELSE {4} END"
@@ -155,7 +232,22 @@ ORACLE = {
     "citation_validation": f"""WITH {QA_SQL}, x AS (SELECT qa_id, len(citations) AS n, unnest(list_distinct(citations)) AS id FROM qa), p AS (SELECT qa_id, n, count(review) AS known, count(*) FILTER (review = 'rejected') AS refused FROM x LEFT JOIN parts USING (id) GROUP BY qa_id, n)
 SELECT qa_id, CASE WHEN n = 0 THEN 'empty' WHEN known < n THEN 'missing' ELSE 'rejected' END AS reason FROM p WHERE n = 0 OR known < n OR refused > 0""",
     "doc_dedupe": "SELECT source AS collection, sha256(text) AS sha256, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1, 2",
-    "fully_embedded": f"WITH {A.CHUNKS_SQL} SELECT collection FROM chunks GROUP BY collection HAVING count(*) = count(embedding)",
+    "fully_embedded": f"WITH {A.CHUNKS_SQL} SELECT collection || '/' || (id // 50) AS collection FROM chunks GROUP BY 1 HAVING count(*) = count(embedding)",
+    "kind_citations": f"WITH {QA_SQL}, {KINDS_SQL} SELECT * FROM report",
+    "kinds_deleted": f"""WITH {QA_SQL}, {KINDS_SQL}, r AS (SELECT * FROM report WHERE substr(kind, 2)::INT % 5 = 0), g AS (SELECT kind FROM r WHERE cited_qa = 0)
+SELECT 'documents' AS what, count(*) AS n FROM kd WHERE kind NOT IN (FROM g) UNION ALL SELECT 'chunks', count(*) FROM kc WHERE kind NOT IN (FROM g)
+UNION ALL SELECT 'blocked', count(*) FROM r WHERE cited_qa > 0 UNION ALL SELECT 'events', count(*) FROM g""",
+    "document_delete": """WITH d AS (SELECT source FROM documents WHERE source NOT IN ('src0', 'src3'))
+SELECT 'documents' AS what, count(DISTINCT source) AS n FROM d UNION ALL SELECT 'chunks', count(*) FROM d UNION ALL SELECT 'jobs', count(DISTINCT source) FROM d
+UNION ALL SELECT source, count(*) FROM documents WHERE source IN ('src0', 'src3') GROUP BY source""",
+    "purge_but_one": "SELECT doc_id, source, lang FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE source = 'src0')",
+    "account_names": "SELECT p_partkey, p_name AS name FROM part",
+    "verified_counts": "SELECT p_type AS kind, count(*) AS n, count(*) FILTER (p_size > 25) AS verified FROM part GROUP BY p_type",
+    "verified_first": "SELECT p_partkey AS id, p_name, p_size > 45 AS verified FROM part ORDER BY verified DESC, p_name, id LIMIT 50",
+    "tenant_counts": "SELECT n_chars % 10 AS part, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE lang = 'en' AND source = 'src0' GROUP BY 1",
+    "cited_questions": f"""WITH {A.CHUNKS_SQL}, bt AS (SELECT item_id AS query_id, t AS term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'))) AS t FROM benchmark WHERE item_id % 3 <> 0)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(t) DESC, t) <= 2), {lexical_sql('h', 'chunks', 1, 'bt')}
+SELECT item_id AS qa_id, CASE WHEN item_id % 3 = 0 THEN item_id::VARCHAR ELSE coalesce(h.id::VARCHAR, '') END AS citations FROM benchmark LEFT JOIN h ON query_id = item_id""",
     "export_licenses": f"WITH {A.CHUNKS_SQL} SELECT DISTINCT license FROM chunks",
     "term_mining": f"""WITH {A.CHUNKS_SQL}, w AS (SELECT regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+') AS ws FROM chunks WHERE review <> 'rejected'),
 i AS (SELECT ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, (SELECT unnest([2, 3]) AS n)), g AS (SELECT array_to_string(ws[k:k + n - 1], ' ') AS term_seg FROM i WHERE length(ws[k]) >= 2 AND length(ws[k + 1]) >= 2 AND (n = 2 OR length(ws[k + 2]) >= 2))
@@ -169,7 +261,7 @@ SELECT replace(term_seg, ' ', '') AS term, term_seg, count(*) AS freq FROM g WHE
 SELECT *, 'base' AS v FROM b UNION ALL SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = r.k AND b.c_mktsegment = r.c_mktsegment)""",
     "patch_update": "SELECT doc_id, CASE WHEN toxic = 1 THEN 9 ELSE quality END::INT AS quality, toxic <> 1 AS verified FROM labels",
     "verify_rows": "SELECT doc_id, toxic = 1 OR quality = 1 AS verified, CASE WHEN toxic = 1 THEN 'reviewer' END AS verified_by, CASE WHEN toxic = 1 THEN TIMESTAMP '2024-01-30 12:00:00' END AS verified_at FROM labels",
-    "review_transitions": f"""WITH {A.CHUNKS_SQL} SELECT id, CASE lang WHEN 'de' THEN 'accepted' WHEN 'fr' THEN 'rejected' WHEN 'es' THEN 'edited' ELSE review END AS review, sha256(CASE WHEN lang = 'es' THEN upper(content) ELSE content END) AS sha256, embedding IS NOT NULL AND lang <> 'es' AS has_embedding FROM chunks""",
+    "review_transitions": f"""WITH {A.CHUNKS_SQL} SELECT id, CASE lang WHEN 'de' THEN 'accepted' WHEN 'fr' THEN 'rejected' WHEN 'es' THEN 'edited' ELSE review END AS review, sha256(CASE WHEN lang = 'es' THEN upper(content) ELSE content END) AS sha256, embedding IS NOT NULL AND lang <> 'es' AS has_embedding, token_count, CASE WHEN lang = 'es' THEN 'en' ELSE lang END AS lang FROM chunks""",
     "bulk_accept": f"WITH {A.CHUNKS_SQL} SELECT id, CASE WHEN review = 'pending' AND collection = 'src0' AND token_count > 100 THEN 'accepted' ELSE review END AS review FROM chunks",
     "cascade_delete": """WITH gone AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT c_custkey FROM customer))
 SELECT 'parents' AS what, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'children', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone)

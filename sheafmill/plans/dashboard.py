@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafmill.functions import texts
 from sheafmill.operators import dashboard as ops
+from sheafmill.operators import ordering
 from sheafmill.plans import adapters as A
 
 C, T = A.chunks, A.table
@@ -28,10 +29,7 @@ def merged_sources(spark, sf_dir):
     docs = T(spark, sf_dir, "documents").select(F.lit("dataset").alias("origin"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("part"), F.col("doc_id").alias("o"))
     erp = A.invoices(spark, sf_dir).select(F.lit("erp").alias("origin"), F.concat(F.lit("erp:"), "ref").alias("id"), "status", F.substring("ref", 5, 20).cast("long"))
     web = T(spark, sf_dir, "pages").select(F.lit("web").alias("origin"), F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("id"), F.lit("web"), "page_id")
-    from pyspark.sql import Window
-
-    rows = docs.union(erp).union(web)
-    return rows.select("origin", "id", "part", F.row_number().over(Window.partitionBy("origin", "part").orderBy("o")).cast("long").alias("n"))
+    return ordering.numbered(docs.union(erp).union(web), ["origin", "part"], ["o"]).select("origin", "id", "part", "n")
 
 
 def gaps_latest_question(spark, sf_dir):

@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafmill.functions import measures, texts
+from sheafmill.operators import ordering
 from sheafmill.operators import retrieval as ops
 from sheafmill.plans import adapters as A
+from sheafmill.sources import shared
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, docs = A.table(spark, sf_dir, "embeddings"), A.table(spark, sf_dir, "documents")
     q = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    words = F.array_sort(F.array_distinct(texts.lexemes(F.col("text"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return q.join(docs.select(F.col("doc_id").alias("query_id"), F.slice(words, 1, 2).alias("terms")), "query_id")
+    found = q.join(docs.select(F.col("doc_id").alias("query_id"), "text"), "query_id").withColumn("words", F.array_distinct(texts.lexemes(F.col("text"))))
+    longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return found.select("query_id", "embedding", F.transform(F.slice(longest, 1, 2), lambda x: x["w"]).alias("terms"))
+
+
+def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms: the words of part names."""
+    return A.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).distinct()
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +30,7 @@ def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rrf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ops.hybrid(query_set(spark, sf_dir), A.chunks(spark, sf_dir), k=8)
+    top = ops.hybrid(query_set(spark, sf_dir), A.chunks(spark, sf_dir), k=8, glossary=glossary(spark, sf_dir))
     return top.select("query_id", "id", "rank", F.round("score", 9).alias("score"), "dense_rank", "lexical_rank", "collection", texts.excerpt(F.col("content"), 120).alias("excerpt"))
 
 
@@ -47,20 +55,18 @@ def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall and reciprocal rank of the dense, lexical and fused lists; gold are the rows of the query's label, itself left out."""
-    q, live = query_set(spark, sf_dir), A.chunks(spark, sf_dir)
-    labels = A.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    gold = q.select("query_id").join(labels, F.col("query_id") == F.col("vec_id")).select("query_id", "label").join(labels, "label").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
-    one, two = ops.dense(q, live, 40).where("id <> query_id"), ops.lexical(q, live, 40).where("id <> query_id")
-    rank = lambda hits, order: ops.ranked(hits.drop("rank"), order, 10)
-    lists = {"dense": rank(one, ["distance", "id"]), "lexical": rank(two, [F.desc("tf"), "id"])}
-    lists["hybrid"] = ops.fused(rank(one, ["distance", "id"]), rank(two, [F.desc("tf"), "id"]), 10)
-    rows = [ops.evaluated(hits, gold).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
+    q, live = shared.written(query_set(spark, sf_dir), "eval-queries"), A.chunks(spark, sf_dir)
+    labels = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = q.select("query_id").join(labels, F.col("query_id") == F.col("id")).select("query_id", "label")
+    rank = lambda hits, order: shared.written(ops.ranked(hits.where("id <> query_id").drop("rank"), order, 10), "eval-hits")
+    lists = {"dense": rank(ops.dense(q, live, 40), ["distance", "id"]), "lexical": rank(ops.lexical(q, live, 40), [F.desc("density"), "id"])}
+    lists["hybrid"] = ops.fused(lists["dense"], lists["lexical"], 10)
+    rows = [ops.evaluated_by_label(hits, asked, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def latency_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = A.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return ordered.select("event_type", *[measures.nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (50, 95, 99)])
+    return ordering.percentiles(A.table(spark, sf_dir, "events"), "event_type", "value", (50, 95, 99))
 
 
 def dense_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,8 @@ def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding a vector as text and parsing it back loses nothing."""
     rows = rows_of(spark, sf_dir)
     back = measures.vector_parsed(measures.vector_literal(F.col("embedding")))
-    return rows.select("id", (back == F.col("embedding")).alias("same"), F.size(back).cast("long").alias("dims"))
+    total = F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("id", (back == F.col("embedding")).alias("same"), F.size(back).cast("long").alias("dims"), F.round(total, 4).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (hybrid_rrf_search, dense_topk, dense_topk_batch, lexical_topk, rrf_full_outer, retrieval_eval_matrix, latency_percentile, dense_index_search, vector_literals)}
@@ -88,12 +95,22 @@ def dense_sql(name: str, rows: str, k: int) -> str:
   sqrt(list_dot_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))), 6) + 0.0 AS distance FROM q, {rows} r WHERE r.embedding IS NOT NULL)) WHERE rank <= {k})"""
 
 
-def lexical_sql(name: str, rows: str, k: int) -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, id) AS rank FROM (
-  SELECT qt.query_id, p.id, sum(p.tf)::BIGINT AS tf FROM qt JOIN (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[^\\x20\\x09-\\x0D]+')) AS term FROM {rows}) GROUP BY id, term) p USING (term)
-  JOIN qn USING (query_id) GROUP BY qt.query_id, p.id, qn.n HAVING count(*) = qn.n)) WHERE rank <= {k})"""
+def lexical_sql(name: str, rows: str, k: int, terms: str = "qt") -> str:
+    """Rows with all terms, by cover density: a cover ends at an entry and begins at the earliest of the terms' last entries up to there."""
+    return f"""{name}_t AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM (SELECT id, regexp_extract_all(lower(content), '[^\\x20\\x09-\\x0D]+') AS ws FROM {rows})),
+{name}_n AS (SELECT query_id, count(*) AS n FROM {terms} GROUP BY query_id),
+{name}_e AS (SELECT query_id, id, term, pos, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS i FROM {name}_t JOIN {terms} USING (term)
+  WHERE (query_id, id) IN (SELECT (query_id, id) FROM {name}_t JOIN {terms} USING (term) JOIN {name}_n USING (query_id) GROUP BY query_id, id, n HAVING count(DISTINCT term) = n)),
+{name}_l AS (SELECT a.query_id, a.id, a.i, a.pos, b.term, max(b.i) AS last FROM {name}_e a JOIN {name}_e b ON a.query_id = b.query_id AND a.id = b.id AND b.i <= a.i GROUP BY ALL),
+{name}_b AS (SELECT l.query_id, l.id, i, pos, min(last) AS low FROM {name}_l l JOIN {name}_n USING (query_id) GROUP BY l.query_id, l.id, i, pos, n HAVING count(*) = n),
+{name}_c AS (SELECT *, coalesce(lag(low) OVER (PARTITION BY query_id, id ORDER BY i), 0) AS before FROM {name}_b),
+{name}_d AS (SELECT c.query_id, c.id, round(sum(CASE WHEN c.low > before THEN 0.1::DOUBLE / (1 + (c.pos - e.pos) - (c.i - c.low)) ELSE 0 END), 6) AS density
+  FROM {name}_c c JOIN {name}_e e ON e.query_id = c.query_id AND e.id = c.id AND e.i = c.low GROUP BY c.query_id, c.id),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, id) AS rank FROM {name}_d) WHERE rank <= {k})"""
 
 
+EXPANDED = """qx AS (SELECT * FROM qt UNION SELECT query_id, g.term FROM (SELECT query_id, string_agg(term, ' ' ORDER BY length(term) DESC, term) AS said FROM qt GROUP BY query_id),
+  (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part) g WHERE contains(said, g.term))"""
 LIVE = "live AS (SELECT * FROM chunks WHERE review <> 'rejected')"
 SCORE = "coalesce(1.0::DOUBLE / (60 + a.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0::DOUBLE)"
 ALL_ROWS = "rows_ AS (SELECT vec_id AS id, embedding FROM embeddings)"
@@ -108,7 +125,7 @@ def metrics_sql(name: str) -> str:
 
 
 ORACLE = {
-    "hybrid_rrf_search": f"""WITH {SET_SQL}, {LIVE}, {dense_sql('a', 'live', 100)}, {lexical_sql('b', 'live', 100)},
+    "hybrid_rrf_search": f"""WITH {SET_SQL}, {EXPANDED}, {LIVE}, {dense_sql('a', 'live', 100)}, {lexical_sql('b', 'live', 100, 'qx')},
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS dense_rank, b.rank AS lexical_rank, {SCORE} AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f)
 SELECT query_id, t.id, rank, round(score, 9) AS score, dense_rank, lexical_rank, collection, substr(content, 1, 120) AS excerpt FROM t JOIN live USING (id) WHERE rank <= 8""",
@@ -119,10 +136,10 @@ SELECT query_id, t.id, rank, round(score, 9) AS score, dense_rank, lexical_rank,
 SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS dense_rank, b.rank AS lexical_rank, round({SCORE}, 9) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id""",
     "retrieval_eval_matrix": f"""WITH {SET_SQL}, {dense_sql('da', 'chunks', 40)}, {lexical_sql('lb', 'chunks', 40)}, {GOLD},
 dense_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('distance, id')} FROM da WHERE id <> query_id) WHERE r <= 10),
-lexical_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('tf DESC, id')} FROM lb WHERE id <> query_id) WHERE r <= 10),
+lexical_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('density DESC, id')} FROM lb WHERE id <> query_id) WHERE r <= 10),
 hybrid_list AS (SELECT query_id, id, {RERANK.format('score DESC, id')} FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id,
   coalesce(1.0::DOUBLE / (60 + a.r), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.r), 0.0::DOUBLE) AS score FROM dense_list a FULL JOIN lexical_list b ON a.query_id = b.query_id AND a.id = b.id))
 {' UNION ALL '.join(metrics_sql(n) for n in ('dense', 'lexical', 'hybrid'))}""",
     "latency_percentile": "SELECT event_type, " + ", ".join(f"list_sort(list(value))[(least(count(*) - 1, floor(count(*) * {p} / 100.0)) + 1)::BIGINT] AS p{p}" for p in (50, 95, 99)) + " FROM events GROUP BY event_type",
-    "vector_literals": "SELECT vec_id AS id, true AS same, len(embedding)::BIGINT AS dims FROM embeddings",
+    "vector_literals": "SELECT vec_id AS id, true AS same, len(embedding)::BIGINT AS dims, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
 }

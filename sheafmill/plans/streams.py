@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sheafmill.plans import adapters as A
+from sheafmill.sources import files, shared
 from sheafmill.streaming import queue
 
 T = A.table
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def folder(spark, label):
-    """A new folder in the cluster's shared one; where none is set, as in tests, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sheafmill-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def job_state_fold(spark, sf_dir):
     """Users as jobs, error events as failed attempts."""
     e = T(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
@@ -28,15 +20,15 @@ def job_state_fold(spark, sf_dir):
 
 def job_progress(spark, sf_dir):
     """Progress by job through a stream, into a table by micro-batches of events."""
-    path, marks = folder(spark, "progress"), folder(spark, "progress-marks")
+    path, marks = shared.fresh_path(spark, "progress"), shared.fresh_path(spark, "progress-marks")
     stream = queue.event_stream(spark, f"{sf_dir}/events.parquet*", EVENTS)
-    queue.processed(stream, lambda batch, _: queue.once_by_id(batch, path, "event_id"), marks).awaitTermination()
+    queue.processed(stream, lambda batch, n: queue.once_by_batch(batch, n, path), marks).awaitTermination()
     return queue.progress(spark.read.schema(EVENTS).parquet(path)).select("user_id", "events", "errors")
 
 
 def event_time_windows(spark, sf_dir, files_per_batch=64):
     """Daily counts and values by kind, run as a stream. Files come in any order of time, so no watermark closes a day."""
-    path, marks = folder(spark, "windows"), folder(spark, "windows-marks")
+    path, marks = shared.fresh_path(spark, "windows"), shared.fresh_path(spark, "windows-marks")
     stream = queue.event_stream(spark, f"{sf_dir}/events.parquet*", EVENTS, files_per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{n}")
     query = queue.windowed(stream, late=None).writeStream.outputMode("update").foreachBatch(lambda b, n: keep(b.withColumn("batch", F.lit(n)), n)).option("checkpointLocation", marks).trigger(availableNow=True).start()
@@ -47,13 +39,34 @@ def event_time_windows(spark, sf_dir, files_per_batch=64):
 
 
 def reply_streams(spark, sf_dir):
-    """Replies put together again from their words in order."""
+    """Replies of model streams put together: a stream is JSON lines of a token each, which arrive out of order; lines that hold none, and the last
+    line that says the stream is done, add nothing."""
     m = T(spark, sf_dir, "conversations").where("role = 'assistant'")
-    words = m.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "token")).select("conv_id", F.struct("turn", "i").alias("seq"), "token")
-    return queue.replies(words).select("conv_id", F.sha2("text", 256).alias("sha256"), "n")
+    tokens = m.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "token"))
+    lines = tokens.select("conv_id", "turn", "i", F.to_json(F.struct(F.col("token").alias("response"), F.lit(False).alias("done"))).alias("value"))
+    ends = m.select("conv_id", "turn", F.explode(F.array(F.lit(-1), F.lit(1 << 30))).alias("i")).withColumn("value", F.when(F.col("i") < 0, "not json").otherwise('{"response":"","done":true}'))
+    sent = lines.unionByName(ends).repartition("value")
+    read = files.token_lines(sent, "conv_id", "turn", "i").where("NOT done")
+    return queue.replies(read.select("conv_id", F.struct("turn", "i").alias("seq"), F.col("response").alias("token"))).select("conv_id", F.sha2("text", 256).alias("sha256"), "n")
+
+
+def job_claim(spark, sf_dir):
+    """Events as jobs: the 25 oldest that may run are taken."""
+    e = T(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "pending").when(F.col("event_type") == "signup", "running").otherwise("done")
+    jobs = e.select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").alias("run_after"), (F.col("user_id") % 7).cast("int").alias("attempts"), F.lit(5).alias("max_attempts"), F.lit(None).cast("timestamp_ntz").alias("locked_at"))
+    after, _ = queue.claimed(jobs, F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")), 25)
+    return after.groupBy("status", F.col("locked_at").isNotNull().alias("locked")).agg(F.count("*").alias("n"), F.min("job_id").alias("first_id"), F.sum("job_id").alias("ids"))
+
+
+def batched_map(spark, sf_dir):
+    """Token counts of texts made 32 texts at a time, as an embedder is called."""
+    rows = T(spark, sf_dir, "documents").select("doc_id", "text")
+    made = queue.mapped_in_batches(rows, lambda texts: [len(t.encode()) for t in texts], "text", "n_bytes", "long")
+    return made.select("doc_id", "n_bytes")
 
 
-QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams)}
+QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, batched_map)}
 
 ORACLE = {
     "job_state_fold": """WITH t AS (SELECT user_id AS job_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
@@ -62,5 +75,10 @@ s AS (SELECT job_id, failures, CASE WHEN failures >= 5 THEN 'dead' WHEN ok IS NO
 SELECT *, CASE WHEN status = 'pending' THEN (5 * pow(2, failures))::BIGINT END AS wait_seconds FROM s""",
     "job_progress": "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id",
     "event_time_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(round(value * 100)::BIGINT) / 100, 2) AS value FROM events GROUP BY ALL",
+    "job_claim": """WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'pending' WHEN 'signup' THEN 'running' ELSE 'done' END AS status, ts AS run_after, user_id % 7 AS attempts FROM events),
+t AS (SELECT job_id FROM j WHERE status IN ('pending', 'running') AND run_after <= TIMESTAMP '2024-01-20 00:00:00' AND attempts < 5 ORDER BY run_after, job_id LIMIT 25),
+a AS (SELECT j.job_id, CASE WHEN t.job_id IS NOT NULL THEN 'running' ELSE status END AS status, t.job_id IS NOT NULL AS locked FROM j LEFT JOIN t USING (job_id))
+SELECT status, locked, count(*) AS n, min(job_id) AS first_id, sum(job_id)::BIGINT AS ids FROM a GROUP BY status, locked""",
+    "batched_map": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
     "reply_streams": "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS sha256, sum(len(string_split(text, ' ')))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
 }

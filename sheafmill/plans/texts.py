@@ -16,8 +16,23 @@ def docs(spark, sf_dir):
     return T(spark, sf_dir, "documents")
 
 
+#: What is put behind every document's text, by doc_id modulo their number, as the tables hold neither the script nor its defects.
+MARRED = ("", " \u200b\ufeffa", " ກັັ ບັ", " ກ ັ x\u200d", " " + "ໂຄງການບັນຊີ " * 400)
+
+
+def marred(spark, sf_dir):
+    endings = F.element_at(F.array(*map(F.lit, MARRED)), (F.pmod("doc_id", F.lit(len(MARRED))) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", F.concat("text", endings).alias("text"))
+
+
 def html_to_text(spark, sf_dir):
-    return T(spark, sf_dir, "pages").select("page_id", fn.page_text(F.col("html")).alias("text"))
+    """Whole pages; what quotes them cuts its own excerpts."""
+    return T(spark, sf_dir, "pages").select("page_id", fn.page_text(F.col("html"), None, None).alias("text"))
+
+
+def segment_texts(spark, sf_dir):
+    rows = marred(spark, sf_dir).select("doc_id", fn.segmented(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.sha2("x.joined", 256).alias("sha256"), F.col("x.count").alias("n"), "x.lang")
 
 
 def knowledge_blocks(spark, sf_dir):
@@ -54,15 +69,15 @@ def coa_detect(spark, sf_dir):
 
 
 QUERIES = {
-    "lang_census": lambda s, d: docs(s, d).select("doc_id", fn.language(F.col("text")).alias("lang")),
-    "defect_scan": lambda s, d: docs(s, d).select("doc_id", fn.defect_counts(F.col("text")).alias("of")).select("doc_id", "of.*"),
-    "defect_fix": lambda s, d: docs(s, d).select("doc_id", F.sha2(fn.defects_fixed(F.col("text")), 256).alias("sha256")),
-    "normalise_text": lambda s, d: docs(s, d).select("doc_id", F.sha2(fn.normalised(F.col("text")), 256).alias("sha256"), F.length(fn.normalised(F.col("text"))).cast("long").alias("n")),
+    "lang_census": lambda s, d: marred(s, d).select("doc_id", fn.language(F.col("text")).alias("lang")),
+    "defect_scan": lambda s, d: marred(s, d).select("doc_id", fn.defect_counts(F.col("text")).alias("of")).select("doc_id", "of.*"),
+    "defect_fix": lambda s, d: marred(s, d).select("doc_id", F.sha2(fn.defects_fixed(F.col("text")), 256).alias("sha256")),
+    "normalise_text": lambda s, d: marred(s, d).select("doc_id", F.sha2(fn.normalised(F.col("text")), 256).alias("sha256"), F.length(fn.normalised(F.col("text"))).cast("long").alias("n")),
     "amount_literals": lambda s, d: docs(s, d).select("doc_id", fn.amounts(F.col("text")).alias("a")).where("size(a) > 0").select("doc_id", F.size("a").cast("long").alias("n"), F.array_join(F.array_sort("a"), ";").alias("amounts")),
     "sentence_counts": lambda s, d: docs(s, d).select("doc_id", F.size(fn.sentences(F.col("text"))).cast("long").alias("n"), F.sha2(F.array_join(fn.sentences(F.col("text")), "\u241e"), 256).alias("sha256")),
     "account_codes": lambda s, d: docs(s, d).select("doc_id", F.array_join(fn.account_codes_in(F.col("text")), ",").alias("codes")),
     "page_links": lambda s, d: files.page_links(T(s, d, "pages")),
-    **{f.__name__: f for f in (html_to_text, knowledge_blocks, markdown_blocks, block_chunks, sentence_chunks, spellcheck, coa_detect)},
+    **{f.__name__: f for f in (html_to_text, segment_texts, knowledge_blocks, markdown_blocks, block_chunks, sentence_chunks, spellcheck, coa_detect)},
 }
 
 MARKS = "".join(fn.COMBINING_MARKS)
@@ -80,26 +95,30 @@ def fixed_sql() -> str:
 
 
 def page_sql() -> str:
-    out = "substr(html, 1, 500000)"
+    out = "html"
     for tag in ("script", "style", "nav", "header", "footer", "aside"):
         out = f"regexp_replace({out}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
     out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = f"replace({out}, '{a}', '{b}')"
-    return f"substr(regexp_replace(regexp_replace(regexp_replace({out}, '&#x?\\d+;', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 4000)"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, '&#x?\\d+;', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 ENDS = "[^.!?ຯ\\n]*[.!?ຯ\\n]|[^.!?ຯ\\n]+$"
 SENTENCES = f"list_filter(list_transform(regexp_extract_all(text, '{ENDS}'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 
+MARRED_SQL = "marred AS (SELECT doc_id, text || [" + ", ".join(f"'{m}'" for m in MARRED) + f"][doc_id % {len(MARRED)} + 1] AS text FROM documents)"
+
 ORACLE = {
-    "lang_census": f"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[{fn.LAO}]')) AS lao, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS latin FROM documents)
+    "lang_census": f"""WITH {MARRED_SQL}, c AS (SELECT doc_id, len(regexp_extract_all(text, '[{fn.LAO}]')) AS lao, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS latin FROM marred)
 SELECT doc_id, CASE WHEN lao = 0 THEN 'en' WHEN latin = 0 THEN 'lo' WHEN lao / (lao + latin) >= 0.9 THEN 'lo' WHEN lao / (lao + latin) <= 0.1 THEN 'en' ELSE 'mixed' END AS lang FROM c""",
-    "defect_scan": f"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[{ZW}]'))::BIGINT AS zero_width, len(regexp_extract_all(text, '{DOUBLED}'))::BIGINT AS doubled_marks, len(regexp_extract_all(text, '[ \\t]+[{fn.COMBINING}]'))::BIGINT AS blank_before_mark FROM documents)
+    "defect_scan": f"""WITH {MARRED_SQL}, c AS (SELECT doc_id, len(regexp_extract_all(text, '[{ZW}]'))::BIGINT AS zero_width, len(regexp_extract_all(text, '{DOUBLED}'))::BIGINT AS doubled_marks, len(regexp_extract_all(text, '[ \\t]+[{fn.COMBINING}]'))::BIGINT AS blank_before_mark FROM marred)
 SELECT *, zero_width + doubled_marks + blank_before_mark AS total FROM c""",
-    "defect_fix": f"SELECT doc_id, sha256({fixed_sql()}) AS sha256 FROM documents",
-    "normalise_text": "WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'), '[\\s\\p{Z}\\x{85}\\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents) SELECT doc_id, sha256(t) AS sha256, length(t)::BIGINT AS n FROM n",
+    "defect_fix": f"WITH {MARRED_SQL} SELECT doc_id, sha256({fixed_sql()}) AS sha256 FROM marred",
+    "normalise_text": f"WITH {MARRED_SQL}, n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g'), '[\\s\\p{{Z}}\\x{{85}}\\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM marred) SELECT doc_id, sha256(t) AS sha256, length(t)::BIGINT AS n FROM n",
     "amount_literals": f"WITH a AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{AMOUNT}'), lambda x: trim(x)))) AS a FROM documents) SELECT doc_id, len(a)::BIGINT AS n, array_to_string(a, ';') AS amounts FROM a WHERE len(a) > 0",
     "sentence_counts": f"SELECT doc_id, len({SENTENCES})::BIGINT AS n, sha256(array_to_string({SENTENCES}, '\u241e')) AS sha256 FROM documents",
+    "segment_texts": f"""WITH {MARRED_SQL}, w AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+') AS ws, len(regexp_extract_all(text, '[{fn.LAO}]')) AS lao, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS latin FROM marred)
+SELECT doc_id, sha256(array_to_string(ws, ' ')) AS sha256, len(ws)::BIGINT AS n, CASE WHEN lao = 0 THEN 'en' WHEN latin = 0 THEN 'lo' WHEN lao / (lao + latin) >= 0.9 THEN 'lo' WHEN lao / (lao + latin) <= 0.1 THEN 'en' ELSE 'mixed' END AS lang FROM w""",
     "html_to_text": f"SELECT page_id, {page_sql()} AS text FROM pages",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -32,9 +33,10 @@ def jsonl_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
-def token_lines(lines: DataFrame) -> DataFrame:
-    """(response, done) of a model's stream of JSON lines (value), batch or streaming."""
-    return lines.where("trim(value) <> ''").select(F.from_json("value", "response string, done boolean").alias("x")).where("x IS NOT NULL").select(F.coalesce("x.response", F.lit("")).alias("response"), F.coalesce("x.done", F.lit(False)).alias("done"))
+def token_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep ..., response, done) of a model's stream of JSON lines (value), batch or streaming; lines that aren't such are left out."""
+    read = lines.where("trim(value) <> ''").select(*keep, F.from_json("value", "response string, done boolean").alias("x"))
+    return read.where("x.response IS NOT NULL OR x.done IS NOT NULL").select(*keep, F.coalesce("x.response", F.lit("")).alias("response"), F.coalesce("x.done", F.lit(False)).alias("done"))
 
 
 def source_kind(path: F.Column) -> F.Column:
@@ -81,40 +83,55 @@ def run_text(node: ElementTree.Element) -> str:
     return "".join(out)
 
 
-def paragraph(node: ElementTree.Element) -> dict:
-    props = node.find(f"{W}pPr")
-    style, listed = "", False
-    if props is not None:
-        named = props.find(f"{W}pStyle")
-        style = ("" if named is None else named.get(f"{W}val", "")).lower().replace(" ", "")
-        listed = props.find(f"{W}numPr") is not None or style == "listparagraph"
+def value_of(node: ElementTree.Element | None, *path: str) -> str | None:
+    """The w:val at a path of elements below a node; None if the path isn't there, and empty if it has no value."""
+    for tag in path:
+        node = None if node is None else node.find(W + tag)
+    return None if node is None else node.get(f"{W}val", "")
+
+
+def paragraph(node: ElementTree.Element, styles: dict[str, str]) -> dict:
+    """A paragraph's kind by its style's name: headings by the first number in it (1 without one), lists with their level."""
+    style_id = value_of(node, "pPr", "pStyle") or ""
+    style = styles.get(style_id, style_id).strip().lower()
+    listed = node.find(f"{W}pPr/{W}numPr") is not None
     text = run_text(node).strip()
-    if style == "title" or (style.startswith("heading") and style[7:].isdigit()):
-        return {"kind": "heading", "text": text, "level": 1 if style == "title" else int(style[7:])}
-    return {"kind": "list" if listed else "prose", "text": text, "level": None}
+    if style == "title" or style.startswith("heading"):
+        number = re.search(r"\d+", style)
+        return {"kind": "heading", "text": text, "level": int(number[0]) if number else 1}
+    if listed or style.replace(" ", "") == "listparagraph":
+        return {"kind": "list", "text": text, "level": int(value_of(node, "pPr", "numPr", "ilvl") or 0)}
+    return {"kind": "prose", "text": text, "level": None}
 
 
 def table_cells(node: ElementTree.Element) -> list[list[str]]:
-    """Cells of a table; a cell over several columns, or going on from above, is repeated in each."""
-    rows: list[list[str]] = []
-    for tr in node.findall(f"{W}tr"):
-        row: list[str] = []
+    """Cells of a table. A merged cell's value stands once, at its top left; the other places that it covers are empty."""
+    def row(tr: ElementTree.Element) -> Iterator[str]:
         for tc in tr.findall(f"{W}tc"):
-            props = tc.find(f"{W}tcPr")
-            span = props.find(f"{W}gridSpan") if props is not None else None
-            merge = props.find(f"{W}vMerge") if props is not None else None
-            text = "\n".join(t for p in tc.findall(f"{W}p") if (t := run_text(p).strip()))
-            if merge is not None and merge.get(f"{W}val", "continue") == "continue" and rows and len(row) < len(rows[-1]):
-                text = rows[-1][len(row)]
-            row += [text] * int(span.get(f"{W}val", "1") if span is not None else 1)
-        rows.append(row)
-    return rows
-
-
-def docx_blocks(raw: bytes) -> tuple[list[dict], list[str]]:
-    """Blocks of a Word document in order, and its foot- and endnotes."""
+            covered = value_of(tc, "tcPr", "vMerge") not in (None, "restart")
+            lines = (run_text(p).strip() for p in tc.findall(f"{W}p"))
+            yield "" if covered else "\n".join(filter(None, lines))
+            span = value_of(tc, "tcPr", "gridSpan") or "1"
+            yield from [""] * (int(span) - 1 if span.isdigit() else 0)
+
+    return [list(row(tr)) for tr in node.findall(f"{W}tr")]
+
+
+def docx_stats(body: ElementTree.Element) -> tuple[dict[str, int], list[str]]:
+    """Counts of a document's parts and of its tracked changes, and warnings about what the blocks don't show."""
+    count = lambda *tags: sum(1 for x in body.iter() if x.tag in {W + t for t in tags})
+    stats = {"paragraphs": count("p"), "tables": count("tbl"), "insertions": count("ins", "moveTo"), "deletions": count("del", "moveFrom")}
+    warned = {"nested tables are part of their cell": any(x.find(f".//{W}tbl") is not None for x in body.iter(f"{W}tc")), "pictures are left out": count("drawing", "pict") > 0, "text boxes are read in line": count("txbxContent") > 0}
+    return stats, [text for text, so in warned.items() if so]
+
+
+def docx_blocks(raw: bytes) -> tuple[list[dict], list[str], dict[str, int], list[str]]:
+    """Blocks of a Word document in order, its foot- and endnotes, counts and warnings."""
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
+        styles = {}
+        if "word/styles.xml" in archive.namelist():
+            styles = {x.get(f"{W}styleId", ""): value_of(x, "name") or "" for x in ElementTree.fromstring(archive.read("word/styles.xml")).findall(f"{W}style")}
         notes = []
         for name, tag in (("word/footnotes.xml", "footnote"), ("word/endnotes.xml", "endnote")):
             if name in archive.namelist():
@@ -122,7 +139,7 @@ def docx_blocks(raw: bytes) -> tuple[list[dict], list[str]]:
     blocks, path = [], []
     for node in body if body is not None else []:
         if node.tag == f"{W}p":
-            block = paragraph(node)
+            block = paragraph(node, styles)
             if block["kind"] == "heading" and block["text"]:
                 path = [*path[: block["level"] - 1], *[""] * (block["level"] - 1 - len(path)), block["text"]]
         elif node.tag == f"{W}tbl":
@@ -134,18 +151,19 @@ def docx_blocks(raw: bytes) -> tuple[list[dict], list[str]]:
             continue
         if block["text"]:
             blocks.append(block | {"path": list(path)})
-    return blocks, [n for n in notes if n]
+    stats, warnings = docx_stats(body) if body is not None else ({}, ["there is no body"])
+    return blocks, [n for n in notes if n], stats, warnings
 
 
 def docx_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, blocks, notes) of Word documents."""
+    """(path, sha256, blocks, notes, stats, warnings) of Word documents."""
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [docx_blocks(c) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "sha256": batch["sha256"], "blocks": [f[0] for f in found], "notes": [f[1] for f in found]})
+            yield pd.DataFrame({"path": batch["path"], "sha256": batch["sha256"], "blocks": [f[0] for f in found], "notes": [f[1] for f in found], "stats": [f[2] for f in found], "warnings": [f[3] for f in found]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("blocks", BLOCKS), T.StructField("notes", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("blocks", BLOCKS), T.StructField("notes", T.ArrayType(T.StringType())), T.StructField("stats", T.MapType(T.StringType(), T.IntegerType())), T.StructField("warnings", T.ArrayType(T.StringType()))])
     return files.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(extract, schema)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,16 +24,22 @@ def processed(stream: DataFrame, handle: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_by_batch(batch: DataFrame, n: int, path: str) -> None:
+    """Writes micro-batch n into a folder of its own: a batch that comes again replaces itself, whatever the table's size."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 def once_by_id(batch: DataFrame, path: str, key: str) -> None:
-    """Appends rows of a batch whose ids the table doesn't have yet."""
+    """Appends rows of a batch whose ids the table doesn't have yet; for sources that may repeat a row in another batch. Reads the ids alone."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
     try:
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as missing:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(missing):
+        known = spark.read.parquet(path).select(key)
+    except AnalysisException as missing:  # the first batch finds no table
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(path)
+        known = None
+    (fresh if known is None else fresh.join(known, key, "left_anti")).write.mode("append").parquet(path)
 
 
 def job_states(attempts: DataFrame, job: str = "job_id", at: str = "ts", order: str = "event_id", failed: str = "failed", most: int = MAX_ATTEMPTS) -> DataFrame:
@@ -52,6 +60,28 @@ def runnable(jobs: DataFrame, now: F.Column, n: int = 1) -> DataFrame:
     return jobs.where(F.col("status").isin("pending", "running") & (F.col("run_after") <= now) & (F.col("attempts") < F.col("max_attempts"))).orderBy("run_after", "job_id").limit(n)
 
 
+def claimed(jobs: DataFrame, now: F.Column, n: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The jobs after a worker has taken the n oldest that may run, and those n. They are `running` and locked from now on; the rest is as it was."""
+    taken = runnable(jobs, now, n).select(F.col("job_id").alias("_id"))
+    marked = jobs.join(F.broadcast(taken), F.col("job_id") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    changed = {"status": F.when(hit, "running").otherwise(F.col("status")), "locked_at": F.when(hit, now).otherwise(F.col("locked_at"))}
+    after = marked.withColumns(changed)
+    return after.drop("_id"), after.where(hit).drop("_id")
+
+
+def mapped_in_batches(rows: DataFrame, of: Callable[[list], list], column: str, name: str, kind: str, size: int = 32) -> DataFrame:
+    """`rows` with a column that `of` makes of lists of up to `size` values at a time, value for value; a task works on one list at once."""
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), size):
+                part = batch.iloc[k : k + size]
+                yield part.assign(**{name: of(list(part[column]))})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(apply, f"{fields}, {name} {kind}")
+
+
 def progress(events: DataFrame, job: str = "user_id") -> DataFrame:
     """Counts by job and kind; as a stream, in update mode."""
     return events.groupBy(job).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("last"))

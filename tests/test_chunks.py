@@ -10,31 +10,22 @@ from sheafmill.operators import chunking
 from sheafmill.sources import files, markdown
 
 
-def plain_sentences(counts, most, overlap):
-    spans, start = [], 0
-    while start < len(counts):
-        end, total = start, 0
-        while end < len(counts) and (end == start or total + counts[end] <= most):
-            total += counts[end]
-            end += 1
-        spans.append((start, end))
-        if end == len(counts):
-            break
-        held, new = 0, end
-        while new > start + 1 and held < overlap:
-            new -= 1
-            held += counts[new]
-        start = new
-    return spans
-
-
 def test_sentence_spans():
+    """Each span can't take one more sentence, and steps back by the shortest tail that reaches the overlap, but goes forward."""
     random.seed(1)
     for _ in range(500):
         counts = [random.randint(1, 12) for _ in range(random.randint(0, 30))]
         most = random.randint(1, 20)
         overlap = random.randrange(most)
-        assert chunking.sentence_spans(counts, most, overlap) == plain_sentences(counts, most, overlap)
+        spans = chunking.sentence_spans(counts, most, overlap)
+        assert (not counts and not spans) or (spans[0][0] == 0 and spans[-1][1] == len(counts))
+        for low, high in spans:
+            assert high == low + 1 or sum(counts[low:high]) <= most
+            assert high == len(counts) or sum(counts[low : high + 1]) > most
+        for (low, high), (after, further) in zip(spans, spans[1:], strict=False):
+            assert low < after <= high <= further
+            assert after == low + 1 or sum(counts[after:high]) >= overlap
+            assert after == high or sum(counts[after + 1 : high]) < overlap
 
 
 def test_block_spans_cover_and_go_forward():
@@ -124,14 +115,16 @@ def test_docx(spark, tmp_path):
     p = lambda text, props="": f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
     cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(text)}</w:tc>"
     body = (
-        p("Top", '<w:pStyle w:val="Title"/>') + p("Two", '<w:pStyle w:val="Heading2"/>') + p("item", "<w:numPr/>") + "<w:p><w:r><w:t>kept </w:t></w:r><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:t>old</w:t></w:r></w:del></w:p>"
+        p("Top", '<w:pStyle w:val="Title"/>') + p("Two", '<w:pStyle w:val="berschrift2"/>') + p("item", '<w:numPr><w:ilvl w:val="1"/></w:numPr>') + "<w:p><w:r><w:t>kept </w:t></w:r><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:t>old</w:t></w:r></w:del></w:p>"
         + f"<w:tbl><w:tr>{cell('a', '<w:gridSpan w:val=\"2\"/>')}{cell('b', '<w:vMerge w:val=\"restart\"/>')}</w:tr><w:tr>{cell('c')}{cell('d|e')}{cell('', '<w:vMerge/>')}</w:tr></w:tbl>" + p(""))
-    raw = docx(body, footnotes='<w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote>')
+    styles = '<w:style w:styleId="berschrift2"><w:name w:val="heading 2"/></w:style>'
+    raw = docx(body, styles=styles, footnotes='<w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote>')
     (tmp_path / "x.docx").write_bytes(raw)
     row = files.docx_files(spark, str(tmp_path)).first()
     assert [(b.kind, b.text, b.path) for b in row.blocks] == [
-        ("heading", "Top", ["Top"]), ("heading", "Two", ["Top", "Two"]), ("list", "item", ["Top", "Two"]), ("prose", "kept new", ["Top", "Two"]), ("table", "| a | a | b |\n|---|---|---|\n| c | d\\|e | b |", ["Top", "Two"])]
-    assert row.notes == ["note"]
+        ("heading", "Top", ["Top"]), ("heading", "Two", ["Top", "Two"]), ("list", "item", ["Top", "Two"]), ("prose", "kept new", ["Top", "Two"]), ("table", "| a |  | b |\n|---|---|---|\n| c | d\\|e |  |", ["Top", "Two"])]
+    assert row.notes == ["note"] and row.warnings == [] and row.blocks[2].level == 1
+    assert (row.stats["tables"], row.stats["insertions"], row.stats["deletions"]) == (1, 1, 1)
 
 
 def test_files(spark, tmp_path):

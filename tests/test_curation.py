@@ -40,7 +40,14 @@ def test_account_tables(spark):
     got = {r.table_id: r for r in curation.account_tables(rows).collect()}
     assert not got[1].is_coa and got[1].confidence == pytest.approx(2 / 3)  # two of three codes are under 0.8
     assert (got[2].is_coa, got[4].is_coa) == (False, False)
-    assert (got[3].is_coa, got[3].code_col, got[3].lao_col, got[3].codes) == (True, 2, 1, ["201", "202"])
+    assert (got[3].is_coa, got[3].code_col, got[3].lao_col, [x.code for x in got[3].rows]) == (True, 2, 1, ["201", "202"])
+    wide = [["Code", "Name", "English"], *[[f" {k} ", lao, "" if k == 103 else "Cash"] for k in range(101, 106)], ["total", "", ""]]
+    ragged = spark.createDataFrame([(5, wide), (6, [["101"], ["102", lao, "x"], ["103", lao]]), (7, []), (8, [[], []])], "table_id long, cells array<array<string>>")
+    got = {r.table_id: r for r in curation.account_tables(ragged).collect()}
+    assert (got[5].is_coa, got[5].confidence, got[5].code_col, got[5].lao_col, got[5].en_col) == (True, 0.833, 0, 1, 2)
+    assert [tuple(x) for x in got[5].rows] == [(str(k), lao, None if k == 103 else "Cash") for k in range(101, 106)]
+    assert [tuple(x) for x in got[6].rows] == [("102", lao, "x"), ("103", lao, None)]
+    assert (got[7].is_coa, got[8].is_coa, got[7].confidence) == (False, False, 0.0)
 
 
 def test_citations(spark):
@@ -140,3 +147,96 @@ def test_assist(spark):
     assert assist.context_blocks(sources).first().context == "[1] a › b\n" + "x" * 700 + "\n\n[2] p\n" + "y" * 1600
     named = assist.customers_named(spark.createDataFrame([(1, "what does ABC owe")], "query_id long, text string"), spark.createDataFrame([(1, "ບໍລິສັດ ABC ຈຳກັດ"), (2, "XYZ")], "customer_id long, customer string"))
     assert [tuple(r) for r in named.collect()] == [(1, "ບໍລິສັດ ABC ຈຳກັດ")]
+
+
+def brute_density(tokens, terms):
+    """Shortest stretches that hold all terms, by trying all."""
+    at = [i for i, t in enumerate(tokens) if t in terms]
+    holds = [(a, b) for a in at for b in at if a <= b and set(terms) <= set(tokens[a : b + 1])]
+    shortest = [(a, b) for a, b in holds if not any((c, d) != (a, b) and a <= c and d <= b for c, d in holds)]
+    return sum(0.1 / (1 + sum(t not in terms for t in tokens[a : b + 1])) for a, b in shortest)
+
+
+def test_cover_density(spark):
+    import random
+
+    from sheafmill.operators import retrieval
+
+    random.seed(4)
+    rows = [(i, " ".join(random.choice("abcxyz") for _ in range(random.randint(0, 25)))) for i in range(60)]
+    asked = [(1, ["a"]), (2, ["a", "b"]), (3, ["c", "a", "b"]), (4, ["a", "a"])]
+    got = retrieval.lexical(spark.createDataFrame(asked, "query_id long, terms array<string>"), spark.createDataFrame(rows, "id long, content string"), 100).collect()
+    want = {(q, i): round(d, 6) for q, terms in asked for i, text in rows if (d := brute_density(text.split(), set(terms)))}
+    assert {(r.query_id, r.id): r.density for r in got} == want
+    assert retrieval.lexical(spark.createDataFrame(asked, "query_id long, terms array<string>"), spark.createDataFrame([], "id long, content string"), 5).count() == 0
+
+
+def test_expanded_queries(spark):
+    from sheafmill.operators import retrieval
+
+    asked = spark.createDataFrame([(1, ["bluebird", "x"]), (2, ["y"])], "query_id long, terms array<string>")
+    terms = spark.createDataFrame([("Blue",), ("bird x",), ("red",)], "term string")
+    assert {r.query_id: r.terms for r in retrieval.expanded(asked, terms).collect()} == {1: ["bluebird", "x", "bird x", "blue"], 2: ["y"]}
+
+
+def test_numbers_and_percentiles_of_groups_over_many_partitions(spark):
+    import math
+
+    from sheafmill.operators import ordering
+
+    rows = [("hot", float(i % 97), i) for i in range(1500)] + [(None, 1.0, 5), ("one", 3.0, 9), ("gap", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, o long").repartition(5)
+    got = {(r.k, r.o): r.n for r in ordering.numbered(df, ["k"], ["o"]).collect()}
+    assert got == {("hot", i): i + 1 for i in range(1500)} | {(None, 5): 1, ("one", 9): 1, ("gap", 1): 1}
+    ordered = sorted(v for k, v, _ in rows if k == "hot")
+    found = {r.k: (r.p50, r.p99) for r in ordering.percentiles(df, "k", "v", (50, 99)).collect()}
+    assert found["hot"] == tuple(ordered[min(1499, math.floor(p / 100 * 1500))] for p in (50, 99)) and found["one"] == (3.0, 3.0) and "gap" not in found
+
+
+def test_kinds_deleted(spark):
+    documents = spark.createDataFrame([("d1", "a"), ("d2", "a"), ("d3", "b"), ("d4", "c")], "document string, kind string")
+    chunks = spark.createDataFrame([(1, "d1"), (2, "d2"), (3, "d3"), (4, "d3")], "id long, document string")
+    qa = spark.createDataFrame([(1, [1, 2]), (2, [1])], "qa_id long, citations array<long>")
+    kinds = spark.createDataFrame([("a",), ("b",), ("c",), ("zzz",)], "kind string")
+    for force, left in ((False, {"d1", "d2"}), (True, set())):
+        docs_left, chunks_left, report, events = lifecycle.kinds_deleted(documents, chunks, qa, kinds, F.lit("t"), force)
+        assert {r.document for r in docs_left.collect()} == left and {r.document for r in chunks_left.collect()} == left
+        assert {r.kind: (r.documents, r.chunks, r.cited_qa, r.distinct_qa, r.blocked) for r in report.collect()} == {"a": (2, 2, 3, 2, not force), "b": (1, 2, 0, 0, False), "c": (1, 0, 0, 0, False)}
+        assert events.count() == (3 if force else 2)
+
+
+def test_edits_are_segmented_anew(spark):
+    rows = spark.createDataFrame([(1, "old", "old", 1, "en", "pending", [1.0]), (2, "x", "x", 1, "en", "pending", [1.0])], "id long, content string, content_norm string, token_count int, lang string, review string, embedding array<float>")
+    actions = spark.createDataFrame([(1, "edit", " ບັນຊີ  ກ "), (2, "edit", "  ")], "id long, action string, content string")
+    out, jobs = lifecycle.reviewed(rows, actions)
+    got = {r.id: r for r in out.collect()}
+    assert (got[1].content_norm, got[1].token_count, got[1].lang, got[1].review, got[1].embedding) == ("ບັນຊີ ກ", 2, "lo", "edited", None)
+    assert (got[2].content, got[2].review) == ("x", "pending") and [r.id for r in jobs.collect()] == [1]
+
+
+def test_claims(spark):
+    rows = [(1, "pending", 5, 0, 5, None), (2, "running", 3, 1, 5, 1), (3, "done", 1, 0, 5, None), (4, "pending", 2, 5, 5, None), (5, "pending", 99, 0, 5, None), (6, "pending", 3, 0, 5, None)]
+    jobs = spark.createDataFrame(rows, "job_id long, status string, run_after long, attempts int, max_attempts int, locked_at long")
+    after, taken = queue.claimed(jobs, F.lit(10).cast("long"), 2)
+    assert [r.job_id for r in queue.runnable(jobs, F.lit(10), 9).collect()] == [2, 6, 1]
+    assert {r.job_id for r in taken.collect()} == {2, 6}
+    assert {r.job_id: (r.status, r.locked_at) for r in after.collect()} == {1: ("pending", None), 2: ("running", 10), 3: ("done", None), 4: ("pending", None), 5: ("pending", None), 6: ("running", 10)}
+
+
+def test_batched_map(spark):
+    made = queue.mapped_in_batches(spark.range(100).repartition(3), lambda xs: [len(xs)] * len(xs), "id", "n", "long", 8).collect()
+    assert {r.id for r in made} == set(range(100)) and max(r.n for r in made) == 8
+
+
+def test_agent_requests(spark):
+    asked = [(1, "accounting", "clerk", "what of 41011 and 4102 in blue"), (2, "tax", "clerk", ""), (3, "payroll", "clerk", ""), (4, "law", "clerk", ""), (5, "tax", "guest", ""), (6, None, "clerk", "")]
+    q = spark.createDataFrame(asked, "query_id long, domain string, role string, text string")
+    assert {r.query_id: r.s for r in q.select("query_id", assist.request_status(F.col("domain"), F.col("role")).alias("s")).collect()} == {1: 200, 2: 422, 3: 409, 4: 404, 5: 404, 6: 404}
+    chart = spark.createDataFrame([("410110",), ("41011",), ("410",), ("4102",)], "code string")
+    found = assist.tool_calls(q.where("query_id = 1"), chart, spark.createDataFrame([("Blue",), ("red",)], "term string")).collect()
+    assert {(r.tool, r.input, tuple(r.found)) for r in found} == {("chart search", "41011", ("41011", "410110")), ("chart search", "4102", ("4102",)), ("glossary lookup", asked[0][3], ("Blue",))}
+
+
+def test_account_names(spark):
+    rows = spark.createDataFrame([("411 Cash — x", "411"), ("Bank", "411"), ("4112", "411")], "c string, code string")
+    assert [r.n for r in rows.select(curation.account_name(F.col("c"), F.col("code")).alias("n")).collect()] == ["Cash", "Bank", "2"]

@@ -63,3 +63,49 @@ def test_titles(spark):
     assert of(spark, " \n", fn.title_of) == "New conversation"
     assert of(spark, "a" * 60 + "\nrest", fn.title_of) == "a" * 48 + "…"
     assert of(spark, "ບໍລິສັດ ABC ຈຳກັດ", fn.core_name) == "ABC"
+
+
+def test_small_helpers(spark):
+    from sheafmill.operators import filters, model
+    from sheafmill.sources import files, tables
+
+    one = lambda c, **cols: spark.range(1).select(*[F.lit(v).alias(k) for k, v in cols.items()]).select(c.alias("x")).first().x
+    assert [one(files.source_kind(F.col("p")), p=p) for p in ("a.MD", "b.markdown", "c.docx", "d.txt")] == ["markdown", "markdown", "docx", "other"]
+    assert [one(model.path_escapes(F.col("p")), p=p) for p in ("/a", "a/../b", "a..b/c", "a/b")] == [True, True, False, False]
+    assert one(filters.with_default_first(F.array(F.lit("a")), "a")) == ["a"] and one(filters.with_default_first(F.array(F.lit("a")), "b")) == ["b", "a"]
+    names = spark.createDataFrame([("qwen",), ("",), (None,), ("nomic-embed",), ("llama",)], "name string")
+    assert [r.name for r in tables.models(names).collect()] == ["llama", "qwen"]
+    lines = spark.createDataFrame([('{"response":"a","done":false}',), ("",), ("bad",), ('{"done":true}',)], "value string")
+    assert [tuple(r) for r in files.token_lines(lines).collect()] == [("a", False), ("", True)]
+    accounts = spark.createDataFrame([("4", None), ("41", "4"), ("411", "41")], "code string, parent_code string")
+    assert {r.code: r.ancestors for r in model.ancestors(accounts).collect()} == {"4": [], "41": ["4"], "411": ["41", "4"]}
+    assert model.split_fields("a array<struct<b: int, c: int>>, d decimal(5,4)") == ["a array<struct<b: int, c: int>>", "d decimal(5,4)"]
+    made = model.conformed(spark.createDataFrame([("x", "y", "7")], "id string, conversation_id string, role string"), "message")
+    assert (made.columns[:3], made.first().role, made.first().text) == (["id", "conversation_id", "role"], "7", None)
+    threads = spark.sql("SELECT 'a' AS id, TIMESTAMP '2024-01-01' AS updated_at UNION ALL SELECT 'b', TIMESTAMP '2024-01-02'")
+    said = spark.sql("SELECT 'a' AS conversation_id, TIMESTAMP '2024-01-03' AS created_at")
+    assert [r.id for r in model.with_recency(threads, said).collect()] == ["a", "b"]
+
+
+def test_text_files(spark, tmp_path):
+    from sheafmill.sources import files, tables
+
+    (tmp_path / "a.txt").write_bytes("ກ".encode("utf-16"))
+    (tmp_path / "b.txt").write_bytes(b"plain")
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in files.text_files(spark, str(tmp_path)).collect()} == {"a.txt": "ກ", "b.txt": "plain"}
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert tables.scan(spark, str(tmp_path), "t").count() == 3
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from sheafmill.sources import shared
+
+    on_cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(on_cluster)
+    path = shared.written(spark.range(2), "test").inputFiles()[0]
+    assert path.startswith("file:")

@@ -2,49 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafmill.sources.shared import Scratch, fresh_path, shared_dir, small_or_shuffled, written
+
+__all__ = ["BLANKS", "BLANK_RUN", "Scratch", "fresh_path", "let", "load", "n_words", "shared_dir", "small_batches", "small_or_shuffled", "words", "written"]
+
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+` words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
-_local_dir: str | None = None
-
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); only where it is unset, as in tests, one of our own."""
-    global _local_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _local_dir = _local_dir or tempfile.mkdtemp(prefix="sheafmill-")
-        base = f"file://{_local_dir}"
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_or_shuffled(df: DataFrame, most_rows: int) -> DataFrame:
-    """`df` (a written table of narrow rows) with a broadcast hint if it has at most `most_rows` rows; else unhinted,
-    so that the join shuffles, and adaptive execution splits its hot keys."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Within it, tables go to Python in batches of up to `size`, so that a worker's memory is small whatever the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def let(value: Column, body) -> Column:

@@ -10,6 +10,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
+#: Texts are hashed in pieces of about so many bytes, so that the tables of powers stay small.
+PIECE = 1 << 20
+
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -31,6 +34,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash of each word `[^\\x20\\x09-\\x0D]+` of a UTF-8 text with A-Z in lower case."""
     raw = np.frombuffer(text.translate(LOWER), np.uint8)
+    if len(raw) <= PIECE:
+        return piece_hashes(raw)
+    blanks = np.nonzero(IS_BLANK[raw])[0]
+    cuts = np.unique(np.append(blanks, len(raw))[np.minimum(np.searchsorted(blanks, np.arange(PIECE, len(raw), PIECE)), len(blanks))])
+    return np.concatenate([piece_hashes(x) for x in np.split(raw, cuts)])
+
+
+def piece_hashes(raw: np.ndarray) -> np.ndarray:
     blank = np.concatenate([[True], IS_BLANK[raw], [True]])
     edges = np.nonzero(blank[1:] != blank[:-1])[0]
     starts, ends = edges[::2], edges[1::2]

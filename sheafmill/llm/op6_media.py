@@ -5,8 +5,8 @@ zero, between the least and the greatest chunk size, so equal passages give equa
 named by SHA-256; a chunk that occurs twice or more in the corpus goes once into the chunk table, any other stays in
 its file's row, and the row's ordered chunk list rebuilds the file by a join. Every chunk and file is verified by digest.
 
-Which chunks recur is found by a shuffle of digests alone; the writers get it as a Bloom filter of fixed size (1 MB). Its
-false positives only send a lone chunk to the chunk table. So bytes of lone chunks are never shuffled.
+Which chunks recur is found by a shuffle of digests alone, with the text and place that first have each. Joined back by text, this tells
+the writer of a file which places are shared, and which of them it has to give to the chunk table; lone chunks stay in their rows.
 
 Defined cases: null and empty texts have a payload of 192 blanks; equal texts give equal values, whatever else stands in their
 rows; repeated rows are returned each; no rows give none; other columns are not read.
@@ -28,12 +28,12 @@ from sheafmill.llm import common
 
 PAD_TO, RATE = 192, 8000
 LEAST, MOST, CUT_BITS = 256, 8192, 11
-FILTER_BITS = 23
 GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Rows of rebuilt values, about 300 bytes each; broadcast up to so many, shuffled beyond.
-BROADCAST_ROWS = 10_000
+#: Rows of rebuilt values (about 300 bytes each) and of texts' shared places (32 bytes, and 8 a place; under 0.1 KB on average, as long
+#: texts are few); broadcast up to so many, shuffled beyond.
+BROADCAST_ROWS, BROADCAST_TEXTS = 10_000, 200_000
 
-MEDIA = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, digests array<binary>, sizes array<int>, shared array<boolean>, own binary"
+MEDIA = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, digests array<binary>, sizes array<int>, shared array<boolean>, own binary, given array<struct<digest: binary, chunk: binary>>"
 VALUES = "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
@@ -75,49 +75,44 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()
 
 
-def slot(name: bytes) -> int:
-    return int.from_bytes(name[:4], "big") >> (32 - FILTER_BITS)
-
-
-def recurring_filter(texts: DataFrame) -> bytes:
-    """The Bloom filter of the digests that occur twice or more."""
+def shared_places(texts: DataFrame) -> DataFrame:
+    """(key, places) of the texts that have chunks which occur twice or more in the corpus: place by place, and whether the text is the one
+    that gives it to the chunk table. A digest's texts are aggregated before the shuffle."""
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [digest(c) for t in batch["text"] for c in cut(wav(payload_of(t)))]
-            yield pd.DataFrame({"digest": found, "slot": [slot(d) for d in found]})
+            yield pd.DataFrame({"key": batch["key"], "digests": [[digest(c) for c in cut(wav(payload_of(t)))] for t in batch["text"]]})
 
-    again = texts.mapInPandas(names, "digest binary, slot int").groupBy("digest").agg(F.min("slot").alias("slot"), F.count("*").alias("n")).where("n > 1")
-    bits = again.groupBy(F.shiftright("slot", 3).alias("at")).agg(F.expr("bit_or(shiftleft(1, slot & 7))").alias("bits"))
-    out = bytearray(1 << (FILTER_BITS - 3))
-    for row in bits.collect():
-        out[row["at"]] = row["bits"]
-    return bytes(out)
+    cuts = common.written(texts.select("key", "text").mapInPandas(names, "key binary, digests array<binary>"), "op6-cuts")
+    chunks = cuts.select("key", F.posexplode("digests").alias("place", "digest"))
+    recurring = chunks.groupBy("digest").agg(F.min(F.struct("key", "place")).alias("giver"), F.count("*").alias("n")).where("n > 1").select("digest", "giver")
+    once = cuts.groupBy("key").agg(F.first("digests").alias("digests")).select("key", F.posexplode("digests").alias("place", "digest"))
+    found = once.join(common.written(recurring, "op6-recurring"), "digest")
+    gives = (F.col("giver.key") == F.col("key")) & (F.col("giver.place") == F.col("place"))
+    return common.written(found.groupBy("key").agg(F.collect_list(F.struct("place", gives.alias("gives"))).alias("places")), "op6-places")
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, chunks): a written row a document, and a written row a recurring chunk."""
+    """(files, chunks): a written row a document, and a row a recurring chunk."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    bits = recurring_filter(texts.select("text"))
-    recurs = lambda name: bool(bits[slot(name) >> 3] >> (slot(name) & 7) & 1)
+    texts = texts.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)))
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
+                gives = {int(x["place"]): bool(x["gives"]) for x in places} if places is not None else {}
                 media = wav(payload_of(text))
                 chunks = cut(media)
                 names = [digest(c) for c in chunks]
-                shared = [recurs(d) for d in names]
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(text or b""), len(media), hashlib.sha256(media).hexdigest(), names, [len(c) for c in chunks], shared, b"".join(c for c, s in zip(chunks, shared, strict=True) if not s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "sizes", "shared", "own"]).astype({"doc_id": "Int64"})
-
-    def recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = {d: c for t in batch["text"] for c in cut(wav(payload_of(t))) if recurs(d := digest(c))}
-            yield pd.DataFrame({"digest": list(found), "chunk": list(found.values())})
-
-    kept = common.written(texts.mapInPandas(files, MEDIA), "op6-files")
-    return kept, common.written(texts.select("text").mapInPandas(recurring, "digest binary, chunk binary").dropDuplicates(["digest"]), "op6-chunks")
+                own = b"".join(c for k, c in enumerate(chunks) if k not in gives)
+                given = [{"digest": names[k], "chunk": chunks[k]} for k, mine in gives.items() if mine]
+                rows.append((None if pd.isna(doc_id) else int(doc_id), len(text or b""), len(media), hashlib.sha256(media).hexdigest(), names, [len(c) for c in chunks], [k in gives for k in range(len(chunks))], own, given))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "sizes", "shared", "own", "given"]).astype({"doc_id": "Int64"})
+
+    places = common.small_or_shuffled(shared_places(texts), BROADCAST_TEXTS)
+    kept = common.written(texts.join(places, "key", "left").select("doc_id", "text", "places").mapInPandas(files, MEDIA), "op6-files")
+    given = kept.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.*")
+    return kept.drop("given"), given.dropDuplicates(["digest"])
 
 
 def feature(payload: bytes) -> str:

@@ -50,15 +50,20 @@ def has_letter(text: str | None) -> bool:
 
 
 def codewords(n: int, extra: int = EXTRA_BITS) -> np.ndarray:
-    """A row of -1 and 1 for each of n languages: one bit a language, and further bits that split them evenly and differ most."""
-    random = np.random.default_rng(n)
+    """A row of -1 and 1 for each of n languages, no column or its opposite twice. If there are few ways to split them, all; else one bit
+    a language, and further bits that split them evenly and differ most."""
     own = 2 * np.eye(n, dtype=int) - 1
-    tried = [np.where(np.argsort(random.random(n)) < n // 2, 1, -1) for _ in range(40 * extra)] if n > 2 else []
+    if n < 3:
+        return own[:, :1]
+    if 2 ** (n - 1) - 1 <= n + extra:
+        return np.array([[1 if not k else 2 * (bits >> (k - 1) & 1) - 1 for bits in range(2 ** (n - 1) - 1)] for k in range(n)])
+    random = np.random.default_rng(n)
+    tried = [np.where(np.argsort(random.random(n)) < n // 2, 1, -1) for _ in range(40 * extra)]
     more: list[np.ndarray] = []
-    for _ in range(extra if tried else 0):
+    for _ in range(extra):
         agree = [max((abs(int(t @ m)) for m in more), default=0) for t in tried]
         more.append(tried[int(np.argmin(agree))])
-    return np.column_stack([own, *more]) if more else own
+    return np.column_stack([own, *more])
 
 
 class Decoder:
@@ -99,7 +104,7 @@ def trained(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Decoder:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 if has_letter(text):
-                    sums[lang] = sums.get(lang, 0) + np.minimum(slot_counts(text), 50)
+                    sums[lang] = sums.get(lang, 0) + slot_counts(text)
         for lang, total in sums.items():
             yield pd.DataFrame({"lang": lang, "slot": np.nonzero(total)[0], "n": total[total > 0]})
 

@@ -82,5 +82,10 @@ def backoff_seconds(attempts: Column, base: int = 5) -> Column:
     return (base * F.pow(F.lit(2.0), attempts)).cast("long")
 
 
+def http_backoff_ms(attempts: Column, key: Column, base: int = 250) -> Column:
+    """Doubling from `base`, and up to as much again less one by a hash of the key and the attempt, so that a rerun waits alike."""
+    return (base * F.pow(F.lit(2.0), attempts)).cast("long") + F.pmod(F.xxhash64(key, attempts), F.lit(base))
+
+
 def clamp(x: Column, low: int, high: int, default: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(x, F.lit(default))))

@@ -80,20 +80,26 @@ def abstention(answers: DataFrame, marks: str = "(?i)not in the sources|cannot a
     return answers.agg(F.count("*").alias("n"), F.round(F.avg(F.col("text").rlike(marks).cast("int")), 4).alias("rate"))
 
 
-# Domains with their state, roles and tools.
-DOMAINS = {"accounting": ("active", ("accountant", "auditor", "clerk"), ("chart search", "glossary lookup")), "tax": ("active", ("accountant", "tax adviser"), ("glossary lookup",)), "payroll": ("planned", ("clerk",), ())}
-ROLES = ("accountant", "auditor", "tax adviser", "clerk")
+# Roles, tools, collections and domains by state; only active domains have any of them.
+ROLES = ("accountant", "auditor", "financial_consultant", "erp_consultant", "bookkeeper", "cfo_assistant", "tax_advisor", "financial_analyst")
+TOOLS = ("coa_search", "glossary_lookup", "vat_calc", "doc_search")
+COLLECTIONS = ("lao-accounting-law", "coa", "tax", "sop", "lao-style")
+ACTIVE = {"accounting": (ROLES, TOOLS, COLLECTIONS)}
+PLANNED = (
+    "lao-tax", "ifrs", "financial-reporting", "inventory", "pos", "purchasing", "sales", "crm", "payroll", "hr", "fixed-assets", "banking", "treasury", "manufacturing", "projects", "hotel", "restaurant",
+    "dms", "bi", "sysadmin",
+)
 LOOKED_UP = 60
 
 
 def request_status(domain: Column, role: Column) -> Column:
     """200, or why a request (domain, role) is refused: 404 for an unknown one, 409 for a domain that is only planned, 422 for a role that
     the domain hasn't."""
-    active = [k for k, (state, _, _) in DOMAINS.items() if state == "active"]
     allowed = F.lit(False)
-    for k, (_, roles, _) in DOMAINS.items():
+    for k, (roles, _, _) in ACTIVE.items():
         allowed = allowed | ((domain == k) & role.isin(*roles))
-    return F.when(~F.coalesce(domain.isin(*DOMAINS), F.lit(False)), 404).when(~domain.isin(*active), 409).when(~F.coalesce(role.isin(*ROLES), F.lit(False)), 404).when(~allowed, 422).otherwise(200)
+    known = F.coalesce(domain.isin(*ACTIVE, *PLANNED), F.lit(False))
+    return F.when(~known, 404).when(domain.isin(*PLANNED), 409).when(~F.coalesce(role.isin(*ROLES), F.lit(False)), 404).when(~allowed, 422).otherwise(200)
 
 
 def tool_calls(requests: DataFrame, chart: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
@@ -101,15 +107,15 @@ def tool_calls(requests: DataFrame, chart: DataFrame, terms: DataFrame, most: in
     terms in its first `LOOKED_UP` characters, `most` of each. Requests have query_id, domain, text; the chart code; terms term."""
     from sheafmill.operators import curation
 
-    with_tool = lambda tool: [k for k, (_, _, tools) in DOMAINS.items() if tool in tools]
-    asked = requests.where(F.col("domain").isin(*with_tool("chart search"))).select("query_id", F.explode(texts.account_codes_in(F.col("text"))).alias("input"))
+    with_tool = lambda tool: [k for k, (_, tools, _) in ACTIVE.items() if tool in tools]
+    asked = requests.where(F.col("domain").isin(*with_tool("coa_search"))).select("query_id", F.explode(texts.account_codes_in(F.col("text"))).alias("input"))
     openings = chart.select("code", F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.substr("code", F.lit(1), n))).alias("input")).distinct()
     accounts = numbered(asked.join(openings, "input"), ["code"], by=("query_id", "input")).where(F.col("n") <= most)
-    accounts = accounts.groupBy("query_id", "input").agg(F.array_sort(F.collect_list("code")).alias("found")).select("query_id", F.lit("chart search").alias("tool"), "input", "found")
+    accounts = accounts.groupBy("query_id", "input").agg(F.array_sort(F.collect_list("code")).alias("found")).select("query_id", F.lit("coa_search").alias("tool"), "input", "found")
     opening = F.substring("text", 1, LOOKED_UP)
-    looked = requests.where(F.col("domain").isin(*with_tool("glossary lookup"))).select("query_id", opening.alias("text"))
+    looked = requests.where(F.col("domain").isin(*with_tool("glossary_lookup"))).select("query_id", opening.alias("text"))
     named = numbered(curation.substrings_in(looked, terms), ["term"]).where(F.col("n") <= most)
-    named = named.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("found")).join(looked, "query_id").select("query_id", F.lit("glossary lookup").alias("tool"), F.col("text").alias("input"), "found")
+    named = named.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("found")).join(looked, "query_id").select("query_id", F.lit("glossary_lookup").alias("tool"), F.col("text").alias("input"), "found")
     return accounts.unionByName(named)
 
 
@@ -122,7 +128,34 @@ def cited(qa: DataFrame, rows: DataFrame) -> DataFrame:
     return qa.join(top, "qa_id", "left").select("qa_id", F.when(F.size("citations") > 0, F.col("citations")).otherwise(F.coalesce("_hit", F.array().cast("array<bigint>"))).alias("citations"))
 
 
+def faithfulness(answers: DataFrame, *by: str) -> DataFrame:
+    """Number and mean of judged scores (score, 1 to 5) as shares of 5, by group."""
+    return answers.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("score") / 5), 4).alias("faithfulness"))
+
+
+def parsed(answer: Column, schema: str, /, **defaults: str) -> Column:
+    """The fields of a model's JSON answer, with defaults for those that are absent, and the start of an answer that isn't such as `error`."""
+    found = F.from_json(answer, schema)
+    fields = [f.split()[0] for f in schema.split(", ")]
+    empty = F.forall(F.array(*[found[f].isNull() for f in fields]), lambda x: x)
+    return F.struct(*[F.coalesce(found[f], F.lit(defaults.get(f))).alias(f) for f in fields], F.when(empty, F.substring(answer, 1, 500)).alias("error"))
+
+
+def checked_texts(rows: DataFrame, dictionary: DataFrame, letters: str, forbidden: list[str], key: str = "id", text: str = "content") -> DataFrame:
+    """(key, words, unknown, forbidden): how many different words of the script a text has in its normal form, how many of them the dictionary (word)
+    lacks, and which listed forms it holds."""
+    from sheafmill.operators import curation
+
+    normal = rows.select(key, texts.normalised(F.col(text)).alias("content"))
+    words = normal.select(key, F.explode(F.array_distinct(texts.tokens(F.col("content")))).alias("word")).where(F.col("word").rlike(f"[{texts.LAO}]"))
+    checked = curation.spell_checked(words, dictionary, letters, texts.LAO)
+    counts = words.join(checked, "word").groupBy(key).agg(F.count("*").alias("words"), F.count_if(~F.col("in_dictionary")).alias("unknown"))
+    hits = curation.forbidden_in(normal, forbidden, key, "content").groupBy(key).agg(F.array_sort(F.collect_list("form")).alias("forbidden"))
+    out = normal.select(key).join(counts, key, "left").join(hits, key, "left").fillna(0, ["words", "unknown"])
+    return out.withColumn("forbidden", F.coalesce("forbidden", F.array().cast("array<string>")))
+
+
 def canonical(spark: SparkSession) -> DataFrame:
-    """The library's own lists: roles, tools and domains, by kind."""
-    rows = [("role", r) for r in ("accountant", "auditor", "tax adviser", "clerk")] + [("tool", t) for t in ("chart search", "glossary lookup", "vat", "document search")] + [("domain", d) for d in ("accounting", "tax")]
+    """The fixed lists by kind: domains, roles, tools and collections."""
+    rows = [("domain", d) for d in (*ACTIVE, *PLANNED)] + [("role", r) for r in ROLES] + [("tool", t) for t in TOOLS] + [("collection", c) for c in COLLECTIONS]
     return spark.createDataFrame(rows, "kind string, name string")

@@ -55,3 +55,12 @@ def newest_version(rows: DataFrame) -> DataFrame:
     """The newest row a file by version numbers."""
     parts = F.transform(F.split("version", "\\."), lambda x: x.cast("int"))
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy(F.desc(parts)))).where("_k = 1").drop("_k")
+
+
+def data_card(files: DataFrame, chunks: DataFrame, version: str) -> DataFrame:
+    """(place, line) of a dataset's card, from its manifest and its chunks: some lines, whatever the dataset's size."""
+    per = files.select(F.concat(F.lit("1/"), "file").alias("place"), F.concat(F.lit("| "), "file", F.lit(" | "), F.col("records").cast("string"), F.lit(" | "), F.col("bytes").cast("string"), F.lit(" | "), "sha256", F.lit(" |")).alias("line"))
+    told = chunks.groupBy(F.coalesce("license", F.lit("internal")).alias("license")).agg(F.count("*").alias("n"))
+    per_license = told.select(F.concat(F.lit("3/"), "license").alias("place"), F.concat(F.lit("- "), "license", F.lit(": "), F.col("n").cast("string"), F.lit(" chunks")).alias("line"))
+    fixed = [("0", f"# Data card, version {checked_version(version)}"), ("1", "| file | records | bytes | sha256 |"), ("2", "Licenses of the sources:")]
+    return files.sparkSession.createDataFrame(fixed, "place string, line string").unionByName(per).unionByName(per_license)

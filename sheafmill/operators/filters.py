@@ -60,6 +60,20 @@ def problems(**checks: Column) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
 
 
+def within(value: Column, low: int, high: int) -> Column:
+    """Whether an optional number is in its bounds; an absent one is."""
+    return F.coalesce(value.between(low, high), F.lit(True))
+
+
+def long_enough(value: Column, least: int = 1) -> Column:
+    return F.coalesce(F.length(value) >= least, F.lit(False))
+
+
+def request_problems(query: Column, k: Column) -> Column:
+    """What is wrong with a search request: its query needs a character, its k lies from 1 to 50."""
+    return problems(query=long_enough(query), k=within(k, 1, 50))
+
+
 def is_choice(value: Column, name: str) -> Column:
     return value.isin(*CHOICES[name])
 

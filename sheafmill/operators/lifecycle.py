@@ -136,3 +136,16 @@ def newest_kept(rows: DataFrame, n: int, order: Sequence[Column], by: Sequence[s
 def fully_embedded(chunks: DataFrame) -> DataFrame:
     """Collections without a pending embedding."""
     return chunks.groupBy("collection").agg(F.count_if(F.col("embedding").isNull()).alias("left_over")).where("left_over = 0").select("collection")
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Chunks whose pending embeddings are set from vectors (key, vector), and (collection, status): `embedded` where none is pending any more."""
+    found = vectors.select(F.col(key).alias("_key"), F.col("vector").alias("_vector"))
+    out = chunks.join(found, chunks[key] == found["_key"], "left").withColumn("embedding", F.coalesce("embedding", "_vector")).select(*chunks.columns)
+    status = F.when(F.count_if(F.col("embedding").isNull()) == 0, "embedded").otherwise("chunked")
+    return out, out.groupBy("collection").agg(status.alias("status"), F.count("*").alias("n"))
+
+
+def put(base: DataFrame, objects: DataFrame) -> DataFrame:
+    """Objects (key, content) added to a store by content key: what is there stays, whatever is put again."""
+    return base.unionByName(objects.dropDuplicates(["key"]).join(base.select("key"), "key", "left_anti").select(*base.columns))

@@ -65,6 +65,12 @@ def with_recency(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return conversations.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "last")).drop("last").orderBy(F.desc("updated_at"), "id")
 
 
+def messages_added(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations with their recency, all messages, and an audit event for each new one (conversation_id, role, created_at ...)."""
+    added = messages.unionByName(new.select(*messages.columns))
+    return with_recency(conversations, new), added, audit(new, "message.created", F.col("created_at"), "conversation_id", "role", "created_at")
+
+
 def ancestors(accounts: DataFrame, most: int = 12) -> DataFrame:
     """(code, ancestors): the chain of parent codes, nearest first, by one self join a level."""
     parents = accounts.select(F.col("code").alias("_c"), F.col("parent_code").alias("_p"))

@@ -40,7 +40,7 @@ def question_intents(spark, sf_dir):
 def requests(spark, sf_dir):
     """Documents as requests of domains and roles in turn."""
     pick = lambda xs, by: F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
-    return T(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), pick(["accounting", "tax", "payroll", "law"], F.col("doc_id")).alias("domain"), pick(["accountant", "auditor", "tax adviser", "clerk", "guest"], F.col("doc_id")).alias("role"), "text")
+    return T(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), pick(["accounting", "accounting", "payroll", "law"], F.col("doc_id")).alias("domain"), pick(["accountant", "auditor", "tax_advisor", "bookkeeper", "guest"], F.col("doc_id")).alias("role"), "text")
 
 
 def agent_requests(spark, sf_dir):
@@ -60,6 +60,19 @@ def abstention_rate(spark, sf_dir):
     return ops.abstention(m.withColumn("text", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("That is Not in the Sources. "), "text")).otherwise(F.col("text"))))
 
 
+def customers_named(spark, sf_dir):
+    """Questions about orders that name their customer."""
+    names = T(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer"))
+    asked = T(spark, sf_dir, "orders").join(names, F.col("o_custkey") == F.col("customer_id")).where("o_orderstatus = 'P'")
+    questions = asked.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("what does "), "customer", F.lit(" owe for it")).alias("text"))
+    return ops.customers_named(questions, names)
+
+
+def faithfulness(spark, sf_dir):
+    scored = T(spark, sf_dir, "events").select("event_type", ops.judged(F.replace("props", F.lit('"k"'), F.lit('"score"'))).alias("x"))
+    return ops.faithfulness(scored.select("event_type", "x.score"), "event_type")
+
+
 def judge_answers(spark, sf_dir):
     """Event payloads read as judges' answers."""
     return T(spark, sf_dir, "events").select("event_id", ops.judged(F.replace("props", F.lit('"k"'), F.lit('"score"'))).alias("x")).select("event_id", F.col("x.score").cast("long").alias("score"))
@@ -74,22 +87,23 @@ def ingest_preview(spark, sf_dir):
     return ingest.previewed(A.chunks(spark, sf_dir).select("id", "collection", "content"))
 
 
-QUERIES = {f.__name__: f for f in (chat_prompts, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, judge_answers, ingest_documents, ingest_preview)}
+QUERIES = {f.__name__: f for f in (chat_prompts, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, ingest_preview)}
 
 ORACLE = {
     "promoted_answers": "SELECT * FROM (SELECT conv_id, turn, (SELECT u.text FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn ORDER BY u.turn DESC LIMIT 1) AS question, false AS verified FROM conversations c WHERE role = 'assistant') WHERE question IS NOT NULL",
     "question_intents": r"""WITH documents_ AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' outstanding for INV-' || doc_id || '?' WHEN 1 THEN ' Trial  balance' ELSE '' END AS text FROM documents)
 SELECT doc_id, tool, argument FROM (SELECT doc_id, 'outstanding' AS tool, NULL AS argument, regexp_matches(text, '(?i)outstanding') AS hit FROM documents_
 UNION ALL SELECT doc_id, 'trial_balance', NULL, regexp_matches(text, '(?i)trial\s*balance') FROM documents_ UNION ALL SELECT doc_id, 'invoice_lookup', regexp_extract(text, '(?i)INV-\S+'), regexp_matches(text, '(?i)INV-\S+') FROM documents_) WHERE hit""",
-    "agent_requests": """SELECT doc_id AS query_id, CASE WHEN doc_id % 4 = 3 THEN 404 WHEN doc_id % 4 = 2 THEN 409 WHEN doc_id % 5 = 4 THEN 404
-  WHEN (doc_id % 4 = 0 AND doc_id % 5 IN (0, 1, 3)) OR (doc_id % 4 = 1 AND doc_id % 5 IN (0, 2)) THEN 200 ELSE 422 END::INT AS status FROM documents""",
-    "agent_tools": r"""WITH a AS (SELECT doc_id, doc_id % 4 AS domain, text FROM documents WHERE (doc_id % 4 = 0 AND doc_id % 5 IN (0, 1, 3)) OR (doc_id % 4 = 1 AND doc_id % 5 IN (0, 2))),
-x AS (SELECT doc_id, m, min(i) AS i FROM (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\b\d{4,6}\b') AS ms FROM a WHERE domain = 0)) GROUP BY doc_id, m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 3),
+    "agent_requests": """SELECT doc_id AS query_id, CASE WHEN doc_id % 4 = 3 THEN 404 WHEN doc_id % 4 = 2 THEN 409 WHEN doc_id % 5 = 4 THEN 404 ELSE 200 END::INT AS status FROM documents""",
+    "agent_tools": r"""WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 < 2 AND doc_id % 5 < 4),
+x AS (SELECT doc_id, m, min(i) AS i FROM (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\b\d{4,6}\b') AS ms FROM a)) GROUP BY doc_id, m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 3),
 c AS (SELECT DISTINCT (p_partkey + 1000)::VARCHAR AS code FROM part), h AS (SELECT doc_id, m, code FROM x JOIN c ON starts_with(code, m) QUALIFY row_number() OVER (PARTITION BY doc_id, m ORDER BY code) <= 5),
 t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), g AS (SELECT doc_id, substr(text, 1, 60) AS input, term FROM a, t WHERE contains(lower(substr(text, 1, 60)), lower(term)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term) <= 5)
-SELECT doc_id AS query_id, 'chart search' AS tool, m AS input, string_agg(code, ',' ORDER BY code) AS found FROM h GROUP BY doc_id, m
-UNION ALL SELECT doc_id, 'glossary lookup', input, string_agg(term, ',' ORDER BY term) FROM g GROUP BY doc_id, input""",
+SELECT doc_id AS query_id, 'coa_search' AS tool, m AS input, string_agg(code, ',' ORDER BY code) AS found FROM h GROUP BY doc_id, m
+UNION ALL SELECT doc_id, 'glossary_lookup', input, string_agg(term, ',' ORDER BY term) FROM g GROUP BY doc_id, input""",
     "abstention_rate": "SELECT count(*) AS n, round(avg(CASE WHEN conv_id % 4 = 0 OR regexp_matches(text, '(?i)not in the sources|cannot answer|ບໍ່ພົບ') THEN 1 ELSE 0 END), 4) AS rate FROM conversations WHERE role = 'assistant'",
+    "customers_named": "SELECT o_orderkey AS query_id, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",
+    "faithfulness": "SELECT event_type, count(*) AS n, round(avg(greatest(1, least(5, coalesce((props->>'$.k')::INT, 1))) / 5), 4) AS faithfulness FROM events GROUP BY event_type",
     "judge_answers": "SELECT event_id, greatest(1, least(5, coalesce((props->>'$.k')::INT, 1)))::BIGINT AS score FROM events",
     "ingest_documents": "SELECT min(doc_id) AS id, source AS collection, sha256(text) AS sha256 FROM documents GROUP BY 2, 3",
 }

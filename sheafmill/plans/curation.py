@@ -194,6 +194,28 @@ def tenant_counts(spark, sf_dir):
     return filters.of_tenant(rows, "en", "src0").groupBy((F.col("n_chars") % 10).alias("part")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def vectors_set(spark, sf_dir):
+    """Every second pending chunk gets a vector; statuses by collection and fifty ids."""
+    rows = C(spark, sf_dir).withColumn("collection", F.concat("collection", F.lit("/"), F.floor(F.col("id") / 50).cast("string")))
+    vectors = rows.where("embedding IS NULL AND id % 2 = 0").select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    return lifecycle.with_vectors(rows, vectors)[1]
+
+
+def export_card(spark, sf_dir):
+    """A data card's lines for the shared export."""
+    rows = export.exportable(C(spark, sf_dir), shareable=True).withColumn("split", measures.split_name(measures.fnv1a_unit(F.col("collection"))))
+    card = export.data_card(export.manifest(export.lines(rows, ["id", "collection"], F.col("split"))), C(spark, sf_dir), "1.0.0")
+    return card.select("place", F.regexp_replace("line", "[0-9a-f]{64}", "hash").alias("line"))
+
+
+def text_checks(spark, sf_dir):
+    """Texts with words of the script in them, against a dictionary of one of those words."""
+    word, other = "ບັນຊີ", "ບັນຊຶ"
+    rows = C(spark, sf_dir).select("id", F.concat("content", F.lit(f" {word}  "), F.when(F.col("id") % 3 == 0, other).otherwise("")).alias("content"))
+    known = spark.createDataFrame([(word,)], "word string")
+    return assist.checked_texts(rows, known, "ກຂຄ", [other, "token ="]).select("id", "words", "unknown", F.array_join("forbidden", ",").alias("forbidden"))
+
+
 def cited_questions(spark, sf_dir):
     """Benchmark items as questions: every third names its citation, the others take the top hit for their two longest words."""
     items = T(spark, sf_dir, "benchmark")
@@ -211,7 +233,7 @@ QUERIES = {
     "doc_dedupe": lambda s, d: lifecycle.content_deduped(C(s, d)),
     "fully_embedded": lambda s, d: lifecycle.fully_embedded(C(s, d).withColumn("collection", F.concat("collection", F.lit("/"), F.floor(F.col("id") / 50).cast("string")))),
     "export_licenses": lambda s, d: export.licenses(C(s, d)),
-    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, kind_citations, kinds_deleted, document_delete, purge_but_one, account_names, verified_counts, verified_first, tenant_counts, cited_questions, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
+    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, kind_citations, kinds_deleted, document_delete, purge_but_one, account_names, verified_counts, verified_first, tenant_counts, vectors_set, export_card, text_checks, cited_questions, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
 }
 
 KINDS_SQL = """kc AS (SELECT p_partkey AS id, 'k' || p_partkey % 500 AS kind, p_brand || '/' || p_partkey % 500 AS document FROM part), kd AS (SELECT DISTINCT document, kind FROM kc),
@@ -245,6 +267,9 @@ UNION ALL SELECT source, count(*) FROM documents WHERE source IN ('src0', 'src3'
     "verified_counts": "SELECT p_type AS kind, count(*) AS n, count(*) FILTER (p_size > 25) AS verified FROM part GROUP BY p_type",
     "verified_first": "SELECT p_partkey AS id, p_name, p_size > 45 AS verified FROM part ORDER BY verified DESC, p_name, id LIMIT 50",
     "tenant_counts": "SELECT n_chars % 10 AS part, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE lang = 'en' AND source = 'src0' GROUP BY 1",
+    "vectors_set": f"WITH {A.CHUNKS_SQL} SELECT collection || '/' || (id // 50) AS collection, CASE WHEN count(*) FILTER (embedding IS NULL AND id % 2 = 1) = 0 THEN 'embedded' ELSE 'chunked' END AS status, count(*) AS n FROM chunks GROUP BY 1",
+    "text_checks": """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS words, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS unknown,
+  array_to_string(list_filter([CASE WHEN contains(text, 'token =') THEN 'token =' END, CASE WHEN doc_id % 3 = 0 THEN 'ບັນຊຶ' END], lambda x: x IS NOT NULL), ',') AS forbidden FROM documents""",
     "cited_questions": f"""WITH {A.CHUNKS_SQL}, bt AS (SELECT item_id AS query_id, t AS term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'))) AS t FROM benchmark WHERE item_id % 3 <> 0)
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(t) DESC, t) <= 2), {lexical_sql('h', 'chunks', 1, 'bt')}
 SELECT item_id AS qa_id, CASE WHEN item_id % 3 = 0 THEN item_id::VARCHAR ELSE coalesce(h.id::VARCHAR, '') END AS citations FROM benchmark LEFT JOIN h ON query_id = item_id""",
@@ -275,6 +300,9 @@ UNION ALL SELECT 'new', count(*), count(DISTINCT o_orderkey) FROM f""",
 l AS (SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'test' END AS file, id, '{{"id":' || id || ',"collection":"' || collection || '"}}' AS line FROM u),
 p AS (SELECT file, id // 65536 AS stretch, sha256(string_agg(sha256(line), '' ORDER BY id)) AS h, count(*) AS n, sum(strlen(line) + 1) AS b FROM l GROUP BY file, stretch)
 SELECT file, sum(n)::BIGINT AS records, sum(b)::BIGINT AS bytes, sha256(string_agg(h, '' ORDER BY stretch)) AS sha256 FROM p GROUP BY file""",
+    "export_card": "WITH m AS (@MANIFEST@), l AS (@LICENSES@) SELECT '0' AS place, '# Data card, version 1.0.0' AS line UNION ALL SELECT '1', '| file | records | bytes | sha256 |' UNION ALL SELECT '2', 'Licenses of the sources:' UNION ALL SELECT '1/' || file, '| ' || file || ' | ' || records || ' | ' || bytes || ' | hash |' FROM m UNION ALL SELECT '3/' || license, '- ' || license || ': ' || n || ' chunks' FROM l",
     "eval_set": """WITH a AS (SELECT (p_partkey % 997 + 100)::VARCHAR AS code, count(*) AS n_gold, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1)
 SELECT code, CASE WHEN row_number() OVER (ORDER BY code) % 2 = 1 THEN 'What is account ' || code || '?' ELSE 'Which code has ' || name || '?' END AS question, n_gold FROM a WHERE regexp_matches(code, '^[0-9]{3,6}$')""",
 }
+
+ORACLE["export_card"] = ORACLE["export_card"].replace("@MANIFEST@", ORACLE["export_manifest"]).replace("@LICENSES@", f"WITH {A.CHUNKS_SQL} SELECT license, count(*) AS n FROM chunks GROUP BY license")

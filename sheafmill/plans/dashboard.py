@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafmill.functions import texts
+from sheafmill.operators import assist
 from sheafmill.operators import dashboard as ops
 from sheafmill.operators import ordering
 from sheafmill.plans import adapters as A
@@ -12,13 +13,10 @@ from sheafmill.plans import adapters as A
 C, T = A.chunks, A.table
 NOW = "2024-01-30 12:00:00"
 
-#: Kinds a page set always offers, beside those that data hold.
-CANONICAL = ("accounting", "tax", "law", "policy", "src0")
-
 
 def list_collections(spark, sf_dir):
     """Distinct names of canonical, document and page-host collections, in order."""
-    fixed = spark.createDataFrame([(c,) for c in CANONICAL], "collection string")
+    fixed = assist.canonical(spark).where("kind = 'collection'").select(F.col("name").alias("collection"))
     docs = T(spark, sf_dir, "documents").select(F.col("source").alias("collection"))
     hosts = T(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("collection"))
     return fixed.union(docs).union(hosts).where("collection <> ''").distinct().orderBy("collection")
@@ -92,7 +90,7 @@ ORACLE = {
 SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN substr(text, 1, 300) ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM b WHERE back BETWEEN 2 AND 8""",
     "activity_latest": "SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 8",
     "recency_buckets": f"""SELECT CASE WHEN ts >= TIMESTAMP '2024-01-30' THEN 'today' WHEN ts >= TIMESTAMP '2024-01-29' THEN 'yesterday' WHEN ts >= TIMESTAMP '2024-01-23' THEN 'previous 7 days' ELSE 'older' END AS bucket, count(*) AS n FROM events GROUP BY 1""",
-    "list_collections": "SELECT DISTINCT c AS collection FROM (SELECT unnest(['accounting', 'tax', 'law', 'policy', 'src0']) AS c UNION ALL SELECT source FROM documents UNION ALL SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) FROM pages) WHERE c <> ''",
+    "list_collections": "SELECT DISTINCT c AS collection FROM (SELECT unnest(['lao-accounting-law', 'coa', 'tax', 'sop', 'lao-style']) AS c UNION ALL SELECT source FROM documents UNION ALL SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) FROM pages) WHERE c <> ''",
     "merged_sources": f"""WITH {A.INVOICES_SQL}, r AS (SELECT 'dataset' AS origin, 'doc:' || doc_id AS id, source AS part, doc_id AS o FROM documents UNION ALL SELECT 'erp', 'erp:' || ref, status, substr(ref, 5)::BIGINT FROM invoices
   UNION ALL SELECT 'web', 'web:' || page_id, 'web', page_id FROM pages) SELECT origin, id, part, row_number() OVER (PARTITION BY origin, part ORDER BY o) AS n FROM r""",
     "gaps_latest_question": r"""WITH a AS (SELECT conv_id, turn, text, (SELECT u.text FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn ORDER BY u.turn DESC LIMIT 1) AS question

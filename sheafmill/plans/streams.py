@@ -59,6 +59,12 @@ def job_claim(spark, sf_dir):
     return after.groupBy("status", F.col("locked_at").isNotNull().alias("locked")).agg(F.count("*").alias("n"), F.min("job_id").alias("first_id"), F.sum("job_id").alias("ids"))
 
 
+def progress_frames(spark, sf_dir):
+    """A user's events as states of a job that a purchase ends: how many frames a watcher is sent, and the last."""
+    e = T(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"))
+    return queue.frames_until_end(e, "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.count("*").alias("frames"), F.max_by("event_id", "frame").alias("last_id"), F.max_by("status", "frame").alias("status"))
+
+
 def batched_map(spark, sf_dir):
     """Token counts of texts made 32 texts at a time, as an embedder is called."""
     rows = T(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,7 +72,7 @@ def batched_map(spark, sf_dir):
     return made.select("doc_id", "n_bytes")
 
 
-QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, batched_map)}
+QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, progress_frames, batched_map)}
 
 ORACLE = {
     "job_state_fold": """WITH t AS (SELECT user_id AS job_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
@@ -79,6 +85,9 @@ SELECT *, CASE WHEN status = 'pending' THEN (5 * pow(2, failures))::BIGINT END A
 t AS (SELECT job_id FROM j WHERE status IN ('pending', 'running') AND run_after <= TIMESTAMP '2024-01-20 00:00:00' AND attempts < 5 ORDER BY run_after, job_id LIMIT 25),
 a AS (SELECT j.job_id, CASE WHEN t.job_id IS NOT NULL THEN 'running' ELSE status END AS status, t.job_id IS NOT NULL AS locked FROM j LEFT JOIN t USING (job_id))
 SELECT status, locked, count(*) AS n, min(job_id) AS first_id, sum(job_id)::BIGINT AS ids FROM a GROUP BY status, locked""",
+    "progress_frames": """WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS ends, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events),
+f AS (SELECT e.*, min(frame) FILTER (ends) OVER (PARTITION BY user_id) AS stop FROM e) SELECT user_id, count(*) AS frames, max_by(event_id, frame) AS last_id, CASE WHEN bool_or(ends) THEN 'done' ELSE 'running' END AS status
+FROM f WHERE frame <= least(coalesce(stop, 600), 600) GROUP BY user_id""",
     "batched_map": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
     "reply_streams": "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS sha256, sum(len(string_split(text, ' ')))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
 }

@@ -167,6 +167,13 @@ def docx_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(extract, schema)
 
 
+def text_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, line_no, line) of all files below a folder whose names fit."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    return lines.select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+
+
 def template_problems(files: DataFrame) -> DataFrame:
     """(path, line_no, problem) of template texts (path, text): blank marks, draft notes, authority left open."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))

@@ -13,6 +13,11 @@ def scan(spark: SparkSession, location: str, table: str | None = None, **options
     return spark.read.parquet(f"{location}/{table}.parquet" if table else location)
 
 
+def scan_either(spark: SparkSession, location: str | None, demo: str, table: str, **options: str) -> DataFrame:
+    """A table of the outside database, if one is set, and else of the demo data."""
+    return scan(spark, location or demo, table, **options)
+
+
 def registered(spark: SparkSession, views: dict[str, DataFrame]) -> None:
     """Contract views over whatever source holds them; queries name the views only."""
     for name, rows in views.items():

@@ -87,6 +87,13 @@ def progress(events: DataFrame, job: str = "user_id") -> DataFrame:
     return events.groupBy(job).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("last"))
 
 
+def frames_until_end(states: DataFrame, job: str, order: list[str], status: str = "status", most: int = 600) -> DataFrame:
+    """The states (job, order ..., status) that a watcher of each job is sent: in order, up to the first that is done or failed, `most` at most."""
+    upto = Window.partitionBy(job).orderBy(*order)
+    ended = F.coalesce(F.sum(F.col(status).isin("done", "failed").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return states.withColumn("frame", F.row_number().over(upto).cast("long")).withColumn("_ended", ended).where((F.col("_ended") == 0) & (F.col("frame") <= most)).drop("_ended")
+
+
 def windowed(events: DataFrame, width: str = "1 day", late: str | None = "2 hours") -> DataFrame:
     """Events and their value by kind and tumbling window of event time. A stream drops rows later than `late`; with None it drops none,
     and keeps a row of state a window and kind."""

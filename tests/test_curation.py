@@ -229,12 +229,34 @@ def test_batched_map(spark):
 
 
 def test_agent_requests(spark):
-    asked = [(1, "accounting", "clerk", "what of 41011 and 4102 in blue"), (2, "tax", "clerk", ""), (3, "payroll", "clerk", ""), (4, "law", "clerk", ""), (5, "tax", "guest", ""), (6, None, "clerk", "")]
+    asked = [(1, "accounting", "bookkeeper", "what of 41011 and 4102 in blue"), (2, "payroll", "bookkeeper", ""), (3, "law", "bookkeeper", ""), (4, "accounting", "guest", ""), (5, None, "auditor", ""), (6, "accounting", None, "")]
     q = spark.createDataFrame(asked, "query_id long, domain string, role string, text string")
-    assert {r.query_id: r.s for r in q.select("query_id", assist.request_status(F.col("domain"), F.col("role")).alias("s")).collect()} == {1: 200, 2: 422, 3: 409, 4: 404, 5: 404, 6: 404}
+    assert {r.query_id: r.s for r in q.select("query_id", assist.request_status(F.col("domain"), F.col("role")).alias("s")).collect()} == {1: 200, 2: 409, 3: 404, 4: 404, 5: 404, 6: 404}
     chart = spark.createDataFrame([("410110",), ("41011",), ("410",), ("4102",)], "code string")
     found = assist.tool_calls(q.where("query_id = 1"), chart, spark.createDataFrame([("Blue",), ("red",)], "term string")).collect()
-    assert {(r.tool, r.input, tuple(r.found)) for r in found} == {("chart search", "41011", ("41011", "410110")), ("chart search", "4102", ("4102",)), ("glossary lookup", asked[0][3], ("Blue",))}
+    assert {(r.tool, r.input, tuple(r.found)) for r in found} == {("coa_search", "41011", ("41011", "410110")), ("coa_search", "4102", ("4102",)), ("glossary_lookup", asked[0][3], ("Blue",))}
+
+
+def test_parsed_answers(spark):
+    answers = ['{"question": "q", "answer": "a"}', '{"question": "q"}', "no json", None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "id int, a string").select("id", assist.parsed(F.col("a"), "question string, answer string", answer="-").alias("x")).orderBy("id").collect()
+    assert [tuple(r.x) for r in rows] == [("q", "a", None), ("q", "-", None), (None, "-", "no json"), (None, "-", None)]
+
+
+def test_vectors_objects_and_messages(spark):
+    from sheafmill.operators import filters, model
+
+    chunks = spark.createDataFrame([(1, "a", None), (2, "a", [1.0]), (3, "b", None)], "id long, collection string, embedding array<float>")
+    out, status = lifecycle.with_vectors(chunks, spark.createDataFrame([(1, [2.0]), (2, [9.0])], "id long, vector array<float>"))
+    assert {r.id: r.embedding for r in out.collect()} == {1: [2.0], 2: [1.0], 3: None} and {r.collection: r.status for r in status.collect()} == {"a": "embedded", "b": "chunked"}
+    base = spark.createDataFrame([("k1", "old")], "key string, content string")
+    assert {tuple(r) for r in lifecycle.put(base, spark.createDataFrame([("k1", "new"), ("k2", "x"), ("k2", "x")], "key string, content string")).collect()} == {("k1", "old"), ("k2", "x")}
+    threads = spark.sql("SELECT 'a' AS id, TIMESTAMP '2024-01-01' AS updated_at")
+    said = spark.sql("SELECT 'a' AS conversation_id, 'user' AS role, TIMESTAMP '2024-01-03' AS created_at")
+    after, messages, events = model.messages_added(threads, said.limit(0), said)
+    assert (str(after.first().updated_at)[:10], messages.count(), events.first().event_type) == ("2024-01-03", 1, "message.created")
+    asked = spark.createDataFrame([("x", 5), ("", 51), ("x", None)], "q string, k int")
+    assert [r.p for r in asked.select(filters.request_problems(F.col("q"), F.col("k")).alias("p")).collect()] == [[], ["query", "k"], []]
 
 
 def test_account_names(spark):

@@ -90,6 +90,12 @@ def ingest_preview(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (chat_prompts, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, ingest_preview)}
 
 ORACLE = {
+    "chat_prompts": """WITH q AS (SELECT conv_id AS query_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), f AS (SELECT *, lower(split_part(trim(text), ' ', 1)) AS word FROM q),
+d AS (SELECT doc_id, source, text AS content, lower(split_part(trim(text), ' ', 1)) AS word FROM documents), h AS (SELECT query_id, doc_id, source, content, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM f JOIN d USING (word) QUALIFY n <= 3),
+c AS (SELECT query_id, string_agg('[' || n || '] ' || source || chr(10) || substr(content, 1, 700), chr(10) || chr(10) ORDER BY n) AS context FROM h GROUP BY query_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), m AS (SELECT conv_id AS query_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN substr(text, 1, 300) ELSE text END, chr(10) ORDER BY turn) AS history FROM b WHERE back BETWEEN 2 AND 8 GROUP BY conv_id),
+p AS (SELECT query_id, concat_ws(chr(10) || chr(10), CASE WHEN length(history) > 0 THEN 'History' || chr(10) || history END, CASE WHEN length(context) > 0 THEN 'Sources' || chr(10) || context END, CASE WHEN length(text) > 0 THEN 'Question' || chr(10) || text END) AS prompt
+  FROM q LEFT JOIN c USING (query_id) LEFT JOIN m USING (query_id)) SELECT query_id, sha256(prompt) AS sha256, length(prompt)::BIGINT AS n FROM p""",
     "promoted_answers": "SELECT * FROM (SELECT conv_id, turn, (SELECT u.text FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn ORDER BY u.turn DESC LIMIT 1) AS question, false AS verified FROM conversations c WHERE role = 'assistant') WHERE question IS NOT NULL",
     "question_intents": r"""WITH documents_ AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' outstanding for INV-' || doc_id || '?' WHEN 1 THEN ' Trial  balance' ELSE '' END AS text FROM documents)
 SELECT doc_id, tool, argument FROM (SELECT doc_id, 'outstanding' AS tool, NULL AS argument, regexp_matches(text, '(?i)outstanding') AS hit FROM documents_

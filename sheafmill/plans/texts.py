@@ -95,8 +95,12 @@ def fixed_sql() -> str:
 
 
 def page_sql() -> str:
-    out = "html"
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
+    return stripped_sql("html", ("script", "style", "nav", "header", "footer", "aside"))
+
+
+def stripped_sql(out: str, without: tuple[str, ...] = ()) -> str:
+    """Text without tags, entities and runs of blanks, and without the contents of some elements."""
+    for tag in without:
         out = f"regexp_replace({out}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
     out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
@@ -120,5 +124,11 @@ SELECT *, zero_width + doubled_marks + blank_before_mark AS total FROM c""",
     "sentence_counts": f"SELECT doc_id, len({SENTENCES})::BIGINT AS n, sha256(array_to_string({SENTENCES}, '\u241e')) AS sha256 FROM documents",
     "segment_texts": f"""WITH {MARRED_SQL}, w AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+') AS ws, len(regexp_extract_all(text, '[{fn.LAO}]')) AS lao, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS latin FROM marred)
 SELECT doc_id, sha256(array_to_string(ws, ' ')) AS sha256, len(ws)::BIGINT AS n, CASE WHEN lao = 0 THEN 'en' WHEN latin = 0 THEN 'lo' WHEN lao / (lao + latin) >= 0.9 THEN 'lo' WHEN lao / (lao + latin) <= 0.1 THEN 'en' ELSE 'mixed' END AS lang FROM w""",
+    "account_codes": r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '\b\d{4,6}\b') AS ms FROM documents), x AS (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM m),
+f AS (SELECT doc_id, m, min(i) AS i FROM x GROUP BY doc_id, m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 3), c AS (SELECT doc_id, string_agg(m, ',' ORDER BY i) AS codes FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(codes, '') AS codes FROM documents LEFT JOIN c USING (doc_id)""",
+    "page_links": rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS xs FROM pages),
+x AS (SELECT page_id, unnest(xs) AS a, generate_subscripts(xs, 1) - 1 AS n FROM a), h AS (SELECT *, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href FROM x), t AS (SELECT *, regexp_extract(href, '[?&]uddg=([^&]+)', 1) AS target FROM h)
+SELECT page_id, n, CASE WHEN target <> '' THEN url_decode(target) WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS url, {stripped_sql('a')} AS title FROM t""",
     "html_to_text": f"SELECT page_id, {page_sql()} AS text FROM pages",
 }

@@ -1,16 +1,18 @@
 """Token ids in a byte-aligned variable-length store with separate control bytes.
 
-Ids are renumbered by corpus frequency, so that the commonest 256 take one byte. A block holds the documents of a stretch
-of doc_id order: a control stream of two bits a value (its bytes less one, four values a byte, each document from a byte of its own) and a data stream of
-little-endian bytes. Decoding looks the lengths of four values up by control byte, sums them to places and gathers; there
-is no loop over values. Blocks are rows of a Parquet table, so the shared file system and Spark's commit protocol carry them.
+Ids are renumbered by corpus frequency, so that the commonest 256 take one byte. A store is a folder with the table of ids by rank and
+the table of blocks. A block holds the documents of a stretch of doc_id order: a control stream of two bits a value (its bytes less one,
+four values a byte, each document from a byte of its own) and a data stream of little-endian bytes. Decoding looks the lengths of four
+values up by control byte, sums them to places and gathers; there is no loop over values. Both are Parquet tables, so the shared file
+system and Spark's commit protocol carry them, and a reader needs nothing else.
 
 Texts are tokenized once, into a written table of ids (two bytes each where the vocabulary allows). Ids are counted from it (a task
 emits one row an id); only these counts, at most one row a vocabulary entry, pass through the driver. Then ranges of doc_id are dealt
 out, and a task ranks and packs a block at a time.
 
-White space parts the tokenizer's words and is dropped by it, so the ids of a text are those of its ASCII-blank-parted
-words in turn; a worker remembers the ids of words and of their runs, up to `REMEMBERED` of them.
+Of a tokenizer with the normalizer and the pre-tokenizer below, the ids of a text are those of its runs in turn: runs of letters and
+runs of other characters in blank-parted words of plain characters, and any other word as a whole. A slice's different runs are
+found by Arrow, and a worker remembers the ids of up to `REMEMBERED` runs. Any other tokenizer encodes whole texts.
 
 Defined cases: null and blank texts have the end id alone; null doc_ids come first; repeated rows are stored each; no rows
 give no blocks; other columns are not read.
@@ -18,6 +20,8 @@ give no blocks; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,19 +33,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafmill.llm import common
+from sheafmill.llm.shingles import IS_BLANK, LOWER
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-REMEMBERED = 1_200_000
-ENCODED_AT_ONCE = 20_000
-SLICE_BYTES = 8 << 20
-PLAIN = re.compile("[\\x21-\\x26\\x28-\\x7eÀ-ÖØ-öø-ÿ]+")
-RUN = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+REMEMBERED = 800_000
+ENCODED_AT_ONCE, JOINED = 20_000, 200
+SLICE_BYTES = 4 << 20
+# What a tokenizer does before its merges if runs may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+SPECIAL_BEGINS = "<|"
+#: By byte: is it a plain ASCII character (no apostrophe), and is it in a letter; of two bytes, only those of Latin letters are plain.
+PLAIN_ASCII = np.array([0x21 <= b <= 0x7E and b != 0x27 for b in range(256)])
+IN_LETTER = np.array([0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
+LATIN_LEAD = 0xC3
+LATIN_ENDS = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+LATIN_UPPER = np.array([0x80 <= b <= 0x9E and b != 0x97 for b in range(256)])
+LOWERED = np.frombuffer(LOWER, np.uint8)
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 #: One row a block of the store; broadcast up to so many, shuffled beyond.
 BROADCAST_ROWS = 100_000
 #: Bytes of each of four values, by control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
+BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, control binary, data binary"
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -49,7 +67,7 @@ class Memory:
     """Ids of strings met so far, as places in flat arrays."""
 
     def __init__(self, kind: type) -> None:
-        self.place: dict = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, kind)
         self.starts = np.zeros(0, np.int32)
         self.counts = np.zeros(0, np.int32)
@@ -79,52 +97,89 @@ def run_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
 
 
-class WordEncoder:
-    """Ids of texts by their blank-parted words, and of words by their runs of letters and of other characters.
+def runs_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of blank-parted UTF-8 text: lower-cased bytes without blanks, and where in `raw` each run begins and ends."""
+    blank = IS_BLANK[raw]
+    edges = np.nonzero(np.diff(blank, prepend=True, append=True))[0]
+    starts, ends = edges[::2], edges[1::2]
+    after_lead = np.concatenate([[False], raw[:-1] == LATIN_LEAD])
+    latin = after_lead & LATIN_ENDS[raw]
+    plain = PLAIN_ASCII[raw] | latin
+    plain[:-1] |= latin[1:]
+    plain[:-1] &= ~((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+    low = LOWERED[raw]
+    low[after_lead & LATIN_UPPER[raw]] += 0x20
+    odd = np.nonzero(~(plain | blank))[0]
+    odd_words = np.unique(np.searchsorted(starts, odd, "right") - 1)
+    letter = IN_LETTER[low]
+    inner = (letter[1:] != letter[:-1]) & ~blank[1:] & ~blank[:-1]
+    for k in odd_words.tolist():  # stays whole and as it is
+        inner[starts[k] : ends[k] - 1] = False
+        low[starts[k] : ends[k]] = raw[starts[k] : ends[k]]
+    begins, stops = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+    begins[starts], stops[ends] = True, True
+    begins[1:-1] |= inner
+    stops[1:-1] |= inner
+    return low[~blank], np.nonzero(begins)[0], np.nonzero(stops)[0]
 
-    The tokenizer lower-cases and never joins a letter with another character, but for its contractions; so words of plain characters
-    without an apostrophe or a special token's opening part there. Both memories are bounded, and outlive a task.
-    """
+
+class WordEncoder:
+    """Ids of texts by their runs, or by whole texts where the tokenizer isn't known to allow it. Its memory is bounded, and outlives a task."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words, self.runs = Memory(self.kind), Memory(self.kind)
-
-    def parts(self, word: str) -> list[str]:
-        return RUN.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [word]
-
-    def of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = list(set(runs).difference(self.runs.place))
-        if len(self.runs.place) + len(new) > REMEMBERED:
-            self.runs, new = Memory(self.kind), list(set(runs))
+        spec = json.loads(self.tokenizer.to_str())
+        special = all(t["content"].startswith(SPECIAL_BEGINS) for t in spec["added_tokens"])
+        self.by_runs = special and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and not spec["truncation"]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends_run = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.runs = Memory(self.kind)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), self.kind), np.fromiter(map(len, found), np.int32, len(found))
+
+    def of_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different runs one after the other, and each one's number of ids."""
+        new = [r for r in runs if r not in self.runs.place]
+        if new and len(self.runs.place) + len(new) > REMEMBERED:
+            self.runs, new = Memory(self.kind), runs
         for begin in range(0, len(new), ENCODED_AT_ONCE):
             some = new[begin : begin + ENCODED_AT_ONCE]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self.runs.add(some, np.fromiter((i for x in found for i in x), self.kind), np.fromiter(map(len, found), np.int32, len(found)))
+            words, others = [], []
+            for r in some:
+                (words if LETTERS.fullmatch(r) else others).append(r)
+            self.runs.add(words, *self.encoded_words([r.decode() for r in words]))
+            self.runs.add(others, *self.encoded([r.decode() for r in others]))
         return self.runs.of(runs)
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = [w for w in words if w not in self.words.place]
-        if len(self.words.place) + len(new) > REMEMBERED // 4:
-            self.words, new = Memory(self.kind), words
-        if new:
-            parts = [self.parts(w) for w in new]
-            ids, counts = self.of_runs([r for p in parts for r in p])
-            self.words.add(new, ids, run_sums(counts, np.fromiter(map(len, parts), np.int64, len(parts))).astype(np.int32))
-        return self.words.of(words)
+    def encoded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `encoded`, for runs of letters: many in one text, whose ids part where a word ends."""
+        ids = self.encoded([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])[0]
+        ends = np.nonzero(self.ends_run[ids])[0] + 1
+        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+            return self.encoded(words)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of ids."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = lists.flatten().dictionary_encode()
-        at, n_words = words.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids, counts = self.of_words(words.dictionary.to_pylist())
+        if not self.by_runs:
+            found = [self.encoded([t])[0] for t in pc.fill_null(texts, "").to_pylist()]
+            return np.concatenate([x for ids in found for x in (ids, [END_ID])] or [[]]).astype(self.kind), np.array([len(x) + 1 for x in found], np.int64)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1  # with a blank behind each
+        raw = np.frombuffer("\n".join([*pc.fill_null(texts, "").to_pylist(), ""]).encode(), np.uint8)
+        letters, begins, stops = runs_of(raw)
+        offsets = np.concatenate([[0], np.cumsum(stops - begins)]).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        ids, counts = self.of_runs(runs.dictionary.to_pylist())
         ids, counts = np.append(ids, self.kind(END_ID)), np.append(counts, np.int32(1))
-        at = np.insert(at, np.cumsum(n_words), len(counts) - 1)  # the end id as each text's last word
-        return gathered(ids, (np.cumsum(counts, dtype=np.int32) - counts)[at], counts[at]), run_sums(counts[at], n_words + 1)
+        n_runs = np.diff(np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)])))
+        at = np.insert(runs.indices.to_numpy(zero_copy_only=False), np.cumsum(n_runs), len(counts) - 1)  # the end id as each text's last run
+        return gathered(ids, (np.cumsum(counts, dtype=np.int32) - counts)[at], counts[at]), run_sums(counts[at], n_runs + 1)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -207,10 +262,11 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def stored(docs: DataFrame, path: str, label: str = "op4-store") -> tuple[DataFrame, np.ndarray]:
-    """The written store (a row a block) and the ids by rank."""
-    tokens = tokenized(docs, path)
+def write_store(docs: DataFrame, path: str, folder: str) -> None:
+    """Writes the tables `ranks` (rank, id) and `blocks` (a row a block) into a folder."""
+    spark, tokens = docs.sparkSession, tokenized(docs, path)
     by_rank = np.array([r["id"] for r in id_counts(tokens).orderBy(F.desc("n"), "id").collect()], np.uint32)
+    spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank.astype(np.int64)}), "rank long, id long").write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -234,8 +290,20 @@ def stored(docs: DataFrame, path: str, label: str = "op4-store") -> tuple[DataFr
         return pd.DataFrame({"shard": [int(rows[0].shard)], "block": [number], "n_ids": [len(values)], "doc_ids": [doc_ids], "sizes": [sizes], "control": [control], "data": [data]})
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("shard", F.spark_partition_id())
-    made = ordered.mapInPandas(block, "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, control binary, data binary")
-    return common.written(made, label), by_rank
+    ordered.mapInPandas(block, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+
+
+def opened(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """A store's blocks and its ids by rank, at most one a vocabulary entry, from its files."""
+    ranks = spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").orderBy("rank").collect()
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), np.array([r["id"] for r in ranks], np.uint32)
+
+
+def stored(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """A new store in the shared folder, opened."""
+    folder = common.fresh_path(docs.sparkSession, "op4-store")
+    write_store(docs, path, folder)
+    return opened(docs.sparkSession, folder)
 
 
 def block_starts(store: DataFrame) -> DataFrame:

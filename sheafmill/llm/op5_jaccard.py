@@ -9,16 +9,19 @@ shared cells; cells with the same pivot and level form the pivot's region, a Vor
 pivots that it can be near to.
 
 Inside a region distances are those of sketches: in how many of 256 parts two sets' sums differ. That is a metric, and at most the
-number of shingles in which they differ. Nodes linked with the pivot are joined through it. If others are there, the region is cut
-into rings of D + 1 around the pivot: by the triangle inequality a linked pair lies in one ring or in two neighbouring ones, so
-each node is also dealt to the next ring. Large rings are cut again into blocks, whose pairs are met once; pairs within D by
-sketch are then compared by their whole sets. Nothing is capped: every pair at the similarity or more either shares a pivot's link
-or is compared. Classes come from minimum labels with pointer jumping over written tables.
+number of shingles in which they differ. Nodes linked with the pivot are joined through it, so that a group of copies around one text
+costs a comparison a copy. If others, open ones, are there, the region is cut into rings of D + 1 around the pivot: by the triangle
+inequality a linked pair lies in one ring or in two neighbouring ones, so each node is also dealt to the next ring. Only pairs with an
+open node are left to compare: a ring's open nodes and its joined ones part into blocks, and each block of open nodes meets every block
+once. Pairs within D by sketch are then compared by their whole sets. Nothing is capped: every pair at the similarity or more either
+shares a pivot's link or is compared. Classes come from minimum labels with pointer jumping over written tables.
 
-Equality of shingles, parts and sets is that of 64-bit hashes.
+Equality of shingles and parts is that of 64-bit hashes. Equal sets are found by one such hash and checked by size and a second hash;
+should two different sets ever share the first, all is done anew with another seed.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; under n words the whole sequence is the one
-shingle; repeated rows are one document; a null doc_id never names a class that has another; no rows give none.
+shingle; repeated rows are one document; rows of one doc_id with different texts are documents of their own; a null doc_id never
+names a class that has another; columns whose names begin with _sm_ are reserved in `one_each`; no rows give none.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ from sheafmill.llm import common
 from sheafmill.llm.shingles import mix, shingles
 
 
-
 class Near(NamedTuple):
     """Shingles of so many words; linked if num * union <= den * intersection."""
 
@@ -51,11 +53,11 @@ class Near(NamedTuple):
 #: What op5_jaccard_join links.
 CONTRACT = Near(3, 90, 100)
 SKETCH_PARTS = 256
-BLOCK = 512
+BLOCK = 256
 #: Lists of ids (8 bytes a row) that a join may broadcast; beyond so many rows it shuffles.
 BROADCAST_ROWS = 200_000
 
-PROJECTED = "doc_id long, n_shingles long, node long, level int, sketch binary, cells array<long>, next_cells array<long>"
+PROJECTED = "doc_id long, text_hash long, n_shingles long, node long, twin long, level int, sketch binary, cells array<long>, next_cells array<long>"
 
 
 def level_starts(most: int, near: Near) -> np.ndarray:
@@ -91,26 +93,43 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
     return (mix(part_sums(hashes, (hashes & np.uint64(SKETCH_PARTS - 1)).astype(np.int64), SKETCH_PARTS)) >> np.uint64(56)).astype(np.uint8)
 
 
-def projected(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
-    """A row a document: its node (a hash of its set), level, sketch and cells."""
+def set_hash(found: np.ndarray, seed: int) -> int:
+    """A hash of a whole set."""
+    total = mix(found + np.uint64(seed)).sum() + np.uint64(len(found))
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text."""
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
+def projected(docs: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFrame:
+    """A row a document: its node (a hash of its set), a second hash, level, sketch and cells."""
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
                 doc_id, found = None if pd.isna(doc_id) else int(doc_id), shingles(text, near.words)
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None, [], []))
+                    rows.append((doc_id, text_hash, 0, None, None, None, None, [], []))
                     continue
                 starts = level_starts(len(found), near)
                 level = int(np.searchsorted(starts, len(found), "right")) - 1
                 near_next = near.den * len(found) >= near.num * starts[level + 1]
                 after = next_start(int(starts[level + 1]), near)
-                node = int(mix(np.array([mix(found).sum() + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
-                rows.append((doc_id, len(found), node, level, sketch_of(found).tobytes(), cells_of(found, level, int(starts[level + 1]) - 1, near), cells_of(found, level + 1, after - 1, near) if near_next else []))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "level", "sketch", "cells", "next_cells"])
-            yield out.astype({"doc_id": "Int64", "node": "Int64", "level": "Int32"})
+                next_cells = cells_of(found, level + 1, after - 1, near) if near_next else []
+                rows.append((doc_id, text_hash, len(found), set_hash(found, seed), set_hash(found, ~seed & 0xFFFF_FFFF), level, sketch_of(found).tobytes(), cells_of(found, level, int(starts[level + 1]) - 1, near), next_cells))
+            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_shingles", "node", "twin", "level", "sketch", "cells", "next_cells"])
+            yield out.astype({"doc_id": "Int64", "node": "Int64", "twin": "Int64", "level": "Int32"})
 
-    return common.written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(project, PROJECTED), "op5-projected")
+    return common.written(keyed(docs).mapInPandas(project, PROJECTED), "op5-projected")
+
+
+def by_node_of(rows: DataFrame) -> DataFrame:
+    """The written table of (node, id, same): a node's least doc_id, and whether all its rows have one size and second hash."""
+    same = (F.min("n_shingles") == F.max("n_shingles")) & (F.min("twin") == F.max("twin"))
+    return common.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), same.alias("same")), "op5-by-node")
 
 
 def regions(rows: DataFrame) -> DataFrame:
@@ -171,22 +190,27 @@ def met_in_block(rows: pd.DataFrame, near: Near) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
 
-def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT) -> DataFrame:
-    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near)`."""
+def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFrame:
+    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near, seed)`."""
     region = regions(rows)
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    one_row = F.min(F.struct("doc_id", "text_hash")).alias("of")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(one_row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     ids = region.select("node").union(region.select("pivot")).distinct()
     nodes = common.written(nodes.join(common.small_or_shuffled(common.written(ids, "op5-ids"), BROADCAST_ROWS), "node", "left_semi"), "op5-nodes")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t, near.words).tobytes() for t in batch["text"]]})
+            sets = [shingles(t, near.words) for t in batch["text"]]
+            right = [len(x) > 0 and set_hash(x, seed) == node for x, node in zip(sets, batch["node"], strict=True)]  # not another text of the same hash
+            yield pd.DataFrame({"node": batch["node"][right], "shingles": [x.tobytes() for x, r in zip(sets, right, strict=True) if r]})
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(common.small_or_shuffled(nodes.select("doc_id", "node"), BROADCAST_ROWS), "doc_id")
+    wanted = common.small_or_shuffled(nodes.select(F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), "node"), BROADCAST_ROWS)
+    texts = keyed(docs)
+    texts = texts.join(wanted, (texts["text_hash"] == wanted["of_hash"]) & texts["doc_id"].eqNullSafe(wanted["of_id"]))
     sets = common.written(texts.select("node", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
 
     pivots = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-    around = region.join(nodes.drop("doc_id"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
+    around = region.join(nodes.drop("of"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
     around = common.written(around.mapInPandas(lambda batches: near_by_sketch(batches, near), "pivot long, level int, node long, n long, sketch binary, apart long, may_link boolean"), "op5-around")
     first = common.written(compared(around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, near), "op5-linked")
 
@@ -198,10 +222,14 @@ def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT) -> DataFrame:
     dealt = marked.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("ring", F.col("ring") + F.col("guest").cast("int"))
     dealt = common.written(dealt, "op5-dealt")
     key = ["pivot", "level", "ring"]
-    open_rings = dealt.groupBy(key).agg(F.count_if(~F.col("joined")).alias("n_open"), F.count_if(~F.col("guest")).alias("n_home"), F.count("*").alias("n_all")).where("n_open > 0 AND n_home > 0 AND n_all > 1")
-    open_rings = common.written(open_rings.select(*key, F.ceil(F.col("n_all") / BLOCK).cast("int").alias("n_blocks")), "op5-rings")
+    counts = [F.count_if(~F.col("joined")).alias("n_open"), F.count_if("joined").alias("n_joined"), F.count_if(~F.col("guest")).alias("n_home")]
+    open_rings = dealt.groupBy(key).agg(*counts).where("n_open > 0 AND n_home > 0 AND n_open + n_joined > 1")
+    blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n_open", "open_blocks"), ("n_joined", "joined_blocks"))]
+    open_rings = common.written(open_rings.select(*key, *blocks), "op5-rings")
     dealt = dealt.join(common.small_or_shuffled(open_rings, BROADCAST_ROWS), key)
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    block = F.when(F.col("joined"), F.col("open_blocks") + F.pmod(F.xxhash64("node"), F.col("joined_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("open_blocks")))
+    met = F.col("open_blocks") + F.when(F.col("joined"), 0).otherwise(F.col("joined_blocks"))
+    dealt = dealt.withColumn("side", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).withColumn("across", F.col("low") != F.col("high"))
     pairs = dealt.select(*key, "low", "high", "across", "side", "node", "n", "sketch", "joined", "guest").groupBy(*key, "low", "high").applyInPandas(lambda rows: met_in_block(rows, near), "a long, b long")
     second = common.written(compared(pairs.distinct(), sets, near), "op5-met")
@@ -223,27 +251,43 @@ def classes(links: DataFrame) -> DataFrame:
         labels = jumped.select("id", "label")
 
 
+def classed(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, label (a node that stands for the class; null for an empty set) and component_id, for each row."""
+    with common.small_batches(docs.sparkSession):
+        for seed in range(1, 1 << 16):
+            rows = projected(docs, near, seed)
+            by_node = by_node_of(rows)
+            if by_node.where("NOT same").limit(1).count() == 0:
+                break
+        of = common.written(classes(links(docs, rows, near, seed)).toDF("node", "label"), "op5-of")
+    least = common.written(of.join(by_node.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("least")), "op5-least")
+    named = by_node.join(of.join(least, "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("least", "id").alias("component"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(common.written(named, "op5-named"), "node", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "label", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def joined(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id) a row."""
-    rows = projected(docs, near)
-    by_node = common.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")), "op5-by-node")
-    found = links(docs, rows, near)
-    a, b = (by_node.select(F.col("node").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
-    of = classes(found.join(a, "a").join(b, "b").select("id_a", "id_b"))
-    named = common.written(by_node.join(of, "id", "left").select("node", F.coalesce("component", "id").alias("component")), "op5-classes")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return classed(docs, near).select("doc_id", "n_shingles", "component_id")
 
 
 def one_each(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
-    """The rows of `docs`, all columns, of the document that names its class; of repeated rows one."""
-    found = common.written(joined(docs, near), "op5-found")
-    gone = common.written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_sm_id")).distinct(), "op5-gone")
-    kept = docs.join(common.small_or_shuffled(gone, BROADCAST_ROWS), docs["doc_id"] == gone["_sm_id"], "left_anti")
-    repeated = common.written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_sm_id")), "op5-repeated")
-    repeats = common.small_or_shuffled(repeated, BROADCAST_ROWS)
-    once = kept.join(repeats, kept["doc_id"] == repeats["_sm_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeats, kept["doc_id"] == repeats["_sm_id"], "left_anti").unionByName(once)
+    """The rows of `docs`, all columns, of one document a class: of the least doc_id, then the least hash of its text; of rows that are
+    equal in both, one."""
+    key = ["doc_id", "text_hash"]
+    rows = common.written(classed(docs, near).select(*key, "label").groupBy(*key).agg(F.first("label").alias("label"), F.count("*").alias("times")), "op5-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *key)).alias("first")
+    several = rows.where("label IS NOT NULL").groupBy("label").agg(first, F.count("*").alias("n")).where("n > 1").select("label", "first")
+    others = rows.join(common.small_or_shuffled(common.written(several, "op5-several"), BROADCAST_ROWS), "label")
+    others = others.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+
+    marked = docs.withColumn("_sm_hash", F.xxhash64(F.col("text").cast("binary")))
+    side = lambda df, label: common.small_or_shuffled(common.written(df.select(F.col("doc_id").alias("_sm_id"), F.col("text_hash").alias("_sm_text")), label), BROADCAST_ROWS)
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["_sm_id"]) & (left["_sm_hash"] == right["_sm_text"])
+    gone, repeated = side(others, "op5-gone"), side(rows.where("times > 1"), "op5-repeated")
+    kept = marked.join(gone, same(marked, gone), "left_anti")
+    once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "_sm_hash"])
+    return kept.join(repeated, same(kept, repeated), "left_anti").unionByName(once).drop("_sm_hash")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

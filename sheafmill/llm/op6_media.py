@@ -29,8 +29,8 @@ from sheafmill.llm import common
 PAD_TO, RATE = 192, 8000
 LEAST, MOST, CUT_BITS = 256, 8192, 11
 GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Rows of rebuilt values (about 300 bytes each) and of texts' shared places (32 bytes, and 8 a place; under 0.1 KB on average, as long
-#: texts are few); broadcast up to so many, shuffled beyond.
+#: Rows of rebuilt values (about 300 bytes each) and of texts' shared places (40 bytes, and 9 a place, measured); broadcast up to so many,
+#: shuffled beyond.
 BROADCAST_ROWS, BROADCAST_TEXTS = 10_000, 200_000
 
 MEDIA = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, digests array<binary>, sizes array<int>, shared array<boolean>, own binary, given array<struct<digest: binary, chunk: binary>>"
@@ -109,7 +109,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(text or b""), len(media), hashlib.sha256(media).hexdigest(), names, [len(c) for c in chunks], [k in gives for k in range(len(chunks))], own, given))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "sizes", "shared", "own", "given"]).astype({"doc_id": "Int64"})
 
-    places = common.small_or_shuffled(shared_places(texts), BROADCAST_TEXTS)
+    places = common.small_or_shuffled(shared_places(texts), BROADCAST_TEXTS, 40 + 9 * F.size("places"))
     kept = common.written(texts.join(places, "key", "left").select("doc_id", "text", "places").mapInPandas(files, MEDIA), "op6-files")
     given = kept.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.*")
     return kept.drop("given"), given.dropDuplicates(["digest"])

@@ -113,7 +113,7 @@ def judged(docs: DataFrame, min_left: float = MIN_LEFT, **limits: float) -> Data
     parsed = docs.select("doc_id", *host_and_hash(docs), *base_stats(docs), lines_of(docs).alias("lines"))
     parsed = parsed.select("doc_id", "host", "text_hash", F.col("_sm_counts.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_sm_counts.r").alias("n_repeat_words"), "lines")
     parsed = common.written(parsed, "op7-parsed")
-    gone = common.small_or_shuffled(removals(parsed, **limits), BROADCAST_ROWS).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.size("places").cast("long").alias("places"), "gone")
+    gone = common.small_or_shuffled(removals(parsed, **limits), BROADCAST_ROWS, 32 + 4 * F.size("places")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.size("places").cast("long").alias("places"), "gone")
     rows = parsed.drop("lines", "host").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left")
     kept = ~F.col("base_failed") & ~is_depleted(F.col("n_words"), F.col("gone"), min_left)
@@ -125,7 +125,7 @@ def filtered(docs: DataFrame, min_left: float = MIN_LEFT, **limits: float) -> Da
     """The rows of `docs`, all columns, that the rules keep, their texts without the lines above the limits, and `n_chars`, where there is one,
     counted anew in the texts changed."""
     parsed = common.written(docs.select("doc_id", *host_and_hash(docs), lines_of(docs).alias("lines")), "op7-parsed")
-    gone = common.small_or_shuffled(removals(parsed, **limits), BROADCAST_ROWS).select(F.col("doc_id").alias("_sm_id"), F.col("text_hash").alias("_sm_hash"), F.col("places").alias("_sm_places"), F.col("gone").alias("_sm_gone"))
+    gone = common.small_or_shuffled(removals(parsed, **limits), BROADCAST_ROWS, 32 + 4 * F.size("places")).select(F.col("doc_id").alias("_sm_id"), F.col("text_hash").alias("_sm_hash"), F.col("places").alias("_sm_places"), F.col("gone").alias("_sm_gone"))
     counts = common.let(common.words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     sound = docs.withColumn("_sm_counts", counts).where(~F.coalesce(base_failed(F.col("_sm_counts.n"), F.col("_sm_counts.r")), F.lit(True)))
     rows = sound.join(gone, sound["doc_id"].eqNullSafe(gone["_sm_id"]) & (F.xxhash64(sound["text"]) == gone["_sm_hash"]), "left").where(~is_depleted(F.col("_sm_counts.n"), F.col("_sm_gone"), min_left))

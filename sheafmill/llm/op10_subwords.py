@@ -1,31 +1,32 @@
 """Subword sampling without replacement: Gumbel top-k over the segmentation lattice of a text.
 
 The lattice has an edge for each vocabulary piece that fits at a place; its weight is the piece's share in the corpus, counted from the
-tokenizer's own encoding of all texts. Backward sums over the lattice give each place's edge probabilities. Pieces never cross from a
-word into the next one's leading blanks, nor a line end, so a text's lattice is a chain of small ones, one for each unit; sums are found once for
-each different unit of a slice of documents.
-
-The search is best-first over the tree of segmentation prefixes. The root gets a Gumbel value; a node's value is the greatest of its children's,
-so a sample inherits it down its path, and at each step the edges not taken together get a truncated Gumbel value of their mass.
-The greatest of those is the next node to open: the next sample shares the path up to there, takes another edge, and goes on anew.
-So samples come in falling order of perturbed log probability, all distinct, which is sampling without replacement. The value that
-would come next is the threshold of the inclusion scores, kept as logarithms.
+tokenizer's own encoding of all texts. Backward sums over the lattice give each place's edge probabilities. Where no piece of
+the vocabulary goes on into a word's leading blanks, past a line end, or from a letter to another character, a text's lattice parts
+there into a chain of small ones, one for each unit; each of this is looked up in the vocabulary, and it parts no further. A worker keeps
+the lattices of units that it has met, up to `KEPT_PLACES`; they are pure values, so this has no effect on results.
+
+The search is best-first over the tree of segmentation prefixes. The root gets a Gumbel value; a node's value is the greatest of its
+children's, so a sample inherits it down its path. All that leaves a sample's path at any step, by edges not taken before, is one opening:
+its value is a truncated Gumbel value of its summed mass, and if it is the greatest of all openings, the step at which the next sample
+leaves the path is drawn in proportion to the steps' masses, and the edge in proportion to the edges' (the greatest of independent Gumbel
+values and its place are independent). The next sample goes on anew from there and is an opening of its own; the opening it came from
+goes without it, below its value. So samples come in falling order of perturbed log probability, all distinct, which is sampling without
+replacement. The value that would come next is the threshold of the inclusion scores, kept as logarithms.
 
 All draws are hashes of seed, row key, sample and place, so a row's samples depend neither on its partition nor on other rows' keys.
-Nothing is cut: backward sums run over whole units, rescaled on the way. Steps whose prefix is less likely than exp(-`DEEPEST`) of where
-their sample left its parent are passed over as openings only if k others are so much likelier that no draw could bring them in front.
+Nothing is cut: backward sums run over whole units, rescaled on the way; masses are sums of the edges not taken, in logarithms, and each
+opening is weighed against the heaviest step that is left in it, however unlikely that is.
 
 Defined cases: null and empty texts have one sample, of no pieces; a text with fewer segmentations than k has all of them, and inclusion 1;
 characters outside the vocabulary are their UTF-8 byte pieces; a text with the blank mark itself decodes to blanks (round_trip false, as
-with the tokenizer); equal rows get equal samples; no rows give none; other columns are not read.
+with the tokenizer); equal rows get equal samples; null ids draw as id 0; no rows give none; other columns are not read. Ids take two
+bytes each, four in vocabularies of over 65 536 pieces.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,23 @@ from pyspark.sql import functions as F
 
 from sheafmill.llm import common
 from sheafmill.llm.op4_token_store import pieces
-from sheafmill.llm.shingles import BASE, mix
+from sheafmill.llm.shingles import BASE, UNBASE, mix
 
 SAMPLES, SEED = 2, 20240101
 LONGEST_PIECE = 16
-#: Gumbel values of 52-bit draws lie in a range of under `RANGE`.
-DEEPEST, RANGE = 64.0, 41.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Places of units (characters) whose edges a worker keeps, about 110 bytes each; of more, those used most often stay.
+KEPT_PLACES = 2_400_000
+#: Units laid out at once: few, so that what is made on the way stays in the cache.
+LAID_AT_ONCE = 512
+#: Sums over a slice of texts differ in their last bits with what else is in it.
+DIGITS = 9
 REMEMBERED = 300_000
-UNIT = "▁*[^▁\n]+|▁+|\n"
-PART = "\0"
 #: Brings products of piece shares along a unit into the range of doubles; it cancels out of all probabilities.
 SCALE = 30.0
 
 _vocabularies: dict[str, Vocabulary] = {}
+_kept: dict[str, tuple[np.ndarray, Net]] = {}
 
 SAMPLED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids binary"
 
@@ -75,16 +79,22 @@ class Vocabulary:
         self.widths = np.array([len(s) for s in strings], np.int64)
         self.starts = np.cumsum(self.widths) - self.widths
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
-        pieces = [m.id_to_piece(int(i)) for i in np.nonzero(self.normal)[0]]
-        keys = string_hashes(pieces)
+        spoken = [x for x, ok in zip(strings, self.normal, strict=True) if ok]
+        #: Whether no piece goes on into another unit: past a blank or a line end, or from a letter to another character.
+        self.by_unit = not any(unit_starts(np.frombuffer(x, np.uint8), False).any() for x in spoken)
+        self.by_kind = self.by_unit and not any(unit_starts(np.frombuffer(x, np.uint8), True).any() for x in spoken)
+        normal = {m.id_to_piece(int(i)): int(i) for i in np.nonzero(self.normal)[0]}
+        begun = dict.fromkeys((x[:k] for x in normal for k in range(1, len(x))), -1) | normal  # all openings of pieces; -1 for one that is none itself
         self.lengths = np.array([len(m.id_to_piece(i)) if self.normal[i] else 0 for i in range(n)])
-        self.bits = 20
+        if self.lengths.max() > LONGEST_PIECE:
+            raise ValueError(f"the vocabulary has pieces of over {LONGEST_PIECE} characters")
+        self.bits = 18
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        left, ids = keys, np.nonzero(self.normal)[0].astype(np.int32)
+        left, ids = string_hashes(list(begun)), np.array(list(begun.values()), np.int32)
         while len(left):  # what finds its slot taken goes to the next layer
             slots = (left >> np.uint64(64 - self.bits)).astype(np.int64)
             _, first = np.unique(slots, return_index=True)
-            held, named = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            held, named = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -3, np.int32)
             held[slots[first]], named[slots[first]] = left[first], ids[first]
             self.layers.append((held, named))
             rest = np.ones(len(left), bool)
@@ -97,12 +107,12 @@ class Vocabulary:
         return np.append(share / share.sum() * SCALE**self.lengths, [1.0, 0.0])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The pieces of these hashes; -1 where there is none."""
+        """The pieces of these hashes; -1 where longer pieces begin so, and -3 where none does."""
         slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         held, named = self.layers[0]
         there = held[slots]
-        out = np.where(there == keys, named[slots], np.int32(-1))
-        left = np.nonzero((out < 0) & (there != 0))[0]
+        out = np.where(there == keys, named[slots], np.int32(-3))
+        left = np.nonzero((out == -3) & (there != 0))[0]
         for held, named in self.layers[1:]:
             hit = left[held[slots[left]] == keys[left]]
             out[hit] = named[slots[hit]]
@@ -114,10 +124,6 @@ class Vocabulary:
         ends = np.cumsum(widths)
         return self.bytes[np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of some ids; its first blank is the tokenizer's own."""
-        return self.letters(ids)[1:]
-
 
 def powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
@@ -175,56 +181,144 @@ def piece_counts(docs: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-@dataclass
-class Lattice:
-    """Edges of all places of some units. The units go by falling length, and a row is a place: those with d characters left to their unit's
-    end stand from base[d] on, in the order of the units. By edge length, a row has the piece and the probability; -2 is a
-    character of bytes."""
-
-    base: np.ndarray
-    rank: np.ndarray
-    lengths: np.ndarray
-    points: np.ndarray
-    ids: np.ndarray
-    shares: np.ndarray
-
-    def left(self, row: int) -> int:
-        return int(np.searchsorted(self.base[1:], row, "right"))
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            wider = np.zeros(max(5 * len(self.held) // 4, self.n + len(more)), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def keep(self, at: np.ndarray) -> None:
+        self.held[: len(at)] = self.held[at]
+        self.n = len(at)
+
+
+class Net:
+    """Lattices of units. Unit u's places are `starts[u]` to `ends[u]` of the places; a place's edges, the longest first, stand from
+    `first` on: piece (-2 is a character of bytes), length (negative for a place's last edge), probability, and that of all other
+    edges together."""
+
+    def __init__(self, vocab: Vocabulary, weights: np.ndarray):
+        self.vocab, self.weights = vocab, weights
+        self.number: dict[bytes, int] = {}
+        self.by_unit = self.starts, self.ends, self.used = Grown(np.int64), Grown(np.int64), Grown(np.int64)
+        self.by_place = self.points, self.n_edges, self.first = Grown(np.uint32), Grown(np.int8), Grown(np.int64)
+        self.by_edge = self.ids, self.sizes, self.shares, self.rest = Grown(np.int32), Grown(np.int8), Grown(np.float64), Grown(np.float64)
+
+    def numbers(self, units: list[bytes]) -> np.ndarray:
+        """The numbers of some units, after those that are new have been laid out. Numbers given before may hold no longer."""
+        new = [u for u in units if u not in self.number]
+        if new and self.points.n + sum(map(len, new)) > KEPT_PLACES:
+            self.forget()
+            new = [u for u in units if u not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            for begin in range(0, len(new), LAID_AT_ONCE):
+                self.lay_out([x.decode().replace(" ", "▁") for x in new[begin : begin + LAID_AT_ONCE]])
+        found = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        self.used.held[found] += 1
+        return found
+
+    def forget(self) -> None:
+        """Keeps the units used most often, of half of all places that may be kept."""
+        n = len(self.number)
+        lengths, used = (self.ends.held - self.starts.held)[:n], self.used.held[:n]
+        order = np.argsort(-used, kind="stable")
+        kept = np.sort(order[np.cumsum(lengths[order]) <= KEPT_PLACES // 2])
+        names = list(self.number)
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+        places = stretches(self.starts.held[kept], lengths[kept])
+        edges = stretches(self.first.held[places], self.n_edges.held[places].astype(np.int64))
+        for held, of in ((self.by_unit, kept), (self.by_place, places), (self.by_edge, edges)):
+            for x in held:
+                x.keep(of)
+        self.ends.held[: len(kept)] = np.cumsum(lengths[kept])
+        self.starts.held[: len(kept)] = self.ends.held[: len(kept)] - lengths[kept]
+        counts = self.n_edges.held[: len(places)].astype(np.int64)
+        self.first.held[: len(places)] = np.cumsum(counts) - counts
+        self.used.held[: len(kept)] //= 2
+
+    def lay_out(self, units: list[str]) -> None:
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(lengths)
+        self.starts.add(self.points.n + ends - lengths)
+        self.ends.add(self.points.n + ends)
+        self.used.add(np.zeros(len(units), np.int64))
+        self.points.add(points)
+        ids = fitting(points, lengths, self.vocab)
+        self.add_edges(ids, edge_shares(self.weights[ids], lengths))
+
+    def add_edges(self, ids: np.ndarray, shares: np.ndarray) -> None:
+        ids, shares = ids[:, ::-1], shares[:, ::-1]
+        there = shares > 0
+        counts = there.sum(axis=1)
+        rest = np.zeros_like(shares)
+        rest[:, 1:] = np.cumsum(shares[:, :-1], axis=1)
+        rest[:, :-1] += np.cumsum(shares[:, :0:-1], axis=1)[:, ::-1]
+        sizes, ends = shares.shape[1] - np.nonzero(there)[1], np.cumsum(counts)
+        sizes[ends - 1] *= -1
+        self.first.add(self.ids.n + ends - counts)
+        self.n_edges.add(counts)
+        self.ids.add(ids[there])
+        self.sizes.add(sizes)
+        self.shares.add(shares[there])
+        self.rest.add(rest[there])
+
+
+def fitting(points: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """By place and length the piece that fits there; -1 for none, -2 for a character of bytes."""
+    n = len(points)
+    place = np.arange(n, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = np.repeat(lengths, lengths) - place
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), BASE, np.uint64)]))
+    unpower = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), UNBASE, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[place])])
+    out, back, at = np.full((n, LONGEST_PIECE), -1, np.int32), unpower[place], np.arange(n)
+    for k in range(1, LONGEST_PIECE + 1):  # only where what has been read may go on
+        at = at[left[at] >= k]
+        found = vocab.find(mix((sums[at + k] - sums[at]) * back[at] + np.uint64(k)))
+        at, found = at[found != -3], found[found != -3]
+        out[at, k - 1] = found
+    out[out[:, 0] < 0, 0] = -2
+    return out[:, : 1 + int(np.nonzero((out != -1).any(axis=0))[0][-1])]
+
+
+def edge_shares(weights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edge probabilities by place and length, by backward sums over each unit. Units go by falling length, so those that have d
+    characters left are the first ones."""
+    order = np.argsort(-lengths, kind="stable")
+    ends = np.cumsum(lengths)[order]
+    ends_after = ends + order + 1  # sums have a slot more a unit, for its end
+    after = np.zeros(len(weights) + len(lengths) + LONGEST_PIECE + 1)
+    after[ends_after - 1] = 1.0
+    out, ahead, near = np.zeros_like(weights), np.arange(1, weights.shape[1] + 1), np.arange(LONGEST_PIECE)
+    n_left = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max()) + 1), "left")
+    for d in range(1, int(lengths.max()) + 1):
+        n = int(n_left[d])
+        row, slot = ends[:n] - d, ends_after[:n] - 1 - d
+        here = weights[row] * after[slot[:, None] + ahead]
+        total = here.sum(axis=1)
+        after[slot] = total
+        out[row] = here / total[:, None]
+        if d % LONGEST_PIECE == 0:  # sums of a unit have a common scale, a power of two, which cancels out
+            held = slot[:, None] + near
+            after[held] = np.ldexp(after[held], -np.frexp(total)[1][:, None])
+    return out
 
 
-def lattice(units: list[str], vocab: Vocabulary, weights: np.ndarray) -> Lattice:
-    """As longer units come first, those that have d characters left are the first units, and what stands at d - k of them is a slice."""
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-    order = np.argsort(-lengths, kind="stable")
-    rank = np.empty(len(units), np.int64)
-    rank[order] = np.arange(len(units))
-    ends, longest = np.cumsum(lengths)[order], int(lengths.max(initial=0))
-    n_left = len(units) - np.concatenate([[0], np.cumsum(np.bincount(lengths, minlength=longest + 1))])[: longest + 1]
-    base = np.concatenate([[0], np.cumsum(n_left) - n_left[0]])
-    rows = int(base[longest + 1]) if longest else 0
-    ids, shares = np.full((rows, LONGEST_PIECE), -1, np.int16 if vocab.size < 1 << 15 else np.int32), np.zeros((rows, LONGEST_PIECE))
-    held, power = np.zeros(rows, np.uint32), powers(LONGEST_PIECE)
-    hashes, after = [np.zeros(len(units), np.uint64)], [np.ones(len(units))]
-    for d in range(1, longest + 1):
-        n, wide, low = int(n_left[d]), min(d, LONGEST_PIECE), int(base[d])
-        held[low : low + n] = points[ends[:n] - d]
-        hashes.append(held[low : low + n].astype(np.uint64) + np.uint64(1) + BASE * hashes[d - 1][:n])
-        named, here = np.empty((n, wide), np.int32), np.empty((n, wide))
-        for k in range(1, wide + 1):
-            named[:, k - 1] = vocab.find(mix(hashes[d] - power[k] * hashes[d - k][:n] + np.uint64(k)))
-        named[named[:, 0] < 0, 0] = -2
-        for k in range(1, wide + 1):  # the last two weights are those of a character of bytes, 1, and of no piece, 0
-            np.multiply(weights[named[:, k - 1]], after[d - k][:n], out=here[:, k - 1])
-        after.append(here.sum(axis=1))
-        ids[low : low + n, :wide] = named
-        np.divide(here, after[d][:, None], out=shares[low : low + n, :wide])
-        if d >= LONGEST_PIECE:
-            hashes[d - LONGEST_PIECE] = after[d - LONGEST_PIECE] = None  # out of every edge's reach
-            if d % LONGEST_PIECE == 0:  # sums of a unit have a common scale, a power of two, which cancels out
-                scale = -np.frexp(after[d])[1]
-                after[d - LONGEST_PIECE + 1 :] = [np.ldexp(x[:n], scale) for x in after[d - LONGEST_PIECE + 1 :]]
-    return Lattice(base, rank, lengths[order], held, ids, shares)
+def net_of(path: str, weights: np.ndarray) -> Net:
+    """The worker's lattices for these weights."""
+    if path not in _kept or not np.array_equal(_kept[path][0], weights):
+        _kept[path] = (weights, Net(vocabulary(path), weights))
+    return _kept[path][1]
 
 
 def uniform_keys(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
@@ -240,171 +334,211 @@ def uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     return ((uniform_keys(key, *parts) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def walked(net: Lattice, units: np.ndarray, keys: np.ndarray, word: np.ndarray, sample: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random path through each unit, from `left` characters before its end on: counts of steps, then by unit and step the rows and edge lengths."""
+def walked(net: Net, places: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random path through each of some stretches of places: counts of steps, then by stretch and step the places and edges."""
+    first, shares, sizes = net.first.held, net.shares.held, net.sizes.held
     taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live, counts, step = np.nonzero(left > 0)[0], np.zeros(len(units), np.int64), 0
-    unit, rest, key = units[live], left[live], uniform_keys(keys[live], sample, word[live])
+    live, counts, step = np.nonzero(places < ends)[0], np.zeros(len(places), np.int64), 0
+    place, end, key = places[live], ends[live], keys[live]
     while len(live):
-        row = net.base[rest] + unit
-        upto = np.cumsum(net.shares[row], axis=1)
-        size = (upto < (uniform(key, step) * upto[:, -1])[:, None]).sum(axis=1) + 1
-        taken.append((live, row, size))
+        edge, drawn = first[place], uniform(key, step)
+        on = np.nonzero((drawn >= shares[edge]) & (sizes[edge] > 0))[0]
+        while len(on):
+            drawn[on] -= shares[edge[on]]
+            edge[on] += 1
+            on = on[(drawn[on] >= shares[edge[on]]) & (sizes[edge[on]] > 0)]
+        taken.append((live, place, edge))
         counts[live] += 1
-        rest = rest - size
-        on = np.nonzero(rest > 0)[0]
-        live, unit, rest, key = live[on], unit[on], rest[on], key[on]
+        place = place + np.abs(sizes[edge])
+        on = np.nonzero(place < end)[0]
+        live, place, end, key = live[on], place[on], end[on], key[on]
         step += 1
     begin = np.cumsum(counts) - counts
-    rows, sizes = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
-    for k, (who, row, size) in enumerate(taken):
+    at_place, at_edge = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
+    for k, (who, place, edge) in enumerate(taken):
         at = begin[who] + k
-        rows[at], sizes[at] = row, size
-    return counts, rows, sizes
-
-
-def without(shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Summed shares of a place's edges other than one."""
-    shares = shares.copy()
-    shares[np.arange(len(shares)), sizes - 1] = 0.0
-    return shares.sum(axis=1)
+        at_place[at], at_edge[at] = place, edge
+    return counts, at_place, at_edge
 
 
 def truncated(mass: np.ndarray, bound: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Gumbel values of log masses, none above the bound."""
-    return mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(drawn))
-
-
-class Row:
-    """The search of one document: its samples so far and the best openings beside their paths."""
-
-    def __init__(self, key: np.uint64, first: int, last: int, value: float):
-        self.key, self.first, self.last, self.value = key, first, last, value
-        self.samples: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]] = []  # places, sizes, units; log_prob, perturbed
-        self.openings: list[tuple[float, int, int, float, frozenset[int]]] = []  # value, sample, step, log mass of the prefix, edges taken
-
-    def next(self) -> tuple[int, int, float, frozenset[int]] | None:
-        """Takes the greatest opening: sample, step, log mass of the prefix, edges gone before. None if there is none."""
-        if not self.openings:
-            return None
-        best = max(range(len(self.openings)), key=lambda i: self.openings[i][0])
-        self.value, *opening = self.openings.pop(best)
-        return tuple(opening)
-
-
-def units_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """The units of texts one after the other as places in a list of different ones, the list, and each text's number of units."""
-    texts = pc.fill_null(texts, "")
-    empty = pc.equal(pc.binary_length(texts), 0)
-    any_has = lambda x: pc.any(pc.match_substring(texts, x)).as_py()
-    if not any(map(any_has, (PART, "▁", "  "))) and not pc.any(pc.starts_with(texts, " ")).as_py():  # plain texts: a unit begins at each blank, and around each line end
-        parted = pc.replace_substring(pc.replace_substring(texts, "\n", f"{PART}\n{PART}"), " ", PART + "▁")
-        return named_units(pc.split_pattern(pc.if_else(empty, "", pc.binary_join_element_wise("▁", parted, "")), PART))
-    marked = pc.if_else(empty, "", pc.binary_join_element_wise("▁", pc.replace_substring(texts, " ", "▁"), ""))
-    return named_units(pa.array([re.findall(UNIT, t) for t in marked.to_pylist()], pa.list_(pa.string())))
-
-
-def named_units(lists: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    units = lists.flatten().dictionary_encode()
-    at, names = units.indices.to_numpy(zero_copy_only=False).astype(np.int64), units.dictionary.to_pylist()
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    if "" in names:
-        blank = names.index("")
-        full = at != blank
-        ends = np.concatenate([[0], np.cumsum(full)])[ends]
-        at = at[full]
-        at -= at > blank
-        names.pop(blank)
-    return at, names, np.diff(ends)
-
-
-def searched(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary, weights: np.ndarray, k: int) -> tuple[Lattice, list[Row]]:
-    """The k best of each text by perturbed log probability. New steps of all texts are drawn and weighed at once."""
-    at_name, names, sizes_of = units_of(texts)
-    net = lattice(names, vocab, weights)
-    unit_of = net.rank[at_name]
-    ends = np.cumsum(sizes_of)
-    firsts = ends - sizes_of
-    rows = [Row(*x) for x in zip(keys, firsts.tolist(), ends.tolist(), (-np.log(-np.log(uniform(keys, 0)))).tolist(), strict=True)]
-    key_of, word = np.repeat(keys, sizes_of), np.arange(len(unit_of)) - np.repeat(firsts, sizes_of)
-
-    for number in range(k):
-        todo = [(row, None) for row in rows] if number == 0 else [(row, c) for row in rows if len(row.samples) == number and (c := row.next())]
-        if not todo:
-            break
-        row_keys = np.array([row.key for row, _ in todo], np.uint64)
-        begins = [row.first if c is None else row.first + int(row.samples[c[0]][2][c[1]]) for row, c in todo]
-        at = np.concatenate([np.arange(a, row.last) for a, (row, _) in zip(begins, todo, strict=True)])
-        spans = np.cumsum([0] + [row.last - a for a, (row, _) in zip(begins, todo, strict=True)])
-        units_at = unit_of[at]
-        left = net.lengths[units_at]
-        if number:  # another edge at each opening; its unit goes on behind it
-            lead = np.array([row.samples[c[0]][0][c[1]] for row, c in todo], np.int64)
-            others = net.shares[lead]
-            for i, (_, c) in enumerate(todo):
-                others[i, [e - 1 for e in c[3]]] = 0.0
-            upto = np.cumsum(others, axis=1)
-            drawn = uniform(row_keys, number + 1, 1 << 41) * upto[:, -1]
-            edges = (upto < drawn[:, None]).sum(axis=1) + 1
-            unopened = without(others, edges)
-            left[spans[:-1]] = np.searchsorted(net.base[1:], lead, "right") - edges
-        counts, places, sizes = walked(net, units_at, key_of[at], word[at], number + 1, left)
-        units = np.repeat(word[at], counts)
-        upto = np.concatenate([[0], np.cumsum(counts)])[spans]
-        if number:  # the new edges themselves lead the new steps
-            places = np.insert(places, upto[:-1], lead)
-            sizes = np.insert(sizes, upto[:-1], edges)
-            units = np.insert(units, upto[:-1], [row.samples[c[0]][2][c[1]] for row, c in todo])
-            upto = upto + np.arange(len(upto))
-        shares = net.shares[places, sizes - 1]
-        logs = np.concatenate([[0.0], np.cumsum(np.log(shares))])
-        new_steps = np.diff(upto)
-        row_of = np.repeat(np.arange(len(todo)), new_steps)
-        since = np.array([0 if c is None else c[1] for _, c in todo], np.int64)
-        prefix = np.array([0.0 if c is None else c[2] for _, c in todo])
-        bound = np.array([row.value for row, _ in todo])
-        run = logs[:-1] - logs[upto[:-1]][row_of]
-        rest = 1.0 - shares
-        sharp = np.nonzero(shares > 0.99)[0]  # too little is left over for a difference
-        rest[sharp] = without(net.shares[places[sharp]], sizes[sharp])
-        if number:
-            rest[upto[:-1]] = unopened
-        open_ = np.nonzero((rest > 0.0) & (run >= -DEEPEST))[0]
-        ahead = row_of[open_[run[open_] + np.log(rest[open_]) >= RANGE - DEEPEST]]
-        few = np.bincount(ahead, minlength=len(todo)) < k
-        if few.any():
-            open_ = np.nonzero((rest > 0.0) & ((run >= -DEEPEST) | few[row_of]))[0]
-        of = row_of[open_]
-        step_of = since[of] + open_ - upto[of]
-        before = prefix[of] + run[open_]
-        values = truncated(before + np.log(rest[open_]), bound[of], uniform(row_keys[of], number + 1, 1 << 40, step_of))
-        best = np.lexsort((-values, of))
-        place_in_row = np.arange(len(best)) - np.searchsorted(of[best], of[best])
-        best = best[place_in_row < k]  # at most k of a row are opened or bound what is
-
-        totals = prefix + logs[upto[1:]] - logs[upto[:-1]]
-        for i, (row, c) in enumerate(todo):
-            part = slice(int(upto[i]), int(upto[i + 1]))
-            if c is None:
-                row.samples.append((places[part], sizes[part], units[part], float(totals[i]), row.value))
-            else:
-                old = row.samples[c[0]]
-                row.samples.append((*(np.concatenate([o[: c[1]], n[part]]) for o, n in zip(old[:3], (places, sizes, units), strict=True)), float(totals[i]), row.value))
-        for i, v, step, mass, size in zip(of[best].tolist(), values[best].tolist(), step_of[best].tolist(), before[best].tolist(), sizes[open_[best]].tolist(), strict=True):
-            row, c = todo[i]
-            taken = c[3] | {size} if c is not None and step == c[1] else frozenset([size])
-            row.openings.append((v, number, step, mass, taken))
-    return net, rows
+    """Gumbel values of log masses, none above the bound. A mass of nothing has none."""
+    with np.errstate(invalid="ignore"):
+        return np.where(mass == -np.inf, -np.inf, mass - np.logaddexp(mass - bound, np.log(-np.log(drawn))))
+
+
+def stretches(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then those from starts[1] on, and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+class Paths:
+    """The paths of the texts' samples of one number, one after the other: by step place, edge and word; and what leaves them."""
+
+    def __init__(self, net: Net, counts: np.ndarray, places: np.ndarray, edges: np.ndarray, words: np.ndarray, since: np.ndarray, values: np.ndarray):
+        self.net, self.counts, self.places, self.edges, self.words, self.values = net, counts, places, edges, words, values
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        self.gone: dict[tuple[int, int], set[int]] = {}
+        sums = np.concatenate([[0.0], np.cumsum(np.log(net.shares.held[edges]))])
+        self.log_probs = sums[self.ends] - sums[self.begins]
+        self.prefix = sums[:-1] - np.repeat(sums[self.begins], counts)
+        with np.errstate(divide="ignore"):
+            self.masses = self.prefix + np.log(net.rest.held[edges])
+        self.masses[stretches(self.begins, np.minimum(since, counts))] = -np.inf  # what leaves before is another path's
+        self.full = np.nonzero(counts)[0]
+        self.weigh()
+
+    def weigh(self) -> None:
+        """The log mass of each path's opening, and the running sums of its steps' masses by the heaviest."""
+        self.mass = np.full(len(self.counts), -np.inf)
+        if len(self.full):
+            top = np.maximum.reduceat(self.masses, self.begins[self.full])
+            top[top == -np.inf] = 0.0
+            self.sums = np.concatenate([[0.0], np.cumsum(np.exp(self.masses - np.repeat(top, self.counts[self.full])))])
+            with np.errstate(divide="ignore"):
+                self.mass[self.full] = np.log(self.sums[self.ends[self.full]] - self.sums[self.begins[self.full]]) + top
+
+    def leaving(self, of: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """A step for each of some texts, in proportion to what leaves there."""
+        low, high = self.sums[self.begins[of]], self.sums[self.ends[of]]
+        steps = np.clip(np.searchsorted(self.sums, low + drawn * (high - low), "right") - 1, self.begins[of], self.ends[of] - 1)
+        for i in np.nonzero(self.masses[steps] == -np.inf)[0]:  # by rounding at a stretch's end
+            steps[i] = self.begins[of[i]] + int(np.argmax(self.masses[self.begins[of[i]] : self.ends[of[i]]]))
+        return steps
+
+    def other_edges(self, of: np.ndarray, steps: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """Another edge at each of these steps, which then leaves the opening too."""
+        net, places = self.net, self.places[steps]
+        first, n = net.first.held[places], net.n_edges.held[places].astype(np.int64)
+        edges = first[:, None] + np.arange(LONGEST_PIECE)
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.where(np.arange(LONGEST_PIECE) < n[:, None], net.shares.held[np.minimum(edges, net.shares.n - 1)], 0.0))
+        logs[edges == self.edges[steps][:, None]] = -np.inf
+        before = [self.gone.setdefault((int(t), int(step)), set()) for t, step in zip(of, steps, strict=True)]
+        for i in (i for i, gone in enumerate(before) if gone):
+            logs[i, [e - int(first[i]) for e in before[i]]] = -np.inf
+        top = logs.max(axis=1, keepdims=True)
+        upto = np.cumsum(np.exp(logs - top), axis=1)
+        taken = (upto <= (drawn * upto[:, -1])[:, None]).sum(axis=1)
+        taken = np.where(logs[np.arange(len(of)), np.minimum(taken, LONGEST_PIECE - 1)] > -np.inf, taken, np.argmax(logs, axis=1))
+        logs[np.arange(len(of)), taken] = -np.inf
+        top = logs.max(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.where(top == -np.inf, -np.inf, np.log(np.exp(logs - top[:, None]).sum(axis=1)) + top)
+        self.masses[steps] = self.prefix[steps] + left
+        for gone, edge in zip(before, (first + taken).tolist(), strict=True):
+            gone.add(edge)
+        return first + taken
+
+
+def is_letter(raw: np.ndarray) -> np.ndarray:
+    """By byte of UTF-8 text: ASCII letters, and characters beyond ASCII but for those of the blocks that hold most punctuation."""
+    low = raw | np.uint8(0x20)
+    out = ((low >= ord("a")) & (low <= ord("z"))) | (raw >= 0x80)
+    two, three = raw == 0xC2, raw == 0xE2
+    out &= ~(two | three)
+    out[1:] &= ~(two | three)[:-1]
+    out[2:] &= ~three[:-2]
+    return out
 
 
-def spelled(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_starts(raw: np.ndarray, by_kind: bool) -> np.ndarray:
+    """Where the units of UTF-8 text begin: at a run of blanks, around a line end, and, if asked, between letters and other characters."""
+    blank, line = raw == ord(" "), raw == ord("\n")
+    starts = np.zeros(len(raw), bool)
+    starts[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+    if by_kind:
+        letter = is_letter(raw)
+        starts[1:] |= (letter[1:] != letter[:-1]) & ~blank[1:] & ~blank[:-1]
+    return starts
+
+
+def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The units of texts one after the other as places in a list of different ones, the list, and each text's number of units. Blanks stand
+    for the vocabulary's mark; a text that is not empty has one put in front."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), "▁", " ")
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    if isinstance(marked, pa.ChunkedArray):
+        marked = marked.combine_chunks()
+    wide = np.concatenate([[0], np.cumsum(pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64))])
+    whole = b"".join(pc.cast(marked, pa.binary()).to_pylist())
+    raw = np.frombuffer(whole, np.uint8)
+    starts = unit_starts(raw, vocab.by_kind) if vocab.by_unit else np.zeros(len(raw), bool)
+    starts[wide[:-1][np.diff(wide) > 0]] = True
+    at = np.nonzero(starts)[0]
+    units = binaries(raw, np.append(at, len(raw))[1:]) if len(at) else pa.array([], pa.binary())
+    units = units.dictionary_encode()
+    return units.indices.to_numpy(zero_copy_only=False).astype(np.int64), units.dictionary.to_pylist(), np.diff(np.searchsorted(at, wide))
+
+
+def searched(texts: pa.Array, keys: np.ndarray, net: Net, k: int) -> tuple[list[Paths], np.ndarray]:
+    """The paths of the k best of each text by perturbed log probability, and the value that would come next. New steps of all texts are
+    drawn and weighed at once."""
+    at_name, names, n_words = units_of(texts, net.vocab)
+    unit_of = net.numbers(names)[at_name] if len(names) else at_name
+    starts, ends = net.starts.held[unit_of], net.ends.held[unit_of]
+    first_word = np.cumsum(n_words) - n_words
+    word = np.arange(len(unit_of)) - np.repeat(first_word, n_words)
+    texts_of = np.repeat(np.arange(len(keys)), n_words)
+
+    values = -np.log(-np.log(uniform(keys, 0)))
+    counts, places, edges = walked(net, starts, ends, uniform_keys(keys[texts_of], 1, word))
+    in_text = np.concatenate([[0], np.cumsum(counts)])
+    per_text = in_text[first_word + n_words] - in_text[first_word]
+    found = [Paths(net, per_text, places, edges, np.repeat(np.arange(len(unit_of)), counts), np.zeros(len(keys), np.int64), values)]
+    openings = [truncated(found[0].mass, values, uniform(keys, 2, 1 << 40, 0))]
+    for number in range(2, k + 1):
+        best = np.argmax(openings, axis=0)
+        top = np.max(openings, axis=0)
+        at_text, since, lead_place, lead_edge, lead_word, kept_from = (np.zeros(len(keys), np.int64) for _ in range(6))
+        for j, path in enumerate(found):
+            of = np.nonzero((best == j) & (top > -np.inf))[0]
+            if not len(of):
+                continue
+            steps = path.leaving(of, uniform(keys[of], number, 1 << 41))
+            since[of], lead_place[of], lead_word[of], kept_from[of] = steps - path.begins[of] + 1, path.places[steps], path.words[steps], path.begins[of]
+            lead_edge[of] = path.other_edges(of, steps, uniform(keys[of], number, 1 << 42))
+            path.weigh()
+            openings[j][of] = truncated(path.mass[of], top[of], uniform(keys[of], number + 1, 1 << 40, j))
+        at_text = np.nonzero(since)[0]
+        if not len(at_text):
+            break
+        # the unit of the leading edge goes on behind it, and all units after it anew
+        n_new = (first_word + n_words)[at_text] - lead_word[at_text]
+        words = stretches(lead_word[at_text], n_new)
+        from_place, first_of = starts[words].copy(), np.cumsum(n_new) - n_new
+        from_place[first_of] = lead_place[at_text] + np.abs(net.sizes.held[lead_edge[at_text]])
+        counts, places, edges = walked(net, from_place, ends[words], uniform_keys(keys[np.repeat(at_text, n_new)], number, word[words]))
+        in_text = np.concatenate([[0], np.cumsum(counts)])
+        n_walked = in_text[first_of + n_new] - in_text[first_of]
+        n_old = since[at_text] - 1
+        per_text = np.zeros(len(keys), np.int64)
+        per_text[at_text] = n_old + 1 + n_walked
+        begin = (np.cumsum(per_text) - per_text)[at_text]
+        merged = []
+        for part, lead, new in (("places", lead_place, places), ("edges", lead_edge, edges), ("words", lead_word, np.repeat(words, counts))):
+            out = np.zeros(int(per_text.sum()), np.int64)
+            for j, path in enumerate(found):
+                of = np.nonzero(best[at_text] == j)[0]
+                out[stretches(begin[of], n_old[of])] = getattr(path, part)[stretches(kept_from[at_text][of], n_old[of])]
+            out[begin + n_old] = lead[at_text]
+            out[stretches(begin + n_old + 1, n_walked)] = new
+            merged.append(out)
+        found.append(Paths(net, per_text, *merged, since, np.where(since > 0, top, -np.inf)))
+        openings.append(truncated(found[-1].mass, top, uniform(keys, number + 1, 1 << 40, number - 1)))
+    return found, np.max(openings, axis=0)
+
+
+def spelled(net: Net, places: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The piece ids of some steps, and how many each step has: one, or the bytes of a character outside the vocabulary."""
-    ids = net.ids[places, sizes - 1].astype(np.int32)
+    ids = net.ids.held[edges]
     counts = np.ones(len(ids), np.int64)
     unknown = np.nonzero(ids == -2)[0]
     if not len(unknown):
         return ids, counts
-    points = net.points[places[unknown]]
+    points = net.points.held[places[unknown]]
     counts[unknown] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
     starts = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int32)
@@ -412,12 +546,44 @@ def spelled(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarr
     for point in np.unique(points):
         at = starts[unknown[points == point]]
         for k, byte in enumerate(chr(point).encode()):
-            out[at + k] = vocab.byte_ids[byte]
+            out[at + k] = net.vocab.byte_ids[byte]
     return out, counts
 
 
-def ids_of(net: Lattice, vocab: Vocabulary, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return spelled(net, vocab, places, sizes)[0]
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that stand one after the other, with their ends in bytes."""
+    offsets = np.concatenate([[0], ends])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def log_inclusion(log_probs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """log(1 - exp(-exp(log_prob - bound)))."""
+    with np.errstate(divide="ignore", over="ignore"):
+        apart = log_probs - bounds
+        return np.where(apart > 30, 0.0, np.where(apart < -30, apart, np.log(-np.expm1(-np.exp(np.minimum(apart, 30.0))))))
+
+
+def table(texts: pa.Array, ids: pa.Array, keys: np.ndarray, net: Net, k: int) -> pa.RecordBatch:
+    """SAMPLED's rows for some texts."""
+    found, bounds = searched(texts, keys, net, k)
+    texts = pc.fill_null(pc.cast(texts, pa.binary()), b"")
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), b"", pc.binary_join_element_wise(b" ", texts, b""))  # with the tokenizer's own blank in front
+    batches = []
+    for number, path in enumerate(found, 1):
+        of = np.nonzero(path.values > -np.inf)[0]
+        pieces, counts = spelled(net, path.places, path.edges)
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], path.ends])]
+        wide = np.concatenate([[0], np.cumsum(net.vocab.widths[pieces])])[upto]
+        same = pc.equal(binaries(np.frombuffer(net.vocab.letters(pieces), np.uint8), wide[1:]), marked)
+        kind = "<u2" if net.vocab.size <= 1 << 16 else "<u4"
+        raw = binaries(pieces.astype(kind), upto[1:] * np.dtype(kind).itemsize)
+        at = pa.array(of)
+        n = len(of)
+        columns = [ids.take(at), pa.array(np.full(n, number, np.int32)), pa.array(np.diff(upto)[of]), *(pa.array(np.round(x[of], DIGITS)) for x in (path.log_probs, path.values, log_inclusion(path.log_probs, bounds))), same.take(at), pc.cast(raw.take(at), pa.binary())]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SAMPLED.split(", ")]))
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(texts) else batches[0]
 
 
 def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED, counts: np.ndarray | None = None) -> DataFrame:
@@ -425,33 +591,12 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED, coun
     counts = piece_counts(docs, path) if counts is None else counts
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        weights = vocab.weights(counts)
+        net = net_of(path, vocabulary(path).weights(counts))
         for batch in batches:
             for part in pieces(batch["text"], SLICE_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield table(rows["text"], rows["doc_id"].to_pylist(), vocab, weights)
-
-    def table(texts: pa.Array, ids: list[int | None], vocab: Vocabulary, weights: np.ndarray) -> pa.RecordBatch:
-        keys = mix(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids], np.uint64) + np.uint64(seed))
-        net, rows = searched(texts, keys, vocab, weights, k)
-        made = [sample for row in rows for sample in row.samples]
-        steps = np.cumsum([0] + [len(x[0]) for x in made])
-        found, counts = spelled(net, vocab, *(np.concatenate([x[i] for x in made] or [np.zeros(0, np.int64)]) for i in (0, 1)))
-        ends = np.concatenate([[0], np.cumsum(counts)])[steps]
-        widths = np.concatenate([[0], np.cumsum(vocab.widths[found])])[ends].tolist()
-        letters, raw, ends = vocab.letters(found), found.astype("<u2").tobytes(), ends.tolist()
-        out, n = [], 0
-        for doc_id, text, row in zip(ids, pc.cast(texts, pa.binary()).to_pylist(), rows, strict=True):
-            bound = max((o[0] for o in row.openings), default=-math.inf)
-            for number, (_, _, _, log_prob, value) in enumerate(row.samples):
-                apart = log_prob - bound
-                score = 0.0 if apart > 30 else math.log(-math.expm1(-math.exp(apart))) if apart > -30 else apart
-                same = letters[widths[n] + 1 : widths[n + 1]] == (text or b"")  # without the tokenizer's own blank in front
-                out.append((doc_id, number + 1, ends[n + 1] - ends[n], log_prob, value, score, same, raw[2 * ends[n] : 2 * ends[n + 1]]))
-                n += 1
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in SAMPLED.split(", ")])
+                keys = pc.fill_null(rows["doc_id"], 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield table(rows["text"], rows["doc_id"], mix(keys + np.uint64(seed)), net, k)
 
     return docs.select("doc_id", "text").mapInArrow(sample, SAMPLED)
 

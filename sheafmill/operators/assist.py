@@ -47,11 +47,12 @@ def context_blocks(sources: DataFrame) -> DataFrame:
     return sources.withColumn("cap", cap).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
 
 
-def prompts(questions: DataFrame, contexts: DataFrame, histories: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, prompt) of history, terms, context and question, absent parts left out."""
+def prompts(questions: DataFrame, contexts: DataFrame, histories: DataFrame, terms: DataFrame, systems: DataFrame | None = None) -> DataFrame:
+    """(query_id, prompt) of system part (query_id, system), history, terms, context and question, absent parts left out."""
     rows = questions.join(contexts, "query_id", "left").join(histories, "query_id", "left").join(terms, "query_id", "left")
+    rows = rows.withColumn("system", F.lit(None).cast("string")) if systems is None else rows.join(systems, "query_id", "left")
     part = lambda title, c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(F.lit(f"{title}\n"), F.col(c)))
-    return rows.select("query_id", F.concat_ws("\n\n", part("History", "history"), part("Terms", "terms"), part("Sources", "context"), part("Question", "text")).alias("prompt"))
+    return rows.select("query_id", F.concat_ws("\n\n", part("System", "system"), part("History", "history"), part("Terms", "terms"), part("Sources", "context"), part("Question", "text")).alias("prompt"))
 
 
 def histories(messages: DataFrame) -> DataFrame:

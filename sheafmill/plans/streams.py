@@ -65,6 +65,18 @@ def progress_frames(spark, sf_dir):
     return queue.frames_until_end(e, "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.count("*").alias("frames"), F.max_by("event_id", "frame").alias("last_id"), F.max_by("status", "frame").alias("status"))
 
 
+#: Kinds of a reply's events by those of the table.
+REPLY_KINDS = {"signup": "created", "click": "citations", "view": "token", "error": "error", "purchase": "done"}
+
+
+def chat_streams(spark, sf_dir):
+    """A user's events of a day as those of a reply."""
+    e = T(spark, sf_dir, "events")
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in REPLY_KINDS.items()])
+    events = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("stream"), "ts", "event_id", kind.alias("kind"), F.col("event_id").cast("string").alias("data"))
+    return queue.reply_states(events, "stream", ["ts", "event_id"], " ")
+
+
 def batched_map(spark, sf_dir):
     """Token counts of texts made 32 texts at a time, as an embedder is called."""
     rows = T(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,7 +84,7 @@ def batched_map(spark, sf_dir):
     return made.select("doc_id", "n_bytes")
 
 
-QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, progress_frames, batched_map)}
+QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, progress_frames, chat_streams, batched_map)}
 
 ORACLE = {
     "job_state_fold": """WITH t AS (SELECT user_id AS job_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
@@ -88,6 +100,10 @@ SELECT status, locked, count(*) AS n, min(job_id) AS first_id, sum(job_id)::BIGI
     "progress_frames": """WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS ends, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events),
 f AS (SELECT e.*, min(frame) FILTER (ends) OVER (PARTITION BY user_id) AS stop FROM e) SELECT user_id, count(*) AS frames, max_by(event_id, frame) AS last_id, CASE WHEN bool_or(ends) THEN 'done' ELSE 'running' END AS status
 FROM f WHERE frame <= least(coalesce(stop, 600), 600) GROUP BY user_id""",
+    "chat_streams": """WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS stream, event_id, event_type, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT *, min(k) FILTER (event_type IN ('error', 'purchase')) OVER (PARTITION BY stream) AS stop FROM e), s AS (SELECT * FROM f WHERE k <= coalesce(stop, k))
+SELECT stream, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'open' END AS state, (arg_min(event_id, k) FILTER (event_type = 'click'))::VARCHAR AS citations,
+  coalesce(string_agg(event_id::VARCHAR, ' ' ORDER BY k) FILTER (event_type = 'view'), '') AS text, count(*) FILTER (event_type = 'view') AS n FROM s GROUP BY stream""",
     "batched_map": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
     "reply_streams": "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS sha256, sum(len(string_split(text, ' ')))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
 }

@@ -108,6 +108,17 @@ def frames(text: DataFrame) -> DataFrame:
     return parted.where(data != "").select("stream_id", F.col("n").cast("long").alias("n"), F.from_json(data, "map<string,string>").alias("event"))
 
 
+def reply_states(events: DataFrame, stream: str, order: list[str], mark: str = "\n") -> DataFrame:
+    """(stream, state, citations, text, n) of each reply's events (stream, order ..., kind, data): its tokens in order up to the first `done` or
+    `error`, which is its state (`open` without one), and the first citations before that."""
+    ends = F.when(F.col("kind") == "done", "done").when(F.col("kind") == "error", "failed").otherwise("running")
+    sent = frames_until_end(events.withColumn("_status", ends), stream, order, "_status", (1 << 31) - 1)
+    tokens = F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("frame", "data"))))
+    state = F.when(F.count_if(F.col("kind") == "error") > 0, "error").when(F.count_if(F.col("kind") == "done") > 0, "done").otherwise("open")
+    cited = F.min_by("data", F.when(F.col("kind") == "citations", F.col("frame")))
+    return sent.groupBy(stream).agg(state.alias("state"), cited.alias("citations"), F.array_join(F.transform(tokens, lambda x: x["data"]), mark).alias("text"), F.count_if(F.col("kind") == "token").alias("n"))
+
+
 def replies(tokens: DataFrame) -> DataFrame:
     """(conv_id, text, n) of ordered tokens (conv_id, seq, token)."""
     ordered = F.sort_array(F.collect_list(F.struct("seq", "token")))

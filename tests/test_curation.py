@@ -262,3 +262,10 @@ def test_vectors_objects_and_messages(spark):
 def test_account_names(spark):
     rows = spark.createDataFrame([("411 Cash — x", "411"), ("Bank", "411"), ("4112", "411")], "c string, code string")
     assert [r.n for r in rows.select(curation.account_name(F.col("c"), F.col("code")).alias("n")).collect()] == ["Cash", "Bank", "2"]
+
+
+def test_prompts_with_a_system_part(spark):
+    q = spark.createDataFrame([(1, "q?"), (2, "r?")], "query_id long, text string")
+    none = lambda c: spark.createDataFrame([], f"query_id long, {c} string")
+    made = assist.prompts(q, none("context"), none("history"), none("terms"), spark.createDataFrame([(1, "be brief")], "query_id long, system string"))
+    assert {r.query_id: r.prompt for r in made.collect()} == {1: "System\nbe brief\n\nQuestion\nq?", 2: "Question\nr?"}

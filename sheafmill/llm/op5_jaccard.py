@@ -8,8 +8,8 @@ upper end is also dealt into the next one. Sets equal on a part share a cell. A
 shared cells; cells with the same pivot and level form the pivot's region, a Voronoi cell in that each node joins the most central
 pivots that it can be near to.
 
-Inside a region distances are those of sketches: in how many of 256 parts two sets' sums differ. That is a metric, and at most the
-number of shingles in which they differ. Nodes linked with the pivot are joined through it, so that a group of copies around one text
+Inside a region distances are those of sketches, a bit for each of 2048 parts of the hash space: in how many bits two differ. That is a
+metric, and at most the number of shingles in which the sets differ. Nodes linked with the pivot are joined through it, so that a group of copies around one text
 costs a comparison a copy. If others, open ones, are there, the region is cut into rings of D + 1 around the pivot: by the triangle
 inequality a linked pair lies in one ring or in two neighbouring ones, so each node is also dealt to the next ring. Only pairs with an
 open node are left to compare: a ring's open nodes and its joined ones part into blocks, and each block of open nodes meets every block
@@ -52,10 +52,10 @@ class Near(NamedTuple):
 
 #: What op5_jaccard_join links.
 CONTRACT = Near(3, 90, 100)
-SKETCH_PARTS = 256
+SKETCH_BITS = 2048
 BLOCK = 256
-#: Lists of ids (8 bytes a row) that a join may broadcast; beyond so many rows it shuffles.
-BROADCAST_ROWS = 200_000
+#: Lists of ids (8 to 24 bytes a row), and of shared cells (8 bytes each), that a join may broadcast; beyond so many rows it shuffles.
+BROADCAST_ROWS, BROADCAST_CELLS = 200_000, 1_000_000
 
 PROJECTED = "doc_id long, text_hash long, n_shingles long, node long, twin long, level int, sketch binary, cells array<long>, next_cells array<long>"
 
@@ -90,7 +90,8 @@ def cells_of(hashes: np.ndarray, level: int, upper: int, near: Near) -> np.ndarr
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    return (mix(part_sums(hashes, (hashes & np.uint64(SKETCH_PARTS - 1)).astype(np.int64), SKETCH_PARTS)) >> np.uint64(56)).astype(np.uint8)
+    """A bit a part of the hash space, of the part's shingles: 256 bytes."""
+    return np.packbits(mix(part_sums(hashes, (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), SKETCH_BITS)) >> np.uint64(63) == 1)
 
 
 def set_hash(found: np.ndarray, seed: int) -> int:
@@ -127,24 +128,51 @@ def projected(docs: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFram
 
 
 def by_node_of(rows: DataFrame) -> DataFrame:
-    """The written table of (node, id, same): a node's least doc_id, and whether all its rows have one size and second hash."""
+    """The written table of (node, id, same, first, n): a node's least doc_id, whether all its rows have one size and second hash, its first row by
+    doc_id and hash of the text, and how many it has."""
     same = (F.min("n_shingles") == F.max("n_shingles")) & (F.min("twin") == F.max("twin"))
-    return common.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), same.alias("same")), "op5-by-node")
-
-
-def regions(rows: DataFrame) -> DataFrame:
-    """(pivot, level, node) for each node but the pivot in each pivot's region."""
-    held = rows.where("node IS NOT NULL")
-    cells = held.select("node", "level", F.explode("cells").alias("cell")).unionByName(held.select("node", (F.col("level") + 1).alias("level"), F.explode("next_cells").alias("cell")))
-    shared = common.written(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("cell"), "op5-shared")
-    members = common.written(cells.join(shared, "cell", "left_semi").distinct(), "op5-members")  # grows with the corpus: always shuffled
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    return common.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), same.alias("same"), first, F.count("*").alias("n")), "op5-by-node")
+
+
+def once_a_node(rows: DataFrame, by_node: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text_hash, node ...) without those of a node that aren't like its first."""
+    several = common.small_or_shuffled(by_node.where("n > 1").select("node", "first"), BROADCAST_ROWS)
+    copies = rows.select("node", "doc_id", "text_hash").join(several, "node").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    copies = common.written(copies.select(F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")).distinct(), "op5-copies")
+    copies = common.small_or_shuffled(copies, BROADCAST_ROWS)
+    return rows.where("node IS NOT NULL").join(copies, rows["doc_id"].eqNullSafe(copies["copy_id"]) & (rows["text_hash"] == copies["copy_hash"]), "left_anti")
+
+
+def regions(held: DataFrame) -> DataFrame:
+    """(pivot, level, node) for each node but the pivot in each pivot's region, from rows of a node each. Cells are counted first, by themselves: hardly any is met twice, and
+    the nodes of those that are follow."""
+    own, next_ = held.select("node", "level", F.explode("cells").alias("cell")), held.select("node", (F.col("level") + 1).alias("level"), F.explode("next_cells").alias("cell"))
+    cells = own.unionByName(next_)
+    shared = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "op5-shared")
+    members = common.written(cells.join(common.small_or_shuffled(shared, BROADCAST_CELLS), "cell", "left_semi").distinct(), "op5-members")
     central = members.groupBy("node").agg(F.count("*").alias("n_cells"))
     pivots = members.join(central, "node").groupBy("cell").agg(F.max(F.struct("n_cells", "node")).alias("top")).select("cell", F.col("top.node").alias("pivot"))
     return common.written(members.join(pivots, "cell").where("node <> pivot").select("pivot", "level", "node").distinct(), "op5-regions")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by their whole sets."""
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, near: Near, seed: int) -> DataFrame:
+    """The written table of (node, shingles) of the wanted nodes, from the texts that nodes (node, of) name."""
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, near.words) for t in batch["text"]]
+            right = [len(x) > 0 and set_hash(x, seed) == node for x, node in zip(sets, batch["node"], strict=True)]  # not another text of the same hash
+            yield pd.DataFrame({"node": batch["node"][right], "shingles": [x.tobytes() for x, r in zip(sets, right, strict=True) if r]})
+
+    named = nodes.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")).join(wanted, "node", "left_semi")
+    named = common.small_or_shuffled(common.written(named, "op5-named"), BROADCAST_ROWS)
+    texts = keyed(docs)
+    texts = texts.join(named, (texts["text_hash"] == named["of_hash"]) & texts["doc_id"].eqNullSafe(named["of_id"]))
+    return common.written(texts.select("node", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
+
+
+def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, seed: int, label: str) -> DataFrame:
+    """The written table of those of the pairs (a, b) that are linked, by their whole sets. Only sets of nodes in a pair are made."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             linked = []
@@ -154,19 +182,22 @@ def compared(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                 linked.append(near.den * both >= near.num * (len(x) + len(y) - both))
             yield batch.loc[linked, ["a", "b"]]
 
+    pairs = common.written(pairs.distinct(), f"{label}-pairs")
+    sets = sets_of(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), near, seed)
+    sets = common.small_or_shuffled(sets, BROADCAST_ROWS, F.octet_length("shingles"))
     sides = [sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInPandas(compare, "a long, b long")
+    return common.written(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInPandas(compare, "a long, b long"), label)
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x != y).sum(axis=-1)
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def near_by_sketch(batches: Iterator[pd.DataFrame], near: Near) -> Iterator[pd.DataFrame]:
     """Distance and verdict by sketches for rows of pivot, level, node, and both sides' n and sketch."""
     for batch in batches:
         if len(batch):
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH_PARTS) for c in ("sketch", "pivot_sketch"))
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in ("sketch", "pivot_sketch"))
             apart = differing(x, y)
             total = (batch["n"] + batch["pivot_n"]).to_numpy()
             yield batch[["pivot", "level", "node", "n", "sketch"]].assign(apart=apart, may_link=apart <= near.most_differing(total))
@@ -176,7 +207,7 @@ def met_in_block(rows: pd.DataFrame, near: Near) -> pd.DataFrame:
     """Pairs of a block of a ring that may be linked: not both guests, not both joined through the pivot, near by size and sketch."""
     rows = rows.drop_duplicates("node")
     nodes, n, guest, joined, side = (rows[c].to_numpy() for c in ("node", "n", "guest", "joined", "side"))
-    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH_PARTS)
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH_BITS // 8)
     across = bool(rows["across"].iloc[0])
     out = []
     for i in range(len(rows) - 1):
@@ -190,29 +221,18 @@ def met_in_block(rows: pd.DataFrame, near: Near) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
 
-def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFrame:
-    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near, seed)`."""
-    region = regions(rows)
-    one_row = F.min(F.struct("doc_id", "text_hash")).alias("of")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(one_row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+def links(docs: DataFrame, rows: DataFrame, by_node: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFrame:
+    """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near, seed)`, by_node its `by_node_of`."""
+    held = once_a_node(rows, by_node)
+    region = regions(held)
+    nodes = held.select("node", F.struct("doc_id", "text_hash").alias("of"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     ids = region.select("node").union(region.select("pivot")).distinct()
     nodes = common.written(nodes.join(common.small_or_shuffled(common.written(ids, "op5-ids"), BROADCAST_ROWS), "node", "left_semi"), "op5-nodes")
 
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, near.words) for t in batch["text"]]
-            right = [len(x) > 0 and set_hash(x, seed) == node for x, node in zip(sets, batch["node"], strict=True)]  # not another text of the same hash
-            yield pd.DataFrame({"node": batch["node"][right], "shingles": [x.tobytes() for x, r in zip(sets, right, strict=True) if r]})
-
-    wanted = common.small_or_shuffled(nodes.select(F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), "node"), BROADCAST_ROWS)
-    texts = keyed(docs)
-    texts = texts.join(wanted, (texts["text_hash"] == wanted["of_hash"]) & texts["doc_id"].eqNullSafe(wanted["of_id"]))
-    sets = common.written(texts.select("node", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
-
     pivots = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
     around = region.join(nodes.drop("of"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
     around = common.written(around.mapInPandas(lambda batches: near_by_sketch(batches, near), "pivot long, level int, node long, n long, sketch binary, apart long, may_link boolean"), "op5-around")
-    first = common.written(compared(around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, near), "op5-linked")
+    first = compared(docs, nodes, around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")), near, seed, "op5-linked")
 
     marked = around.join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("is_linked")), ["node", "pivot"], "left")
     widths = [near.most_differing(2 * (int(start) - 1)) + 1 for start in level_starts(10**9, near)[1:]]
@@ -232,8 +252,7 @@ def links(docs: DataFrame, rows: DataFrame, near: Near = CONTRACT, seed: int = 0
     dealt = dealt.withColumn("side", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).withColumn("across", F.col("low") != F.col("high"))
     pairs = dealt.select(*key, "low", "high", "across", "side", "node", "n", "sketch", "joined", "guest").groupBy(*key, "low", "high").applyInPandas(lambda rows: met_in_block(rows, near), "a long, b long")
-    second = common.written(compared(pairs.distinct(), sets, near), "op5-met")
-    return first.union(second)
+    return first.union(compared(docs, nodes, pairs, near, seed, "op5-met"))
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -259,7 +278,7 @@ def classed(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
             by_node = by_node_of(rows)
             if by_node.where("NOT same").limit(1).count() == 0:
                 break
-        of = common.written(classes(links(docs, rows, near, seed)).toDF("node", "label"), "op5-of")
+        of = common.written(classes(links(docs, rows, by_node, near, seed)).toDF("node", "label"), "op5-of")
     least = common.written(of.join(by_node.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("least")), "op5-least")
     named = by_node.join(of.join(least, "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("least", "id").alias("component"))
     out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(common.written(named, "op5-named"), "node", "left")

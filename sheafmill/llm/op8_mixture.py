@@ -5,7 +5,8 @@ at three times its size, and what is cut is shared again by weight until none is
 the sources with the least 3 * size / weight are capped, the others take weight * level. Each document is then emitted
 floor(target / size) times, and once more if a hash of seed and doc_id falls below the fraction.
 
-Defined cases: null text has size 0; an empty source has target 0; repeated rows draw alike; no rows give none.
+Defined cases: null text has size 0; an empty source has target 0; repeated rows draw alike; columns whose names begin with _sm_ are
+reserved; no rows give none. Sources are few enough for windows over a row each to run in one task.
 """
 
 from __future__ import annotations
@@ -40,18 +41,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", target.alias("target"))
 
 
-def planned(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
-    """`docs` with _sm_size, _sm_source_size, _sm_target and _sm_copies."""
-    sizes = docs.select("source", common.n_words(F.col("text")).alias("size"))
-    targets = common.written(source_targets(sizes, **kw), "op8-targets")
-    targets = common.small_or_shuffled(targets, BROADCAST_ROWS).select(F.col("source").alias("_sm_source"), F.col("source_size").alias("_sm_source_size"), F.col("target").alias("_sm_target"))
-    out = docs.withColumn("_sm_size", common.n_words(F.col("text"))).join(targets, docs["source"].eqNullSafe(targets["_sm_source"]))
+def with_copies(rows: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """`rows` (doc_id, source ...) with _sm_source_size, _sm_target and _sm_copies, from `source_targets`, a row a source."""
+    targets = common.small_or_shuffled(common.written(targets, "op8-targets"), BROADCAST_ROWS).select(F.col("source").alias("_sm_source"), F.col("source_size").alias("_sm_source_size"), F.col("target").alias("_sm_target"))
+    out = rows.join(targets, rows["source"].eqNullSafe(targets["_sm_source"]))
     rate = F.when(F.col("_sm_source_size") > 0, F.col("_sm_target") / F.col("_sm_source_size")).otherwise(F.lit(0.0))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     copies = F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
     return out.withColumn("_sm_copies", copies.cast("long")).drop("_sm_source")
 
 
+def planned(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
+    """`docs` with _sm_source_size, _sm_target and _sm_copies."""
+    return with_copies(docs, source_targets(docs.select("source", common.n_words(F.col("text")).alias("size")), **kw), seed)
+
+
 def mixed(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
     """The mixture itself: the rows of `docs`, each as often as it is taken."""
     plan = planned(docs, seed, **kw).where("_sm_copies > 0")
@@ -59,9 +63,10 @@ def mixed(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
 
 
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    plan = planned(docs)
-    return plan.select("doc_id", F.col("_sm_size").alias("size"), F.col("_sm_source_size").alias("source_size"), F.col("_sm_target").alias("target"), (F.col("_sm_size") * F.col("_sm_copies")).alias("taken"))
+    sized = common.load(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
+    sized = common.written(sized, "op8-sizes")
+    plan = with_copies(sized, source_targets(sized))
+    return plan.select("doc_id", "size", F.col("_sm_source_size").alias("source_size"), F.col("_sm_target").alias("target"), (F.col("size") * F.col("_sm_copies")).alias("taken"))
 
 
 ORACLE = r"""

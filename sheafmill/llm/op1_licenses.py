@@ -6,8 +6,11 @@ way again, down to runs of equal words at a gap's two ends. Coverage is the shar
 
 A template needs at least the asked coverage, so only so many of its words may be missing, and a stretch can only match if it holds all
 of the template's different words but that many; a sliding window finds such stretches, wherever they stand and however often, before any alignment.
+Windows begin at somewhat more than the template's length and double until they hold the whole text, so that any number of words may stand between a
+license's own. What a wider window finds replaces a narrower find only if it aligns more words and meets that find alone: copies side by side stay apart.
 
-Defined cases: null and blank texts have no license; of templates that cover the same stretch, the one with more aligned words stands, then
+Defined cases: null and blank texts have no license; words put into a license, however many, lower no coverage (start_word and end_word tell how far it is
+spread); of templates that cover the same stretch, the one with more aligned words stands, then
 the one that is covered more, then the first by name; a text of any length is scanned whole; repeated rows are scanned each; no rows give none; other columns are not read.
 """
 
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheafmill.llm import common
 
 MIN_COVERAGE = 0.8
-#: A stretch may have so many times the template's words, for words put in between.
+#: Stretches of so many times the template's words are looked at first; then of twice as many each time, up to the whole text.
 SLACK = 1.5
 
 # Texts of public licenses and their usual notices.
@@ -102,7 +106,6 @@ class Template:
     def __init__(self, name: str, text: str, min_coverage: float):
         self.name, self.words = name, [w for w in words_of(text) if w]
         self.kinds = frozenset(self.words)
-        self.most = int(SLACK * len(self.words)) + 2
         self.need = len(self.kinds) - (len(self.words) - math.ceil(min_coverage * len(self.words)))
 
 
@@ -112,14 +115,14 @@ class Scanner:
         self.min_coverage = min_coverage
         self.kinds = frozenset().union(*(t.kinds for t in self.templates))
 
-    def stretches(self, t: Template, places: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        """Stretches of the text that hold enough of the template's different words. A window is kept as short as its words allow; one
+    def stretches(self, t: Template, places: list[tuple[int, str]], most: int) -> Iterator[tuple[int, int]]:
+        """Stretches of the text that hold enough of the template's different words within `most` words. A window is kept as short as its words allow; one
         that begins behind the stretch at hand opens the next stretch, so copies side by side are told apart."""
         held: Counter[str] = Counter()
         low, best, done, run = 0, 0, 0, None
         for at, word in places:
             held[word] += 1
-            while at - places[low][0] >= t.most or held[places[low][1]] > 1:
+            while at - places[low][0] >= most or held[places[low][1]] > 1:
                 held[places[low][1]] -= 1
                 if not held[places[low][1]]:
                     del held[places[low][1]]
@@ -129,13 +132,13 @@ class Scanner:
                 continue
             if run is None or first >= run[1]:
                 if run:
-                    yield run[0], min(first, run[1] + t.most)
+                    yield run[0], min(first, run[1] + most)
                     done = run[1]
-                run, best = (max(done, at + 1 - t.most), at + 1), len(held)
+                run, best = (max(done, at + 1 - most), at + 1), len(held)
             elif len(held) > best:
                 run, best = (run[0], at + 1), len(held)
         if run:
-            yield run[0], run[1] + t.most
+            yield run[0], run[1] + most
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of each stretch that a template covers, in order of place."""
@@ -144,15 +147,24 @@ class Scanner:
         fits = [t for t in self.templates if len(t.kinds & there) >= t.need]
         if not fits:
             return []
-        found = []
-        for t in fits:
-            for low, high in self.stretches(t, [(i, w) for i, w in enumerate(words) if w in t.kinds]):
-                if len(pairs := aligned(words[low:high], t.words)) >= self.min_coverage * len(t.words):
-                    found.append((len(pairs), t.name, len(pairs) / len(t.words), low + pairs[0][0], low + pairs[-1][0] + 1))
         kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[0], -f[2], f[1], f[3])):
-            if all(f[4] <= k[3] or f[3] >= k[4] for k in kept):
-                kept.append(f)
+        places = {t.name: [(i, w) for i, w in enumerate(words) if w in t.kinds] for t in fits}
+        widths = {t.name: int(SLACK * len(t.words)) + 2 for t in fits}
+        tried: set[tuple[str, int, int]] = set()
+        while fits:
+            found = []
+            for t in fits:
+                for low, high in self.stretches(t, places[t.name], widths[t.name]):
+                    at = (t.name, max(low, 0), min(high, len(words)))
+                    if at not in tried and len(pairs := aligned(words[at[1] : at[2]], t.words)) >= self.min_coverage * len(t.words):
+                        found.append((len(pairs), t.name, len(pairs) / len(t.words), at[1] + pairs[0][0], at[1] + pairs[-1][0] + 1))
+                    tried.add(at)
+            for f in sorted(found, key=lambda f: (-f[0], -f[2], f[4] - f[3], f[1], f[3])):
+                met = [k for k in kept if f[4] > k[3] and f[3] < k[4]]
+                if not met or len(met) == 1 and met[0] not in found and f[0] > met[0][0]:
+                    kept = [k for k in kept if k not in met] + [f]
+            fits = [t for t in fits if widths[t.name] < len(words)]
+            widths = {t.name: 2 * widths[t.name] for t in fits}
         return [(name, round(share, 6), low, high) for _, name, share, low, high in sorted(kept, key=lambda f: f[3])]
 
 
@@ -167,10 +179,11 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, min_covera
                 found = scanner.scan(text)
                 best = max(found, key=lambda f: (f[1], f[3] - f[2], -f[2]), default=(None, None, None, None))
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(found), *best, [dict(zip(("license", "coverage", "start_word", "end_word"), f, strict=True)) for f in found]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_licenses", "license", "coverage", "start_word", "end_word", "licenses"])
-            yield out.astype({"doc_id": "Int64", "start_word": "Int64", "end_word": "Int64", "coverage": "Float64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "n_licenses", "license", "coverage", "start_word", "end_word", "licenses"], dtype=object)
+            yield out.astype({"doc_id": "Int64", "n_licenses": "Int64", "start_word": "Int64", "end_word": "Int64", "coverage": "Float64"})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, FOUND)
+    # ids as text: beside a null, pandas would round them to doubles
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(scan, FOUND)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

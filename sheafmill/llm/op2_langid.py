@@ -8,17 +8,17 @@ the codeword of the least loss; where the runner-up is close, the document is fl
 Only text and non-null lang of labelled rows are learned from, on a hash sample of about `TRAIN_DOCS` documents at most
 (all, if there are fewer). Counts are summed in Spark; what comes to the driver is one row a language, of 2^13 counts.
 
-Defined cases: null text, and text without a letter, is `und` with score 0 (so is every text if no row is labelled); one
+Defined cases: null text, and text without a letter (of category L: not digits, fractions, Roman numerals or circled numbers), is `und` with score 0 (so is every text if no row is labelled); one
 language alone is always predicted; repeated rows get equal predictions; no rows give none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,10 @@ EXTRA_BITS = 12
 #: Margins are averages of log odds; this brings them to a usual range of a logistic loss.
 SHARPNESS = 6.0
 AMBIGUOUS_UNDER = 0.6
-LETTER = re.compile(r"[^\W\d_]")
+#: Of Unicode's categories of letters; numbers written with letters are none.
+LETTER = regex.compile(r"\p{L}")
+#: The hash sample is cut so finely that it keeps its size in tables of any number of rows.
+SAMPLE_PARTS = 1 << 48
 #: ASCII bytes that aren't letters all count as a blank.
 TO_BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -97,7 +100,7 @@ def trained(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Decoder:
     """From rows of (doc_id, text, lang); doc_id only picks the sample."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     share = min(1.0, train_docs / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PARTS)) < int(share * SAMPLE_PARTS)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

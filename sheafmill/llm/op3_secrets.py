@@ -10,7 +10,8 @@ The forest (Spark ML) is trained from labelled findings, rows of (text, path, is
 from digests and word lists in Spark, and a caller can add its own.
 
 Defined cases: null and blank texts have no candidates; repeated rows are one document; a document may have any number of
-candidates; null sources are an empty path; a private key without its end reaches as far as its lines do; no rows give none.
+candidates; null sources are an empty path; rows of equal doc_id and text but different sources are judged each by its own path; a private key
+without its end reaches as far as its lines do, however many they are; no rows give none.
 Redaction keeps all other columns and every other character; columns whose names begin with _sm_ are reserved in it.
 """
 
@@ -44,7 +45,7 @@ FORMATS = {
     "google": "AIza[0-9A-Za-z_-]{35}",
     "stripe": "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "jwt": "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]*",
-    "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----|(?:\\s+[A-Za-z0-9+/=]{16,})*)",
+    "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----|(?:\\s+[A-Za-z0-9+/=]{16,})*+)",
 }
 DICTIONARY = (
     "access account action admin application archive backup branch build bundle change chapter check chunk class client cluster code commit "
@@ -166,8 +167,8 @@ def judged(rows: DataFrame, scanner: Scanner, threshold: float = THRESHOLD) -> D
 def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """A row a candidate of a document: doc_id, no, start, length, sha256, score, is_secret."""
     keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
-    rows = judged(candidates(keyed, "doc_id", "text_hash"), scanner).dropDuplicates(["doc_id", "text_hash", "no"])
-    upto = Window.partitionBy("doc_id", "text_hash").orderBy("no")
+    rows = judged(candidates(keyed, "doc_id", "text_hash"), scanner).dropDuplicates(["doc_id", "text_hash", "path", "no"])
+    upto = Window.partitionBy("doc_id", "text_hash", "path").orderBy("no")
     start = F.sum(F.col("gap") + F.length("match")).over(upto) - F.length("value")
     return rows.select("doc_id", "text_hash", F.col("no").cast("long").alias("no"), start.cast("long").alias("start"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("sha256"), "score", "is_secret")
 
@@ -175,9 +176,11 @@ def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
 def redacted(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """`docs` with each secret replaced in `text`, and `n_chars`, where there is one, counted anew in the texts changed."""
     keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
-    secrets = judged(candidates(keyed, "doc_id", "text_hash"), scanner).where("is_secret").groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("_sm_nos"))
-    secrets = common.small_or_shuffled(common.written(secrets.select(F.col("doc_id").alias("_sm_id"), F.col("text_hash").alias("_sm_hash"), "_sm_nos"), "op3-secrets"), BROADCAST_ROWS)
-    out = docs.join(secrets, docs["doc_id"].eqNullSafe(secrets["_sm_id"]) & (F.xxhash64(docs["text"]) == secrets["_sm_hash"]), "left")
+    secrets = judged(candidates(keyed, "doc_id", "text_hash"), scanner).where("is_secret").groupBy("doc_id", "text_hash", "path").agg(F.collect_set("no").alias("_sm_nos"))
+    secrets = common.written(secrets.select(F.col("doc_id").alias("_sm_id"), F.col("text_hash").alias("_sm_hash"), F.col("path").alias("_sm_path"), "_sm_nos"), "op3-secrets")
+    secrets = common.small_or_shuffled(secrets, BROADCAST_ROWS, 40 + F.length("_sm_path") + 4 * F.size("_sm_nos"))
+    same = docs["doc_id"].eqNullSafe(secrets["_sm_id"]) & (F.xxhash64(docs["text"]) == secrets["_sm_hash"]) & (F.coalesce(docs["source"], F.lit("")) == secrets["_sm_path"])
+    out = docs.join(secrets, same, "left")
     t, nos = F.col("text"), F.col("_sm_nos")
 
     def rebuilt(parts: Column) -> Column:

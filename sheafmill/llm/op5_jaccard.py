@@ -2,8 +2,9 @@
 
 Equal sets are one node. Distances between unrelated documents all lie near 1, where no pivot parts them; so a pivot's region is
 found by projection first. Two linked sets differ in at most D of their shingles, so if the shingles' hash space is cut into
-D + 1 parts, they are equal on one part at least. A set with shingles in more than D parts needs no cells of its empty parts, as one
-of the others is equal; where parts hold few shingles, some are cut in excess of D + 1 for that. Sizes are cut into levels, D is a level's, and a set near a level's
+D + 1 parts, they are equal on one part at least. If either has shingles in more than D parts, they are equal on a filled one, so empty parts need no
+cells; where parts hold few shingles, some are cut in excess of D + 1 for that. Sets with shingles in D parts or fewer, which are small and rare, meet on their least
+shingles besides: two linked sets share one of those that stand before the number of shingles they must share. Sizes are cut into levels, D is a level's, and a set near a level's
 upper end is also dealt into the next one. Sets equal on a part share a cell. A cell's pivot is its member with the most
 shared cells; cells with the same pivot and level form the pivot's region, a Voronoi cell in that each node joins the most central
 pivots that it can be near to.
@@ -16,8 +17,8 @@ open node are left to compare: a ring's open nodes and its joined ones part into
 once. Pairs within D by sketch are then compared by their whole sets. Nothing is capped: every pair at the similarity or more either
 shares a pivot's link or is compared. Classes come from minimum labels with pointer jumping over written tables.
 
-Equality of shingles and parts is that of 64-bit hashes. Equal sets are found by one such hash and checked by size and a second hash;
-should two different sets ever share the first, all is done anew with another seed.
+Equality of shingles and parts is that of 64-bit hashes, that of sets of two such hashes and the size. A node is named by the first hash; nodes on which different
+sets meet, a few among 10^10, are named anew by both.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; under n words the whole sequence is the one
 shingle; repeated rows are one document; rows of one doc_id with different texts are documents of their own; a null doc_id never
@@ -80,13 +81,17 @@ def part_sums(hashes: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
 
 
 def cells_of(hashes: np.ndarray, level: int, upper: int, near: Near) -> np.ndarray:
-    """A set's cells on a level: one hash a part, of the part's place and shingles."""
+    """A set's cells on a level: one hash a filled part, of the part's place and shingles. A set with no more filled parts than may differ has a cell for each
+    of its least shingles as well, enough of them that two such sets, if linked, share one."""
     most = near.most_differing(2 * upper)
     n = most + 1 + round(2 * (most + 1) * np.exp(-0.75 * upper / (most + 1)))
     parts = ((hashes >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
     cells = mix(part_sums(hashes, parts, n) * np.uint64(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(level)).view(np.int64)
     full = np.bincount(parts, minlength=n) > 0
-    return cells[full] if full.sum() > most else cells
+    if full.sum() > most:
+        return cells[full]
+    least = np.sort(hashes)[: len(hashes) + 1 - -(-near.num * len(hashes) // near.den)]
+    return np.concatenate([cells[full], mix(least * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA24BAED4963EE407) + np.uint64(level)).view(np.int64)])
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
@@ -121,10 +126,11 @@ def projected(docs: DataFrame, near: Near = CONTRACT, seed: int = 0) -> DataFram
                 after = next_start(int(starts[level + 1]), near)
                 next_cells = cells_of(found, level + 1, after - 1, near) if near_next else []
                 rows.append((doc_id, text_hash, len(found), set_hash(found, seed), set_hash(found, ~seed & 0xFFFF_FFFF), level, sketch_of(found).tobytes(), cells_of(found, level, int(starts[level + 1]) - 1, near), next_cells))
-            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_shingles", "node", "twin", "level", "sketch", "cells", "next_cells"])
-            yield out.astype({"doc_id": "Int64", "node": "Int64", "twin": "Int64", "level": "Int32"})
+            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_shingles", "node", "twin", "level", "sketch", "cells", "next_cells"], dtype=object)
+            yield out.astype({"doc_id": "Int64", "text_hash": "Int64", "n_shingles": "Int64", "node": "Int64", "twin": "Int64", "level": "Int32"})
 
-    return common.written(keyed(docs).mapInPandas(project, PROJECTED), "op5-projected")
+    # ids as text: beside a null, pandas would round them to doubles
+    return common.written(keyed(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(project, PROJECTED), "op5-projected")
 
 
 def by_node_of(rows: DataFrame) -> DataFrame:
@@ -161,14 +167,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, near: Near, se
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, near.words) for t in batch["text"]]
-            right = [len(x) > 0 and set_hash(x, seed) == node for x, node in zip(sets, batch["node"], strict=True)]  # not another text of the same hash
+            right = [len(x) > 0 and set_hash(x, ~seed & 0xFFFF_FFFF) == twin for x, twin in zip(sets, batch["twin"], strict=True)]  # not another text of the same hash
             yield pd.DataFrame({"node": batch["node"][right], "shingles": [x.tobytes() for x, r in zip(sets, right, strict=True) if r]})
 
-    named = nodes.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")).join(wanted, "node", "left_semi")
+    named = nodes.select("node", "twin", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")).join(wanted, "node", "left_semi")
     named = common.small_or_shuffled(common.written(named, "op5-named"), BROADCAST_ROWS)
     texts = keyed(docs)
     texts = texts.join(named, (texts["text_hash"] == named["of_hash"]) & texts["doc_id"].eqNullSafe(named["of_id"]))
-    return common.written(texts.select("node", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
+    return common.written(texts.select("node", "twin", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
 
 
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, seed: int, label: str) -> DataFrame:
@@ -225,12 +231,12 @@ def links(docs: DataFrame, rows: DataFrame, by_node: DataFrame, near: Near = CON
     """Links (a, b) between nodes of different sets that join each class; rows is `projected(docs, near, seed)`, by_node its `by_node_of`."""
     held = once_a_node(rows, by_node)
     region = regions(held)
-    nodes = held.select("node", F.struct("doc_id", "text_hash").alias("of"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    nodes = held.select("node", "twin", F.struct("doc_id", "text_hash").alias("of"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     ids = region.select("node").union(region.select("pivot")).distinct()
     nodes = common.written(nodes.join(common.small_or_shuffled(common.written(ids, "op5-ids"), BROADCAST_ROWS), "node", "left_semi"), "op5-nodes")
 
     pivots = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-    around = region.join(nodes.drop("of"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
+    around = region.join(nodes.drop("of", "twin"), "node").join(pivots, "pivot").select("pivot", "level", "node", "n", "sketch", "pivot_n", "pivot_sketch")
     around = common.written(around.mapInPandas(lambda batches: near_by_sketch(batches, near), "pivot long, level int, node long, n long, sketch binary, apart long, may_link boolean"), "op5-around")
     first = compared(docs, nodes, around.where("may_link").select(F.col("node").alias("a"), F.col("pivot").alias("b")), near, seed, "op5-linked")
 
@@ -270,14 +276,21 @@ def classes(links: DataFrame) -> DataFrame:
         labels = jumped.select("id", "label")
 
 
-def classed(docs: DataFrame, near: Near = CONTRACT) -> DataFrame:
+def parted(rows: DataFrame, by_node: DataFrame) -> DataFrame:
+    """The written `rows`, with new names for the nodes on which different sets meet: a hash of what tells the sets apart."""
+    mixed = common.small_or_shuffled(by_node.where("NOT same").select("node", F.lit(True).alias("mixed")), BROADCAST_ROWS)
+    named = F.when(F.col("mixed"), F.xxhash64("node", "twin", "n_shingles")).otherwise(F.col("node"))
+    return common.written(rows.join(mixed, "node", "left").withColumn("node", named).select(rows.columns), "op5-parted")
+
+
+def classed(docs: DataFrame, near: Near = CONTRACT, seed: int = 1) -> DataFrame:
     """doc_id, text_hash, n_shingles, label (a node that stands for the class; null for an empty set) and component_id, for each row."""
     with common.small_batches(docs.sparkSession):
-        for seed in range(1, 1 << 16):
-            rows = projected(docs, near, seed)
+        rows = projected(docs, near, seed)
+        by_node = by_node_of(rows)
+        while by_node.where("NOT same").limit(1).count():
+            rows = parted(rows, by_node)
             by_node = by_node_of(rows)
-            if by_node.where("NOT same").limit(1).count() == 0:
-                break
         of = common.written(classes(links(docs, rows, by_node, near, seed)).toDF("node", "label"), "op5-of")
     least = common.written(of.join(by_node.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("least")), "op5-least")
     named = by_node.join(of.join(least, "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("least", "id").alias("component"))

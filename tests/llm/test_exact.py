@@ -441,3 +441,62 @@ def test_pipeline_run_leaves_its_result_alone(spark):
     before = len(common.Scratch.paths)
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and len(common.Scratch.paths) == before + 1
+
+
+def test_language_decoder_by_brute_force(spark):
+    """The decoder over the same counts, in plain arithmetic."""
+    import math
+
+    rows = common.load(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    learned = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    langs = sorted({r.lang for r in learned})
+
+    def grams(text):
+        raw = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", b" " + text.lower().encode() + b" ")
+        return collections.Counter(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 19 for i in range(len(raw) - 2))
+
+    counts = {lang: collections.Counter() for lang in langs}
+    for r in learned:
+        counts[r.lang].update(grams(r.text))
+    slots = range(op2_langid.SLOTS)
+    share = {lang: [(c[s] + 0.5) / (sum(c.values()) + 0.5 * op2_langid.SLOTS) for s in slots] for lang, c in counts.items()}
+    codes = [list(map(int, x)) for x in op2_langid.codewords(len(langs))]
+    mean = lambda bit, sign, s: (lambda x: sum(x) / len(x))([share[lang][s] for lang, code in zip(langs, codes, strict=True) if code[bit] == sign])
+    odds = [[math.log(mean(bit, 1, s)) - math.log(mean(bit, -1, s)) for s in slots] for bit in range(len(codes[0]))]
+    weights = [max(0.05, min(code[bit] * sum(p * o for p, o in zip(share[lang], odds[bit], strict=True)) for lang, code in zip(langs, codes, strict=True))) for bit in range(len(odds))]
+    got = {r.doc_id: r for r in op2_langid.op2_language_id(spark, SF).collect()}
+    for r in rows:
+        mine, n = grams(r.text or ""), max(1, sum(grams(r.text or "").values()))
+        margins = [op2_langid.SHARPNESS * sum(k * odds[bit][s] for s, k in mine.items()) / n for bit in range(len(odds))]
+        loss = {lang: sum(w * math.exp(max(-30, min(30, -c * m))) for w, c, m in zip(weights, code, margins, strict=True)) / sum(weights) for lang, code in zip(langs, codes, strict=True)}
+        best = min(loss, key=loss.get)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx((1 / loss[best]) / sum(1 / x for x in loss.values()), rel=1e-6)
+
+
+def test_what_is_a_letter():
+    assert [op2_langid.has_letter(t) for t in ("½ ² Ⅷ ① 12", "_ - ٣", "", None, "é", "日", "ª", "x1")] == [False, False, False, False, True, True, True, True]
+    assert int(20_000 / 10**12 * op2_langid.SAMPLE_PARTS) > 0
+
+
+@pytest.mark.parametrize("name", ["mit", "bsd-3-clause", "isc", "mit-line"])
+@pytest.mark.parametrize("put_in", [150, 200, 5000])
+def test_words_put_into_a_license(name, put_in):
+    """A license with any number of words put in is found as an alignment of the whole text finds it."""
+    scanner = op1_licenses.Scanner(op1_licenses.TEMPLATES, 0.8)
+    own = op1_licenses.TEMPLATES[name].split()
+    for at in (len(own) // 3, len(own) // 2):
+        words = ["before"] * 30 + own[:at] + [f"put{i % 97}" for i in range(put_in)] + own[at:] + ["after"] * 30
+        template = [w for w in op1_licenses.words_of(" ".join(own)) if w]
+        pairs = op1_licenses.aligned(op1_licenses.words_of(" ".join(words)), template)
+        found = {f[0]: f for f in scanner.scan(" ".join(words))}
+        assert found[name] == (name, round(len(pairs) / len(template), 6), pairs[0][0], pairs[-1][0] + 1) and found[name][1] == 1.0
+
+
+def test_copies_of_a_license_stay_apart():
+    """Far wider windows hold both copies, and don't join them."""
+    scanner = op1_licenses.Scanner(op1_licenses.TEMPLATES, 0.8)
+    own = op1_licenses.TEMPLATES["mit"].split()
+    broken = own[:40] + own[60:]
+    words = own + ["x"] * 40 + own + ["y"] * 3000 + broken + ["z"] * 10 + broken
+    assert [(f[0], f[1] == 1.0) for f in scanner.scan(" ".join(words))] == [("mit", True), ("mit", True), ("mit", False), ("mit", False)]

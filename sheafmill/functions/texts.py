@@ -21,8 +21,9 @@ LEGAL_FORMS = "ບໍລິສັດ|ຮ້ານ|ຈຳກັດ"
 SENTENCE_ENDS = ".!?ຯ\n"
 
 DIGITS = f"0-9{LAO_DIGITS[0]}-{LAO_DIGITS[9]}"
-NUMBER = f"[{DIGITS}]+(?:[.,][{DIGITS}]+)*"
-AMOUNT = f"(?:{NUMBER}\\s*{CURRENCY}|{CURRENCY}\\s*{NUMBER}|[{DIGITS}]{{1,3}}(?:[.,][{DIGITS}]{{3}})+(?:[.,][{DIGITS}]+)?)"
+#: Possessive, as what comes behind begins with none of its characters: Java runs such groups without recursion, whatever their number.
+NUMBER = f"[{DIGITS}]++(?:[.,][{DIGITS}]++)*+"
+AMOUNT = f"(?:{NUMBER}\\s*{CURRENCY}|{CURRENCY}\\s*{NUMBER}|[{DIGITS}]{{1,3}}(?:[.,][{DIGITS}]{{3}})++(?:[.,][{DIGITS}]+)?)"
 DOUBLED_MARK = f"([{COMBINING}])\\1+"
 BLANK_BEFORE_MARK = f"[ \\t]+([{COMBINING}])"
 UNICODE_BLANKS = "(?U)\\s+"

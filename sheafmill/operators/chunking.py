@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafmill.functions import texts
@@ -15,6 +15,11 @@ from sheafmill.functions import texts
 MAX_TOKENS, OVERLAP = 400, 60
 
 
+def blank_parted(found: Column) -> Column:
+    """How many blank-parted tokens each text of an array has; `segmentation.counts` is the form for texts without blanks."""
+    return F.transform(found, lambda t: F.size(texts.tokens(t)))
+
+
 def checked(most: int, overlap: int) -> None:
     if most <= 0 or not 0 <= overlap < most:
         raise ValueError("most must be positive, and overlap from 0 to under it")
@@ -61,11 +66,11 @@ def chunked_blocks(blocks: list[dict], most: int = MAX_TOKENS, overlap: int = OV
     return out
 
 
-def sentence_chunks(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+def sentence_chunks(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, counts: Callable[[Column], Column] = blank_parted) -> DataFrame:
     """(doc_id, seq, content, token_count, n_sentences). Sentences and token counts are native; packing runs inside a row."""
     checked(most, overlap)
     found = texts.sentences(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select("doc_id", found.alias("sentences")).withColumn("counts", F.transform("sentences", lambda s: F.size(texts.tokens(s))))
+    rows = docs.select("doc_id", found.alias("sentences")).withColumn("counts", counts(F.col("sentences")))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,9 +83,10 @@ def sentence_chunks(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVER
     return rows.mapInPandas(pack, "doc_id long, seq long, content string, token_count long, n_sentences long")
 
 
-def block_chunks(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+def block_chunks(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, counts: Callable[[Column], Column] = blank_parted) -> DataFrame:
     """(doc_id, seq, kind, content, token_count, path) from rows of (doc_id, blocks), blocks being an array of structs of kind, text, path."""
-    counted = documents.select("doc_id", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["path"].alias("path"), F.size(texts.tokens(b["text"])).alias("tokens"))).alias("blocks"))
+    counted = documents.select("doc_id", "blocks", counts(F.transform("blocks", lambda b: b["text"])).alias("counts"))
+    counted = counted.select("doc_id", F.transform("blocks", lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["path"].alias("path"), F.get("counts", i).alias("tokens"))).alias("blocks"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

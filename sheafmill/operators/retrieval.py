@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from sheafmill.functions import measures, texts
 from sheafmill.sources import shared
 
+if TYPE_CHECKING:
+    from sheafmill.operators.stores import Postings, VectorIndex
+
 QUERY_BLOCK, ROW_BLOCK = 2048, 4096
 DIGITS = 6
 #: Terms of a query set (some 20 bytes each): broadcast up to so many, shuffled beyond.
@@ -95,12 +99,14 @@ def cover_density(entries: Column, n_terms: Column) -> Column:
     return F.when(F.size(kinds) == n_terms, F.aggregate(entries, begin, step, lambda s: s["rank"])).otherwise(F.lit(0.0))
 
 
-def lexical(queries: DataFrame, rows: DataFrame, k: int, match: str = "all") -> DataFrame:
+def lexical(queries: DataFrame, rows: DataFrame, k: int, match: str = "all", postings: Postings | None = None) -> DataFrame:
     """(query_id, id, density, rank): rows that hold all of a query's `terms`, by cover density; or, for "any", by the weight of all their
-    occurrences."""
+    occurrences. Terms are looked up in stored `postings`, if they are given, of which the rows' own count; else they are found in the rows' texts."""
     wanted = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     wanted = shared.written(wanted, "lexical-terms")
-    hits = positions(rows, shared.written(wanted.select("term").distinct(), "lexical-distinct")).join(shared.small_or_shuffled(wanted, BROADCAST_TERMS), "term")
+    distinct = shared.written(wanted.select("term").distinct(), "lexical-distinct")
+    found = positions(rows, distinct) if postings is None else postings.positions(distinct).join(rows.select("id"), "id", "left_semi")
+    hits = found.join(shared.small_or_shuffled(wanted, BROADCAST_TERMS), "term")
     per = hits.groupBy("query_id", "id", "n_terms").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("entries"))
     if match == "all":
         per = per.where(F.size(F.array_distinct(F.transform("entries", lambda e: e["term"]))) == F.col("n_terms"))
@@ -135,13 +141,14 @@ def fused_join(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     return one.join(two, ["query_id", "id"], "full").withColumn("score", measures.rrf(F.col("dense_rank")) + measures.rrf(F.col("lexical_rank")))
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all", glossary: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all", glossary: DataFrame | None = None, index: VectorIndex | None = None, postings: Postings | None = None) -> DataFrame:
     """Fused hits with their contents: narrow lists are fused first, wide rows are fetched for the winners. A glossary (term) expands the
-    lexical queries."""
+    lexical queries. Of stored indexes, the one of vectors is approximate; without them both sides are exact."""
     pool = pool or pool_size(k)
     live = rows.where("review <> 'rejected'")
     asked = queries if glossary is None else expanded(queries, glossary)
-    top = fused(dense(queries, live, pool), lexical(asked, live, pool, match), k)
+    near = dense(queries, live, pool) if index is None else index.search(queries, live, pool)
+    top = fused(near, lexical(asked, live, pool, match, postings), k)
     return top.join(live.select("id", "content", "collection"), "id")
 
 
@@ -205,7 +212,7 @@ def fitted(rows: DataFrame, k: int, sample: int = 4000, **kw: int) -> Lists:
     n = held.count()
     kw = {"n_lists": n_lists_for(n)} | kw
     share = min(1.0, max(sample, 10 * kw["n_lists"]) / max(1, n))
-    picked = held.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").collect()
+    picked = held.where(F.pmod(F.xxhash64("id"), F.lit(1 << 48)) < int(share * (1 << 48))).select("embedding").collect()
     return Lists(np.array([r[0] for r in picked], np.float64) if picked else np.zeros((0, 1)), k, **kw)
 
 

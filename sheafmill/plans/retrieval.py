@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheafmill.functions import measures, texts
 from sheafmill.operators import ordering
 from sheafmill.operators import retrieval as ops
+from sheafmill.operators import stores
 from sheafmill.plans import adapters as A
 from sheafmill.sources import shared
 
@@ -73,6 +74,49 @@ def dense_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.index_search(query_set(spark, sf_dir), rows_of(spark, sf_dir), 10)
 
 
+def halves(rows: DataFrame) -> dict[str, DataFrame]:
+    """Rows as two batches."""
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    return {"first": rows.where(half == 0), "second": rows.where(half == 1)}
+
+
+def stored_vectors(spark: SparkSession, rows: DataFrame) -> stores.VectorIndex:
+    """A stored index, built of one batch, to which another is added, opened anew."""
+    path, batches = shared.fresh_path(spark, "vector-index"), halves(rows.select("id", "embedding"))
+    stores.VectorIndex.build(batches["first"], path, "first").add(batches["second"], "second")
+    return stores.VectorIndex(spark, path)
+
+
+def stored_postings(spark: SparkSession, rows: DataFrame) -> stores.Postings:
+    postings = stores.Postings(spark, shared.fresh_path(spark, "postings"))
+    for name, batch in halves(rows.select("id", "content")).items():
+        postings.add(batch, name)
+    return postings
+
+
+def dense_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rows_of(spark, sf_dir)
+    return stored_vectors(spark, rows).search(query_set(spark, sf_dir), rows, 10)
+
+
+def lexical_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.chunks(spark, sf_dir)
+    return ops.lexical(query_set(spark, sf_dir), rows, 10, postings=stored_postings(spark, rows))
+
+
+def term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts have each of the queries' terms, by the stored counts of two batches."""
+    terms = query_set(spark, sf_dir).select(F.explode("terms").alias("term")).distinct()
+    return stored_postings(spark, A.chunks(spark, sf_dir)).document_counts(terms)
+
+
+def hybrid_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`hybrid_rrf_search` over stored indexes."""
+    q, rows = shared.written(query_set(spark, sf_dir), "hybrid-queries"), A.chunks(spark, sf_dir)
+    top = ops.hybrid(q, rows, k=8, glossary=glossary(spark, sf_dir), index=stored_vectors(spark, rows), postings=stored_postings(spark, rows))
+    return top.select("query_id", "id", "rank", F.round("score", 9).alias("score"), "dense_rank", "lexical_rank", "collection", texts.excerpt(F.col("content"), 120).alias("excerpt"))
+
+
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding a vector as text and parsing it back loses nothing."""
     rows = rows_of(spark, sf_dir)
@@ -81,7 +125,7 @@ def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", (back == F.col("embedding")).alias("same"), F.size(back).cast("long").alias("dims"), F.round(total, 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_rrf_search, dense_topk, dense_topk_batch, lexical_topk, rrf_full_outer, retrieval_eval_matrix, latency_percentile, dense_index_search, vector_literals)}
+QUERIES = {f.__name__: f for f in (hybrid_rrf_search, dense_topk, dense_topk_batch, lexical_topk, rrf_full_outer, retrieval_eval_matrix, latency_percentile, dense_index_search, dense_stored_search, lexical_stored_topk, term_documents, hybrid_stored_search, vector_literals)}
 
 SET_SQL = A.CHUNKS_SQL + r""", q AS (SELECT vec_id AS query_id, e.embedding, list_distinct(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS ws
   FROM embeddings e JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0),
@@ -131,6 +175,8 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 SELECT query_id, t.id, rank, round(score, 9) AS score, dense_rank, lexical_rank, collection, substr(content, 1, 120) AS excerpt FROM t JOIN live USING (id) WHERE rank <= 8""",
     "dense_topk": f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id = 0), {ALL_ROWS}, {dense_sql('a', 'rows_', 32)} SELECT id, distance FROM a",
     "dense_topk_batch": f"WITH {SET_SQL}, {ALL_ROWS}, {dense_sql('a', 'rows_', 10)} SELECT * FROM a",
+    "lexical_stored_topk": f"WITH {SET_SQL}, {lexical_sql('b', 'chunks', 10)} SELECT * FROM b",
+    "term_documents": f"WITH {SET_SQL}, t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[^\\x20\\x09-\\x0D]+'))) AS term FROM chunks) SELECT term, count(*) AS n_docs FROM t WHERE term IN (SELECT term FROM qt) GROUP BY term",
     "lexical_topk": f"WITH {SET_SQL}, {lexical_sql('b', 'chunks', 10)} SELECT * FROM b",
     "rrf_full_outer": f"""WITH {SET_SQL}, {LIVE}, {dense_sql('a', 'live', 40)}, {lexical_sql('b', 'live', 40)}
 SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS dense_rank, b.rank AS lexical_rank, round({SCORE}, 9) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id""",

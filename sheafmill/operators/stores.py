@@ -31,11 +31,6 @@ HASH_PARTS = 1 << 48
 BATCH = re.compile("[A-Za-z0-9_.-]+")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def batch_path(path: str, batch: str) -> str:
     if not BATCH.fullmatch(batch):
         raise ValueError("a batch is named by letters, digits, _, . and -")
@@ -44,13 +39,13 @@ def batch_path(path: str, batch: str) -> str:
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of batches, empty as long as there is none."""
-    return spark.read.schema(f"{schema}, batch string").option("basePath", path).parquet(path) if exists(spark, path) else spark.createDataFrame([], f"{schema}, batch string")
+    return spark.read.schema(f"{schema}, batch string").option("basePath", path).parquet(path) if shared.exists(spark, path) else spark.createDataFrame([], f"{schema}, batch string")
 
 
 def settings(spark: SparkSession, path: str, given: dict[str, int] | None = None) -> dict[str, int]:
     """An index's settings: those it was begun with, or else the given ones, which are kept from now on."""
     at = f"{path}/settings"
-    if exists(spark, f"{at}/_SUCCESS"):
+    if shared.exists(spark, f"{at}/_SUCCESS"):
         return spark.read.parquet(at).first().asDict()
     if given is None:
         raise ValueError(f"no index at {path}")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheafmill.operators import latency, retrieval
 from sheafmill.plans import adapters as A
 from sheafmill.sources import files, shared
-from sheafmill.streaming import queue
+from sheafmill.streaming import queue, stateful
 
 T = A.table
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -84,9 +85,100 @@ def batched_map(spark, sf_dir):
     return made.select("doc_id", "n_bytes")
 
 
-QUERIES = {f.__name__: f for f in (job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, progress_frames, chat_streams, batched_map)}
+def as_stream(spark, rows, label, files=4, files_per_batch=1):
+    """Rows as a stream of several files."""
+    path = shared.fresh_path(spark, label)
+    rows.repartition(files).write.parquet(path)
+    return queue.event_stream(spark, path, rows.schema, files_per_batch)
+
+
+def job_retries(spark, sf_dir):
+    """Users as jobs that fail as often as their error events say, by sevens; every attempt of a stream of them, with its wait."""
+    stateful.state_store(spark)
+    e = T(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg((F.count_if(F.col("event_type") == "error") % 7).cast("string").alias("payload"))
+    jobs = shared.written(e, "retry-jobs")
+    n, out, marks = jobs.count(), shared.fresh_path(spark, "retries"), shared.fresh_path(spark, "retries-marks")
+
+    def run(job_id, payload, failures):
+        if failures < int(payload):
+            raise ValueError(f"failure {failures + 1} of {payload}")
+
+    tried = lambda: spark.read.schema(stateful.TRIED).parquet(out)
+    ended = lambda: shared.exists(spark, f"{out}/_spark_metadata") and tried().where("status <> 'queued'").count() == n
+    stateful.collected(stateful.retried(as_stream(spark, jobs, "retry-source"), run, base=1 / 64), out, marks, ended, most_seconds=600)
+    return tried()
+
+
+def reply_pieces(spark, sf_dir):
+    """Replies of model streams, whose JSON lines come as chunks of 97 bytes in any order, put together."""
+    stateful.state_store(spark)
+    m = T(spark, sf_dir, "conversations").where("role = 'assistant'")
+    line = lambda t: F.concat(F.to_json(F.struct(t.alias("response"), F.lit(False).alias("done"))), F.lit("\n"))
+    body = F.concat(F.array_join(F.transform(F.split("text", " "), line), ""), F.lit('{"response":"","done":true}\n')).cast("binary")
+    rows = m.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream_id"), body.alias("body"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("body") - 1) / 97).cast("int")), lambda i: F.substring("body", i * 97 + 1, F.lit(97)))
+    chunks = rows.select("stream_id", F.posexplode(cut).alias("seq", "chunk")).select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk")
+    out, marks = shared.fresh_path(spark, "pieces"), shared.fresh_path(spark, "pieces-marks")
+    stateful.collected(stateful.pieced(as_stream(spark, chunks, "piece-source")), out, marks)
+    lines = spark.read.schema(stateful.LINES).parquet(out).withColumnRenamed("line", "value")
+    read = files.token_lines(lines, "stream_id", "n").where("NOT done")
+    said = read.select(F.split_part("stream_id", F.lit("/"), F.lit(1)).cast("long").alias("conv_id"), F.struct(F.split_part("stream_id", F.lit("/"), F.lit(2)).cast("long").alias("turn"), "n").alias("seq"), F.col("response").alias("token"))
+    return queue.replies(said).select("conv_id", F.sha2("text", 256).alias("sha256"), "n")
+
+
+def progress_resumed(spark, sf_dir):
+    """`job_progress` by a stream that is stopped after its first batch, and run again."""
+    path, marks = shared.fresh_path(spark, "progress"), shared.fresh_path(spark, "progress-marks")
+    stop, rows = stateful.Stop(spark, shared.fresh_path(spark, "progress-stop")), T(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    source = shared.fresh_path(spark, "progress-source")
+    rows.repartition(4).write.parquet(source)
+
+    def handle(batch, n):
+        queue.once_by_batch(batch, n, path)
+        if n == 0:
+            stop.ask()
+
+    stream = lambda: queue.event_stream(spark, source, rows.schema, 1)
+    stateful.until_stopped(stream(), handle, marks, stop)
+    stop.clear()
+    stateful.until_stopped(stream(), handle, marks, stop)
+    return queue.progress(spark.read.schema(rows.schema).parquet(path)).select("user_id", "events", "errors")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def pending_vectors(spark, sf_dir):
+    """Vectors of the chunks that have none yet, made by batches that can be resumed: counts of letters stand in for an embedder's numbers."""
+    pending = A.chunks(spark, sf_dir).where("embedding IS NULL").select("id", "content")
+    letters = LETTERS
+
+    def of(texts):
+        return [[t.count(c) + t.count(c.upper()) for c in letters] for t in texts]
+
+    made = stateful.resumed(pending, of, shared.fresh_path(spark, "pending"), "array<long>", 2048)
+    return made.select("id", F.array_join(F.transform("value", lambda x: x.cast("string")), ",").alias("vector"))
+
+
+def search_latencies(spark, sf_dir):
+    """Measured latencies of up to 60 exact searches of 32 rows each, and whether all were planned as a sort with a limit."""
+    rows = T(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = [list(r[0]) for r in rows.where("id % 20 = 0").orderBy("id").limit(60).select("embedding").collect()]
+    return latency.reported(latency.measured(spark, "dense_one", [lambda q=q: retrieval.dense_one(rows, q, 32) for q in asked], "TakeOrderedAndProject"))
+
+
+QUERIES = {f.__name__: f for f in (job_retries, reply_pieces, progress_resumed, pending_vectors, search_latencies, job_state_fold, job_progress, event_time_windows, reply_streams, job_claim, progress_frames, chat_streams, batched_map)}
+
+REPLIES_SQL = "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS sha256, sum(len(string_split(text, ' ')))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id"
 
 ORACLE = {
+    "job_retries": """WITH j AS (SELECT user_id AS job_id, count(*) FILTER (event_type = 'error') % 7 AS p FROM events GROUP BY user_id), a AS (SELECT job_id, p, unnest(range(1, least(p + 1, 5) + 1)) AS k FROM j)
+SELECT job_id, k::INT AS attempt, CASE WHEN k > p THEN 'done' WHEN k = 5 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN k <= p AND k < 5 THEN pow(2, k) / 64 END AS wait_seconds,
+  CASE WHEN k <= p THEN 'failure ' || k || ' of ' || p END AS error FROM a""",
+    "reply_pieces": REPLIES_SQL,
+    "progress_resumed": "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id",
+    "pending_vectors": f"""WITH {A.CHUNKS_SQL} SELECT id, array_to_string(list_transform(string_split('{LETTERS}', ''), lambda c: 2 * length(content) - length(replace(content, c, '')) - length(replace(content, upper(c), ''))), ',') AS vector
+FROM chunks WHERE embedding IS NULL""",
     "job_state_fold": """WITH t AS (SELECT user_id AS job_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
 p AS (SELECT job_id, min(turn) FILTER (NOT failed) AS ok, max(turn) AS n FROM t GROUP BY job_id), f AS (SELECT job_id, ok, least(coalesce(ok - 1, n), 5)::BIGINT AS failures FROM p),
 s AS (SELECT job_id, failures, CASE WHEN failures >= 5 THEN 'dead' WHEN ok IS NOT NULL THEN 'done' ELSE 'pending' END AS status FROM f)
@@ -105,5 +197,5 @@ f AS (SELECT *, min(k) FILTER (event_type IN ('error', 'purchase')) OVER (PARTIT
 SELECT stream, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'open' END AS state, (arg_min(event_id, k) FILTER (event_type = 'click'))::VARCHAR AS citations,
   coalesce(string_agg(event_id::VARCHAR, ' ' ORDER BY k) FILTER (event_type = 'view'), '') AS text, count(*) FILTER (event_type = 'view') AS n FROM s GROUP BY stream""",
     "batched_map": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
-    "reply_streams": "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS sha256, sum(len(string_split(text, ' ')))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
+    "reply_streams": REPLIES_SQL,
 }

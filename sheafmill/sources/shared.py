@@ -30,6 +30,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Paths of the written tables, so that those of a finished step can be deleted."""
 
@@ -40,8 +50,7 @@ class Scratch:
         """Deletes the tables written after the first `since`, but for the last `keep`."""
         gone = cls.paths[since : len(cls.paths) - keep]
         for path in gone:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            deleted(spark, path)
             cls.paths.remove(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,13 +144,13 @@ def parsed(answer: Column, schema: str, /, **defaults: str) -> Column:
     return F.struct(*[F.coalesce(found[f], F.lit(defaults.get(f))).alias(f) for f in fields], F.when(empty, F.substring(answer, 1, 500)).alias("error"))
 
 
-def checked_texts(rows: DataFrame, dictionary: DataFrame, letters: str, forbidden: list[str], key: str = "id", text: str = "content") -> DataFrame:
+def checked_texts(rows: DataFrame, dictionary: DataFrame, letters: str, forbidden: list[str], key: str = "id", text: str = "content", tokens: Callable[[Column], Column] = texts.tokens) -> DataFrame:
     """(key, words, unknown, forbidden): how many different words of the script a text has in its normal form, how many of them the dictionary (word)
-    lacks, and which listed forms it holds."""
+    lacks, and which listed forms it holds. Words are those that `tokens` gives."""
     from sheafmill.operators import curation
 
     normal = rows.select(key, texts.normalised(F.col(text)).alias("content"))
-    words = normal.select(key, F.explode(F.array_distinct(texts.tokens(F.col("content")))).alias("word")).where(F.col("word").rlike(f"[{texts.LAO}]"))
+    words = normal.select(key, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).where(F.col("word").rlike(f"[{texts.LAO}]"))
     checked = curation.spell_checked(words, dictionary, letters, texts.LAO)
     counts = words.join(checked, "word").groupBy(key).agg(F.count("*").alias("words"), F.count_if(~F.col("in_dictionary")).alias("unknown"))
     hits = curation.forbidden_in(normal, forbidden, key, "content").groupBy(key).agg(F.array_sort(F.collect_list("form")).alias("forbidden"))

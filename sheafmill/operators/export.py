@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafmill.operators import ordering
+from sheafmill.sources import shared
+
+#: A part is read back whole to be verified.
+PART_BYTES = 64 << 20
 VERSION = re.compile(r"\d+\.\d+\.\d+")
 
 
@@ -27,18 +35,54 @@ def lines(rows: DataFrame, columns: list[str], split: Column | None = None, orde
     return rows.select(F.coalesce(split if split is not None else F.lit("train"), F.lit("train")).alias("file"), F.col(order).alias("id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def manifest(written: DataFrame) -> DataFrame:
-    """(file, records, bytes, sha256): a file's hash is that of its lines' hashes in order, so no file is gathered whole."""
-    hashed = written.select("file", "id", F.sha2("line", 256).alias("h"), (F.octet_length("line") + 1).cast("long").alias("bytes"))
-    hashed = hashed.withColumn("stretch", F.floor(F.col("id") / 65536))
-    parts = hashed.groupBy("file", "stretch").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    return parts.groupBy("file").agg(F.sum("n").alias("records"), F.sum("b").alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stretch", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
-
-
-def write(written: DataFrame, path: str, version: str) -> None:
-    """JSONL files, sorted by id, in a new folder of the version; a version that is there isn't written again."""
-    ordered = written.repartitionByRange("file", "id").sortWithinPartitions("file", "id")
-    ordered.select("file", F.col("line").alias("value")).write.mode("error").partitionBy("file").text(f"{path}/{checked_version(version)}")
+def parted(written: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Lines (file, id, line) with their part: a file begins a new one where it has `part_bytes` behind it, so that no task writes or digests more than
+    that and a line. Ids are told apart within a file."""
+    sized = written.select("file", "id", "line", (F.octet_length("line") + 1).cast("long").alias("bytes"))
+    return ordering.with_offsets(sized, ["file"], ["id"], "bytes").withColumn("part", F.floor(F.col("_before") / part_bytes)).drop("_before", "_weight")
+
+
+def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (file, part, line), a part's in order and side by side, as a row a part with the digest of its bytes. No part is held."""
+    at, state, records, size, out = None, None, 0, 0, []
+    for batch in batches:
+        for file, part, line in zip(batch["file"], batch["part"], batch["line"], strict=True):
+            if (file, part) != at:
+                out += [(*at, records, size, state.hexdigest())] if at else []
+                at, state, records, size = (file, part), hashlib.sha256(), 0, 0
+            raw = line.encode() + b"\n"
+            state.update(raw)
+            records, size = records + 1, size + len(raw)
+        yield pd.DataFrame(out, columns=["file", "part", "records", "bytes", "sha256"])
+        out = []
+    if at:
+        yield pd.DataFrame([(*at, records, size, state.hexdigest())], columns=["file", "part", "records", "bytes", "sha256"])
+
+
+def by_part(parts: DataFrame) -> DataFrame:
+    """Lines of `parted`, each part in one task and in order."""
+    return parts.repartition("file", "part").sortWithinPartitions("file", "part", "id")
+
+
+def manifest(written: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(file, part, records, bytes, sha256): what `write` makes of the lines (file, id, line), the digest being that of a part's bytes."""
+    return by_part(parted(written, part_bytes)).select("file", "part", "line").mapInPandas(digested, "file string, part long, records long, bytes long, sha256 string")
+
+
+def write(written: DataFrame, path: str, version: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """JSONL files, sorted by id and one a part, in a new folder of the version; a version that is there isn't written again. The manifest of what was written,
+    whose digests are those of the files as they are read back; a file that differs is an error."""
+    folder = f"{path}/{checked_version(version)}"
+    parts = shared.written(parted(written, part_bytes), "export-lines")
+    by_part(parts).select("file", "part", F.col("line").alias("value")).write.mode("error").partitionBy("file", "part").text(folder)
+    made = shared.written(by_part(parts).select("file", "part", "line").mapInPandas(digested, "file string, part long, records long, bytes long, sha256 string"), "export-manifest")
+    read = made.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    place = [F.regexp_extract("path", f"/{k}=([^/]*)/", 1) for k in ("file", "part")]
+    read = read.select(F.url_decode(place[0]).alias("file"), place[1].cast("long").alias("part"), F.sha2("content", 256).alias("found"))
+    wrong = made.join(read, ["file", "part"], "full").where("sha256 IS NULL OR found IS NULL OR sha256 <> found").limit(1).collect()
+    if wrong:
+        raise OSError(f"a file differs from what was written: {wrong[0]['file']}, part {wrong[0]['part']}")
+    return made
 
 
 def messages(qa: DataFrame) -> DataFrame:
@@ -59,7 +103,7 @@ def newest_version(rows: DataFrame) -> DataFrame:
 
 def data_card(files: DataFrame, chunks: DataFrame, version: str) -> DataFrame:
     """(place, line) of a dataset's card, from its manifest and its chunks: some lines, whatever the dataset's size."""
-    per = files.select(F.concat(F.lit("1/"), "file").alias("place"), F.concat(F.lit("| "), "file", F.lit(" | "), F.col("records").cast("string"), F.lit(" | "), F.col("bytes").cast("string"), F.lit(" | "), "sha256", F.lit(" |")).alias("line"))
+    per = files.select(F.concat(F.lit("1/"), "file", F.lit("/"), F.col("part").cast("string")).alias("place"), F.concat(F.lit("| "), "file", F.lit(" | "), F.col("records").cast("string"), F.lit(" | "), F.col("bytes").cast("string"), F.lit(" | "), "sha256", F.lit(" |")).alias("line"))
     told = chunks.groupBy(F.coalesce("license", F.lit("internal")).alias("license")).agg(F.count("*").alias("n"))
     per_license = told.select(F.concat(F.lit("3/"), "license").alias("place"), F.concat(F.lit("- "), "license", F.lit(": "), F.col("n").cast("string"), F.lit(" chunks")).alias("line"))
     fixed = [("0", f"# Data card, version {checked_version(version)}"), ("1", "| file | records | bytes | sha256 |"), ("2", "Licenses of the sources:")]

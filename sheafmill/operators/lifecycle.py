@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,13 +111,14 @@ def children_replaced(children: DataFrame, fresh: DataFrame, key: str) -> DataFr
     return children.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def json_merged(base: DataFrame, ids: DataFrame, key: str, column: str, field: str, value: str) -> DataFrame:
-    """A field set in a JSON object column of the listed rows, other fields kept."""
+def json_merged(base: DataFrame, ids: DataFrame, key: str, column: str, field: str, value: object) -> DataFrame:
+    """A field set in a JSON object column of the listed rows: `value` as JSON has it, a boolean, number, text, list or object. All other fields keep their types and
+    what is nested in them. What is null or no object becomes one of that field."""
     m = ids.select(F.col(key).alias("_key")).distinct()
     out = base.join(m, base[key] == m["_key"], "left")
-    parsed = F.from_json(F.coalesce(F.col(column), F.lit("{}")), "map<string,string>")
+    parsed = F.coalesce(F.from_json(F.col(column), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     others = F.map_filter(parsed, lambda k, v: k != field)
-    merged = F.to_json(F.map_concat(others, F.create_map(F.lit(field), F.lit(value))))
+    merged = F.to_json(F.map_concat(others, F.create_map(F.lit(field), F.parse_json(F.lit(json.dumps(value))))))
     return out.select(*[(F.when(F.col("_key").isNotNull(), merged).otherwise(F.col(c)) if c == column else F.col(c)).alias(c) for c in base.columns])
 
 

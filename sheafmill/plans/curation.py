@@ -9,6 +9,7 @@ from sheafmill.operators import curation as ops
 from sheafmill.operators import assist, export, filters, lifecycle
 from sheafmill.plans import adapters as A
 from sheafmill.plans.retrieval import lexical_sql
+from sheafmill.sources import shared
 
 C, T = A.chunks, A.table
 FORMS = ["token =", "License", "***", "the and", "%%%"]
@@ -105,7 +106,7 @@ def cascade_delete(spark, sf_dir):
 
 
 def report_merge(spark, sf_dir):
-    return lifecycle.json_merged(T(spark, sf_dir, "events").select("event_id", "event_type", "props"), T(spark, sf_dir, "events").where("event_type = 'error'").select("event_id"), "event_id", "props", "reported", "true")
+    return lifecycle.json_merged(T(spark, sf_dir, "events").select("event_id", "event_type", "props"), T(spark, sf_dir, "events").where("event_type = 'error'").select("event_id"), "event_id", "props", "reported", True)
 
 
 def replace_children(spark, sf_dir):
@@ -127,6 +128,12 @@ def export_manifest(spark, sf_dir):
     return export.manifest(export.lines(rows, ["id", "collection"], F.col("split")))
 
 
+def export_files(spark, sf_dir):
+    """Whole chunks as files of a version, by parts of 256 KB: what was written, as it is read back."""
+    rows = export.exportable(C(spark, sf_dir), shareable=True).withColumn("split", measures.split_name(measures.fnv1a_unit(F.col("collection"))))
+    return export.write(export.lines(rows, ["id", "content"], F.col("split")), shared.fresh_path(spark, "export"), "1.0.0", 1 << 18).select("file", "part", "records", "bytes", "sha256")
+
+
 def eval_set(spark, sf_dir):
     accounts = ops.first_names(T(spark, sf_dir, "part").select((F.col("p_partkey") % 997 + 100).cast("string").alias("code"), "p_name", "p_partkey"), "code", "p_name", "p_partkey").withColumn("ids", F.col("ids"))
     return ops.eval_questions(accounts).select("code", "question", F.size("gold").cast("long").alias("n_gold"))
@@ -233,7 +240,7 @@ QUERIES = {
     "doc_dedupe": lambda s, d: lifecycle.content_deduped(C(s, d)),
     "fully_embedded": lambda s, d: lifecycle.fully_embedded(C(s, d).withColumn("collection", F.concat("collection", F.lit("/"), F.floor(F.col("id") / 50).cast("string")))),
     "export_licenses": lambda s, d: export.licenses(C(s, d)),
-    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, kind_citations, kinds_deleted, document_delete, purge_but_one, account_names, verified_counts, verified_first, tenant_counts, vectors_set, export_card, text_checks, cited_questions, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
+    **{f.__name__: f for f in (term_mining, glossary_expand, glossary_questions, split_assign, account_infer, account_infer_mismatch, kind_citations, kinds_deleted, document_delete, purge_but_one, account_names, verified_counts, verified_first, tenant_counts, vectors_set, export_files, export_card, text_checks, cited_questions, upsert_ignore, patch_update, verify_rows, review_transitions, bulk_accept, cascade_delete, report_merge, replace_children, retention, export_chunks, export_manifest, eval_set)},
 }
 
 KINDS_SQL = """kc AS (SELECT p_partkey AS id, 'k' || p_partkey % 500 AS kind, p_brand || '/' || p_partkey % 500 AS document FROM part), kd AS (SELECT DISTINCT document, kind FROM kc),
@@ -291,16 +298,20 @@ SELECT *, 'base' AS v FROM b UNION ALL SELECT r.* FROM r WHERE NOT EXISTS (SELEC
     "cascade_delete": """WITH gone AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT c_custkey FROM customer))
 SELECT 'parents' AS what, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'children', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone)
 UNION ALL SELECT 'references', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone)""",
-    "report_merge": """SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN '{"k":"' || (props->>'$.k') || '","reported":"true"}' ELSE props END AS props FROM events""",
+    "report_merge": """SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN json_merge_patch(props::JSON, '{"reported":true}'::JSON)::VARCHAR ELSE props END AS props FROM events""",
     "replace_children": """WITH f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT 'old' AS v, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM f)
 UNION ALL SELECT 'new', count(*), count(DISTINCT o_orderkey) FROM f""",
     "retention": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "export_chunks": f"WITH {A.CHUNKS_SQL} SELECT id, collection, license, review, sha256(content) AS sha256 FROM chunks WHERE review IN ('accepted', 'edited') AND license <> 'client-confidential'",
     "export_manifest": f"""WITH {A.CHUNKS_SQL}, u AS (SELECT id, collection, {UNIT.format('collection')} AS u FROM chunks WHERE review IN ('accepted', 'edited') AND license <> 'client-confidential'),
 l AS (SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'test' END AS file, id, '{{"id":' || id || ',"collection":"' || collection || '"}}' AS line FROM u),
-p AS (SELECT file, id // 65536 AS stretch, sha256(string_agg(sha256(line), '' ORDER BY id)) AS h, count(*) AS n, sum(strlen(line) + 1) AS b FROM l GROUP BY file, stretch)
-SELECT file, sum(n)::BIGINT AS records, sum(b)::BIGINT AS bytes, sha256(string_agg(h, '' ORDER BY stretch)) AS sha256 FROM p GROUP BY file""",
-    "export_card": "WITH m AS (@MANIFEST@), l AS (@LICENSES@) SELECT '0' AS place, '# Data card, version 1.0.0' AS line UNION ALL SELECT '1', '| file | records | bytes | sha256 |' UNION ALL SELECT '2', 'Licenses of the sources:' UNION ALL SELECT '1/' || file, '| ' || file || ' | ' || records || ' | ' || bytes || ' | hash |' FROM m UNION ALL SELECT '3/' || license, '- ' || license || ': ' || n || ' chunks' FROM l",
+p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS part FROM l)
+SELECT file, part::BIGINT AS part, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY id)) AS sha256 FROM p GROUP BY file, part""",
+    "export_files": f"""WITH {A.CHUNKS_SQL}, u AS (SELECT id, content, {UNIT.format('collection')} AS u FROM chunks WHERE review IN ('accepted', 'edited') AND license <> 'client-confidential'),
+l AS (SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'test' END AS file, id, '{{"id":' || id || ',"content":' || to_json(content) || '}}' AS line FROM u),
+p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 262144 AS part FROM l)
+SELECT file, part::BIGINT AS part, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY id)) AS sha256 FROM p GROUP BY file, part""",
+    "export_card": "WITH m AS (@MANIFEST@), l AS (@LICENSES@) SELECT '0' AS place, '# Data card, version 1.0.0' AS line UNION ALL SELECT '1', '| file | records | bytes | sha256 |' UNION ALL SELECT '2', 'Licenses of the sources:' UNION ALL SELECT '1/' || file || '/' || part, '| ' || file || ' | ' || records || ' | ' || bytes || ' | hash |' FROM m UNION ALL SELECT '3/' || license, '- ' || license || ': ' || n || ' chunks' FROM l",
     "eval_set": """WITH a AS (SELECT (p_partkey % 997 + 100)::VARCHAR AS code, count(*) AS n_gold, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1)
 SELECT code, CASE WHEN row_number() OVER (ORDER BY code) % 2 = 1 THEN 'What is account ' || code || '?' ELSE 'Which code has ' || name || '?' END AS question, n_gold FROM a WHERE regexp_matches(code, '^[0-9]{3,6}$')""",
 }

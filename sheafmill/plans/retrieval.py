@@ -55,14 +55,16 @@ def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean recall and reciprocal rank of the dense, lexical and fused lists; gold are the rows of the query's label, itself left out."""
-    q, live = shared.written(query_set(spark, sf_dir), "eval-queries"), A.chunks(spark, sf_dir)
+    """Mean recall and reciprocal rank of the dense, lexical and fused lists of rows that aren't rejected; the fused one is fused from lists of four times its length.
+    Gold are the rows of the query's label, itself left out."""
+    q, live = shared.written(query_set(spark, sf_dir), "eval-queries"), A.chunks(spark, sf_dir).where("review <> 'rejected'")
     labels = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     asked = q.select("query_id").join(labels, F.col("query_id") == F.col("id")).select("query_id", "label")
-    rank = lambda hits, order: shared.written(ops.ranked(hits.where("id <> query_id").drop("rank"), order, 10), "eval-hits")
-    lists = {"dense": rank(ops.dense(q, live, 40), ["distance", "id"]), "lexical": rank(ops.lexical(q, live, 40), [F.desc("density"), "id"])}
+    pool = ops.pool_size(10, 40)
+    rank = lambda hits, order: shared.written(ops.ranked(hits.where("id <> query_id").drop("rank"), order, pool), "eval-hits")
+    lists = {"dense": rank(ops.dense(q, live, pool + 1), ["distance", "id"]), "lexical": rank(ops.lexical(q, live, pool + 1), [F.desc("density"), "id"])}
     lists["hybrid"] = ops.fused(lists["dense"], lists["lexical"], 10)
-    rows = [ops.evaluated_by_label(hits, asked, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
+    rows = [ops.evaluated_by_label(hits.where("rank <= 10"), asked, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -180,9 +182,9 @@ SELECT query_id, t.id, rank, round(score, 9) AS score, dense_rank, lexical_rank,
     "lexical_topk": f"WITH {SET_SQL}, {lexical_sql('b', 'chunks', 10)} SELECT * FROM b",
     "rrf_full_outer": f"""WITH {SET_SQL}, {LIVE}, {dense_sql('a', 'live', 40)}, {lexical_sql('b', 'live', 40)}
 SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS dense_rank, b.rank AS lexical_rank, round({SCORE}, 9) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id""",
-    "retrieval_eval_matrix": f"""WITH {SET_SQL}, {dense_sql('da', 'chunks', 40)}, {lexical_sql('lb', 'chunks', 40)}, {GOLD},
-dense_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('distance, id')} FROM da WHERE id <> query_id) WHERE r <= 10),
-lexical_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('density DESC, id')} FROM lb WHERE id <> query_id) WHERE r <= 10),
+    "retrieval_eval_matrix": f"""WITH {SET_SQL}, {LIVE}, {dense_sql('da', 'live', 41)}, {lexical_sql('lb', 'live', 41)}, {GOLD},
+dense_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('distance, id')} FROM da WHERE id <> query_id) WHERE r <= 40),
+lexical_list AS (SELECT * FROM (SELECT query_id, id, {RERANK.format('density DESC, id')} FROM lb WHERE id <> query_id) WHERE r <= 40),
 hybrid_list AS (SELECT query_id, id, {RERANK.format('score DESC, id')} FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id,
   coalesce(1.0::DOUBLE / (60 + a.r), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.r), 0.0::DOUBLE) AS score FROM dense_list a FULL JOIN lexical_list b ON a.query_id = b.query_id AND a.id = b.id))
 {' UNION ALL '.join(metrics_sql(n) for n in ('dense', 'lexical', 'hybrid'))}""",

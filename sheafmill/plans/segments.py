@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafmill.functions import segmentation as seg
 from sheafmill.functions import texts as fn
-from sheafmill.operators import chunking, curation
+from sheafmill.operators import assist, chunking, curation
 from sheafmill.plans import adapters as A
 from sheafmill.plans import texts as plain
 from sheafmill.plans.curation import glossary
@@ -53,12 +53,24 @@ def segment_terms(spark, sf_dir):
     return curation.mined_terms(spelled(spark, sf_dir).select(F.col("text").alias("content")), None, in_script, tokens=lambda text: seg.tokens(text, by))
 
 
+FORMS = ("ທຫີ", "ຕຫາຕ", "%")
+
+
+def spelled_checks(spark, sf_dir):
+    """Whole documents, spelled so: how many different segmented words of the script, how many that the dictionary lacks, and which listed forms."""
+    known = dictionary(spark, sf_dir)
+    by = seg.segmenter(known)
+    rows = spelled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    made = assist.checked_texts(rows, known, SPELLED, list(FORMS), tokens=lambda text: seg.tokens(text, by))
+    return made.select("id", "words", "unknown", F.array_join("forbidden", ",").alias("forbidden"))
+
+
 def glossary_documents(spark, sf_dir):
     """Glossary terms in whole documents."""
     return curation.substrings_in(T(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), glossary(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (segment_texts, segment_words, segment_chunks, segment_terms, glossary_documents)}
+QUERIES = {f.__name__: f for f in (segment_texts, segment_words, segment_chunks, segment_terms, spelled_checks, glossary_documents)}
 
 SQL_PIECE = f"[{fn.LAO}]+|[^{fn.LAO}\\s\\p{{Z}}\\x{{85}}\\x0B]+"
 SPELLED_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{LATIN}', '{SPELLED}'), '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+') AS ws FROM documents),
@@ -96,5 +108,8 @@ ok AS (SELECT * FROM t WHERE regexp_full_match(t, '[{fn.LAO}]+') AND length(t) >
 g AS (SELECT a.t || ' ' || b.t AS term_seg FROM ok a JOIN ok b ON b.doc_id = a.doc_id AND b.i = a.i + 1
   UNION ALL SELECT a.t || ' ' || b.t || ' ' || c.t FROM ok a JOIN ok b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN ok c ON c.doc_id = a.doc_id AND c.i = a.i + 2)
 SELECT replace(term_seg, ' ', '') AS term, term_seg, count(*) AS freq FROM g GROUP BY term_seg HAVING count(*) >= 2 ORDER BY freq DESC, term_seg LIMIT 50""",
+    "spelled_checks": f"""WITH {SPELLED_SQL}, {SEGMENTED_SQL},
+d AS (SELECT DISTINCT doc_id, unnest(string_split(s, ' ')) AS t FROM segmented WHERE s <> ''), k AS (SELECT doc_id, count(*) AS words, count(*) FILTER (t NOT IN (SELECT w FROM dict)) AS unknown FROM d WHERE regexp_matches(t, '[{fn.LAO}]') GROUP BY doc_id)
+SELECT doc_id AS id, coalesce(words, 0) AS words, coalesce(unknown, 0) AS unknown, array_to_string(list_sort(list_filter({list(FORMS)}, lambda f: contains(text, f))), ',') AS forbidden FROM texts_ LEFT JOIN k USING (doc_id)""",
     "glossary_documents": "SELECT doc_id AS query_id, term FROM documents, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(lower(text), lower(term))",
 }

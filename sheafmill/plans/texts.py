@@ -120,6 +120,11 @@ SELECT *, zero_width + doubled_marks + blank_before_mark AS total FROM c""",
     "account_codes": r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '\b\d{4,6}\b') AS ms FROM documents), x AS (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM m),
 f AS (SELECT doc_id, m, min(i) AS i FROM x GROUP BY doc_id, m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 3), c AS (SELECT doc_id, string_agg(m, ',' ORDER BY i) AS codes FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(codes, '') AS codes FROM documents LEFT JOIN c USING (doc_id)""",
+    "spellcheck": r"""WITH w AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '[^\s\p{Z}\x{85}\x0B]+')), '[^a-z]', '', 'g') AS word FROM benchmark),
+d AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '[^\s\p{Z}\x{85}\x0B]+')), '[^a-z]', '', 'g') AS entry FROM conversations),
+u AS (SELECT word FROM w WHERE word <> '' AND word NOT IN (SELECT entry FROM d)),
+n AS (SELECT word, list(entry ORDER BY entry) AS es FROM u JOIN d ON entry <> '' AND abs(length(word) - length(entry)) <= 1 AND damerau_levenshtein(word, entry) = 1 GROUP BY word)
+SELECT w.word, w.word IN (SELECT entry FROM d) AS in_dictionary, coalesce(array_to_string(es[1:5], ','), '') AS suggestions FROM w LEFT JOIN n USING (word) WHERE w.word <> ''""",
     "page_links": rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS xs FROM pages),
 x AS (SELECT page_id, unnest(xs) AS a, generate_subscripts(xs, 1) - 1 AS n FROM a), h AS (SELECT *, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href FROM x), t AS (SELECT *, regexp_extract(href, '[?&]uddg=([^&]+)', 1) AS target FROM h)
 SELECT page_id, n, CASE WHEN target <> '' THEN url_decode(target) WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS url, {stripped_sql('a')} AS title FROM t""",

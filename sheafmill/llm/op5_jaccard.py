@@ -9,8 +9,8 @@ upper end is also dealt into the next one. Sets equal on a part share a cell. A
 shared cells; cells with the same pivot and level form the pivot's region, a Voronoi cell in that each node joins the most central
 pivots that it can be near to.
 
-Inside a region distances are those of sketches, a bit for each of 2048 parts of the hash space: in how many bits two differ. That is a
-metric, and at most the number of shingles in which the sets differ. Nodes linked with the pivot are joined through it, so that a group of copies around one text
+Inside a region distances are those of sketches, four bits for each of 1024 parts of the hash space: in how many parts two differ. That is a
+metric, at most the number of shingles in which the sets differ, and for sets of some hundred shingles hardly less. Nodes linked with the pivot are joined through it, so that a group of copies around one text
 costs a comparison a copy. If others, open ones, are there, the region is cut into rings of D + 1 around the pivot: by the triangle
 inequality a linked pair lies in one ring or in two neighbouring ones, so each node is also dealt to the next ring. Only pairs with an
 open node are left to compare: a ring's open nodes and its joined ones part into blocks, and each block of open nodes meets every block
@@ -53,7 +53,8 @@ class Near(NamedTuple):
 
 #: What op5_jaccard_join links.
 CONTRACT = Near(3, 90, 100)
-SKETCH_BITS = 2048
+#: A sketch has four bits for each of so many parts of the hash space.
+SKETCH_PARTS = 1024
 BLOCK = 256
 #: Lists of ids (8 to 24 bytes a row), and of shared cells (8 bytes each), that a join may broadcast; beyond so many rows it shuffles.
 BROADCAST_ROWS, BROADCAST_CELLS = 200_000, 1_000_000
@@ -95,8 +96,9 @@ def cells_of(hashes: np.ndarray, level: int, upper: int, near: Near) -> np.ndarr
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """A bit a part of the hash space, of the part's shingles: 256 bytes."""
-    return np.packbits(mix(part_sums(hashes, (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), SKETCH_BITS)) >> np.uint64(63) == 1)
+    """Four bits a part of the hash space, of the part's shingles: 512 bytes."""
+    fours = (mix(part_sums(hashes, (hashes & np.uint64(SKETCH_PARTS - 1)).astype(np.int64), SKETCH_PARTS)) >> np.uint64(60)).astype(np.uint8)
+    return fours[::2] | fours[1::2] << 4
 
 
 def set_hash(found: np.ndarray, seed: int) -> int:
@@ -196,14 +198,16 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, se
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    """In how many parts sketches differ."""
+    apart = x ^ y
+    return ((apart & 15) != 0).sum(axis=-1) + (apart > 15).sum(axis=-1)
 
 
 def near_by_sketch(batches: Iterator[pd.DataFrame], near: Near) -> Iterator[pd.DataFrame]:
     """Distance and verdict by sketches for rows of pivot, level, node, and both sides' n and sketch."""
     for batch in batches:
         if len(batch):
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in ("sketch", "pivot_sketch"))
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH_PARTS // 2) for c in ("sketch", "pivot_sketch"))
             apart = differing(x, y)
             total = (batch["n"] + batch["pivot_n"]).to_numpy()
             yield batch[["pivot", "level", "node", "n", "sketch"]].assign(apart=apart, may_link=apart <= near.most_differing(total))
@@ -213,7 +217,7 @@ def met_in_block(rows: pd.DataFrame, near: Near) -> pd.DataFrame:
     """Pairs of a block of a ring that may be linked: not both guests, not both joined through the pivot, near by size and sketch."""
     rows = rows.drop_duplicates("node")
     nodes, n, guest, joined, side = (rows[c].to_numpy() for c in ("node", "n", "guest", "joined", "side"))
-    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH_BITS // 8)
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH_PARTS // 2)
     across = bool(rows["across"].iloc[0])
     out = []
     for i in range(len(rows) - 1):

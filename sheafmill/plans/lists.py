@@ -51,9 +51,33 @@ def storage_keys(spark, sf_dir):
     return rows.select("page_id", model.storage_key(F.lit("pages"), F.col("h"), F.col("url")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (contract_probe, chart_search, filtered_chunks, ordered_lookup, row_problems, audit_events, storage_keys)}
+def kind_filtered(spark, sf_dir):
+    """Events whose JSON names one of the wanted kinds; of an empty list, all would pass."""
+    rows = T(spark, sf_dir, "events")
+    kind = F.get_json_object("props", "$.k")
+    return ops.among(ops.among(rows, kind, ["1", "7", "42", "87"]), F.col("event_type"), []).select("event_id", kind.alias("kind"))
+
+
+def search_requests(spark, sf_dir):
+    """Turns as search requests: what is wrong with each, whose number of results is now and then out of bounds or absent."""
+    rows = T(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise("").alias("query"))
+    k = F.when(F.col("turn") % 4 != 3, (F.col("conv_id") * 7 + F.col("turn") * 13) % 60 - 4)
+    return rows.select("conv_id", "turn", F.array_join(ops.request_problems(F.col("query"), k), ",").alias("problems"))
+
+
+def safe_keys(spark, sf_dir):
+    """Addresses as keys of stored objects: those that stay in their folder."""
+    rows = T(spark, sf_dir, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 3 == 0, "../").when(F.col("page_id") % 3 == 1, "/").otherwise(""), F.col("url")).alias("key"))
+    return rows.where(~model.path_escapes(F.col("key")))
+
+
+QUERIES = {f.__name__: f for f in (kind_filtered, search_requests, safe_keys, contract_probe, chart_search, filtered_chunks, ordered_lookup, row_problems, audit_events, storage_keys)}
 
 ORACLE = {
+    "kind_filtered": "SELECT event_id, props->>'$.k' AS kind FROM events WHERE props->>'$.k' IN ('1', '7', '42', '87')",
+    "search_requests": """WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE '' END AS q, CASE WHEN turn % 4 <> 3 THEN (conv_id * 7 + turn * 13) % 60 - 4 END AS k FROM conversations)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN length(q) < 1 THEN 'query' END, CASE WHEN k IS NOT NULL AND k NOT BETWEEN 1 AND 50 THEN 'k' END) AS problems FROM r""",
+    "safe_keys": "SELECT page_id, url AS key FROM pages WHERE page_id % 3 = 2 AND NOT starts_with(url, '/') AND NOT list_contains(string_split(url, '/'), '..')",
     "contract_probe": "SELECT 'contract_customer' AS view, count(*) AS rows FROM customer UNION ALL SELECT 'contract_invoice', count(*) FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'contract_ledger', count(*) FROM lineitem UNION ALL SELECT 'contract_payroll', NULL",
     "chart_search": "SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_name ILIKE '%RED%' OR p_brand ILIKE '%RED%' ORDER BY p_name, p_partkey LIMIT 50",
     "filtered_chunks": f"WITH {A.CHUNKS_SQL} SELECT id, collection, embedding IS NOT NULL AS has_embedding FROM chunks WHERE collection IN ('src0', 'src7') AND NOT reported AND token_count > 20",

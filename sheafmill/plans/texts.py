@@ -125,6 +125,13 @@ d AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '[^\
 u AS (SELECT word FROM w WHERE word <> '' AND word NOT IN (SELECT entry FROM d)),
 n AS (SELECT word, list(entry ORDER BY entry) AS es FROM u JOIN d ON entry <> '' AND abs(length(word) - length(entry)) <= 1 AND damerau_levenshtein(word, entry) = 1 GROUP BY word)
 SELECT w.word, w.word IN (SELECT entry FROM d) AS in_dictionary, coalesce(array_to_string(es[1:5], ','), '') AS suggestions FROM w LEFT JOIN n USING (word) WHERE w.word <> ''""",
+    "sentence_chunks": f"""WITH RECURSIVE s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents),
+c AS (SELECT doc_id, ss, list_transform(ss, lambda x: len(regexp_extract_all(x, '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+'))) AS ns FROM s WHERE len(ss) > 0),
+p AS (SELECT doc_id, ss, ns, list_transform(range(0, len(ns) + 1), lambda k: coalesce(list_sum(ns[1:k]), 0)) AS sums FROM c),
+w AS (SELECT doc_id, 0 AS seq, 0 AS low, greatest(1, len(list_filter(sums, lambda v: v <= 400)) - 1) AS high FROM p
+  UNION ALL SELECT doc_id, seq + 1, low, greatest(low + 1, len(list_filter(sums, lambda v: v <= sums[low + 1] + 400)) - 1) FROM (
+    SELECT w.doc_id, seq, sums, greatest(w.low + 1, len(list_filter(sums, lambda v: v <= sums[high + 1] - 60)) - 1) AS low FROM w JOIN p ON p.doc_id = w.doc_id WHERE high < len(ns)))
+SELECT w.doc_id, seq::BIGINT AS seq, (sums[high + 1] - sums[low + 1])::BIGINT AS token_count, (high - low)::BIGINT AS n_sentences, sha256(array_to_string(ss[low + 1:high], ' ')) AS sha256 FROM w JOIN p ON p.doc_id = w.doc_id""",
     "page_links": rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS xs FROM pages),
 x AS (SELECT page_id, unnest(xs) AS a, generate_subscripts(xs, 1) - 1 AS n FROM a), h AS (SELECT *, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href FROM x), t AS (SELECT *, regexp_extract(href, '[?&]uddg=([^&]+)', 1) AS target FROM h)
 SELECT page_id, n, CASE WHEN target <> '' THEN url_decode(target) WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS url, {stripped_sql('a')} AS title FROM t""",

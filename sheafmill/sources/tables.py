@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def scan(spark: SparkSession, location: str, table: str | None = None, **options: str) -> DataFrame:
     """Rows of a Parquet folder, or, for a jdbc: location, of a database table read in ranges if options give a partition column."""
+    if table is not None and (table.startswith("/") or ".." in table.split("/")):
+        raise ValueError(f"a table outside of its folder: {table}")
     if location.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=location, dbtable=table, **options).load()
     return spark.read.parquet(f"{location}/{table}.parquet" if table else location)

@@ -500,3 +500,13 @@ def test_copies_of_a_license_stay_apart():
     broken = own[:40] + own[60:]
     words = own + ["x"] * 40 + own + ["y"] * 3000 + broken + ["z"] * 10 + broken
     assert [(f[0], f[1] == 1.0) for f in scanner.scan(" ".join(words))] == [("mit", True), ("mit", True), ("mit", False), ("mit", False)]
+
+
+def test_piece_counts_by_the_tokenizer(spark):
+    """Counts of whole texts' encodings: runs of blanks, line ends, digits behind letters, what the vocabulary lacks."""
+    model = op10_subwords.vocabulary(PIECES).model
+    odd = ["a    b", " lead", "tail  ", "  ", " ", "a\nb\n\n  c", "x12y 3-4", "é日𝄞 \t z", None, "", "word\u00a0word", "a b " * 50, "tab\tb  \n"]
+    texts = odd + [r.text for r in common.load(spark, SF, "documents").collect()]
+    want = collections.Counter(i for t in texts if t for i in model.encode(t))
+    got = op10_subwords.piece_counts(spark.createDataFrame([(t,) for t in texts], "text string"), PIECES)
+    assert {i: int(n) for i, n in enumerate(got) if n} == dict(want)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafmill.functions import measures, texts
+from sheafmill.sources import shared
 
 # What counts as which question, and how much of a source goes into a prompt.
 OUTSTANDING = "(?i)ຄ້າງຊຳລະ|ຄ້າງຈ່າຍ|ໜີ້ຄ້າງ|ຍັງຕິດໜີ້|outstanding"
@@ -57,6 +59,25 @@ def prompts(questions: DataFrame, contexts: DataFrame, histories: DataFrame, ter
     return rows.select("query_id", F.concat_ws("\n\n", part("System", "system"), part("History", "history"), part("Terms", "terms"), part("Sources", "context"), part("Question", "text")).alias("prompt"))
 
 
+class Turn(NamedTuple):
+    """A chat turn of each question: its numbered sources (query_id, n, origin, id, path, content), and its prompt (query_id, prompt)."""
+
+    sources: DataFrame
+    prompts: DataFrame
+
+
+def chat_turns(questions: DataFrame, messages: DataFrame, hits: DataFrame, ledger: DataFrame, terms: DataFrame) -> Turn:
+    """What a chat turn works with, put together: the sources found for each question (query_id, text), then what the ledger has on the invoices that it
+    names, numbered on; the thread's last messages; the glossary's terms (query_id, terms); and the prompt made of these. `hits` are what a search found (query_id, id,
+    rank, path, content), `ledger` is a source an invoice (ref, content), and `messages` a thread's last ones (conv_id, place, role, text). A question without hits,
+    invoices or history has no such part."""
+    found = hits.select("query_id", "rank", F.lit("dataset").alias("origin"), F.col("id").cast("string").alias("id"), "path", "content")
+    named = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(INVOICE.removeprefix("(?i)")), F.lit(0)))).alias("ref"))
+    booked = named.join(ledger.withColumn("ref", F.upper("ref")), "ref").select("query_id", F.lit(None).cast("long").alias("rank"), F.lit("erp").alias("origin"), F.col("ref").alias("id"), F.array(F.lit("ledger")).alias("path"), "content")
+    sources = shared.written(numbered(found.unionByName(booked), [F.col("rank").asc_nulls_last(), "id"]).drop("rank"), "turn-sources")
+    return Turn(sources, prompts(questions.select("query_id", "text"), context_blocks(sources), histories(messages), terms))
+
+
 def histories(messages: DataFrame) -> DataFrame:
     """(query_id, history) of a thread's messages (conv_id, place, role, text) in order."""
     line = F.struct("place", F.concat("role", F.lit(": "), "text").alias("t"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheafmill.functions import texts
 from sheafmill.operators import assist as ops
-from sheafmill.operators import dashboard, ingest
+from sheafmill.operators import curation, dashboard, ingest, retrieval
 from sheafmill.plans import adapters as A
+from sheafmill.plans.curation import glossary
+from sheafmill.sources import shared
 
 T = A.table
 
@@ -27,6 +30,24 @@ def chat_prompts(spark, sf_dir):
     return made.select("query_id", F.sha2("prompt", 256).alias("sha256"), F.length("prompt").cast("long").alias("n"))
 
 
+def chat_turns(spark, sf_dir):
+    """A turn a thread, for its last question, every third of which names an invoice: sources by search over what isn't rejected, the invoice, the glossary's
+    terms, the history and the prompt."""
+    m = T(spark, sf_dir, "conversations")
+    asked = m.where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by("text", "turn").alias("text"))
+    asked = asked.withColumn("text", F.when(F.col("query_id") % 3 == 0, F.concat("text", F.lit(" inv-"), (F.col("query_id") * 4 + 1).cast("string"))).otherwise(F.col("text")))
+    longest = F.array_sort(F.transform(F.array_distinct(texts.lexemes(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    asked = shared.written(asked.withColumn("terms", F.transform(F.slice(longest, 1, 3), lambda x: x["w"])), "chat-questions")
+    live = A.chunks(spark, sf_dir).where("review <> 'rejected'")
+    found = retrieval.lexical(asked, live, 5, "any").join(live.select("id", F.array("collection").alias("path"), "content"), "id")
+    ledger = A.invoices(spark, sf_dir).select("ref", F.concat_ws(" ", "ref", "customer", "status", F.col("gross").cast("string")).alias("content"))
+    named = curation.substrings_in(asked.select("query_id", "text"), glossary(spark, sf_dir))
+    terms = named.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("terms"))
+    turn = ops.chat_turns(asked, dashboard.last_messages(m), found, ledger, terms)
+    cited = turn.sources.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "origin", "id"))), lambda x: F.concat(x["origin"], F.lit(":"), x["id"])), ",").alias("cited"))
+    return turn.prompts.join(cited, "query_id", "left").select("query_id", F.coalesce("cited", F.lit("")).alias("cited"), F.sha2("prompt", 256).alias("sha256"), F.length("prompt").cast("long").alias("n"))
+
+
 def promoted_answers(spark, sf_dir):
     return ops.promoted(T(spark, sf_dir, "conversations")).select("conv_id", "turn", "question", "verified")
 
@@ -87,7 +108,7 @@ def ingest_preview(spark, sf_dir):
     return ingest.previewed(A.chunks(spark, sf_dir).select("id", "collection", "content"))
 
 
-QUERIES = {f.__name__: f for f in (chat_prompts, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, ingest_preview)}
+QUERIES = {f.__name__: f for f in (chat_prompts, chat_turns, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, ingest_preview)}
 
 ORACLE = {
     "chat_prompts": """WITH q AS (SELECT conv_id AS query_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), f AS (SELECT *, lower(split_part(trim(text), ' ', 1)) AS word FROM q),
@@ -96,6 +117,20 @@ c AS (SELECT query_id, string_agg('[' || n || '] ' || source || chr(10) || subst
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), m AS (SELECT conv_id AS query_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN substr(text, 1, 300) ELSE text END, chr(10) ORDER BY turn) AS history FROM b WHERE back BETWEEN 2 AND 8 GROUP BY conv_id),
 p AS (SELECT query_id, concat_ws(chr(10) || chr(10), CASE WHEN length(history) > 0 THEN 'History' || chr(10) || history END, CASE WHEN length(context) > 0 THEN 'Sources' || chr(10) || context END, CASE WHEN length(text) > 0 THEN 'Question' || chr(10) || text END) AS prompt
   FROM q LEFT JOIN c USING (query_id) LEFT JOIN m USING (query_id)) SELECT query_id, sha256(prompt) AS sha256, length(prompt)::BIGINT AS n FROM p""",
+    "chat_turns": f"""WITH {A.CHUNKS_SQL}, {A.INVOICES_SQL}, q0 AS (SELECT conv_id AS query_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+q AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN text || ' inv-' || (query_id * 4 + 1) ELSE text END AS text FROM q0),
+w AS (SELECT * FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+'))) AS term FROM q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) <= 3),
+t AS (SELECT id, unnest(regexp_extract_all(lower(content), '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+')) AS term FROM chunks WHERE review <> 'rejected'),
+d AS (SELECT query_id, id, count(*) AS k FROM t JOIN w USING (term) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, id) <= 5),
+s AS (SELECT query_id, 0 AS late, -k AS o, id AS o2, 'dataset' AS origin, id::VARCHAR AS id, collection AS path, substr(content, 1, 700) AS content FROM d JOIN chunks USING (id)
+  UNION ALL SELECT query_id, 1, 0, 0, 'erp', ref, 'ledger', ref || ' ' || customer || ' ' || status || ' ' || gross FROM q JOIN invoices ON contains(upper(text), ref) AND regexp_extract(upper(text), 'INV-\\S+') = ref),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, o, o2) AS n FROM s),
+c AS (SELECT query_id, string_agg(origin || ':' || id, ',' ORDER BY n) AS cited, string_agg('[' || n || '] ' || path || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS context FROM n GROUP BY query_id),
+g AS (SELECT query_id, string_agg(term, ', ' ORDER BY term) AS terms FROM q, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(lower(text), lower(term)) GROUP BY query_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), m AS (SELECT conv_id AS query_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN substr(text, 1, 300) ELSE text END, chr(10) ORDER BY turn) AS history FROM b WHERE back BETWEEN 2 AND 8 GROUP BY conv_id),
+p AS (SELECT query_id, cited, concat_ws(chr(10) || chr(10), CASE WHEN length(history) > 0 THEN 'History' || chr(10) || history END, CASE WHEN length(terms) > 0 THEN 'Terms' || chr(10) || terms END,
+  CASE WHEN length(context) > 0 THEN 'Sources' || chr(10) || context END, CASE WHEN length(text) > 0 THEN 'Question' || chr(10) || text END) AS prompt FROM q LEFT JOIN c USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN g USING (query_id))
+SELECT query_id, coalesce(cited, '') AS cited, sha256(prompt) AS sha256, length(prompt)::BIGINT AS n FROM p""",
     "promoted_answers": "SELECT * FROM (SELECT conv_id, turn, (SELECT u.text FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn ORDER BY u.turn DESC LIMIT 1) AS question, false AS verified FROM conversations c WHERE role = 'assistant') WHERE question IS NOT NULL",
     "question_intents": r"""WITH documents_ AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' outstanding for INV-' || doc_id || '?' WHEN 1 THEN ' Trial  balance' ELSE '' END AS text FROM documents)
 SELECT doc_id, tool, argument FROM (SELECT doc_id, 'outstanding' AS tool, NULL AS argument, regexp_matches(text, '(?i)outstanding') AS hit FROM documents_

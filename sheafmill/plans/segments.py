@@ -65,12 +65,22 @@ def spelled_checks(spark, sf_dir):
     return made.select("id", "words", "unknown", F.array_join("forbidden", ",").alias("forbidden"))
 
 
+def coa_tables(spark, sf_dir):
+    """Tables of parts as charts of accounts: codes, some of them missing, names spelled in the script, and English names, below a heading row."""
+    code = F.when(F.col("p_partkey") % 11 < F.col("p_size") % 7, "n/a").otherwise((F.col("p_partkey") % 900 + 100).cast("string"))
+    rows = T(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), (F.col("p_size") % 7).cast("string")).alias("table_id"), "p_partkey", F.array(code, F.translate("p_name", LATIN, SPELLED), F.col("p_name")).alias("cells"))
+    tables = rows.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "cells"))), lambda x: x["cells"]).alias("body"))
+    tables = tables.select("table_id", F.concat(F.array(F.array(F.lit("code"), F.lit("ຊື່"), F.lit("name"))), "body").alias("cells"))
+    found = curation.account_tables(tables)
+    return found.select("table_id", "is_coa", F.round("confidence", 6).alias("confidence"), "code_col", "lao_col", "en_col", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["gloss"].alias("first"))
+
+
 def glossary_documents(spark, sf_dir):
     """Glossary terms in whole documents."""
     return curation.substrings_in(T(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), glossary(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (segment_texts, segment_words, segment_chunks, segment_terms, spelled_checks, glossary_documents)}
+QUERIES = {f.__name__: f for f in (segment_texts, segment_words, segment_chunks, segment_terms, spelled_checks, coa_tables, glossary_documents)}
 
 SQL_PIECE = f"[{fn.LAO}]+|[^{fn.LAO}\\s\\p{{Z}}\\x{{85}}\\x0B]+"
 SPELLED_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{LATIN}', '{SPELLED}'), '[^\\s\\p{{Z}}\\x{{85}}\\x0B]+') AS ws FROM documents),
@@ -111,5 +121,9 @@ SELECT replace(term_seg, ' ', '') AS term, term_seg, count(*) AS freq FROM g GRO
     "spelled_checks": f"""WITH {SPELLED_SQL}, {SEGMENTED_SQL},
 d AS (SELECT DISTINCT doc_id, unnest(string_split(s, ' ')) AS t FROM segmented WHERE s <> ''), k AS (SELECT doc_id, count(*) AS words, count(*) FILTER (t NOT IN (SELECT w FROM dict)) AS unknown FROM d WHERE regexp_matches(t, '[{fn.LAO}]') GROUP BY doc_id)
 SELECT doc_id AS id, coalesce(words, 0) AS words, coalesce(unknown, 0) AS unknown, array_to_string(list_sort(list_filter({list(FORMS)}, lambda f: contains(text, f))), ',') AS forbidden FROM texts_ LEFT JOIN k USING (doc_id)""",
+    "coa_tables": """WITH r AS (SELECT p_brand || '/' || (p_size % 7) AS table_id, p_partkey, p_name, p_partkey % 11 >= p_size % 7 AS ok FROM part),
+t AS (SELECT table_id, count(*) FILTER (ok)::DOUBLE / count(*) AS c, count(*) FILTER (ok) AS n, arg_min(p_name, p_partkey) FILTER (ok) AS first FROM r GROUP BY table_id)
+SELECT table_id, c >= 0.8::DOUBLE AS is_coa, CASE WHEN c >= 0.8::DOUBLE THEN round(c, 3) ELSE round(c, 6) END AS confidence, CASE WHEN c >= 0.8::DOUBLE THEN 0 ELSE -1 END AS code_col, CASE WHEN c >= 0.8::DOUBLE THEN 1 ELSE -1 END AS lao_col,
+  CASE WHEN c >= 0.8::DOUBLE THEN 2 ELSE -1 END AS en_col, CASE WHEN c >= 0.8::DOUBLE THEN n ELSE 0 END AS n, CASE WHEN c >= 0.8::DOUBLE THEN first END AS first FROM t""",
     "glossary_documents": "SELECT doc_id AS query_id, term FROM documents, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(lower(text), lower(term))",
 }

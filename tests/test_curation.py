@@ -269,3 +269,17 @@ def test_prompts_with_a_system_part(spark):
     none = lambda c: spark.createDataFrame([], f"query_id long, {c} string")
     made = assist.prompts(q, none("context"), none("history"), none("terms"), spark.createDataFrame([(1, "be brief")], "query_id long, system string"))
     assert {r.query_id: r.prompt for r in made.collect()} == {1: "System\nbe brief\n\nQuestion\nq?", 2: "Question\nr?"}
+
+
+def test_chat_turn(spark):
+    """Sources of the search come first, then the ledger's for each invoice that is named, numbered on; a question without any has none."""
+    questions = spark.createDataFrame([(1, "what about inv-7 and INV-8, inv-7?"), (2, "nothing"), (3, None)], "query_id long, text string")
+    messages = spark.createDataFrame([(1, 1, "user", "before")], "conv_id long, place long, role string, text string")
+    hits = spark.createDataFrame([(1, 50, 2, ["b"], "second"), (1, 60, 1, ["a"], "x" * 900)], "query_id long, id long, rank long, path array<string>, content string")
+    ledger = spark.createDataFrame([("INV-7", "INV-7 paid"), ("INV-9", "other")], "ref string, content string")
+    terms = spark.createDataFrame([(2, "blue")], "query_id long, terms string")
+    turn = assist.chat_turns(questions, messages, hits, ledger, terms)
+    assert [(r.n, r.origin, r.id) for r in turn.sources.orderBy("n").collect()] == [(1, "dataset", "60"), (2, "dataset", "50"), (3, "erp", "INV-7")]
+    made = {r.query_id: r.prompt for r in turn.prompts.collect()}
+    assert made[1] == "History\nuser: before\n\nSources\n[1] a\n" + "x" * 700 + "\n\n[2] b\nsecond\n\n[3] ledger\nINV-7 paid\n\nQuestion\nwhat about inv-7 and INV-8, inv-7?"
+    assert made[2] == "Terms\nblue\n\nQuestion\nnothing" and made[3] == ""

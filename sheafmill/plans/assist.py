@@ -9,7 +9,7 @@ from sheafmill.operators import assist as ops
 from sheafmill.operators import curation, dashboard, ingest, retrieval
 from sheafmill.plans import adapters as A
 from sheafmill.plans.curation import glossary
-from sheafmill.sources import shared
+from sheafmill.sources import markdown, shared
 
 T = A.table
 
@@ -104,13 +104,55 @@ def ingest_documents(spark, sf_dir):
     return ingest.ingested(docs).documents.select("id", "collection", "sha256")
 
 
+def authored(spark, sf_dir):
+    """Documents as authored entries: every fifth line from the first on a heading of some level, every fourth of a five a row of a table, and blank lines between."""
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), ((F.col("doc_id") + i) % 5 + 1).cast("int")), F.lit(" "), F.substring(x, 1, 30))).when(i % 5 == 3, F.concat(F.lit("| "), x)).when(i % 7 == 6, "").otherwise(x)
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return T(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), body.alias("body"), F.concat(F.lit("kind-"), "lang").alias("kind"), F.lit("sop").alias("collection"))
+
+
+def entry_outline(spark, sf_dir):
+    """Blocks of entries under their headings."""
+    rows = markdown.entry_blocks(authored(spark, sf_dir), "id")
+    return rows.select("id", "block_no", "kind", "level", F.sha2("text", 256).alias("sha256"), F.array_join("path", " > ").alias("path"))
+
+
+def entries_saved(spark, sf_dir):
+    """All entries are created; those whose document is labelled toxic are then updated, with the last line of their body alone. What is there afterwards."""
+    entries = authored(spark, sf_dir)
+    none = ingest.entry_chunks(entries.where("false"))
+    first = ingest.entries_saved(entries, entries.where("false").select("id", "title", "collection", F.col("kind").alias("meta")), none)
+    toxic = T(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    changed = entries.join(toxic, "id", "left_semi").withColumn("body", F.concat(F.lit("changed: "), F.element_at(F.split("body", "\n"), -1))).withColumn("kind", F.lit("changed"))
+    after = ingest.entries_saved(changed, shared.written(first.documents, "entries"), shared.written(first.chunks, "entry-chunks"))
+    per = after.chunks.groupBy(F.col("doc_id").alias("id")).agg(F.min("meta").alias("chunk_meta"), F.min("review").alias("review"), F.max(F.contains("content", F.lit("changed: "))).alias("changed"))
+    told = after.events.withColumnRenamed("event_type", "event")
+    return after.documents.join(per, "id", "left").join(told, "id", "left").select("id", "title", "meta", "chunk_meta", "review", "changed", "event")
+
+
 def ingest_preview(spark, sf_dir):
     return ingest.previewed(A.chunks(spark, sf_dir).select("id", "collection", "content"))
 
 
-QUERIES = {f.__name__: f for f in (chat_prompts, chat_turns, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, ingest_preview)}
+QUERIES = {f.__name__: f for f in (chat_prompts, chat_turns, promoted_answers, question_intents, agent_requests, agent_tools, abstention_rate, customers_named, faithfulness, judge_answers, ingest_documents, entry_outline, entries_saved, ingest_preview)}
+
+AUTHORED_SQL = """lines AS (SELECT doc_id AS id, source, lang, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS m FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+made AS (SELECT id, source, lang, i, m, CASE WHEN i % 5 = 0 THEN repeat('#', (((id + i) % 5) + 1)::INT) || ' ' || substr(x, 1, 30) WHEN i % 5 = 3 THEN '| ' || x WHEN i % 7 = 6 THEN '' ELSE x END AS line FROM lines)"""
 
 ORACLE = {
+    "entry_outline": f"""WITH {AUTHORED_SQL}, k AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*$') THEN 'blank' WHEN regexp_matches(line, '^#{{1,4}}\\s+') THEN 'heading' WHEN starts_with(trim(line), '|') THEN 'table' ELSE 'prose' END AS kind FROM made),
+b AS (SELECT *, CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^#+')) END AS level, trim(regexp_extract(line, '^#{{1,4}}\\s+(.*)$', 1)) AS name,
+  count(*) FILTER (o) OVER (PARTITION BY id ORDER BY i) AS block FROM (SELECT *, kind = 'heading' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY id ORDER BY i) AS o FROM k)),
+g AS (SELECT id, source, block, kind, min(level) AS level, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS text, min(name) AS name FROM b WHERE kind <> 'blank' GROUP BY id, source, block, kind),
+p AS (SELECT g.id, g.block, list(h.name ORDER BY h.level) FILTER (h.name <> '') AS above FROM g JOIN b h ON h.id = g.id AND h.kind = 'heading' AND h.i <= g.i
+  WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.id = g.id AND o.kind = 'heading' AND o.i > h.i AND o.i <= g.i AND o.level <= h.level) GROUP BY g.id, g.block)
+SELECT g.id, row_number() OVER (PARTITION BY g.id ORDER BY g.block) AS block_no, kind, level::INT AS level, sha256(CASE WHEN kind = 'heading' THEN name ELSE text END) AS sha256,
+  array_to_string(list_concat(CASE WHEN source <> '' THEN [source] ELSE [] END, coalesce(above, [])), ' > ') AS path FROM g LEFT JOIN p USING (id, block)""",
+    "entries_saved": f"""WITH {AUTHORED_SQL}, t AS (SELECT DISTINCT doc_id AS id FROM labels WHERE toxic = 1),
+e AS (SELECT id, source AS title, lang, count(*) FILTER (NOT regexp_matches(line, '^\\s*$') AND NOT regexp_matches(line, '^#{{1,4}}\\s+')) > 0 AS has_text FROM made GROUP BY ALL)
+SELECT id, title, '{{"manual":true,"knowledge_kind":"' || kind || '"}}' AS meta, CASE WHEN has_text OR changed THEN '{{"manual":true,"knowledge_kind":"' || kind || '"}}' END AS chunk_meta, CASE WHEN has_text OR changed THEN 'accepted' END AS review,
+  CASE WHEN has_text OR changed THEN changed END AS changed, CASE WHEN changed THEN 'knowledge.updated' END AS event
+FROM (SELECT e.*, t.id IS NOT NULL AS changed, CASE WHEN t.id IS NOT NULL THEN 'changed' ELSE 'kind-' || lang END AS kind FROM e LEFT JOIN t USING (id))""",
     "chat_prompts": """WITH q AS (SELECT conv_id AS query_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), f AS (SELECT *, lower(split_part(trim(text), ' ', 1)) AS word FROM q),
 d AS (SELECT doc_id, source, text AS content, lower(split_part(trim(text), ' ', 1)) AS word FROM documents), h AS (SELECT query_id, doc_id, source, content, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM f JOIN d USING (word) QUALIFY n <= 3),
 c AS (SELECT query_id, string_agg('[' || n || '] ' || source || chr(10) || substr(content, 1, 700), chr(10) || chr(10) ORDER BY n) AS context FROM h GROUP BY query_id),

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from sheafmill.operators import chunking
+from sheafmill.operators import chunking, ingest
 from sheafmill.sources import files, markdown
 
 
@@ -135,3 +135,18 @@ def test_files(spark, tmp_path):
     lint = spark.createDataFrame([("p", "ok\nauthority: TODO\nfill ____ in\nDRAFT text")], "path string, text string")
     assert [(r.line_no, r.problem) for r in files.template_problems(lint).orderBy("line_no").collect()] == [(2, "authority"), (3, "blank"), (4, "draft")]
     assert files.synthetic_vectors(spark, 3, 8).select(F.size("embedding").alias("n")).first().n == 8
+
+
+def test_entries_saved(spark):
+    """Entries are created, then one is updated: its chunks are replaced, those of others stay; an entry without text keeps its row and has no chunk."""
+    schema = "id long, title string, body string, kind string, collection string"
+    entries = spark.createDataFrame([(1, "Tax", "# VAT\nten percent\n\n| a | b |\n|---|---|\n| 1 | 2 |", "rate", "tax"), (2, "Empty", " \n", "note", "sop"), (3, "Third", "plain", "note", "sop")], schema)
+    nothing = ingest.entry_chunks(entries.where("false"))
+    first = ingest.entries_saved(entries, spark.createDataFrame([], "id long, title string, collection string, meta string"), nothing)
+    chunks = [(r.doc_id, r.seq, r.kind, r.content, r.path, r.review, r.meta) for r in first.chunks.orderBy("doc_id", "seq").collect()]
+    rate, note = ('{"manual":true,"knowledge_kind":"%s"}' % k for k in ("rate", "note"))
+    assert chunks == [(1, 0, "prose", "ten percent", ["Tax", "VAT"], "accepted", rate), (1, 1, "table", "a b\n1 2", ["Tax", "VAT"], "accepted", rate), (3, 0, "prose", "plain", ["Third"], "accepted", note)]
+    assert {r.id: r.event_type for r in first.events.collect()} == dict.fromkeys((1, 2, 3), "knowledge.created") and sorted(r.id for r in first.jobs.collect()) == [1, 3]
+    again = ingest.entries_saved(spark.createDataFrame([(1, "Tax", "new", "rate", "tax")], schema), first.documents, first.chunks)
+    assert sorted((r.doc_id, r.content) for r in again.chunks.collect()) == [(1, "new"), (3, "plain")]
+    assert again.documents.count() == 3 and [(r.id, r.event_type) for r in again.events.collect()] == [(1, "knowledge.updated")]

@@ -107,10 +107,10 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 own = b"".join(c for k, c in enumerate(chunks) if k not in gives)
                 given = [{"digest": names[k], "chunk": chunks[k]} for k, mine in gives.items() if mine]
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(text or b""), len(media), hashlib.sha256(media).hexdigest(), names, [len(c) for c in chunks], [k in gives for k in range(len(chunks))], own, given))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "sizes", "shared", "own", "given"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "sizes", "shared", "own", "given"], dtype=object).astype({"doc_id": "Int64", "n_bytes": "Int64", "media_bytes": "Int64"})
 
     places = common.small_or_shuffled(shared_places(texts), BROADCAST_TEXTS, 40 + 9 * F.size("places"))
-    kept = common.written(texts.join(places, "key", "left").select("doc_id", "text", "places").mapInPandas(files, MEDIA), "op6-files")
+    kept = common.written(texts.join(places, "key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "places").mapInPandas(files, MEDIA), "op6-files")
     given = kept.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.*")
     return kept.drop("given"), given.dropDuplicates(["digest"])
 
@@ -121,6 +121,11 @@ def feature(payload: bytes) -> str:
     return f"mean={int(heard.sum()) * 100 // len(heard)};peak={heard.max()};low={heard.min()};crossings={int((high[1:] != high[:-1]).sum())}"
 
 
+def whole_ids(ids: pd.Series) -> pd.Series:
+    """Ids from their texts: beside a null, pandas would round numbers to doubles."""
+    return pd.Series([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
+
+
 def values(rows: pd.DataFrame) -> pd.DataFrame:
     """Rebuilds, verifies and reads the files of some rows: media_sha256, digests, sizes, shared, own, and borrowed chunks by place."""
     out = []
@@ -147,8 +152,8 @@ def read_back(files: DataFrame, chunks: DataFrame) -> DataFrame:
     rebuilt = lambda batches: (values(b) for b in batches)
     body = ["media_sha256", "digests", "sizes", "shared", "own"]
     whole = files.where(~has_shared).withColumn("borrowed", F.expr("CAST(NULL AS array<struct<place: int, chunk: binary>>)"))
-    direct = whole.select("doc_id", "n_bytes", "media_bytes", *body, "borrowed").mapInPandas(
-        lambda batches: (b[["doc_id", "n_bytes", "media_bytes"]].reset_index(drop=True).join(values(b)) for b in batches), "doc_id long, n_bytes long, media_bytes long, " + VALUES)
+    direct = whole.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media_bytes", *body, "borrowed").mapInPandas(
+        lambda batches: (b[["doc_id", "n_bytes", "media_bytes"]].reset_index(drop=True).assign(doc_id=whole_ids(b["doc_id"])).join(values(b)) for b in batches), "doc_id long, n_bytes long, media_bytes long, " + VALUES)
 
     mixed = files.where(has_shared)
     once = mixed.select(*body).dropDuplicates(["media_sha256"])

@@ -380,3 +380,12 @@ def test_secrets_by_path(spark, forest):
     assert sorted((r.score, r.is_secret) for r in found) == sorted((r.score, r.is_secret) for r in alone)
     redacted = op3_secrets.redacted(table(spark, rows), forest).collect()
     assert collections.Counter((r.source, op3_secrets.REDACTED in r.text) for r in redacted) == collections.Counter((r[3], bool(op3_secrets.findings(table(spark, [r]), forest).first().is_secret)) for r in rows)
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids, and hashes, keep all their bits in batches with nulls and empty sets: links and classes come out whole."""
+    big, words = 2**62 + 1, " ".join(f"w{i}" for i in range(200))
+    rows = [(None, None, None, None, None), (big, words, None, None, 1), (big + 2, words + " end", None, None, 1), (-big, "Released under the MIT License.", None, None, 1), (big + 4, " ", None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {r.doc_id: r.component_id for r in op5_jaccard.joined(docs).collect()} == {None: None, big: big, big + 2: big, -big: -big, big + 4: big + 4}
+    assert {r.doc_id: r.license for r in op1_licenses.scanned(docs).collect()} == {None: None, big: None, big + 2: None, -big: "mit-line", big + 4: None}

@@ -63,3 +63,10 @@ def test_media_by_plain_versions(spark):
         feature = f"mean={sum(heard) * 100 // len(heard)};peak={max(heard)};low={min(heard)};crossings={crossings}"
         want = (len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature)
         assert (r.media_bytes, r.media_sha256, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == want
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids keep all their bits, whatever stands in their batch."""
+    rows = [(None, "a"), (2**62 + 1, "b" * 9000), (2**62 + 3, "b" * 9000), (-(2**60) - 1, None)]
+    files, chunks = op6_media.store(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(map(str, (r.doc_id for r in op6_media.read_back(files, chunks).collect()))) == sorted(str(i) for i, _ in rows)

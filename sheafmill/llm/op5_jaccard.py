@@ -14,7 +14,7 @@ metric, at most the number of shingles in which the sets differ, and for sets of
 costs a comparison a copy. If others, open ones, are there, the region is cut into rings of D + 1 around the pivot: by the triangle
 inequality a linked pair lies in one ring or in two neighbouring ones, so each node is also dealt to the next ring. Only pairs with an
 open node are left to compare: a ring's open nodes and its joined ones part into blocks, and each block of open nodes meets every block
-once. Pairs within D by sketch are then compared by their whole sets. Nothing is capped: every pair at the similarity or more either
+once. Pairs within D by sketch are then compared by their whole sets; large sets, of which such a sketch says little, first by sketches as wide as they are. Nothing is capped: every pair at the similarity or more either
 shares a pivot's link or is compared. Classes come from minimum labels with pointer jumping over written tables.
 
 Equality of shingles and parts is that of 64-bit hashes, that of sets of two such hashes and the size. A node is named by the first hash; nodes on which different
@@ -27,7 +27,7 @@ names a class that has another; columns whose names begin with _sm_ are reserved
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -55,6 +55,8 @@ class Near(NamedTuple):
 CONTRACT = Near(3, 90, 100)
 #: A sketch has four bits for each of so many parts of the hash space.
 SKETCH_PARTS = 1024
+#: Sets of more shingles than this, which sketches no longer tell apart, have sketches as wide as themselves, made for candidate pairs alone.
+WIDE_FROM = 2048
 BLOCK = 256
 #: Lists of ids (8 to 24 bytes a row), and of shared cells (8 bytes each), that a join may broadcast; beyond so many rows it shuffles.
 BROADCAST_ROWS, BROADCAST_CELLS = 200_000, 1_000_000
@@ -101,6 +103,23 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
     return fours[::2] | fours[1::2] << 4
 
 
+def wide_sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """Four bits a part, of about as many parts as the set has shingles: the XOR of its shingles' bits, so that a sketch folds into one of half its parts."""
+    parts = 1 << max(1, (len(hashes) - 1).bit_length())
+    at = (hashes & np.uint64(parts - 1)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    fours = np.zeros(parts, np.uint8)
+    fours[at[order][starts]] = np.bitwise_xor.reduceat((mix(hashes[order] + np.uint64(7)) >> np.uint64(60)).astype(np.uint8), starts)
+    return fours[::2] | fours[1::2] << 4
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def set_hash(found: np.ndarray, seed: int) -> int:
     """A hash of a whole set."""
     total = mix(found + np.uint64(seed)).sum() + np.uint64(len(found))
@@ -164,19 +183,48 @@ def regions(held: DataFrame) -> DataFrame:
     return common.written(members.join(pivots, "cell").where("node <> pivot").select("pivot", "level", "node").distinct(), "op5-regions")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, near: Near, seed: int) -> DataFrame:
-    """The written table of (node, shingles) of the wanted nodes, from the texts that nodes (node, of) name."""
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, near: Near, seed: int, as_made: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
+    """The written table of (node, n, shingles) of the wanted nodes, from the texts that nodes (node, of) name; in place of the shingles what `as_made` makes of them."""
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, near.words) for t in batch["text"]]
             right = [len(x) > 0 and set_hash(x, ~seed & 0xFFFF_FFFF) == twin for x, twin in zip(sets, batch["twin"], strict=True)]  # not another text of the same hash
-            yield pd.DataFrame({"node": batch["node"][right], "shingles": [x.tobytes() for x, r in zip(sets, right, strict=True) if r]})
+            sets = [x for x, r in zip(sets, right, strict=True) if r]
+            yield pd.DataFrame({"node": batch["node"][right], "n": [len(x) for x in sets], "shingles": [as_made(x).tobytes() for x in sets]})
 
     named = nodes.select("node", "twin", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")).join(wanted, "node", "left_semi")
     named = common.small_or_shuffled(common.written(named, "op5-named"), BROADCAST_ROWS)
     texts = keyed(docs)
     texts = texts.join(named, (texts["text_hash"] == named["of_hash"]) & texts["doc_id"].eqNullSafe(named["of_id"]))
-    return common.written(texts.select("node", "twin", "text").mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"]), "op5-sets")
+    return common.written(texts.select("node", "twin", "text").mapInPandas(shingled, "node long, n long, shingles binary").dropDuplicates(["node"]), "op5-sets")
+
+
+def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with n and set of both."""
+    sets = common.small_or_shuffled(sets, BROADCAST_ROWS, F.octet_length("shingles"))
+    sides = [sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b")
+
+
+def both_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def near_by_width(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, seed: int, label: str) -> DataFrame:
+    """The written pairs (a, b) without those of two large sets that their wide sketches show to be too far apart. A wide sketch is a sixteenth of its set."""
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = []
+            for n, m, x, y in zip(batch["n_a"], batch["n_b"], batch["set_a"], batch["set_b"], strict=True):
+                size = min(len(x), len(y))
+                kept.append(differing(folded(np.frombuffer(x, np.uint8), size), folded(np.frombuffer(y, np.uint8), size)) <= near.most_differing(n + m))
+            yield batch.loc[kept, ["a", "b"]]
+
+    large = common.small_or_shuffled(common.written(nodes.where(F.col("n") > WIDE_FROM).select("node"), f"{label}-large"), BROADCAST_ROWS)
+    wide = common.written(pairs.join(large.withColumnRenamed("node", "a"), "a", "left_semi").join(large.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), f"{label}-wide")
+    sketches = sets_of(docs, nodes, both_of(wide), near, seed, wide_sketch_of)
+    told = met(wide, sketches).select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInPandas(tell, "a long, b long")
+    return common.written(pairs.join(wide, ["a", "b"], "left_anti").unionByName(told), f"{label}-pairs")
 
 
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, seed: int, label: str) -> DataFrame:
@@ -190,11 +238,9 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near, se
                 linked.append(near.den * both >= near.num * (len(x) + len(y) - both))
             yield batch.loc[linked, ["a", "b"]]
 
-    pairs = common.written(pairs.distinct(), f"{label}-pairs")
-    sets = sets_of(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), near, seed)
-    sets = common.small_or_shuffled(sets, BROADCAST_ROWS, F.octet_length("shingles"))
-    sides = [sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b")]
-    return common.written(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInPandas(compare, "a long, b long"), label)
+    pairs = near_by_width(docs, nodes, common.written(pairs.distinct(), f"{label}-candidates"), near, seed, label)
+    sets = sets_of(docs, nodes, both_of(pairs), near, seed)
+    return common.written(met(pairs, sets).select("a", "b", "set_a", "set_b").mapInPandas(compare, "a long, b long"), label)
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:

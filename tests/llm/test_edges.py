@@ -389,3 +389,31 @@ def test_large_ids_beside_nulls(spark):
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     assert {r.doc_id: r.component_id for r in op5_jaccard.joined(docs).collect()} == {None: None, big: big, big + 2: big, -big: -big, big + 4: big + 4}
     assert {r.doc_id: r.license for r in op1_licenses.scanned(docs).collect()} == {None: None, big: None, big + 2: None, -big: "mit-line", big + 4: None}
+
+
+@pytest.mark.parametrize("wide_from", [2048, 20])
+def test_wide_sketches_lose_no_link(spark, monkeypatch, wide_from):
+    """Sketches of any two sets differ in no more parts than the sets in shingles, folded or not; large sets are linked by them as by brute force."""
+    import random
+
+    import numpy as np
+
+    pick = np.random.default_rng(wide_from)
+    for n, m in ((1, 1), (2, 3), (40, 33), (700, 1500), (3000, 2900)):
+        x, y = (np.unique(pick.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (n, m))
+        y = np.unique(np.concatenate([x[: len(x) // 2], y[len(x) // 2 :]]))
+        a, b = op5_jaccard.wide_sketch_of(x), op5_jaccard.wide_sketch_of(y)
+        size = min(len(a), len(b))
+        assert op5_jaccard.differing(op5_jaccard.folded(a, size), op5_jaccard.folded(b, size)) <= len(np.setxor1d(x, y))
+        assert (op5_jaccard.folded(a, max(1, len(a) // 2)) == op5_jaccard.folded(op5_jaccard.wide_sketch_of(x), max(1, len(a) // 2))).all()
+    monkeypatch.setattr(op5_jaccard, "WIDE_FROM", wide_from)
+    random.seed(wide_from)
+    rows = []
+    for i in range(60):
+        size = random.choice((60, 90, 3000, 4200))
+        words = [f"s{size}w{k}" for k in range(size)]
+        for _ in range(random.choice([0, 1, 2, size // 90, size // 40])):
+            words[random.randrange(size)] = f"e{random.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)

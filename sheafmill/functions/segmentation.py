@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafmill.functions import texts
+from sheafmill.functions import batches, texts
 
 #: The word list of a language is bounded; a table of more words is not one.
 MOST_WORDS = 1_000_000
@@ -88,10 +90,16 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def distinct_pieces(found: pa.Array) -> pa.DictionaryArray:
+    """The pieces of lists, end to end, each different one once."""
+    flat = found.flatten().dictionary_encode()
+    return flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+
+
 class Memory:
-    """A segmenter's results by piece: texts repeat their words."""
+    """A segmenter's results by piece, a bounded number of them: texts repeat their words."""
 
-    def __init__(self, by: Segmenter, most: int = 200_000):
+    def __init__(self, by: Segmenter, most: int = 100_000):
         self.by, self.most, self.met = by, most, {}
 
     def of(self, piece: str) -> list[str]:
@@ -103,24 +111,46 @@ class Memory:
         return found
 
 
+def begins(found: pa.Array) -> np.ndarray:
+    """Where each list begins among the lists' elements, end to end, and where the last one ends; a null one is empty."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def parted_lists(found: pa.Array, memory: Memory) -> pa.Array:
+    """Lists of pieces as lists of tokens: each different piece is cut once, in parts of few Python objects, and taken as often as it stands."""
+    pieces = distinct_pieces(found)
+    each = batches.mapped(pieces.dictionary, memory.of, pa.list_(pa.string())).take(pieces.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))])[begins(found)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each.flatten(), mask=found.is_null())
+
+
+def counted_lists(found: pa.Array, memory: Memory) -> pa.Array:
+    """Lists of lists of pieces as lists of numbers of tokens."""
+    inner = found.flatten()
+    pieces = distinct_pieces(inner)
+    sizes = batches.mapped(pieces.dictionary, lambda piece: len(memory.of(piece)), pa.int32()).to_numpy(zero_copy_only=False)
+    sums = np.concatenate([[0], np.cumsum(sizes[pieces.indices.to_numpy(zero_copy_only=False)])]) if len(sizes) else np.zeros(1, np.int64)
+    return pa.ListArray.from_arrays(pa.array(begins(found), pa.int32()), pa.array(np.diff(sums[begins(inner)]), pa.int32()), mask=found.is_null())
+
+
 def tokens(text: Column, by: Segmenter) -> Column:
     """The tokens of a text in order: words of its Lao runs, and what stands between these and blanks. Null text has none."""
-    text = F.coalesce(text, F.lit(""))
+    text, memory = F.coalesce(text, F.lit("")), Memory(by)
 
-    @F.pandas_udf("array<string>")
-    def parted(found: pd.Series) -> pd.Series:
-        memory = Memory(by)
-        return found.map(lambda x: None if x is None else [t for piece in x for t in memory.of(piece)])
+    @F.arrow_udf("array<string>")
+    def parted(found: pa.Array) -> pa.Array:
+        return batches.by_parts(found, lambda part: parted_lists(part, memory))
 
     return F.coalesce(parted(F.when(text.rlike(f"[{texts.LAO}]"), pieces(text))), pieces(text))
 
 
 def counts(found: Column, by: Segmenter) -> Column:
     """How many tokens each text of an array has."""
-    @F.pandas_udf("array<int>")
-    def counted(rows: pd.Series) -> pd.Series:
-        memory = Memory(by)
-        return rows.map(lambda row: None if row is None else [sum(len(memory.of(piece)) for piece in one) for one in row])
+    memory = Memory(by)
+
+    @F.arrow_udf("array<int>")
+    def counted(rows: pa.Array) -> pa.Array:
+        return batches.by_parts(rows, lambda part: counted_lists(part, memory))
 
     in_script = F.exists(found, lambda t: t.rlike(f"[{texts.LAO}]"))
     return F.coalesce(counted(F.when(in_script, F.transform(found, pieces))), F.transform(found, lambda t: F.size(pieces(t))))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafmill.functions import batches
+
 # Characters and words that decide results.
 ZERO_WIDTH_IN_DEFECTS = "​‌‍﻿"
 ZERO_WIDTH_IN_NORMAL = "​‌‍⁠﻿"
@@ -29,9 +31,14 @@ BLANK_BEFORE_MARK = f"[ \\t]+([{COMBINING}])"
 UNICODE_BLANKS = "(?U)\\s+"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(T.StringType())
+def composed(found: pa.Array) -> pa.Array:
+    return batches.mapped(found, lambda t: unicodedata.normalize("NFC", t), pa.string())
+
+
+def nfc(text: Column) -> Column:
+    """Texts without a character from U+0300 on are in this form already, and stay out of Python."""
+    return F.coalesce(composed(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
 
 
 def squeezed(text: Column) -> Column:

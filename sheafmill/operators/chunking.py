@@ -6,11 +6,13 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from sheafmill.functions import texts
+from sheafmill.functions import batches, texts
 
 MAX_TOKENS, OVERLAP = 400, 60
 
@@ -66,21 +68,30 @@ def chunked_blocks(blocks: list[dict], most: int = MAX_TOKENS, overlap: int = OV
     return out
 
 
+def packed(rows: DataFrame, pack: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that `pack` makes of each row; a small part of a batch is Python objects at a time."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for part in batches.parts(batch):
+                out = [row for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for row in pack(*values)]
+                yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind.type) for i, kind in enumerate(kinds)], schema=kinds)
+
+    return rows.mapInArrow(made, schema)
+
+
 def sentence_chunks(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, counts: Callable[[Column], Column] = blank_parted) -> DataFrame:
     """(doc_id, seq, content, token_count, n_sentences). Sentences and token counts are native; packing runs inside a row."""
     checked(most, overlap)
     found = texts.sentences(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select("doc_id", found.alias("sentences")).withColumn("counts", counts(F.col("sentences")))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for doc_id, sentences, counts in zip(batch["doc_id"], batch["sentences"], batch["counts"], strict=True):
-                counts = [int(c) for c in counts]
-                made += [(doc_id, seq, " ".join(sentences[a:b]), sum(counts[a:b]), b - a) for seq, (a, b) in enumerate(sentence_spans(counts, most, overlap))]
-            yield pd.DataFrame(made, columns=["doc_id", "seq", "content", "token_count", "n_sentences"])
+    def pack(doc_id: int, sentences: list[str], counts: list[int]) -> Iterator[tuple]:
+        for seq, (a, b) in enumerate(sentence_spans(counts, most, overlap)):
+            yield doc_id, seq, " ".join(sentences[a:b]), sum(counts[a:b]), b - a
 
-    return rows.mapInPandas(pack, "doc_id long, seq long, content string, token_count long, n_sentences long")
+    return packed(rows, pack, "doc_id long, seq long, content string, token_count long, n_sentences long")
 
 
 def block_chunks(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, counts: Callable[[Column], Column] = blank_parted) -> DataFrame:
@@ -88,9 +99,8 @@ def block_chunks(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OV
     counted = documents.select("doc_id", "blocks", counts(F.transform("blocks", lambda b: b["text"])).alias("counts"))
     counted = counted.select("doc_id", F.transform("blocks", lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["path"].alias("path"), F.get("counts", i).alias("tokens"))).alias("blocks"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [(doc_id, c["seq"], c["kind"], c["content"], c["token_count"], c["path"]) for doc_id, blocks in zip(batch["doc_id"], batch["blocks"], strict=True) for c in chunked_blocks(list(blocks), most, overlap)]
-            yield pd.DataFrame(made, columns=["doc_id", "seq", "kind", "content", "token_count", "path"])
+    def pack(doc_id: int, blocks: list[dict]) -> Iterator[tuple]:
+        for c in chunked_blocks(blocks, most, overlap):
+            yield doc_id, c["seq"], c["kind"], c["content"], c["token_count"], c["path"]
 
-    return counted.mapInPandas(pack, "doc_id long, seq long, kind string, content string, token_count long, path array<string>")
+    return packed(counted, pack, "doc_id long, seq long, kind string, content string, token_count long, path array<string>")

@@ -29,6 +29,9 @@ AMOUNT = f"(?:{NUMBER}\\s*{CURRENCY}|{CURRENCY}\\s*{NUMBER}|[{DIGITS}]{{1,3}}(?:
 DOUBLED_MARK = f"([{COMBINING}])\\1+"
 BLANK_BEFORE_MARK = f"[ \\t]+([{COMBINING}])"
 UNICODE_BLANKS = "(?U)\\s+"
+#: Characters whose upper case is longer than one, and their single upper case; those that have none stay.
+GROWING = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+GROWING_UPPER = "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in GROWING)
 
 
 @F.arrow_udf(T.StringType())
@@ -41,6 +44,12 @@ def nfc(text: Column) -> Column:
     return F.coalesce(composed(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
 
 
+def upper_by_character(text: Column) -> Column:
+    """Upper case in which a character stays one: `upper` makes two or three of 102 characters, such as the sharp s."""
+    runs = F.regexp_extract_all(text, F.lit(f"[{GROWING}]|[^{GROWING}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{GROWING}]"), F.translate(r, GROWING, GROWING_UPPER)).otherwise(F.upper(r))), "")
+
+
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH_IN_NORMAL}]", ""), UNICODE_BLANKS, " "), "^ | $", "")
 

@@ -86,7 +86,7 @@ def verify_rows(spark, sf_dir):
 
 
 def review_transitions(spark, sf_dir):
-    actions = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "accept").when(F.col("lang") == "fr", "reject").when(F.col("lang") == "es", "edit").alias("action"), F.upper("text").alias("content")).where("action IS NOT NULL")
+    actions = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "accept").when(F.col("lang") == "fr", "reject").when(F.col("lang") == "es", "edit").alias("action"), texts.upper_by_character(F.col("text")).alias("content")).where("action IS NOT NULL")
     out, _ = lifecycle.reviewed(C(spark, sf_dir), actions)
     return out.select("id", "review", F.sha2("content", 256).alias("sha256"), F.col("embedding").isNotNull().alias("has_embedding"), "token_count", "lang")
 

@@ -109,3 +109,13 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
         shared.shared_dir(on_cluster)
     path = shared.written(spark.range(2), "test").inputFiles()[0]
     assert path.startswith("file:")
+
+
+def test_upper_by_character(spark):
+    """As the SQL's engine has it, for each character whose upper case is longer than itself; null and empty texts stay."""
+    import duckdb
+
+    rows = [("stra\u00dfe \u00e9",), ("",), (None,), *((f"a{c}b{c}{c}",) for c in fn.GROWING)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(fn.upper_by_character(F.col("t"))).collect()]
+    con = duckdb.connect()
+    assert len(fn.GROWING) == 102 and got == [con.execute("SELECT upper(?::VARCHAR)", [t]).fetchall()[0][0] for (t,) in rows]

@@ -18,6 +18,8 @@ if TYPE_CHECKING:
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 4096
 DIGITS = 6
+#: Pairs of rows and lists that are ranked, or dealt, at a time: a batch of rows in all its lists may be a hundred times as large.
+DEALT = 1 << 16
 #: Terms of a query set (some 20 bytes each): broadcast up to so many, shuffled beyond.
 BROADCAST_TERMS = 200_000
 #: What an occurrence without a class of its own weighs in cover density ranks (the default of text search in PostgreSQL).
@@ -218,9 +220,12 @@ def fitted(rows: DataFrame, k: int, sample: int = 4000, **kw: int) -> Lists:
 
 def dealt_to_lists(rows: DataFrame, key: str, lists: Lists, n: int) -> DataFrame:
     """(list, key, embedding): each row in its n nearest lists."""
+    step = max(1, DEALT // max(n, len(lists.centroids)))
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for begin in range(0, len(whole), step):
+                batch = whole.iloc[begin : begin + step]
                 near = lists.ranked(np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]))[:, :n]
                 yield pd.DataFrame({"list": near.reshape(-1), key: np.repeat(batch[key].to_numpy(), near.shape[1]), "embedding": [v for v in batch["embedding"] for _ in range(near.shape[1])]})
 

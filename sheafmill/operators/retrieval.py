@@ -22,6 +22,8 @@ DIGITS = 6
 DEALT = 1 << 16
 #: Terms of a query set (some 20 bytes each): broadcast up to so many, shuffled beyond.
 BROADCAST_TERMS = 200_000
+#: Counts of a term in a row that are told apart when low ones are passed over.
+LEVELS = 64
 #: What an occurrence without a class of its own weighs in cover density ranks (the default of text search in PostgreSQL).
 TERM_WEIGHT = 0.1
 
@@ -108,14 +110,62 @@ def lexical(queries: DataFrame, rows: DataFrame, k: int, match: str = "all", pos
     wanted = shared.written(wanted, "lexical-terms")
     distinct = shared.written(wanted.select("term").distinct(), "lexical-distinct")
     found = positions(rows, distinct) if postings is None else postings.positions(distinct).join(rows.select("id"), "id", "left_semi")
-    hits = found.join(shared.small_or_shuffled(wanted, BROADCAST_TERMS), "term")
-    per = hits.groupBy("query_id", "id", "n_terms").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("entries"))
-    if match == "all":
-        per = per.where(F.size(F.array_distinct(F.transform("entries", lambda e: e["term"]))) == F.col("n_terms"))
-        density = cover_density(F.col("entries"), F.col("n_terms"))
-    else:
-        density = TERM_WEIGHT * F.size("entries")
-    return ranked(per.select("query_id", "id", F.round(density, DIGITS).alias("density")), [F.desc("density"), "id"], k)
+    density = with_all(wanted, found) if match == "all" else with_any(wanted, found, k)
+    return ranked(density.select("query_id", "id", F.round("density", DIGITS).alias("density")), [F.desc("density"), "id"], k)
+
+
+def with_all(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, id, density) of the rows that hold all of a query's terms (query_id, n_terms, term): those of its rarest term are looked up for the others.
+    What is found are (term, id, pos)."""
+    held = shared.written(found.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("at")), "lexical-held")
+    sizes = held.groupBy("term").agg(F.count("*").alias("df"))
+    per = wanted.join(sizes, "term").groupBy("query_id", "n_terms").agg(F.count("*").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
+    rarest = shared.written(per.where("known = n_terms").select("query_id", "n_terms", "term"), "lexical-rarest")
+    met = shared.written(held.join(shared.small_or_shuffled(rarest, BROADCAST_TERMS), "term"), "lexical-met")  # (term, id, at, query_id, n_terms)
+    others = shared.written(wanted.join(rarest.select("query_id", F.col("term").alias("rare")), "query_id").where("term <> rare").select("query_id", "term"), "lexical-others")
+    looked = met.where("n_terms > 1").select("query_id", "n_terms", "id").join(shared.small_or_shuffled(others, BROADCAST_TERMS), "query_id").join(held, ["term", "id"])
+    every = looked.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.collect_list(F.struct("term", "at")).alias("more"))
+    rows = met.join(every, ["query_id", "id"], "left").where("coalesce(n, 0) = n_terms - 1")
+    lists = F.concat(F.array(F.struct("term", "at")), F.coalesce("more", F.array().cast("array<struct<term: string, at: array<int>>>")))
+    entries = F.flatten(F.transform(lists, lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["term"].alias("term")))))
+    rows = rows.select("query_id", "id", "n_terms", F.sort_array(entries).alias("entries"))
+    return rows.select("query_id", "id", cover_density(F.col("entries"), F.col("n_terms")).alias("density"))
+
+
+def with_any(wanted: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, density) of each query's first k rows at least, by how often they hold its terms (query_id, term), and of few others. A row that holds one of
+    the terms alone is among that term's first k; so these are taken, and the k-th best of them is a floor. Of rows that hold several, those that can reach it are
+    met by `least_counts`, and counted whole."""
+    counts = shared.written(found.groupBy("term", "id").agg(F.count("*").alias("tf")), "lexical-counts")
+    terms = wanted.select("query_id", "term")
+    tops = shared.written(ranked(counts, [F.desc("tf"), "id"], k, "term").drop("rank"), "lexical-tops")
+    alone = shared.written(terms.join(tops, "term").groupBy("query_id", "id").agg(F.max("tf").alias("tf")), "lexical-alone")
+    floors = ranked(alone, [F.desc("tf"), "id"], k).where(F.col("rank") == k).select("query_id", F.col("tf").alias("floor"))
+    least = shared.written(least_counts(terms, counts, floors), "lexical-least")
+    met = counts.join(shared.small_or_shuffled(least, BROADCAST_TERMS), "term").where("tf >= least").select("query_id", "id").distinct()
+    whole = shared.written(met, "lexical-met").join(shared.small_or_shuffled(wanted.select("query_id", "term"), BROADCAST_TERMS), "query_id").join(counts, ["term", "id"])
+    both = alone.unionByName(whole.groupBy("query_id", "id").agg(F.sum("tf").alias("tf"))).groupBy("query_id", "id").agg(F.max("tf").alias("tf"))
+    return both.select("query_id", "id", (TERM_WEIGHT * F.col("tf")).alias("density"))
+
+
+def least_counts(terms: DataFrame, counts: DataFrame, floors: DataFrame) -> DataFrame:
+    """(query_id, term, least): how often a row has to hold a term to be met by it, so that each row that holds several of a query's terms, at least its floor in all,
+    is met by one. Of two ways the one that meets fewer rows is taken: the most frequent term isn't looked up at all (another one meets the row), or the counts
+    that are passed over, of all terms, sum up to less than the floor."""
+    sizes = shared.written(counts.groupBy("term", "tf").agg(F.count("*").alias("n")), "lexical-sizes")
+    frequent = sizes.groupBy("term").agg(F.sum("n").alias("df"), F.max("tf").alias("most"))
+    per = terms.join(frequent, "term").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
+    per = shared.written(per.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("df"), "term"))), "lexical-frequent")
+    levels = per.where("floor > 1").withColumn("tf", F.explode(F.sequence(F.lit(1), F.least("most", F.col("floor") - 1, F.lit(LEVELS)))))
+    levels = levels.join(sizes, ["term", "tf"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    upto = Window.partitionBy("query_id", "term").orderBy("tf").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("low"), "tf", "term")  # of a term, lower counts first
+    passed = levels.withColumn("low", F.min("n").over(upto)).withColumn("taken", F.row_number().over(order)).where("taken < floor")
+    passed = passed.groupBy("query_id", "term").agg(F.count("*").alias("passed"), F.sum("n").alias("saved"))
+    both = per.join(passed, ["query_id", "term"], "left").fillna(0, ["passed", "saved"])
+    of_query = Window.partitionBy("query_id")
+    both = both.withColumn("without", F.max("df").over(of_query) >= F.sum("saved").over(of_query))
+    return both.where("NOT (without AND place = 1)").select("query_id", "term", F.when(F.col("without"), F.lit(1)).otherwise(F.col("passed") + 1).alias("least"))
 
 
 def expanded(queries: DataFrame, glossary: DataFrame) -> DataFrame:

@@ -128,3 +128,33 @@ def test_stored_recall(spark):
 def test_stored_hybrid(spark):
     exact, got = (pairs(q(spark, SF)) for q in (plans.hybrid_rrf_search, plans.hybrid_stored_search))
     assert len(exact & got) / len(exact) >= 0.9
+
+
+def test_lexical_search_by_brute_force(spark):
+    """Queries of one to four terms of every frequency, repeated and unknown ones, over ties, empty rows and heavy rows: what is met by few terms is counted whole."""
+    random = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    odds = 1 / np.arange(1, 31) ** 1.3
+    rows = [(i, " ".join(random.choice(words, size=int(random.integers(0, 40)), p=odds / odds.sum()))) for i in range(300)] + [(1000, None), (1001, "w0 " * 90), (1002, "w29 w0 w29")]
+    queries = [(q, [str(t) for t in random.choice([*words, "none"], size=int(random.integers(1, 5)))]) for q in range(120)] + [(500, []), (501, ["w0"]), (502, ["w0", "w1"]), (503, ["w28", "w29"])]
+    said = {i: (t or "").split() for i, t in rows}
+    asked, held = spark.createDataFrame(queries, "query_id long, terms array<string>"), spark.createDataFrame(rows, "id long, content string")
+    for k in (1, 4, 25):
+        want = set()
+        for q, terms in queries:
+            hits = sorted((-sum(t in set(terms) for t in ts), i) for i, ts in said.items())
+            want |= {(q, i, round(-0.1 * n, 6), r + 1) for r, (n, i) in enumerate(hits[:k]) if n}
+        assert {tuple(r) for r in retrieval.lexical(asked, held, k, "any").select("query_id", "id", "density", "rank").collect()} == want
+    all_ = {(r.query_id, r.id) for r in retrieval.lexical(asked, held, 1000).collect()}
+    assert all_ == {(q, i) for q, terms in queries for i, ts in said.items() if terms and set(terms) <= set(ts)}
+
+
+def test_few_rows_are_met(spark):
+    """Rows that hold frequent terms once aren't met, since they can't come in: the number of (query, row) that are is a tenth of all hits."""
+    rows = spark.range(400).select("id", F.when(F.col("id") < 40, F.repeat(F.lit("a b c "), 5)).otherwise(F.lit("a b c d")).alias("content"))
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.array(*map(F.lit, "abc")).alias("terms"))
+    terms = q.select("query_id", F.explode("terms").alias("term"))
+    counts = retrieval.positions(rows, terms.select("term").distinct()).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    least = retrieval.least_counts(terms, counts, q.select("query_id", F.lit(5).alias("floor")))
+    assert counts.join(least, "term").where("tf >= least").count() == 50 * 120
+    assert [r.id for r in retrieval.lexical(q.where("query_id = 7"), rows, 5, "any").orderBy("rank").collect()] == [0, 1, 2, 3, 4]

@@ -40,6 +40,14 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Puts a folder in the place of another, if there is one."""
+    deleted(spark, to)
+    source, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, at):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 class Scratch:
     """Paths of the written tables, so that those of a finished step can be deleted."""
 

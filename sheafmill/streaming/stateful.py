@@ -6,7 +6,10 @@ needs and no more.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -15,12 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sheafmill.operators import ordering
 from sheafmill.sources import shared
 from sheafmill.streaming import queue
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TRIED = "job_id long, attempt int, status string, wait_seconds double, error string"
 LINES = "stream_id string, n long, line string"
+#: Batches of resumable work that are made at a time; they are put in place one after the other.
+AT_ONCE = 8
 
 
 def state_store(spark: SparkSession) -> None:
@@ -143,8 +149,8 @@ def collected(stream: DataFrame, path: str, checkpoint: str, until: Callable[[],
 
 def resumed(rows: DataFrame, of: Callable[[list], list], path: str, kind: str, size: int = 128, key: str = "id", column: str = "content", on_batch: Callable[[int, int], None] | None = None) -> DataFrame:
     """The table (key, value) at `path`, with a value of every row of `rows` (key, column) that lacks one. Work goes by batches of `size` rows in order of the key;
-    each is written whole under the key that it begins behind, so that a run that is killed goes on behind the last whole batch, and one that repeats a batch
-    replaces it. `of` makes values of lists of texts (null as empty). `on_batch` hears what is done and how much is left. Null keys have no place in the order
+    each is written whole, and put in its place under its first key behind the ones before it, so that a run that is killed goes on behind the last whole batch, and one that repeats a batch
+    replaces it. Rows are dealt to their batches once, so that a batch reads its own alone. `of` makes values of lists of texts (null as empty). `on_batch` hears what is done and how much is left. Null keys have no place in the order
     and are left out; repeated keys share one value."""
     spark, values = rows.sparkSession, f"{key} long, value {kind}, batch long"
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(column), F.lit("")).alias(column))
@@ -155,22 +161,41 @@ def resumed(rows: DataFrame, of: Callable[[list], list], path: str, kind: str, s
     written = shared.exists(spark, path)
     done = table().count() if written else 0
     last = table().agg(F.max(key)).first()[0] if written else None
-    while True:
-        left = rows if last is None else rows.where(F.col(key) > last)
-        batch = left.select(key).distinct().orderBy(key).limit(size)
-        span = batch.agg(F.min(key), F.max(key), F.count("*")).first()
-        if not span[2]:
-            break
-        low, high, n = span
-        part = left.where(F.col(key).between(low, high)).dropDuplicates([key])
-        made = queue.mapped_in_batches(part, of, column, "value", kind).select(key, "value")
-        made.write.mode("overwrite").parquet(f"{path}/batch={low}")
-        done, last = done + n, high
-        if on_batch:
-            on_batch(done, rows.where(F.col(key) > last).select(key).distinct().count())
+    dealt, spans = in_batches(rows if last is None else rows.where(F.col(key) > last), size, key)
+    left = sum(n for _, _, n in spans)
+
+    def make(number: int, low: int) -> str:
+        part, staged = spark.read.schema(rows.schema).parquet(f"{dealt}/_batch={number}"), f"{path}/_staged-{low}"
+        queue.mapped_in_batches(part, of, column, "value", kind).select(key, "value").write.mode("overwrite").parquet(staged)
+        return staged
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        try:
+            ahead = iter(spans)
+            made = deque((span, pool.submit(make, *span[:2])) for span in islice(ahead, AT_ONCE))
+            while made:
+                (_, low, n), staged = made.popleft()
+                shared.moved(spark, staged.result(), f"{path}/batch={low}")
+                made.extend((span, pool.submit(make, *span[:2])) for span in islice(ahead, 1))
+                done, left = done + n, left - n
+                if on_batch:
+                    on_batch(done, left)
+        finally:
+            pool.shutdown(cancel_futures=True)
+    shared.deleted(spark, dealt)
     return table().drop("batch") if shared.exists(spark, path) else spark.createDataFrame([], f"{key} long, value {kind}")
 
 
+def in_batches(rows: DataFrame, size: int, key: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """Where rows lie dealt to batches of `size` keys in order, a folder each, all in one pass; and each batch's number, first key, and number of keys."""
+    placed = ordering.numbered(rows.select(key).distinct(), [], [key], "_batch").withColumn("_batch", F.floor((F.col("_batch") - 1) / size))
+    placed = shared.written(placed, "batch-places")
+    path = shared.fresh_path(rows.sparkSession, "batches")
+    rows.dropDuplicates([key]).join(placed, key).repartitionByRange("_batch", key).write.partitionBy("_batch").parquet(path)
+    spans = placed.groupBy("_batch").agg(F.min(key), F.count("*")).orderBy("_batch").collect()  # a row a batch
+    return path, [tuple(r) for r in spans]
+
+
 # ---- cancellation
 
 

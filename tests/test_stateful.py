@@ -126,6 +126,21 @@ def test_resumed_after_a_kill(spark):
     assert stateful.resumed(rows.where("false"), size, paths(spark, "none")[0], "long").count() == 0
 
 
+def test_resumed_reads_its_rows_a_few_times(spark):
+    """However many batches there are: rows are dealt to them in one pass."""
+    seen, (path,) = spark.sparkContext.accumulator(0), paths(spark, "values")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(120).selectExpr("id", "cast(id AS string) AS content").mapInPandas(counted, "id long, content string")
+    made = stateful.resumed(rows, lambda texts: [len(t) for t in texts], path, "long", 5)
+    assert sorted(map(tuple, made.collect())) == [(i, len(str(i))) for i in range(120)] and seen.value <= 5 * 120
+    assert sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()) == list(range(0, 120, 5))
+
+
 def test_stop_between_batches(spark):
     """A stream that is asked to stop ends before its next batch; a later run handles the rest, each row once."""
     source, marks, out, flag = paths(spark, "source", "marks", "out", "stop")

@@ -14,7 +14,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,8 @@ from sheafmill.streaming import queue
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TRIED = "job_id long, attempt int, status string, wait_seconds double, error string"
 LINES = "stream_id string, n long, line string"
+#: Chunks that come early are kept in blocks of so many places: a call to the state a block, not a chunk.
+EARLY_BLOCK = 256
 #: Batches of resumable work that are made at a time; they are put in place one after the other.
 AT_ONCE = 8
 
@@ -80,37 +82,53 @@ def retried(jobs: DataFrame, run: Callable[[int, str, int], Any], most: int = qu
 
 
 class Pieced(StatefulProcessor):
-    """Puts a stream's chunks (seq from 0 on, chunk) in order and parts their bytes at a mark, wherever the cuts are. Chunks that come early wait, those
-    that come again are left out. What follows the last mark waits for the next chunk."""
+    """Puts a stream's chunks (seq from 0 on, chunk) in order and parts their bytes at a mark, wherever the cuts are. Chunks that come early wait, in blocks of
+    `EARLY_BLOCK` places, of which those alone are read and written that chunks come to; those that come again are left out. What follows the last mark waits for
+    the next chunk."""
 
     def __init__(self, mark: bytes):
         self.mark = mark
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "next long, n long, tail binary")
-        self.early = handle.getMapState("early", "seq long", "chunk binary")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        expected, n, tail = self.at.get() if self.at.exists() else (0, 0, b"")
-        came = {int(seq): bytes(chunk or b"") for batch in rows for seq, chunk in zip(batch["seq"], batch["chunk"], strict=True) if seq >= expected}
-        ready, lines = [], []
-        while True:
-            if expected in came:
-                ready.append(came.pop(expected))
-            elif self.early.containsKey((expected,)):
-                ready.append(bytes(self.early.getValue((expected,))[0]))
-                self.early.removeKey((expected,))
-            else:
-                break
+        self.at = handle.getValueState("at", "next long, n long, tail binary, waiting long")
+        self.early = handle.getMapState("early", "block long", "seqs array<long>, chunks array<binary>")
+
+    def block(self, number: int) -> dict[int, bytes] | None:
+        """The chunks that wait in a block, by their places; none, if there is no such block."""
+        found = self.early.getValue((number,))
+        return None if found is None else {seq: bytes(chunk) for seq, chunk in zip(*found, strict=True)}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        expected, n, tail, waiting = self.at.get() or (0, 0, b"", 0)
+        blocks: dict[int, dict[int, bytes]] = {}
+        stored: set[int] = set()
+
+        def opened(number: int) -> dict[int, bytes]:
+            if number not in blocks:
+                found = self.block(number) if waiting else None
+                stored.update(() if found is None else (number,))
+                blocks[number] = found or {}
+            return blocks[number]
+
+        for row in rows:
+            if row["seq"] >= expected:
+                opened(row["seq"] // EARLY_BLOCK)[row["seq"]] = bytes(row["chunk"] or b"")
+        ready = []
+        while blocks and (chunk := opened(expected // EARLY_BLOCK).pop(expected, None)) is not None:
+            ready.append(chunk)
             expected += 1
-        for seq, chunk in came.items():
-            self.early.updateValue((seq,), (chunk,))
+        for number, held in blocks.items():
+            if held:
+                self.early.updateValue((number,), (list(held), list(held.values())))
+                waiting += number not in stored
+            elif number in stored:
+                self.early.removeKey((number,))
+                waiting -= 1
         *whole, tail = (bytes(tail) + b"".join(ready)).split(self.mark)
+        self.at.update((expected, n + len(whole), tail, waiting))
         for line in whole:
-            lines.append((key[0], n, line.decode("utf-8", "replace")))
+            yield Row(stream_id=key[0], n=n, line=line.decode("utf-8", "replace"))
             n += 1
-        self.at.update((expected, n, tail))
-        yield pd.DataFrame(lines, columns=["stream_id", "n", "line"])
 
     def close(self) -> None:
         pass
@@ -119,7 +137,7 @@ class Pieced(StatefulProcessor):
 def pieced(chunks: DataFrame, mark: str = "\n") -> DataFrame:
     """(stream_id, n, line): the lines of streams that come as chunks (stream_id, seq, chunk) of bytes, cut anywhere; with a mark of two line ends, their frames."""
     rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(Pieced(mark.encode()), LINES, "Append", "None")
+    return rows.groupBy("stream_id").transformWithState(Pieced(mark.encode()), LINES, "Append", "None")
 
 
 def frames_of(pieces: DataFrame) -> DataFrame:

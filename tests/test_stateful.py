@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sheafmill.sources import shared
@@ -90,6 +91,50 @@ def test_pieces_of_any_cut(spark, mark):
     assert got == want
 
 
+class Calls:
+    """Value and map states that count their calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.held = 0, None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls, self.held[key] = self.calls + 1, value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+
+def test_early_chunks_cost_a_call_a_block():
+    """600 chunks that wait, then the first, then the rest: two calls and at most two a block each time, and no block stays."""
+    states, size = Calls(), stateful.EARLY_BLOCK
+    piece = stateful.Pieced(b"\n")
+    piece.init(states)
+    lines = []
+    for seqs in (range(1, 601), range(3 * size, 3 * size + 9), [0, 5, 5], range(601, 3 * size)):
+        before, blocks = states.calls, len({s // size for s in seqs})
+        lines += piece.handleInputRows(("a",), iter([Row(stream_id="a", seq=s, chunk=b"%d\n" % s) for s in seqs]), None)
+        assert states.calls - before <= 2 + 2 * (blocks + 3)
+    assert [(r.n, r.line) for r in lines] == [(i, str(i)) for i in range(3 * size + 9)]
+    assert not states.held and states.value == (3 * size + 9, 3 * size + 9, b"", 0)
+
+
 def test_frames_over_cuts(spark):
     events = [{"type": "created"}, {"type": "token", "text": "é 日"}, {"type": "done"}]
     body = "".join(f"event: x\ndata: {json.dumps(e, ensure_ascii=False)}\n\n" for e in events).encode()

@@ -78,9 +78,10 @@ def defect_samples(text: Column) -> Column:
 
 def defects_fixed(text: Column, passes: int = 1) -> Column:
     """One pass by default. A pass can bring a doubled mark about anew (mark, blank, mark); two passes reach the fixpoint."""
+    fixed = text
     for _ in range(passes):
-        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH_IN_DEFECTS}]", ""), DOUBLED_MARK, "$1"), BLANK_BEFORE_MARK, "$1")
-    return text
+        fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(fixed, f"[{ZERO_WIDTH_IN_DEFECTS}]", ""), DOUBLED_MARK, "$1"), BLANK_BEFORE_MARK, "$1")
+    return F.when(text.rlike(f"[{ZERO_WIDTH_IN_DEFECTS}{COMBINING}]"), fixed).otherwise(text)  # each defect has one of these characters
 
 
 def language(text: Column) -> Column:

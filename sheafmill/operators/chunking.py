@@ -96,11 +96,12 @@ def sentence_chunks(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVER
 
 def block_chunks(documents: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, counts: Callable[[Column], Column] = blank_parted) -> DataFrame:
     """(doc_id, seq, kind, content, token_count, path) from rows of (doc_id, blocks), blocks being an array of structs of kind, text, path."""
-    counted = documents.select("doc_id", "blocks", counts(F.transform("blocks", lambda b: b["text"])).alias("counts"))
-    counted = counted.select("doc_id", F.transform("blocks", lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["path"].alias("path"), F.get("counts", i).alias("tokens"))).alias("blocks"))
+    fields = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["path"].alias("path")))
+    # blocks and counts meet in `pack`: a lambda over the blocks that looks up its count makes all counts anew for each block, as the optimizer puts them into it
+    counted = documents.select("doc_id", fields.alias("blocks"), counts(F.transform("blocks", lambda b: b["text"])).alias("counts"))
 
-    def pack(doc_id: int, blocks: list[dict]) -> Iterator[tuple]:
-        for c in chunked_blocks(blocks, most, overlap):
+    def pack(doc_id: int, blocks: list[dict], counts: list[int]) -> Iterator[tuple]:
+        for c in chunked_blocks([{**b, "tokens": n} for b, n in zip(blocks, counts, strict=True)], most, overlap):
             yield doc_id, c["seq"], c["kind"], c["content"], c["token_count"], c["path"]
 
     return packed(counted, pack, "doc_id long, seq long, kind string, content string, token_count long, path array<string>")

@@ -150,3 +150,22 @@ def test_entries_saved(spark):
     again = ingest.entries_saved(spark.createDataFrame([(1, "Tax", "new", "rate", "tax")], schema), first.documents, first.chunks)
     assert sorted((r.doc_id, r.content) for r in again.chunks.collect()) == [(1, "new"), (3, "plain")]
     assert again.documents.count() == 3 and [(r.id, r.event_type) for r in again.events.collect()] == [(1, "knowledge.updated")]
+
+
+def test_block_counts_are_made_once_a_document(spark):
+    """The counts of a document's blocks aren't made anew for each of its blocks, which would take the square of their number."""
+    blocks = [("heading" if i % 50 == 0 else "prose", f"block {i} text", ["top"]) for i in range(300)]
+    docs = spark.createDataFrame([(1, blocks), (2, []), (3, blocks[:2])], "doc_id long, blocks array<struct<kind: string, text: string, path: array<string>>>")
+    made = chunking.block_chunks(docs, 30, 3)
+    assert "[lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = chunking.chunked_blocks([{"kind": k, "text": t, "tokens": 3, "path": p} for k, t, p in blocks], 30, 3)
+    assert [(r.seq, r.kind, r.content, r.token_count, r.path) for r in made.where("doc_id = 1").orderBy("seq").collect()] == [(c["seq"], c["kind"], c["content"], c["token_count"], c["path"]) for c in want]
+    assert [r.content for r in made.where("doc_id > 1").collect()] == ["block 1 text"]
+
+
+def test_texts_without_marks_stay_as_they_are(spark):
+    from sheafmill.functions import texts
+
+    said = ["", None, "a  b\tc", "x\u200by", "\u0e81\u0eb1\u0eb1", "\u0e81 \u0eb1", "\u0eb1 \u200d\u0eb1", "\ufeff", "plain\n text"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select(texts.defects_fixed(F.col("t")).alias("one"), texts.defects_fixed(F.col("t"), 2).alias("two"))
+    assert [tuple(r) for r in rows.collect()] == [("", ""), (None, None), ("a  b\tc",) * 2, ("xy", "xy"), ("\u0e81\u0eb1",) * 2, ("\u0e81\u0eb1",) * 2, ("\u0eb1\u0eb1", "\u0eb1"), ("", ""), ("plain\n text",) * 2]

@@ -119,7 +119,8 @@ def tokens(text: Column) -> Column:
 
 
 def lexemes(text: Column) -> Column:
-    return F.transform(tokens(text), F.lower)
+    """Lower-cased tokens. What a letter's lower case is depends on letters up to the next blank alone, so the text's does for its tokens."""
+    return tokens(F.lower(text))
 
 
 def once_exploded(rows: DataFrame, pos: str, item: str, items: Column, *kept: Column | str) -> DataFrame:

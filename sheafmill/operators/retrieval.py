@@ -22,6 +22,8 @@ DIGITS = 6
 DEALT = 1 << 16
 #: Terms of a query set (some 20 bytes each): broadcast up to so many, shuffled beyond.
 BROADCAST_TERMS = 200_000
+#: Fused hits (some 64 bytes each): broadcast to the rows with their contents up to so many.
+BROADCAST_HITS = shared.BROADCAST_BYTES // 64
 #: Counts of a term in a row that are told apart when low ones are passed over.
 LEVELS = 64
 #: What an occurrence without a class of its own weighs in cover density ranks (the default of text search in PostgreSQL).
@@ -68,17 +70,20 @@ def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Data
     if not len(left) or not len(right):
         return pd.DataFrame({"query_id": [], "id": [], "distance": []})
     apart = np.round(1.0 - unit(left["embedding"]) @ unit(right["embedding"]).T, DIGITS) + 0.0
-    ids, out = right["id"].to_numpy(), []
-    for query_id, line in zip(left["query_id"], apart, strict=True):
-        best = np.lexsort((ids, line))[:k]
-        best = best[~np.isnan(line[best])]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "distance": line[best]}))
-    return pd.concat(out)
+    ids, places, lines = right["id"].to_numpy(), [], []
+    for line in apart:
+        # rows beyond the k-th distance needn't be sorted; those as far as it, and undefined distances, stay
+        near = np.arange(len(line)) if len(line) <= k else np.flatnonzero(~(line > np.partition(line, k - 1)[k - 1]))
+        best = near[np.lexsort((ids[near], line[near]))[:k]]
+        places.append(best[~np.isnan(line[best])])
+        lines.append(line[places[-1]])
+    return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), [len(x) for x in places]), "id": ids[np.concatenate(places)], "distance": np.concatenate(lines)})
 
 
 def positions(rows: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
-    """(term, id, pos): where the wanted terms (term) stand among each row's lower-cased, blank-parted tokens. All other tokens end here."""
-    found = texts.once_exploded(rows, "pos", "term", texts.lexemes(F.col(text)), "id")
+    """(term, id, pos): where the wanted terms (term) stand among each row's lower-cased, blank-parted tokens, counted from any number on. All other tokens end here, and so does what is empty
+    beside blanks at a text's ends, which is cheaper than taking it out of each list."""
+    found = texts.once_exploded(rows, "pos", "term", F.split(F.lower(F.col(text)), texts.UNICODE_BLANKS), "id").where("term <> ''")
     return found.join(shared.small_or_shuffled(terms, BROADCAST_TERMS), "term", "left_semi")
 
 
@@ -193,15 +198,19 @@ def fused_join(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     return one.join(two, ["query_id", "id"], "full").withColumn("score", measures.rrf(F.col("dense_rank")) + measures.rrf(F.col("lexical_rank")))
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all", glossary: DataFrame | None = None, index: VectorIndex | None = None, postings: Postings | None = None) -> DataFrame:
+def hybrid(
+    queries: DataFrame, rows: DataFrame, k: int = 8, pool: int | None = None, match: str = "all", glossary: DataFrame | None = None, index: VectorIndex | None = None, postings: Postings | None = None,
+    contents: DataFrame | None = None,
+) -> DataFrame:
     """Fused hits with their contents: narrow lists are fused first, wide rows are fetched for the winners. A glossary (term) expands the
-    lexical queries. Of stored indexes, the one of vectors is approximate; without them both sides are exact."""
+    lexical queries. Of stored indexes, the one of vectors is approximate; without them both sides are exact. `contents` are the rows' texts (id, content, collection, review), if they
+    lie apart from the vectors."""
     pool = pool or pool_size(k)
-    live = rows.where("review <> 'rejected'")
+    live, told = (x.where("review <> 'rejected'") for x in (rows, rows if contents is None else contents))
     asked = queries if glossary is None else expanded(queries, glossary)
     near = dense(queries, live, pool) if index is None else index.search(queries, live, pool)
-    top = fused(near, lexical(asked, live, pool, match, postings), k)
-    return top.join(live.select("id", "content", "collection"), "id")
+    top = shared.written(fused(near, lexical(asked, told, pool, match, postings), k), "hybrid-top")
+    return shared.small_or_shuffled(top, BROADCAST_HITS).join(told.select("id", "content", "collection"), "id")
 
 
 def evaluated(hits: DataFrame, gold: DataFrame) -> DataFrame:

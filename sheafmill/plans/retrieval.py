@@ -16,11 +16,16 @@ from sheafmill.sources import shared
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, docs = A.table(spark, sf_dir, "embeddings"), A.table(spark, sf_dir, "documents")
     q = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = q.join(docs.select(F.col("doc_id").alias("query_id"), "text"), "query_id").withColumn("words", F.array_distinct(texts.lexemes(F.col("text"))))
+    found = q.join(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), "query_id").withColumn("words", F.array_distinct(texts.lexemes(F.col("text"))))
     longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return found.select("query_id", "embedding", F.transform(F.slice(longest, 1, 2), lambda x: x["w"]).alias("terms"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written query set, for searches by terms: where it is computed inside of other plans, conditions on its terms are tried on the texts of all documents, and its terms made several times."""
+    return shared.written(query_set(spark, sf_dir), "queries")
+
+
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms: the words of part names."""
     return A.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).distinct()
@@ -31,7 +36,7 @@ def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rrf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ops.hybrid(query_set(spark, sf_dir), A.chunks(spark, sf_dir), k=8, glossary=glossary(spark, sf_dir))
+    top = ops.hybrid(asked(spark, sf_dir), A.chunks(spark, sf_dir), k=8, glossary=glossary(spark, sf_dir), contents=A.contents(spark, sf_dir))
     return top.select("query_id", "id", "rank", F.round("score", 9).alias("score"), "dense_rank", "lexical_rank", "collection", texts.excerpt(F.col("content"), 120).alias("excerpt"))
 
 
@@ -59,12 +64,12 @@ def retrieval_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     Gold are the rows of the query's label, itself left out."""
     q, live = shared.written(query_set(spark, sf_dir), "eval-queries"), A.chunks(spark, sf_dir).where("review <> 'rejected'")
     labels = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    asked = q.select("query_id").join(labels, F.col("query_id") == F.col("id")).select("query_id", "label")
+    labelled = q.select("query_id").join(labels, F.col("query_id") == F.col("id")).select("query_id", "label")
     pool = ops.pool_size(10, 40)
     rank = lambda hits, order: shared.written(ops.ranked(hits.where("id <> query_id").drop("rank"), order, pool), "eval-hits")
     lists = {"dense": rank(ops.dense(q, live, pool + 1), ["distance", "id"]), "lexical": rank(ops.lexical(q, live, pool + 1), [F.desc("density"), "id"])}
     lists["hybrid"] = ops.fused(lists["dense"], lists["lexical"], 10)
-    rows = [ops.evaluated_by_label(hits.where("rank <= 10"), asked, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
+    rows = [ops.evaluated_by_label(hits.where("rank <= 10"), labelled, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -102,20 +107,20 @@ def dense_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.chunks(spark, sf_dir)
-    return ops.lexical(query_set(spark, sf_dir), rows, 10, postings=stored_postings(spark, rows))
+    rows = A.contents(spark, sf_dir)
+    return ops.lexical(asked(spark, sf_dir), rows, 10, postings=stored_postings(spark, rows))
 
 
 def term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts have each of the queries' terms, by the stored counts of two batches."""
-    terms = texts.once_exploded(query_set(spark, sf_dir), "pos", "term", F.col("terms")).select("term").distinct()
-    return stored_postings(spark, A.chunks(spark, sf_dir)).document_counts(terms)
+    terms = texts.once_exploded(asked(spark, sf_dir), "pos", "term", F.col("terms")).select("term").distinct()
+    return stored_postings(spark, A.contents(spark, sf_dir)).document_counts(terms)
 
 
 def hybrid_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`hybrid_rrf_search` over stored indexes."""
-    q, rows = shared.written(query_set(spark, sf_dir), "hybrid-queries"), A.chunks(spark, sf_dir)
-    top = ops.hybrid(q, rows, k=8, glossary=glossary(spark, sf_dir), index=stored_vectors(spark, rows), postings=stored_postings(spark, rows))
+    q, rows, told = asked(spark, sf_dir), A.chunks(spark, sf_dir), A.contents(spark, sf_dir)
+    top = ops.hybrid(q, rows, k=8, glossary=glossary(spark, sf_dir), index=stored_vectors(spark, rows), postings=stored_postings(spark, told), contents=told)
     return top.select("query_id", "id", "rank", F.round("score", 9).alias("score"), "dense_rank", "lexical_rank", "collection", texts.excerpt(F.col("content"), 120).alias("excerpt"))
 
 

@@ -184,3 +184,38 @@ def test_few_rows_are_met(spark):
     least = retrieval.least_counts(terms, counts, q.select("query_id", F.lit(5).alias("floor")))
     assert counts.join(least, "term").where("tf >= least").count() == 50 * 120
     assert [r.id for r in retrieval.lexical(q.where("query_id = 7"), rows, 5, "any").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_nearest_in_block_with_ties(spark):
+    """Equal distances go by id, also across the k-th place; rows without a direction are none's neighbours."""
+    import pandas as pd
+
+    draw = np.random.default_rng(4)
+    vectors = draw.integers(-1, 2, (60, 3)).astype(float)  # many are equal, some are zero
+    ids = draw.permutation(60)
+    left, right = (pd.DataFrame({key: i, "embedding": list(v)}) for key, i, v in (("query_id", np.arange(20), vectors[:20]), ("id", ids, vectors)))
+    with np.errstate(invalid="ignore"):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    apart = np.round(1 - unit[:20] @ unit.T, retrieval.DIGITS) + 0.0
+    for k in (1, 7, 59, 60, 100):
+        want = [(q, i, d) for q in range(20) for d, i in sorted((d, i) for d, i in zip(apart[q], ids) if not np.isnan(d))[:k]]
+        assert [tuple(r) for r in retrieval.nearest_in_block(left, right, k).itertuples(index=False)] == want
+
+
+def test_searches_read_texts_apart(spark):
+    """Texts aren't joined with vectors for searches, conditions on a query set's terms aren't tried on texts, and hits are broadcast to their contents."""
+    assert "split(" not in plan_of(plans.asked(spark, SF).where("size(terms) > 0"))
+    plan = plan_of(plans.hybrid_rrf_search(spark, SF))
+    assert plan.count("Join") == 2 and "vec_id" not in plan and "strategy=broadcast" in plan
+
+
+def test_lexemes_of_whole_texts(spark):
+    """Lower-cased as a whole a text has the lower-cased tokens, also where a letter's form depends on its neighbours; blanks at the ends are no tokens."""
+    said = ["ΟΔΟΣ ΣΑΣ Σ", "İstanbul İ", " A\u0085ΣΑΣ Σ. Σ'Α ", " \t\n", ""]
+    rows = rows_of(spark, list(enumerate(said)))
+    got = rows.select("id", texts.lexemes(F.col("content")).alias("a"), F.transform(texts.tokens(F.col("content")), F.lower).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    every = spark.createDataFrame([(w,) for r in got for w in {*r.b, ""}], "term string").distinct()
+    placed = retrieval.positions(rows, every).collect()
+    for r in got:
+        assert [x.term for x in sorted((x for x in placed if x.id == r.id), key=lambda x: x.pos)] == r.b

@@ -55,8 +55,8 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, live = query_set(spark, sf_dir), A.chunks(spark, sf_dir).where("review <> 'rejected'")
-    return ops.fused_join(ops.dense(q, live, 40), ops.lexical(q, live, 40)).withColumn("score", F.round("score", 9))
+    q, live, told = asked(spark, sf_dir), *(x(spark, sf_dir).where("review <> 'rejected'") for x in (A.chunks, A.contents))
+    return ops.fused_join(ops.dense(q, live, 40), ops.lexical(q, told, 40)).withColumn("score", F.round("score", 9))
 
 
 def retrieval_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

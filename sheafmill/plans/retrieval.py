@@ -51,7 +51,7 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lexical(query_set(spark, sf_dir), A.chunks(spark, sf_dir), 10)
+    return ops.lexical(asked(spark, sf_dir), A.contents(spark, sf_dir), 10)
 
 
 def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:

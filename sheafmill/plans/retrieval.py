@@ -62,12 +62,12 @@ def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall and reciprocal rank of the dense, lexical and fused lists of rows that aren't rejected; the fused one is fused from lists of four times its length.
     Gold are the rows of the query's label, itself left out."""
-    q, live = shared.written(query_set(spark, sf_dir), "eval-queries"), A.chunks(spark, sf_dir).where("review <> 'rejected'")
+    q, live, told = asked(spark, sf_dir), *(x(spark, sf_dir).where("review <> 'rejected'") for x in (A.chunks, A.contents))
     labels = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     labelled = q.select("query_id").join(labels, F.col("query_id") == F.col("id")).select("query_id", "label")
     pool = ops.pool_size(10, 40)
     rank = lambda hits, order: shared.written(ops.ranked(hits.where("id <> query_id").drop("rank"), order, pool), "eval-hits")
-    lists = {"dense": rank(ops.dense(q, live, pool + 1), ["distance", "id"]), "lexical": rank(ops.lexical(q, live, pool + 1), [F.desc("density"), "id"])}
+    lists = {"dense": rank(ops.dense(q, live, pool + 1), ["distance", "id"]), "lexical": rank(ops.lexical(q, told, pool + 1), [F.desc("density"), "id"])}
     lists["hybrid"] = ops.fused(lists["dense"], lists["lexical"], 10)
     rows = [ops.evaluated_by_label(hits.where("rank <= 10"), labelled, labels).agg(F.lit(name).alias("retriever"), F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_5", "recall_10", "mrr")]) for name, hits in lists.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

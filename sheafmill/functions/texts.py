@@ -13,7 +13,7 @@ from sheafmill.functions import batches
 
 # Characters and words that decide results.
 ZERO_WIDTH_IN_DEFECTS = "​‌‍﻿"
-ZERO_WIDTH_IN_NORMAL = "​‌‍⁠﻿"
+ZERO_WIDTH_IN_NORMAL = "\u200b-\u200d\u2060\ufeff"
 LAO = "຀-໿"
 LAO_DIGITS = "໐໑໒໓໔໕໖໗໘໙"
 COMBINING = "ັິ-ູົຼ່-ໍ"
@@ -28,7 +28,11 @@ NUMBER = f"[{DIGITS}]++(?:[.,][{DIGITS}]++)*+"
 AMOUNT = f"(?:{NUMBER}\\s*{CURRENCY}|{CURRENCY}\\s*{NUMBER}|[{DIGITS}]{{1,3}}(?:[.,][{DIGITS}]{{3}})++(?:[.,][{DIGITS}]+)?)"
 DOUBLED_MARK = f"([{COMBINING}])\\1+"
 BLANK_BEFORE_MARK = f"[ \\t]+([{COMBINING}])"
+#: A vowel below behind a tone, or the mark below (U+0EBA) behind such a vowel.
+MISPLACED_MARK = "[\\x{EB8}-\\x{EBA}](?:(?<=[\\x{EC8}-\\x{ECB}].)|(?<=[\\x{EB8}\\x{EB9}]\\x{EBA}))"
 UNICODE_BLANKS = "(?U)\\s+"
+#: Blanks that aren't a single plain one.
+UNEVEN_BLANKS = "(?U) \\s+|[^\\S ]\\s*"
 #: Characters whose upper case is longer than one, and their single upper case; those that have none stay.
 GROWING = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
 GROWING_UPPER = "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in GROWING)
@@ -40,8 +44,8 @@ def composed(found: pa.Array) -> pa.Array:
 
 
 def nfc(text: Column) -> Column:
-    """Texts without a character from U+0300 on are in this form already, and stay out of Python."""
-    return F.coalesce(composed(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
+    """Texts without a character from U+0300 on, those of the script aside, are in this form already, and stay out of Python. So are characters of the script but for marks in another than their canonical order."""
+    return F.coalesce(composed(F.when(text.rlike(f"[^\\x{{0}}-\\x{{2FF}}{LAO}]"), text).when(text.rlike(MISPLACED_MARK), text)), text)
 
 
 def upper_by_character(text: Column) -> Column:
@@ -51,7 +55,7 @@ def upper_by_character(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH_IN_NORMAL}]", ""), UNICODE_BLANKS, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH_IN_NORMAL}]", ""), UNEVEN_BLANKS, " "))
 
 
 def normalised(text: Column) -> Column:
@@ -129,6 +133,11 @@ def once_exploded(rows: DataFrame, pos: str, item: str, items: Column, *kept: Co
     return rows.select(*kept, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
+def made_once(rows: DataFrame, name: str, value: Column, *kept: Column | str) -> DataFrame:
+    """The kept columns beside a value that several others read. In a plain column that comes out of Python, the optimizer would put its making into each place that reads it; a generator stays where it is."""
+    return rows.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def segmented(text: Column) -> Column:
     """tokens, joined (by blanks), count and lang of a text; blank-parted, as no word list of the script is there."""
     found = tokens(text)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheafmill.functions import measures, texts
+from sheafmill.functions import measures, segmentation, texts
 from sheafmill.sources import shared
 
 # What counts as which question, and how much of a source goes into a prompt.
@@ -18,6 +18,8 @@ BALANCE = "ຍອດ(?:ເຫຼືອ)?\\s*(?:ຂອງ)?\\s*ບັນຊີ\\s
 INVOICE = "(?i)INV-\\S+"
 INVOICES_OF = "ໃບເກັບເງິນ.*(ຂອງ|ລູກຄ້າ)"
 CAPS = {"dataset": 700, "web": 1600, "erp": 1600}
+#: Words of a dictionary that are broadcast.
+DICTIONARY_WORDS = 1_000_000
 
 
 def intents(question: Column) -> Column:
@@ -165,18 +167,24 @@ def parsed(answer: Column, schema: str, /, **defaults: str) -> Column:
     return F.struct(*[F.coalesce(found[f], F.lit(defaults.get(f))).alias(f) for f in fields], F.when(empty, F.substring(answer, 1, 500)).alias("error"))
 
 
-def checked_texts(rows: DataFrame, dictionary: DataFrame, letters: str, forbidden: list[str], key: str = "id", text: str = "content", tokens: Callable[[Column], Column] = texts.tokens) -> DataFrame:
+def checked_texts(
+    rows: DataFrame, dictionary: DataFrame, forbidden: list[str], key: str = "id", text: str = "content", tokens: Callable[[Column], Column] = texts.tokens, by: segmentation.Segmenter | None = None
+) -> DataFrame:
     """(key, words, unknown, forbidden): how many different words of the script a text has in its normal form, how many of them the dictionary (word)
-    lacks, and which listed forms it holds. Words are those that `tokens` gives."""
+    lacks, and which listed forms it holds. Words are those that `tokens` gives, or those of a segmenter, whose dictionary is bounded: then texts are checked where they lie, in one pass, and none of
+    their words is shuffled."""
     from sheafmill.operators import curation
 
-    normal = rows.select(key, texts.normalised(F.col(text)).alias("content"))
-    words = normal.select(key, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).where(F.col("word").rlike(f"[{texts.LAO}]"))
-    checked = curation.spell_checked(words, dictionary, letters, texts.LAO)
-    counts = words.join(checked, "word").groupBy(key).agg(F.count("*").alias("words"), F.count_if(~F.col("in_dictionary")).alias("unknown"))
-    hits = curation.forbidden_in(normal, forbidden, key, "content").groupBy(key).agg(F.array_sort(F.collect_list("form")).alias("forbidden"))
-    out = normal.select(key).join(counts, key, "left").join(hits, key, "left").fillna(0, ["words", "unknown"])
-    return out.withColumn("forbidden", F.coalesce("forbidden", F.array().cast("array<string>")))
+    normal = texts.made_once(rows, "content", texts.normalised(F.col(text)), key)
+    held = curation.forms_held(forbidden, "content").alias("forbidden")
+    if by is not None:
+        found = segmentation.checked(F.col("content"), by, segmentation.word_list(dictionary))
+        return normal.select(key, found.alias("found"), held).select(key, "found.words", "found.unknown", "forbidden")
+    known = shared.written(dictionary.select("word").where("word IS NOT NULL").distinct(), "dictionary")
+    known = shared.small_or_shuffled(known, DICTIONARY_WORDS, F.octet_length("word")).withColumn("known", F.lit(True))
+    words = texts.once_exploded(normal, "_pos", "word", F.array_distinct(tokens(F.col("content"))), key).where(F.col("word").rlike(f"[{texts.LAO}]"))
+    counts = words.join(known, "word", "left").groupBy(key).agg(F.count("*").alias("words"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    return normal.select(key, held).join(counts, key, "left").fillna(0, ["words", "unknown"]).select(key, "words", "unknown", "forbidden")
 
 
 def canonical(spark: SparkSession) -> DataFrame:

@@ -220,7 +220,7 @@ def text_checks(spark, sf_dir):
     word, other = "ບັນຊີ", "ບັນຊຶ"
     rows = C(spark, sf_dir).select("id", F.concat("content", F.lit(f" {word}  "), F.when(F.col("id") % 3 == 0, other).otherwise("")).alias("content"))
     known = spark.createDataFrame([(word,)], "word string")
-    return assist.checked_texts(rows, known, "ກຂຄ", [other, "token ="]).select("id", "words", "unknown", F.array_join("forbidden", ",").alias("forbidden"))
+    return assist.checked_texts(rows, known, [other, "token ="]).select("id", "words", "unknown", F.array_join("forbidden", ",").alias("forbidden"))
 
 
 def cited_questions(spark, sf_dir):

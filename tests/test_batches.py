@@ -1,6 +1,9 @@
 """What Python workers hold at a time: small parts of a batch, whatever its size."""
 
+import itertools
+import re
 import tracemalloc
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,22 @@ def test_composed_texts_stay_out_of_python(spark):
     assert got == ["\u00e9 plain \u00df", "\u00e9", "\uac00", "\u00c5", "\u00e9", "", None]
 
 
+def test_normal_texts_of_the_script_stay_out_of_python(spark):
+    """Marks of the script may be out of order, but a text is given to Python only if they are: all runs of three of its marks, and its other characters."""
+    marks = [c for c in map(chr, range(0xE80, 0xF00)) if unicodedata.combining(c)]
+    said = ["ກ" + "".join(m) for m in itertools.product([*marks, "ຣ"], repeat=3)] + [a + b for a in map(chr, range(0xE80, 0xF00)) for b in ("e", "\u0301")]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", texts.nfc(F.col("t")).alias("n"), F.col("t").rlike(texts.MISPLACED_MARK).alias("m")).collect()
+    assert all(r.n == unicodedata.normalize("NFC", r.t) for r in rows)
+    assert all(r.m == (not unicodedata.is_normalized("NFC", r.t)) for r in rows if "\u0301" not in r.t)
+
+
+def test_blanks_are_squeezed_alike(spark):
+    blanks = " \t\n\x0b\u0085\u00a0\u2003\u2028\u200b"
+    said = ["".join(x) for n in (1, 2, 3) for x in itertools.product([*blanks, "a"], repeat=n)]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", texts.squeezed(F.col("t")).alias("n")).collect()
+    assert all(r.n == re.sub("^ | $", "", re.sub("[ \t\n\x0b\u0085\u00a0\u2003\u2028]+", " ", r.t.replace("\u200b", ""))) for r in got)
+
+
 def test_chunks_keep_ids_beside_null(spark):
     """Ids don't pass through doubles beside a missing one."""
     rows = spark.createDataFrame([(2**53 + 1, "a b. c."), (None, "d.")], "doc_id long, text string").coalesce(1)

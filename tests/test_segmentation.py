@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sheafmill.functions import batches, texts
 from sheafmill.functions import segmentation as seg
-from sheafmill.functions import texts
-from sheafmill.operators import chunking, curation
+from sheafmill.operators import assist, chunking, curation
 
 LETTERS = ["ກ", "ຂາ", "ໂຄ", "ງ", "ນີ້", "໑", "ໆ"]
 
@@ -62,6 +64,46 @@ def test_segmented_texts(spark):
     assert got[2] == got[3] == got[4] == ([], "", 0, "en") and got[5][0] == ["plain", "words,", "only"] and got[6][0] == ["ບັນຊີ", "ບັນຊີ", "x"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_cut_together(seed):
+    """Many runs at once are cut as one by one, at all places of an array, beside other pieces and runs too long for it."""
+    pick, letters = random.Random(seed), [*LETTERS, "ເ", "ະ", "ຯ", "໊", "\u0e80", "\u0eff", "໒"]
+    for _ in range(25):
+        by = seg.Segmenter(["".join(pick.choices(letters, k=pick.randint(1, 4))) for _ in range(pick.randint(0, 20))])
+        found = ["".join(pick.choices(letters, k=pick.randint(1, 14))) for _ in range(50)] + ["abc", "ก", "é—", "".join(pick.choices(letters, k=400))]
+        pick.shuffle(found)
+        want = [by.tokens(p) if "\u0e80" <= p[0] <= "\u0eff" else [p] for p in found]
+        assert seg.cut(pa.array(found).slice(3), seg.Memory(by)).to_pylist() == want[3:]
+    assert seg.cut(pa.array([], pa.string()), seg.Memory(by)).to_pylist() == []
+
+
+def test_words_of_texts_by_brute_force():
+    """Different words and unknown ones, over texts that are null, empty, without the script, next to each other and cut into parts."""
+    pick, letters = random.Random(9), [*LETTERS, " ", ",", "é", "ก", "\n"]
+    for _ in range(40):
+        words = ["".join(pick.choices(LETTERS, k=pick.randint(1, 4))) for _ in range(12)]
+        by, known = seg.Segmenter(words), set(words[::2])
+        texts_ = [None if pick.random() < 0.1 else "".join(pick.choices(letters, k=pick.choice([0, 1, 5, 40, 700]))) for _ in range(20)]
+        said = [{w for run in re.findall(f"[{texts.LAO}]+", t or "") for w in by.tokens(run)} for t in texts_]
+        made = lambda part: seg.checked_strings(part, seg.Memory(by), pa.array(sorted(known)))
+        got = batches.by_parts(pa.array(texts_).slice(2), made, pick.choice([50, 1 << 20])).to_pylist()
+        assert got == [{"words": len(s), "unknown": len(s - known)} for s in said[2:]]
+
+
+def test_texts_are_checked_in_one_pass(spark):
+    """By a segmenter: no shuffle, no join, the normal form made once; the same as by the words of its tokens."""
+    word, other = "ໂຄງການ", "ບັນຊີ"
+    known = spark.createDataFrame([(word,), ("latin",), (None,)], "word string")
+    rows = spark.createDataFrame([(1, f"{word}{other}{word} x\u200b  {other} "), (2, None), (3, ""), (4, "plain  %"), (5, f"{word} {word}")], "id long, content string")
+    by = seg.segmenter(known.union(spark.createDataFrame([(other,)], "word string")))
+    made = assist.checked_texts(rows, known, [other, "x  ", "%"], by=by)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join|Aggregate", plan) and plan.count("regexp_replace") == 2
+    want = [(1, 2, 1, [other]), (2, 0, 0, []), (3, 0, 0, []), (4, 0, 0, ["%"]), (5, 1, 0, [])]
+    assert sorted(tuple(r) for r in made.collect()) == want
+    assert sorted(tuple(r) for r in assist.checked_texts(rows, known, [other, "x  ", "%"], tokens=lambda t: seg.tokens(t, by)).collect()) == want
+
+
 def test_a_dictionary_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(seg, "MOST_WORDS", 3)
     with pytest.raises(ValueError):

@@ -69,15 +69,23 @@ def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Data
     """The k nearest rows of a block to each query of a block."""
     if not len(left) or not len(right):
         return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-    apart = np.round(1.0 - unit(left["embedding"]) @ unit(right["embedding"]).T, DIGITS) + 0.0
-    ids, places, lines = right["id"].to_numpy(), [], []
+    return nearest_of(left["query_id"].to_numpy(), unit(left["embedding"]), right["id"].to_numpy(), unit(right["embedding"]), k)
+
+
+def nearest_of(queries: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, met: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest of some unit vectors to each of some others; of those that it meets, if these are marked."""
+    apart = np.round(1.0 - asked @ vectors.T, DIGITS) + 0.0
+    if met is not None:
+        apart[~met] = np.inf
+    places, lines = [], []
     for line in apart:
-        # rows beyond the k-th distance needn't be sorted; those as far as it, and undefined distances, stay
-        near = np.arange(len(line)) if len(line) <= k else np.flatnonzero(~(line > np.partition(line, k - 1)[k - 1]))
-        best = near[np.lexsort((ids[near], line[near]))[:k]]
-        places.append(best[~np.isnan(line[best])])
+        # rows beyond the k-th distance needn't be sorted; those as far as it stay
+        near = np.flatnonzero(np.isfinite(line))
+        if len(near) > k:
+            near = near[line[near] <= np.partition(line[near], k - 1)[k - 1]]
+        places.append(near[np.lexsort((ids[near], line[near]))[:k]])
         lines.append(line[places[-1]])
-    return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), [len(x) for x in places]), "id": ids[np.concatenate(places)], "distance": np.concatenate(lines)})
+    return pd.DataFrame({"query_id": np.repeat(queries, [len(x) for x in places]), "id": ids[np.concatenate(places)], "distance": np.concatenate(lines)})
 
 
 def positions(rows: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheafmill.functions import texts
+from sheafmill.functions import measures, texts
 from sheafmill.operators import retrieval, stores
 from sheafmill.plans import adapters as A
 from sheafmill.plans import retrieval as plans
@@ -77,6 +77,21 @@ def test_postings_of_odd_texts(spark):
     assert stores.postings_of(tokens.where("id IN (3, 4, 7)")).count() == 0
 
 
+def test_frequent_terms_are_few_rows(spark):
+    """A term that all texts of a task have is one stored row there, and is read and counted as before; ids that are missing stay so."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("The end the "), F.col("id").cast("string")).alias("content")).unionByName(rows_of(spark, [(None, "the lost")])).coalesce(2)
+    postings = stores.Postings(spark, shared.fresh_path(spark, "test-postings"), 4)
+    postings.add(rows, "one")
+    assert spark.read.parquet(f"{postings.path}/blocks").where("term = 'the'").count() <= 3
+    the = [(r.term, r.id, r.pos) for r in postings.positions(spark.createDataFrame([("end",), ("the",)], "term string")).collect()]
+    assert len(the) == 3 * 3000 + 1 and set(the) == {(t, i, p) for i in range(3000) for t, p in (("the", 0), ("end", 1), ("the", 2))} | {("the", None, 0)}
+    assert {r.term: r.n_docs for r in postings.document_counts(spark.createDataFrame([("the",), ("lost",)], "term string")).collect()} == {"the": 3001, "lost": 1}
+    old = shared.fresh_path(spark, "test-postings")
+    spark.range(1).write.parquet(f"{old}/postings")
+    with pytest.raises(ValueError):
+        stores.Postings(spark, old)
+
+
 def test_lexical_search_by_postings(spark):
     rows, q = A.chunks(spark, SF), shared.written(plans.query_set(spark, SF), "test-queries")
     live = rows.where("review <> 'rejected'")
@@ -116,6 +131,39 @@ def test_vector_index(spark):
     assert all(i % 3 for _, i in pairs(index.search(q, gone, 10)))
 
 
+def test_nearest_in_lists_by_brute_force(monkeypatch):
+    """A shelf's lists together: of the rows in the lists that a query probes, its k nearest by code, also where these are fewer, some queries at a time."""
+    import pandas as pd
+
+    draw = np.random.default_rng(6)
+    monkeypatch.setattr(stores, "MET", 500)
+    codes, scales = stores.coded(retrieval.unit(pd.Series(list(draw.normal(size=(90, 8))))))
+    right = pd.DataFrame({"id": draw.permutation(90), "list": draw.integers(0, 7, 90) * 3, "code": [c.tobytes() for c in codes], "scale": scales})
+    left = pd.DataFrame({"query_id": np.arange(20), "lists": [list(draw.choice([0, 3, 6, 9, 12, 15, 18, 99], n, replace=False)) for n in draw.integers(1, 6, 20)], "embedding": list(draw.normal(size=(20, 8)))})
+    apart = np.round(1 - retrieval.unit(left["embedding"]) @ retrieval.unit(pd.Series(list(stores.decoded(right["code"], right["scale"])))).T, retrieval.DIGITS) + 0.0
+    for k in (1, 9, 200):
+        want = [(q, i, d) for q in range(20) for d, i in sorted((d, i) for d, i, on in zip(apart[q], right["id"], right["list"]) if on in left["lists"][q])[:k]]
+        assert [tuple(r) for r in stores.nearest_in_lists(left, right, k).itertuples(index=False)] == want
+
+
+def test_lists_of_a_shelf_give_k_rows_a_query(spark):
+    """Candidates are merged by shelf before they are shuffled: the number of lists doesn't multiply them."""
+    rows = clustered(spark, 900)
+    index = stores.VectorIndex.build(rows, shared.fresh_path(spark, "test-vectors"), "one")
+    index.settings = {"shelves_probed": 1, "lists_probed": 1 << 30}
+    q = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    plan = index.candidates(q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"FlatMapCoGroupsInPandas \[shelf#\d+, qb#\d+, rb#\d+\]", plan)
+    assert index.candidates(q, 5).count() == 45 * 5
+
+
+def test_distances_of_pairs(spark):
+    """As `measures.cosine_distance`, over pairs of one and of other lengths, and null where it is undefined."""
+    said = [([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([], []), ([3.0], [-2.0]), ([1.0, 5.0], [1.0, 5.0])]
+    rows = spark.createDataFrame(said, "a array<float>, b array<float>").coalesce(1).select(stores.cosine_apart("a", "b").alias("x"), measures.cosine_distance(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [None if r.y is None else round(r.y, 12) for r in rows] == [None if r.x is None else round(r.x, 12) for r in rows] and rows[5].x == 2
+
+
 def test_vector_search_reads_probed_shelves_alone(spark):
     rows, path = clustered(spark, 900), shared.fresh_path(spark, "test-vectors")
     index = stores.VectorIndex.build(rows, path, "one")
